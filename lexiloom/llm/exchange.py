@@ -50,12 +50,12 @@ def cut_points(keys: np.ndarray, ranges: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, edges), len(keys))
 
 
-def deal(block: int, keys: np.ndarray, more: list[np.ndarray], ranges: int, lane: int = 0) -> Iterator[dict]:
-    """Rows of :data:`BLOB` for a block's sorted keys; ``more`` are columns beside them."""
+def deal(block: int, keys: np.ndarray, more: list[np.ndarray], ranges: int, lane: int = 0, shift: int = 0) -> Iterator[dict]:
+    """Rows of :data:`BLOB` for a block's sorted keys; ``more`` are columns beside them; the lowest ``shift`` bits are zero and not sent."""
     cuts = cut_points(keys, ranges)
     for i in np.flatnonzero(np.diff(cuts)).tolist():
         a, b = int(cuts[i]), int(cuts[i + 1])
-        yield {"owner": lane * ranges + i, "block": block, "n": b - a, "keys": pack_sorted(keys[a:b]), "more": squeeze(b"".join(x[a:b].tobytes() for x in more))}
+        yield {"owner": lane * ranges + i, "block": block, "n": b - a, "keys": pack_sorted(keys[a:b] >> np.uint64(shift)), "more": squeeze(b"".join(x[a:b].tobytes() for x in more))}
 
 
 def resolve(blobs: DataFrame, judge: Callable[[np.ndarray, list[np.ndarray]], np.ndarray], dtypes: list) -> DataFrame:

@@ -8,8 +8,8 @@ them exactly (128-bit digests); no repeated window is lost, as its estimate
 cannot be below its count.  Each word is removed that a window covers whose
 word sequence also starts in a document with a smaller id.
 
-The sketch grows with the input: it has ``CELLS`` cells a word in each of
-``DEPTH`` rows, is spread over the cluster by cell range, and each block gets
+The sketch grows with the input: it has ``CELLS`` or more cells a word in each
+of ``DEPTH`` rows, is spread over the cluster by cell range, and each block gets
 back one bit for each of its own cells, so it is nowhere held whole.
 
 Defined cases: a null text has no words; an empty text or one shorter than a
@@ -56,10 +56,10 @@ class Windows:
         return window_hashes(word_hashes(block.buf, self.starts, self.ends, 1), size, 1)[self.at]
 
 
-def _cells(keys: np.ndarray, lane: int, step: int) -> np.ndarray:
-    """Sketch cells as 64-bit values: multiples of ``step``."""
+def _cells(keys: np.ndarray, lane: int, shift: int) -> np.ndarray:
+    """Sketch cells as 64-bit values whose lowest ``shift`` bits are zero."""
     x = mix(keys + np.uint64(0x9E3779B97F4A7C15 * (lane + 1) % (1 << 64)))
-    return x // np.uint64(step) * np.uint64(step)
+    return x >> np.uint64(shift) << np.uint64(shift)
 
 
 def _counted(cells: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +71,7 @@ def _counted(cells: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return c[head], 1 + (d[head] != d[last]).astype(np.uint8)
 
 
-def _sketch(size: int, ranges: int, step: int):
+def _sketch(size: int, ranges: int, shift: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for number, block in blocks_in(pdf):
@@ -79,19 +79,19 @@ def _sketch(size: int, ranges: int, step: int):
                 docs = block.ids[w.doc[w.at]]
                 rows = []
                 for lane in range(DEPTH):
-                    cells, counts = _counted(_cells(w.keys, lane, step), docs)
-                    rows += X.deal(number, cells, [counts], ranges, lane)
+                    cells, counts = _counted(_cells(w.keys, lane, shift), docs)
+                    rows += X.deal(number, cells, [counts], ranges, lane, shift)
                 if rows:
                     yield pd.DataFrame(rows)
 
     return run
 
 
-def _maybe_repeated(w: Windows, said: pd.DataFrame, ranges: int, step: int) -> np.ndarray:
+def _maybe_repeated(w: Windows, said: pd.DataFrame, ranges: int, shift: int) -> np.ndarray:
     """Windows whose least count over the sketch's rows is two or more."""
     out = np.ones(len(w.keys), dtype=bool)
     for lane in range(DEPTH):
-        cells, back = np.unique(_cells(w.keys, lane, step), return_inverse=True)
+        cells, back = np.unique(_cells(w.keys, lane, shift), return_inverse=True)
         mine = said[(said["owner"] >= lane * ranges) & (said["owner"] < (lane + 1) * ranges)]
         bits = X.answers(mine.assign(owner=mine["owner"] - lane * ranges), [cells], ranges, bool)[0]
         out &= bits[back]
@@ -108,12 +108,12 @@ def exact_entries(keys: np.ndarray, second: np.ndarray, docs: np.ndarray) -> tup
     return a[new], b[new], d[new], place
 
 
-def _exact(size: int, ranges: int, step: int, exact_ranges: int):
+def _exact(size: int, ranges: int, shift: int, exact_ranges: int):
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for number, block in blocks_in(left):
             w = Windows(block, size)
-            hot = np.flatnonzero(_maybe_repeated(w, right, ranges, step))
+            hot = np.flatnonzero(_maybe_repeated(w, right, ranges, shift))
             a, b, d, _ = exact_entries(w.keys[hot], w.second(block, size)[hot], block.ids[w.doc[w.at[hot]]])
             rows += X.deal(number, a, [b, d], exact_ranges)
             # which windows these were, for the last pass
@@ -158,11 +158,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     size = blocks.agg(F.coalesce(F.sum("raw_bytes"), F.lit(0)).alias("n")).first()["n"]
     entries = max(1, size // 6)
     ranges = X.ranges_for(blocks, entries)
-    step = max(1, (1 << 64) // (entries * CELLS))
-    blobs = blocks.mapInPandas(_sketch(window, ranges, step), X.BLOB)
+    shift = 64 - max(1, (entries * CELLS).bit_length())
+    blobs = blocks.mapInPandas(_sketch(window, ranges, shift), X.BLOB)
     merged = X.resolve(blobs, lambda keys, more: X.seen_twice(keys, more[0]), [np.uint8])
     exact_ranges = X.ranges_for(blocks, entries // 2)
-    second = blocks.groupBy("block").cogroup(merged.groupBy("block")).applyInPandas(_exact(window, ranges, step, exact_ranges), X.BLOB)
+    second = blocks.groupBy("block").cogroup(merged.groupBy("block")).applyInPandas(_exact(window, ranges, shift, exact_ranges), X.BLOB)
     second, _ = durable(second, "windows")
     least = X.resolve(second.where("owner >= 0"), lambda keys, more: X.least_doc(keys, more[0], more[1]), [np.uint64, np.int64])
     said = least.union(second.where("owner = -1").select("block", "owner", F.col("keys").alias("answer")))
