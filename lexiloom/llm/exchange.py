@@ -105,7 +105,7 @@ def seen_twice(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def least_doc(keys: np.ndarray, second: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For every entry: the smallest document with the same 128-bit key."""
+    """For every entry: the smallest document with the same key and second key."""
     order = np.lexsort((second, keys))
     a, b = keys[order], second[order]
     head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)

@@ -4,7 +4,7 @@ A window is ``window`` consecutive words of one document.  A first pass counts
 windows, once a document, in a count-min sketch: every block's partial sketch
 is merged cell range by cell range, and sums never fall below the true count.
 A second pass takes only windows whose estimate is two or more and groups
-them exactly (128-bit digests); no repeated window is lost, as its estimate
+them exactly (96-bit digests); no repeated window is lost, as its estimate
 cannot be below its count.  Each word is removed that a window covers whose
 word sequence also starts in a document with a smaller id.
 
@@ -52,8 +52,8 @@ class Windows:
         self.keys = self.keys[self.at]
 
     def second(self, block: Block, size: int) -> np.ndarray:
-        """The other half of the 128-bit digests."""
-        return window_hashes(word_hashes(block.buf, self.starts, self.ends, 1), size, 1)[self.at]
+        """The rest of the 96-bit digests."""
+        return (window_hashes(word_hashes(block.buf, self.starts, self.ends, 1), size, 1)[self.at] >> np.uint64(32)).astype(np.uint32)
 
 
 def _cells(keys: np.ndarray, lane: int, shift: int) -> np.ndarray:
@@ -99,7 +99,7 @@ def _maybe_repeated(w: Windows, said: pd.DataFrame, ranges: int, shift: int) ->
 
 
 def exact_entries(keys: np.ndarray, second: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct 128-bit keys in order with their smallest document, and for each input its place among them."""
+    """Distinct 96-bit keys in order with their smallest document, and for each input its place among them."""
     order = np.lexsort((docs, second, keys))
     a, b, d = keys[order], second[order], docs[order]
     new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
@@ -116,23 +116,20 @@ def _exact(size: int, ranges: int, shift: int, exact_ranges: int):
             hot = np.flatnonzero(_maybe_repeated(w, right, ranges, shift))
             a, b, d, _ = exact_entries(w.keys[hot], w.second(block, size)[hot], block.ids[w.doc[w.at[hot]]])
             rows += X.deal(number, a, [b, d], exact_ranges)
-            # which windows these were, for the last pass
-            rows.append({"owner": -1, "block": number, "n": len(w.keys), "keys": X.squeeze(np.packbits(np.isin(np.arange(len(w.keys)), hot)).tobytes()), "more": b""})
         return pd.DataFrame(rows, columns=["owner", "block", "n", "keys", "more"])
 
     return run
 
 
-def _cut(size: int, exact_ranges: int):
+def _cut(size: int, ranges: int, shift: int, exact_ranges: int):
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for _, block in blocks_in(left):
             w = Windows(block, size)
-            mask = right[right["owner"] == -1]["answer"]
-            hot = np.flatnonzero(np.unpackbits(np.frombuffer(X.expand(mask.iloc[0]), np.uint8), count=len(w.keys))) if len(mask) else np.zeros(0, np.int64)
+            hot = np.flatnonzero(_maybe_repeated(w, right[right["pass"] == 1], ranges, shift))
             docs = block.ids[w.doc[w.at[hot]]]
             a, b, d, place = exact_entries(w.keys[hot], w.second(block, size)[hot], docs)
-            least = X.answers(right, [a], exact_ranges, np.int64)[0]
+            least = X.answers(right[right["pass"] == 2], [a], exact_ranges, np.int64)[0]
             gone = w.at[hot][least[place] < docs]
             edge = np.zeros(len(w.starts) + 1, dtype=np.int64)
             np.add.at(edge, gone, 1)
@@ -160,10 +157,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ranges = X.ranges_for(blocks, entries)
     shift = 64 - max(1, (entries * CELLS).bit_length())
     blobs = blocks.mapInPandas(_sketch(window, ranges, shift), X.BLOB)
-    merged = X.resolve(blobs, lambda keys, more: X.seen_twice(keys, more[0]), [np.uint8])
+    # the bits that came back are small and used by both later passes
+    merged, _ = durable(X.resolve(blobs, lambda keys, more: X.seen_twice(keys, more[0]), [np.uint8]), "estimates")
     exact_ranges = X.ranges_for(blocks, entries // 2)
     second = blocks.groupBy("block").cogroup(merged.groupBy("block")).applyInPandas(_exact(window, ranges, shift, exact_ranges), X.BLOB)
-    second, _ = durable(second, "windows")
-    least = X.resolve(second.where("owner >= 0"), lambda keys, more: X.least_doc(keys, more[0], more[1]), [np.uint64, np.int64])
-    said = least.union(second.where("owner = -1").select("block", "owner", F.col("keys").alias("answer")))
-    return blocks.groupBy("block").cogroup(said.groupBy("block")).applyInPandas(_cut(window, exact_ranges), OUT)
+    least = X.resolve(second, lambda keys, more: X.least_doc(keys, more[0], more[1]), [np.uint32, np.int64])
+    said = merged.withColumn("pass", F.lit(1)).union(least.withColumn("pass", F.lit(2)))
+    return blocks.groupBy("block").cogroup(said.groupBy("block")).applyInPandas(_cut(window, ranges, shift, exact_ranges), OUT)
