@@ -5,25 +5,100 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe, langid
+from .embed_dedup import link_embeddings
+from .simhash_dedup import near_duplicates
 from .substring_dedup import remove_repeats
+from .suffix_dedup import repeated_spans
+from .url_filter import judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(_table(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = langid.fit(documents.where(~langid.held_out()), _tokenizer("piece_bpe_32k.model"))
+    marked = documents.select("doc_id", langid.held_out().alias("held_out"), "text")
+    return langid.predict(marked, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = _tokenizer("byte_bpe_multi_50k.tiktoken")
+    out = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), ranks), ranks)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op3_language_id": op3_language_id,
+    "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_bpe": op5_bpe,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_url_filter": op10_url_filter,
 }
 
 _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 ORACLES = {
+    "op1_suffix_dedup": f"""
+        WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM w),
+        k AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY array_to_string(ws[p:p + 49], ' ')) AS first FROM p),
+        hit AS (SELECT doc_id, first, p, p - row_number() OVER (PARTITION BY doc_id, first ORDER BY p) AS island FROM k WHERE first < doc_id)
+        SELECT doc_id, first AS first_doc_id, CAST(min(p) - 1 AS BIGINT) AS start_word, CAST(max(p) - min(p) + 50 AS BIGINT) AS n_words
+        FROM hit GROUP BY doc_id, first, island""",
+    "op7_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+               AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+                 WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+        least AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+        n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+        SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(least(vec_id, coalesce(m, vec_id)) AS BIGINT) AS component_id,
+               vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+        FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN least ON least.a = vec_id""",
+    "op10_url_filter": """
+        WITH u AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        s AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
+        rules(action, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+        fit AS (SELECT page_id, h || p AS rule, action, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS n
+                FROM s JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+        SELECT s.page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(action, 'allow') AS verdict
+        FROM s LEFT JOIN fit ON fit.page_id = s.page_id AND n = 1""",
     "op9_substring_dedup": f"""
         WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
         p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS p FROM w),
