@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid
+from . import bpe, langid, token_store
 from .embed_dedup import link_embeddings
 from .simhash_dedup import near_duplicates
 from .substring_dedup import remove_repeats
@@ -49,6 +49,11 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_embeddings(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_store.write_store(_table(spark, sf_dir, "documents"), token_store.store_path(spark), _tokenizer("byte_bpe_50k.json"))
+    return token_store.read_index(spark, path)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -64,6 +69,7 @@ QUERIES = {
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_bpe": op5_bpe,
     "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_token_store": op8_token_store,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_url_filter": op10_url_filter,
 }
