@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, token_store
+from . import bpe, langid, token_store, warc
 from .embed_dedup import link_embeddings
 from .simhash_dedup import near_duplicates
 from .substring_dedup import remove_repeats
@@ -45,6 +45,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archives(_table(spark, sf_dir, "pages"), warc.archive_path(spark))
+    out = warc.read_archives(spark, path, with_payload=False)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_embeddings(_table(spark, sf_dir, "embeddings"))
 
@@ -68,6 +74,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_bpe": op5_bpe,
+    "op6_warc": op6_warc,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_token_store": op8_token_store,
     "op9_substring_dedup": op9_substring_dedup,
@@ -84,6 +91,13 @@ ORACLES = {
         hit AS (SELECT doc_id, first, p, p - row_number() OVER (PARTITION BY doc_id, first ORDER BY p) AS island FROM k WHERE first < doc_id)
         SELECT doc_id, first AS first_doc_id, CAST(min(p) - 1 AS BIGINT) AS start_word, CAST(max(p) - min(p) + 50 AS BIGINT) AS n_words
         FROM hit GROUP BY doc_id, first, island""",
+    "op6_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS n, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS keeper FROM p)
+        SELECT page_id, n AS payload_bytes, h AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
+        FROM d""",
     "op7_embedding_dedup": """
         WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
         ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
