@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, langid, token_store, warc
+from .decontaminate import contaminated
 from .embed_dedup import link_embeddings
 from .simhash_dedup import near_duplicates
 from .substring_dedup import remove_repeats
@@ -27,6 +28,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(_table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     model = langid.fit(documents.where(~langid.held_out()), _tokenizer("piece_bpe_32k.model"))
@@ -71,6 +76,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_decontamination": op2_decontamination,
     "op3_language_id": op3_language_id,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_bpe": op5_bpe,
