@@ -1,11 +1,12 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
 Documents are packed in blocks.  Each block is split into pre-tokens; their
-positions are kept as numbers into the block's list of distinct pre-tokens,
-and the lists are exploded: one row for each block and distinct pre-token.
-All distinct pre-tokens of the corpus are encoded once, the ids are joined
-back to the blocks' rows, and each document's ids are put together by
-position.  A frequent word costs a block one row, so it makes no hot key.
+positions are kept as numbers into the block's list of distinct pre-tokens.
+The lists are dealt out by a hash of the word, packed, one blob for each block
+and word range; the owner of a range encodes each of its distinct words once
+and joins the ids back to the blobs in their order; each document's ids are
+then put together by position.  A frequent word costs a block one entry, so it
+makes no hot key.
 
 Decoding joins the token-byte table (a fixed vocabulary of some fifty thousand
 rows, refused beyond ``MAX_TOKENS``) to the ids, in the order of the ids.
@@ -18,6 +19,7 @@ raise when decoded.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,18 +31,29 @@ from pyspark.sql import functions as F
 
 from .blocks import expand, squeeze
 from .pretokens import PATTERN, gather, read_ranks, splitter
-from .storage import durable, small_batches
+from .storage import durable, shuffle_width, small_batches
 
 #: Bytes of text after which a block is closed.
 BLOCK_BYTES = 4 << 20
 #: Largest token table that is sent to every worker.
 MAX_TOKENS = 2_000_000
 
-_BLOCKS = "block long, ids binary, no_id binary, sizes binary, positions binary, words array<string>"
+_BLOCKS = "block long, ids binary, no_id binary, sizes binary, positions binary, places binary, words array<struct<owner:int,n:int,sizes:binary,bytes:binary>>"
+_CODED = "block long, owner int, answer binary"
 _IDS = "doc_id long, ids binary"
 
 
-def _split(block_bytes: int, pattern: str):
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers, packed byte plane by byte plane."""
+    return squeeze(np.ascontiguousarray(x.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unplanes(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(expand(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).reshape(-1).view(np.int32) if len(raw) else np.zeros(0, np.int32)
+
+
+def _split(block_bytes: int, pattern: str, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, part, made = splitter(pattern), TaskContext.get().partitionId(), 0
         ids: list = []
@@ -49,14 +62,29 @@ def _split(block_bytes: int, pattern: str):
         words: dict[str, int] = {}
         held = 0
 
+        entry = pa.struct([("owner", pa.int32()), ("n", pa.int32()), ("sizes", pa.binary()), ("bytes", pa.binary())])
+
         def close():
             nonlocal ids, sizes, spots, words, held, made
             at = np.concatenate(spots) if spots else np.zeros(0, np.int32)
-            planes = np.ascontiguousarray(at.view(np.uint8).reshape(-1, 4).T).tobytes()
+            # frequent words get small numbers, which pack well
+            often = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable") if words else np.zeros(0, np.int64)
+            rank = np.empty(len(words), dtype=np.int32)
+            rank[often] = np.arange(len(words), dtype=np.int32)
+            raw = [w.encode() for w in words]
+            owner = np.fromiter((zlib.crc32(w) % ranges for w in raw), np.int32, len(raw))
+            dealt = np.lexsort((rank, owner))
+            places = np.empty(len(words), dtype=np.int32)
+            places[rank[dealt]] = np.arange(len(words), dtype=np.int32)
+            cuts = np.flatnonzero(np.append(True, np.diff(owner[dealt]) != 0)).tolist() if len(dealt) else []
+            lists = []
+            for lo, hi in zip(cuts, [*cuts[1:], len(dealt)], strict=True):
+                mine = [raw[i] for i in dealt[lo:hi].tolist()]
+                lists.append({"owner": int(owner[dealt[lo]]), "n": hi - lo, "sizes": squeeze(np.fromiter(map(len, mine), np.int32, hi - lo).tobytes()), "bytes": squeeze(b"".join(mine))})
             row = pa.RecordBatch.from_pydict(
                 {
                     "block": pa.array([(part << 32) | made], pa.int64()), "ids": pa.array([np.array([i or 0 for i in ids], np.int64).tobytes()], pa.binary()), "no_id": pa.array([np.array([i is None for i in ids], bool).tobytes()], pa.binary()),
-                    "sizes": pa.array([np.array(sizes, np.int64).tobytes()], pa.binary()), "positions": pa.array([squeeze(planes)], pa.binary()), "words": pa.array([list(words)], pa.list_(pa.string())),
+                    "sizes": pa.array([np.array(sizes, np.int64).tobytes()], pa.binary()), "positions": pa.array([_planes(rank[at])], pa.binary()), "places": pa.array([_planes(places)], pa.binary()), "words": pa.array([lists], pa.list_(entry)),
                 }
             )
             ids, sizes, spots, words, held, made = [], [], [], {}, 0, made + 1
@@ -81,13 +109,23 @@ def _split(block_bytes: int, pattern: str):
 
 
 def _encode_words(ranks_path: str, pattern: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import tiktoken
 
         single = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})._core_bpe.encode_single_piece
-        for batch in batches:
-            ids = [np.array(single(w.encode()), "<u4").tobytes() for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["word", "word_ids"])
+        known: dict[bytes, list[int]] = {}
+        out = []
+        for sizes, data in zip(pdf["sizes"], pdf["bytes"], strict=True):
+            raw, ends = expand(data), np.cumsum(np.frombuffer(expand(sizes), np.int32))
+            words = [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            for w in words:
+                if w not in known:
+                    known[w] = single(w)
+            ids = [known[w] for w in words]
+            width = np.fromiter(map(len, ids), np.int32, len(ids))
+            flat = np.array([i for x in ids for i in x], dtype=np.int32)
+            out.append(len(ids).to_bytes(4, "little") + _planes(np.concatenate([width, flat])))
+        return pdf[["block", "owner"]].assign(answer=out)
 
     return run
 
@@ -96,15 +134,15 @@ def _assemble(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     out_ids, out = [], []
     for row in left.itertuples(index=False):
         ids, no_id = np.frombuffer(row.ids, np.int64), np.frombuffer(row.no_id, bool)
-        sizes = np.frombuffer(row.sizes, np.int64)
-        raw = np.frombuffer(expand(row.positions), np.uint8)
-        at = np.ascontiguousarray(raw.reshape(4, -1).T).reshape(-1).view(np.int32) if len(raw) else np.zeros(0, np.int32)
-        order = np.argsort(right["spot"].to_numpy())
-        pieces = right["word_ids"].to_numpy()[order]
-        flat = np.frombuffer(b"".join(pieces), "<u4")
-        width = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        sizes, at, places = np.frombuffer(row.sizes, np.int64), _unplanes(row.positions), _unplanes(row.places)
+        widths, flats = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for answer in right.sort_values("owner")["answer"]:
+            n, both = int.from_bytes(answer[:4], "little"), _unplanes(answer[4:])
+            widths.append(both[:n])
+            flats.append(both[n:])
+        width, flat = np.concatenate(widths).astype(np.int64), np.concatenate(flats).astype("<u4")
         starts = np.cumsum(width) - width
-        doc_ends = np.cumsum(sizes)
+        at, doc_ends = places[at], np.cumsum(sizes)
         for i, (end, size) in enumerate(zip(doc_ends.tolist(), sizes.tolist(), strict=True)):
             got, _ = gather(flat, starts, width, at[end - size : end])
             out_ids.append(None if no_id[i] else int(ids[i]))
@@ -112,17 +150,21 @@ def _assemble(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": pd.array(out_ids, "Int64"), "ids": out})
 
 
+#: Bytes of text for each word range at least (about a hundred thousand distinct words of the owner).
+RANGE_BYTES = 16 << 20
+
+
 def encode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = PATTERN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: ``doc_id, ids`` (little-endian unsigned 32-bit)."""
     spark = df.sparkSession
     small_batches(spark)
     two = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks, _ = durable(two.mapInArrow(_split(block_bytes, pattern), _BLOCKS), "pretokens")
-    spots = blocks.select("block", F.posexplode("words").alias("spot", "word"))
-    coded = spots.select("word").distinct().mapInArrow(_encode_words(ranks_path, pattern), "word string, word_ids binary")
-    # one of these rows for each block and word; the join may be dealt anew by adaptive execution
-    joined = spots.join(coded, "word").select(F.col("block").alias("home"), "spot", "word_ids")
-    return blocks.drop("words").groupBy("block").cogroup(joined.groupBy("home")).applyInPandas(_assemble, _IDS)
+    size = two.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    ranges = max(shuffle_width(spark), -(-size // RANGE_BYTES))
+    blocks, _ = durable(two.mapInArrow(_split(block_bytes, pattern, ranges), _BLOCKS), "pretokens")
+    dealt = blocks.select("block", F.explode("words").alias("w")).select("block", "w.owner", "w.sizes", "w.bytes")
+    coded = dealt.groupBy("owner").applyInPandas(_encode_words(ranks_path, pattern), _CODED).select(F.col("block").alias("home"), "owner", "answer")
+    return blocks.drop("words").groupBy("block").cogroup(coded.groupBy("home")).applyInPandas(_assemble, _IDS)
 
 
 def token_table(ranks_path: str) -> list[bytes]:
