@@ -170,42 +170,70 @@ def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str |
         yield [(r["item_id"], r["text"]) for r in part.collect()]
 
 
+def _found(bench: Benchmark, texts: list[str | None]) -> dict[tuple[int, int], tuple[float, int, int]]:
+    """(text, item) -> (similarity, first word, words) of the best window."""
+    words, of = _words(texts)
+    rows = []
+    bounds = np.searchsorted(of, np.arange(len(texts) + 1))
+    n = max(0, len(words) - SHINGLE + 1)
+    grams = window_hashes(words, SHINGLE)
+    inside = of[:n] == of[SHINGLE - 1 : SHINGLE - 1 + n] if n else np.zeros(0, bool)
+    hits = bench.hits(grams)
+    hits = hits[inside[hits]]
+    for d in np.unique(of[hits]).tolist():
+        lo, hi = int(bounds[d]), int(bounds[d + 1]) - SHINGLE + 1
+        mine = hits[np.searchsorted(hits, lo) : np.searchsorted(hits, hi)] - lo
+        rows += [(d, i, float(sim), s, size) for i, sim, s, size in bench.match(grams[lo:hi], mine)]
+    for size in sorted({k for k, _ in bench.short}):
+        small = window_hashes(words, size)
+        for p in np.flatnonzero(np.isin(small, np.array([h for k, h in bench.short if k == size], np.uint64))).tolist():
+            d = int(of[p])
+            if of[p + size - 1] == d:
+                rows += [(d, i, 1.0, p - int(bounds[d]), size) for i in bench.short[size, int(small[p])]]
+    return {(d, i): tuple(rest) for d, i, *rest in reversed(rows)}
+
+
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, similarity, start_word, n_words``: for each document and item that match, the best window."""
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
     out = None
-    for block in _item_blocks(items):
+    for block in _item_blocks(_items(benchmark, item_col, item_text_col)):
         shared = spark.sparkContext.broadcast(block)  # at most MAX_ITEM_BYTES
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             bench = Benchmark(shared.value)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                words, of = _words(batch.column(1).to_pylist())
-                rows = []
-                bounds = np.searchsorted(of, np.arange(len(ids) + 1))
-                n = max(0, len(words) - SHINGLE + 1)
-                grams = window_hashes(words, SHINGLE)
-                inside = of[:n] == of[SHINGLE - 1 : SHINGLE - 1 + n] if n else np.zeros(0, bool)
-                hits = bench.hits(grams)
-                hits = hits[inside[hits]]
-                for d in np.unique(of[hits]).tolist():
-                    lo, hi = int(bounds[d]), int(bounds[d + 1]) - SHINGLE + 1
-                    mine = hits[np.searchsorted(hits, lo) : np.searchsorted(hits, hi)] - lo
-                    rows += [(d, i, float(sim), s, size) for i, sim, s, size in bench.match(grams[lo:hi], mine)]
-                for size in sorted({k for k, _ in bench.short}):
-                    small = window_hashes(words, size)
-                    for p in np.flatnonzero(np.isin(small, np.array([h for k, h in bench.short if k == size], np.uint64))).tolist():
-                        d = int(of[p])
-                        if of[p + size - 1] == d:
-                            rows += [(d, i, 1.0, p - int(bounds[d]), size) for i in bench.short[size, int(small[p])]]
+                rows = [(ids[d], bench.ids[i], *rest) for (d, i), rest in _found(bench, batch.column(1).to_pylist()).items()]
                 if rows:
-                    first = {(d, i): (ids[d], bench.ids[i], *rest) for d, i, *rest in reversed(rows)}
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*first.values(), strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "similarity", "start_word", "n_words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "similarity", "start_word", "n_words"])
 
         found = two.mapInArrow(run, OUT)
         out = found if out is None else out.union(found)
     return out
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that match no item, with all their columns; no shuffle."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    at = docs.columns.index(text_col)
+    for block in _item_blocks(_items(benchmark, item_col, item_text_col)):
+        shared = spark.sparkContext.broadcast(block)  # at most MAX_ITEM_BYTES
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            bench = Benchmark(shared.value)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, dtype=bool)
+                clean[[d for d, _ in _found(bench, batch.column(at).to_pylist())]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -131,3 +131,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = own.groupBy("component").agg(F.min("first").alias("component_id"))
     found = own.join(least, "component").select("fp", "component_id")
     return prints.join(found, "fp")
+
+
+def distinct_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``df`` that stay: of each group of near duplicates the one with the smallest id.
+
+    Rows that share the smallest id stay together; rows with a null id stay.
+    """
+    gone = near_duplicates(df, id_col, text_col, shingle, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
+    return df.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left_anti")

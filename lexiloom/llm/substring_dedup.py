@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ from .wordhash import mix, window_hashes, word_bounds, word_hashes
 
 DEPTH = 2
 CELLS = 4
-OUT = "doc_id long, n_words long, n_removed long, kept binary"
+OUT = "doc_id long, n_words long, n_removed long, kept binary, text_hash long"
 
 
 class Windows:
@@ -143,14 +144,17 @@ def _cut(size: int, ranges: int, shift: int, exact_ranges: int):
                     text = b" ".join(block.text(i).split())
                 else:
                     text = b" ".join(x for x, k in zip(block.text(i).split(), mine.tolist(), strict=True) if k)
-                rows.append((doc, hi - lo, int((~mine).sum()), text))
-        return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept"])
+                rows.append((doc, hi - lo, int((~mine).sum()), text, (xxhash.xxh64_intdigest(block.text(i), 42) ^ 1 << 63) - (1 << 63)))
+        return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept", "text_hash"])
 
     return run
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
-    """One row per document with an id: ``doc_id, n_words, n_removed, kept`` (UTF-8, words joined by one space)."""
+    """One row per document with an id: ``doc_id, n_words, n_removed, kept`` (UTF-8, words joined by one space).
+
+    ``text_hash`` is Spark's ``xxhash64`` of the text that was read (of '' for null).
+    """
     blocks, _ = pack(df, id_col, text_col)
     size = blocks.agg(F.coalesce(F.sum("raw_bytes"), F.lit(0)).alias("n")).first()["n"]
     entries = max(1, size // 6)
@@ -164,3 +168,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = X.resolve(second, lambda keys, more: X.least_doc(keys, more[0], more[1]), [np.uint32, np.int64])
     said = merged.withColumn("pass", F.lit(1)).union(least.withColumn("pass", F.lit(2)))
     return blocks.groupBy("block").cogroup(said.groupBy("block")).applyInPandas(_cut(window, ranges, shift, exact_ranges), OUT)
+
+
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
+    """``df`` with its repeated passages cut out of ``text_col``.
+
+    Texts that lose nothing stay as they are, white space included; rows that
+    lose all their words go; rows with a null id stay as they are.
+    """
+    cut = remove_repeats(df, id_col, text_col, window).where("n_removed > 0")
+    cut = cut.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.decode("kept", "UTF-8").alias("__kept"), (F.col("n_removed") == F.col("n_words")).alias("__gone")).dropDuplicates(["__id", "__hash"])
+    text = F.col(f"`{text_col}`")
+    met = df.join(cut, (F.col(f"`{id_col}`").cast("long") == F.col("__id")) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col("__hash")), "left").where("__gone is null or not __gone")
+    return met.withColumn(text_col, F.coalesce("__kept", text)).select(*(F.col(f"`{c}`") for c in df.columns))
