@@ -67,22 +67,25 @@ class Lattice:
     """The segmentations of many words at once."""
 
     def __init__(self, pieces: list[str]):
-        self.index = {p: i for i, p in enumerate(pieces)}
-        self.longest = max(map(len, pieces), default=1)
+        # every prefix of a piece, so that a walk stops where no piece goes on: -1 is a prefix that is no piece
+        self.index = {p[:n]: -1 for p in pieces for n in range(1, len(p))}
+        self.index.update({p: i for i, p in enumerate(pieces)})
 
     def edges(self, parts: list[str]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
         """(start, end, rows, pieces) in order of start, then end; piece -1 is a character of no piece."""
-        get, longest = self.index.get, self.longest
+        get = self.index.get
         found: dict[tuple[int, int], tuple[list, list]] = {}
         for row, part in enumerate(parts):
             n = len(part)
             for i in range(n):
-                for j in range(i + 1, min(n, i + longest) + 1):
+                for j in range(i + 1, n + 1):
                     piece = get(part[i:j])
                     if piece is None:
                         if j > i + 1:
-                            continue
+                            break
                         piece = -1
+                    elif piece < 0 and j > i + 1:
+                        continue
                     spot = found.get((i, j))
                     if spot is None:
                         spot = found[i, j] = ([], [])
@@ -208,21 +211,20 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         table = np.zeros((1024, max(1, len(own.langs))))
         for batch in batches:
             preds, scores = [], []
-            for text in batch.column(at).to_pylist():
-                words = words_of(text) if own.langs else []
+            found = [words_of(text) if own.langs else [] for text in batch.column(at).to_pylist()]
+            if len(rows) > CACHE_WORDS:
+                rows = {}
+            fresh = list({w for words in found for w in words if w not in rows})
+            first = len(rows)
+            rows.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+            while len(rows) > len(table):
+                table = np.concatenate([table, np.zeros_like(table)])
+            table[first : len(rows)] = own.log_probs(fresh)
+            for words in found:
                 if not words:
                     preds.append("und")
                     scores.append(0.0)
                     continue
-                if len(rows) > CACHE_WORDS:
-                    rows = {}
-                fresh = [w for w in set(words) if w not in rows]
-                if fresh:
-                    first = len(rows)
-                    rows.update(zip(fresh, range(first, first + len(fresh)), strict=True))
-                    while len(rows) > len(table):
-                        table = np.concatenate([table, np.zeros_like(table)])
-                    table[first : len(rows)] = own.log_probs(fresh)
                 total = table[np.fromiter(map(rows.__getitem__, words), np.int64, len(words))].sum(axis=0)
                 best = int(np.argmax(total))
                 preds.append(own.langs[best])
