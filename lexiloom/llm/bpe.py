@@ -31,14 +31,14 @@ from pyspark.sql import functions as F
 
 from .blocks import expand, squeeze
 from .pretokens import PATTERN, gather, read_ranks, splitter
-from .storage import durable, shuffle_width, small_batches
+from .storage import durable_by, shuffle_width, small_batches
 
 #: Bytes of text after which a block is closed.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 #: Largest token table that is sent to every worker.
 MAX_TOKENS = 2_000_000
 
-_BLOCKS = "block long, ids binary, no_id binary, sizes binary, positions binary, places binary, words array<struct<owner:int,n:int,sizes:binary,bytes:binary>>"
+_BLOCKS = "block long, ids binary, no_id binary, sizes binary, positions binary, owners binary, words array<struct<owner:int,n:int,sizes:binary,bytes:binary>>"
 _CODED = "block long, owner int, answer binary"
 _IDS = "doc_id long, ids binary"
 
@@ -73,9 +73,7 @@ def _split(block_bytes: int, pattern: str, ranges: int):
             rank[often] = np.arange(len(words), dtype=np.int32)
             raw = [w.encode() for w in words]
             owner = np.fromiter((zlib.crc32(w) % ranges for w in raw), np.int32, len(raw))
-            dealt = np.lexsort((rank, owner))
-            places = np.empty(len(words), dtype=np.int32)
-            places[rank[dealt]] = np.arange(len(words), dtype=np.int32)
+            dealt = np.lexsort((rank, owner))  # an owner gets its words in order of frequency
             cuts = np.flatnonzero(np.append(True, np.diff(owner[dealt]) != 0)).tolist() if len(dealt) else []
             lists = []
             for lo, hi in zip(cuts, [*cuts[1:], len(dealt)], strict=True):
@@ -84,7 +82,7 @@ def _split(block_bytes: int, pattern: str, ranges: int):
             row = pa.RecordBatch.from_pydict(
                 {
                     "block": pa.array([(part << 32) | made], pa.int64()), "ids": pa.array([np.array([i or 0 for i in ids], np.int64).tobytes()], pa.binary()), "no_id": pa.array([np.array([i is None for i in ids], bool).tobytes()], pa.binary()),
-                    "sizes": pa.array([np.array(sizes, np.int64).tobytes()], pa.binary()), "positions": pa.array([_planes(rank[at])], pa.binary()), "places": pa.array([_planes(places)], pa.binary()), "words": pa.array([lists], pa.list_(entry)),
+                    "sizes": pa.array([np.array(sizes, np.int64).tobytes()], pa.binary()), "positions": pa.array([_planes(rank[at])], pa.binary()), "owners": pa.array([_planes(owner[often])], pa.binary()), "words": pa.array([lists], pa.list_(entry)),
                 }
             )
             ids, sizes, spots, words, held, made = [], [], [], {}, 0, made + 1
@@ -124,47 +122,60 @@ def _encode_words(ranks_path: str, pattern: str):
             ids = [known[w] for w in words]
             width = np.fromiter(map(len, ids), np.int32, len(ids))
             flat = np.array([i for x in ids for i in x], dtype=np.int32)
-            out.append(len(ids).to_bytes(4, "little") + _planes(np.concatenate([width, flat])))
+            widths = _planes(width)
+            out.append(len(widths).to_bytes(4, "little") + widths + _planes(flat))
         return pdf[["block", "owner"]].assign(answer=out)
 
     return run
 
 
-def _assemble(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    out_ids, out = [], []
-    for row in left.itertuples(index=False):
-        ids, no_id = np.frombuffer(row.ids, np.int64), np.frombuffer(row.no_id, bool)
-        sizes, at, places = np.frombuffer(row.sizes, np.int64), _unplanes(row.positions), _unplanes(row.places)
-        widths, flats = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-        for answer in right.sort_values("owner")["answer"]:
-            n, both = int.from_bytes(answer[:4], "little"), _unplanes(answer[4:])
-            widths.append(both[:n])
-            flats.append(both[n:])
-        width, flat = np.concatenate(widths).astype(np.int64), np.concatenate(flats).astype("<u4")
-        starts = np.cumsum(width) - width
-        at, doc_ends = places[at], np.cumsum(sizes)
-        for i, (end, size) in enumerate(zip(doc_ends.tolist(), sizes.tolist(), strict=True)):
-            got, _ = gather(flat, starts, width, at[end - size : end])
-            out_ids.append(None if no_id[i] else int(ids[i]))
-            out.append(got.tobytes())
-    return pd.DataFrame({"doc_id": pd.array(out_ids, "Int64"), "ids": out})
+def _assemble(table: list[bytes] | None):
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out_ids, out, decoded = [], [], []
+        for row in left.itertuples(index=False):
+            ids, no_id = np.frombuffer(row.ids, np.int64), np.frombuffer(row.no_id, bool)
+            sizes, at, owners = np.frombuffer(row.sizes, np.int64), _unplanes(row.positions), _unplanes(row.owners)
+            widths, flats = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+            for answer in right.sort_values("owner")["answer"]:
+                n = int.from_bytes(answer[:4], "little") + 4
+                widths.append(_unplanes(answer[4:n]))
+                flats.append(_unplanes(answer[n:]))
+            width, flat = np.concatenate(widths).astype(np.int64), np.concatenate(flats).astype("<u4")
+            starts = np.cumsum(width) - width
+            place = np.empty(len(owners), dtype=np.int64)
+            place[np.argsort(owners, kind="stable")] = np.arange(len(owners))
+            at, doc_ends = place[at], np.cumsum(sizes)
+            for i, (end, size) in enumerate(zip(doc_ends.tolist(), sizes.tolist(), strict=True)):
+                got, _ = gather(flat, starts, width, at[end - size : end])
+                out_ids.append(None if no_id[i] else int(ids[i]))
+                out.append(got.tobytes())
+                if table is not None:
+                    decoded.append(decode_with(table, out[-1]))
+        return pd.DataFrame({"doc_id": pd.array(out_ids, "Int64"), "ids": out} | ({} if table is None else {"decoded": decoded}))
+
+    return run
 
 
 #: Bytes of text for each word range at least (about a hundred thousand distinct words of the owner).
 RANGE_BYTES = 16 << 20
 
 
-def encode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = PATTERN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per input row: ``doc_id, ids`` (little-endian unsigned 32-bit)."""
+def encode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = PATTERN, block_bytes: int = BLOCK_BYTES, decoded: bool = False) -> DataFrame:
+    """One row per input row: ``doc_id, ids`` (little-endian unsigned 32-bit).
+
+    With ``decoded`` the ids are decoded again in the task that put them
+    together, as :func:`decode` would, and ``decoded`` (bytes) is added.
+    """
     spark = df.sparkSession
     small_batches(spark)
+    table = token_table(ranks_path) if decoded else None
     two = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = two.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     ranges = max(shuffle_width(spark), -(-size // RANGE_BYTES))
-    blocks, _ = durable(two.mapInArrow(_split(block_bytes, pattern, ranges), _BLOCKS), "pretokens")
+    blocks = durable_by(two.mapInArrow(_split(block_bytes, pattern, ranges), _BLOCKS), "block", ranges, "pretokens")
     dealt = blocks.select("block", F.explode("words").alias("w")).select("block", "w.owner", "w.sizes", "w.bytes")
     coded = dealt.groupBy("owner").applyInPandas(_encode_words(ranks_path, pattern), _CODED).select(F.col("block").alias("home"), "owner", "answer")
-    return blocks.drop("words").groupBy("block").cogroup(coded.groupBy("home")).applyInPandas(_assemble, _IDS)
+    return blocks.drop("words").groupBy("block").cogroup(coded.groupBy("home")).applyInPandas(_assemble(table), _IDS + ", decoded binary" * decoded)
 
 
 def token_table(ranks_path: str) -> list[bytes]:

@@ -46,7 +46,7 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = _tokenizer("byte_bpe_multi_50k.tiktoken")
-    out = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), ranks), ranks)
+    out = bpe.encode(_table(spark, sf_dir, "documents"), ranks, decoded=True)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -52,6 +52,20 @@ def durable(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def durable_by(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
+    """Like :func:`durable`, laid out by a hash of ``key``: grouping by it needs no shuffle of this table.
+
+    The layout is known through a catalogue entry that is dropped at once; the
+    returned frame keeps it, and the files stay until the driver's JVM ends.
+    """
+    spark = df.sparkSession
+    path, name = new_path(spark, label), f"lexiloom_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Keep Arrow batches of whole texts small, so that Python workers stay small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
