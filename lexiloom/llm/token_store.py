@@ -43,7 +43,7 @@ LEAST, USUAL, GREATEST, LOOK_BACK = 128, 512, 4096, 8
 #: Documents in a manifest.
 SEGMENT = 10_000
 #: Distinct pre-tokens that a worker keeps the ids of.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 400_000
 
 _ENCODED = "doc_id long, n_tokens long, chunks array<struct<digest:binary,n_ids:int,ids:binary>>"
 
@@ -82,10 +82,25 @@ def merkle(digests: list[bytes]) -> bytes:
     return level[0]
 
 
+class _Rows(dict):
+    """Word -> row; a new word gets the next row and is noted in ``new``."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        row = self[word] = len(self)
+        self.new.append(word)
+        return row
+
+
 class CachedEncoder:
-    """The tokenizers library, asked once for each distinct pre-token."""
+    """The tokenizers library, asked once for each distinct pre-token that is kept."""
 
     def __init__(self, path: str, pattern: str = PATTERN):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -94,19 +109,45 @@ class CachedEncoder:
         self._clear()
 
     def _clear(self):
-        self.rows: dict[str, int] = {}
+        self.rows = _Rows()
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.starts = np.zeros(1 << 14, dtype=np.int64)
         self.sizes = np.zeros(1 << 14, dtype=np.int64)
         self.used = 0
 
-    def _learn(self, words: list[str]) -> None:
-        coded = [e.ids for e in self.library.encode_batch(words, add_special_tokens=False)]
-        first, sizes = len(self.rows), np.fromiter(map(len, coded), np.int64, len(coded))
-        self.rows.update(zip(words, range(first, first + len(words)), strict=True))
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and each word's count.
+
+        Words of letters with a space in front part by themselves when they
+        stand in a row, so the library gets them as one text.
+        """
+        apart = np.fromiter((w[0] != " " or not w[1:].isalpha() for w in words), bool, len(words))
+        sizes = np.zeros(len(words), dtype=np.int64)
+        together, alone = np.flatnonzero(~apart), np.flatnonzero(apart)
+        flat = np.zeros(0, dtype=np.uint32)
+        if len(together):
+            whole = self.library.encode("".join(words[i] for i in together.tolist()), add_special_tokens=False)
+            counts = np.bincount(np.array(whole.word_ids, dtype=np.int64), minlength=len(together))
+            if len(counts) == len(together):
+                flat, sizes[together] = np.array(whole.ids, dtype=np.uint32), counts
+            else:
+                alone, together = np.arange(len(words)), together[:0]
+        coded = [e.ids for e in self.library.encode_batch([words[i] for i in alone.tolist()], add_special_tokens=False)]
+        sizes[alone] = np.fromiter(map(len, coded), np.int64, len(coded))
+        flat = np.concatenate([flat, np.array([i for ids in coded for i in ids], dtype=np.uint32)])
+        # back from (together, alone) to the order given
+        order = np.concatenate([together, alone])
+        ends = np.cumsum(sizes[order])
+        starts = np.empty(len(words), dtype=np.int64)
+        starts[order] = ends - sizes[order]
+        return gather(flat, starts, sizes, np.arange(len(words)))[0], sizes
+
+    def _learn(self) -> None:
+        words, self.rows.new = self.rows.new, []
+        flat, sizes = self.encode_words(words)
+        first = len(self.rows) - len(words)
         while len(self.rows) > len(self.starts):
             self.starts, self.sizes = np.concatenate([self.starts, self.starts * 0]), np.concatenate([self.sizes, self.sizes * 0])
-        flat = np.array([i for ids in coded for i in ids], dtype=np.uint32)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat * 0])
         self.flat[self.used : self.used + len(flat)] = flat
@@ -116,22 +157,33 @@ class CachedEncoder:
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
-        found = [self.split(t) if t else [] for t in texts]
-        fresh = list({w for words in found for w in words if w not in self.rows})
-        if len(self.rows) + len(fresh) > CACHE_WORDS and self.rows:
+        if len(self.rows) > CACHE_WORDS:
             self._clear()
-            fresh = list({w for words in found for w in words})
-        if fresh:
-            self._learn(fresh)
-        get = self.rows.__getitem__
-        return [gather(self.flat, self.starts, self.sizes, np.fromiter(map(get, words), np.int64, len(words)))[0] for words in found]
+        places = []
+        for t in texts:
+            words = self.split(t) if t else []
+            places.append(np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words)))
+        if self.rows.new:
+            self._learn()
+        return [gather(self.flat, self.starts, self.sizes, p)[0] for p in places]
+
+
+_encoders: dict[str, CachedEncoder] = {}
+
+
+def _encoder(path: str) -> CachedEncoder:
+    """A worker's encoder, kept from task to task."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = CachedEncoder(path)
+    return _encoders[path]
 
 
 def encode_chunks(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str, width: int) -> DataFrame:
     kind = {2: "<u2", 4: "<u4"}[width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = CachedEncoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         entry = pa.struct([("digest", pa.binary()), ("n_ids", pa.int32()), ("ids", pa.binary())])
         for batch in batches:
             counts, rows = [], []
@@ -159,7 +211,7 @@ def write_store(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
     from tokenizers import Tokenizer
 
     spark = df.sparkSession
-    small_batches(spark, 200)
+    small_batches(spark, 300)
     width = 2 if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     encoded, held = durable(encode_chunks(df, tokenizer_path, end_id, id_col, text_col, width), "encoded")
 
@@ -219,23 +271,22 @@ def checked_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Products of CRC-32 polynomials (bit-reversed), element by element."""
-    out, b = np.zeros(len(a), dtype=np.uint64), b.copy()
+    out, b = np.zeros(len(a), dtype=np.uint64), b.astype(np.uint64)
     for bit in range(31, -1, -1):
         out ^= np.where(a >> np.uint64(bit) & np.uint64(1), b, np.uint64(0))
-        b = np.where(b & np.uint64(1), (b >> np.uint64(1)) ^ np.uint64(0xEDB88320), b >> np.uint64(1))
+        b = (b >> np.uint64(1)) ^ np.where(b & np.uint64(1), np.uint64(0xEDB88320), np.uint64(0))
     return out
 
 
-def crc_join(left: np.ndarray, right: np.ndarray, right_bytes: np.ndarray) -> np.ndarray:
-    """CRC-32 of the concatenation, from those of both parts and the length of the right one."""
-    shift = np.full(len(left), 1 << 31, dtype=np.uint64)  # x^0
-    square = np.full(len(left), 1 << 23, dtype=np.uint64)  # x^8: one byte
-    n = right_bytes.astype(np.uint64)
+def crc_shift(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """What a part with this CRC-32 adds (by exclusive or) to that of a whole with ``after`` more bytes behind it."""
+    out, n, square = crc.astype(np.uint64), after.astype(np.uint64), np.array([1 << 23], dtype=np.uint64)  # x^8: one byte
     while n.any():
-        shift = np.where(n & np.uint64(1), _times(square, shift), shift)
+        rows = np.flatnonzero(n & np.uint64(1))
+        out[rows] = _times(out[rows], np.repeat(square, len(rows)))
         square = _times(square, square)
         n = n >> np.uint64(1)
-    return _times(shift, left.astype(np.uint64)) ^ right.astype(np.uint64)
+    return out
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -247,26 +298,20 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError("a manifest does not fit its recipes")
     facts = checked_chunks(spark, path)
     each = recipes.select("place", "doc_id", "start", "n_tokens", F.size("chunks").alias("of"), F.posexplode("chunks").alias("pos", "digest"))
-    met = each.join(facts, "digest", "left").groupBy("place", "doc_id", "start", "n_tokens", "of").agg(F.sort_array(F.collect_list(F.struct("pos", "n_ids", "crc"))).alias("c"))
+    behind = Window.partitionBy("place").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    met = each.join(facts, "digest", "left").withColumn("after", F.coalesce(F.sum("n_ids").over(behind), F.lit(0)) * 4)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            total = np.zeros(len(pdf), dtype=np.uint64)
-            length = np.zeros(len(pdf), dtype=np.int64)
-            rows = pdf["c"].map(lambda c: [(x["n_ids"], x["crc"]) for x in c]).tolist()
-            for k in range(max(map(len, rows), default=0)):
-                live = np.array([i for i, r in enumerate(rows) if len(r) > k])
-                if any(rows[i][k][0] is None for i in live):
-                    raise ValueError("a recipe names a chunk that is not there")
-                n = np.array([rows[i][k][0] for i in live], dtype=np.int64)
-                crc = np.array([rows[i][k][1] for i in live], dtype=np.uint64)
-                total[live] = crc_join(total[live], crc, 4 * n)
-                length[live] += n
-            if (length != pdf["n_tokens"].to_numpy()).any():
-                raise ValueError("a recipe does not have as many ids as it says")
-            yield pdf[["doc_id", "start", "n_tokens"]].assign(ids_crc32=total.astype(np.int64))
-
-    return met.select("doc_id", "start", "n_tokens", "c").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            if pdf["crc"].isna().any():
+                raise ValueError("a recipe names a chunk that is not there")
+            yield pdf.assign(crc=crc_shift(pdf["crc"].to_numpy().astype(np.uint64), pdf["after"].to_numpy()).astype(np.int64))[["place", "doc_id", "start", "n_tokens", "n_ids", "crc"]]
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")  # no texts from here on
+    parts = met.select("place", "doc_id", "start", "n_tokens", "n_ids", "crc", "after").mapInPandas(run, "place long, doc_id long, start long, n_tokens long, n_ids int, crc long")
+    whole = parts.groupBy("place", "doc_id", "start", "n_tokens").agg(F.expr("bit_xor(crc)").alias("ids_crc32"), F.sum("n_ids").alias("found"))
+    checked = F.when(F.col("found") == F.col("n_tokens"), F.col("ids_crc32")).otherwise(F.raise_error(F.lit("a recipe does not have as many ids as it says")))
+    return whole.select("doc_id", "start", "n_tokens", checked.alias("ids_crc32"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
