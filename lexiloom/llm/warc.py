@@ -227,14 +227,17 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     # records in several pieces: those with the magic in their body
     torn = owned.groupBy("file", "owner").count().where("count > 1").select("file", "owner")
     apart, _ = durable(owned.join(torn, ["file", "owner"]).select("file", "block", "ord", "at", "owner"), "apart")
-    found = _pieces(spark, path).mapInArrow(_placed_pieces, "file long, block long, ord long, piece binary")
+    def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _table([Piece(raw).record(with_payload) for raw in batch.column(2).to_pylist() if raw], _RECORD)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield _table([Piece(raw).record(with_payload) for raw in batch.column(0).to_pylist() if raw], _RECORD)
 
     if apart.isEmpty():
-        return found.select("piece").mapInArrow(records, _RECORD)
+        return _pieces(spark, path).mapInArrow(at_once, _RECORD)  # every piece is a record
+    found = _pieces(spark, path).mapInArrow(_placed_pieces, "file long, block long, ord long, piece binary")
     whole = found.join(apart.select("file", "block", "ord"), ["file", "block", "ord"], "left_anti").select("piece")
     pieces = found.join(apart, ["file", "block", "ord"]).groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("p"))
     glue = F.expr("aggregate(slice(p, 2, size(p)), p[0].piece, (a, x) -> concat(a, magic, x.piece))")
