@@ -1,6 +1,6 @@
 """Documents packed into compressed blocks, the unit of work of the substring operators.
 
-A block holds a few MB of consecutive documents of one input partition: their
+A block holds about two MB of consecutive documents of one input partition: their
 ids, lengths and texts (zstd).  A document is never cut.  Blocks are written
 once to the shared folder, so every later pass sees the same blocks under the
 same numbers, whatever executors are lost in between.
@@ -23,7 +23,7 @@ from .storage import durable, small_batches
 SCHEMA = "block long, docs int, raw_bytes long, ids binary, sizes binary, data binary"
 
 #: Bytes of text after which a block is closed.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def squeeze(data) -> bytes:

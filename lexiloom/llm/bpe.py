@@ -34,7 +34,7 @@ from .pretokens import PATTERN, gather, read_ranks, splitter
 from .storage import durable_by, shuffle_width, small_batches
 
 #: Bytes of text after which a block is closed.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: Largest token table that is sent to every worker.
 MAX_TOKENS = 2_000_000
 
@@ -157,7 +157,7 @@ def _assemble(table: list[bytes] | None):
 
 
 #: Bytes of text for each word range at least (about a hundred thousand distinct words of the owner).
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 
 
 def encode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = PATTERN, block_bytes: int = BLOCK_BYTES, decoded: bool = False) -> DataFrame:

@@ -20,7 +20,7 @@ from .blocks import expand, squeeze
 from .storage import shuffle_width
 
 #: Entries that the owner of a range holds at once.
-RANGE_ENTRIES = 2_000_000
+RANGE_ENTRIES = 1_000_000
 BLOB = "owner long, block long, n int, keys binary, more binary"
 ANSWER = "block long, owner long, answer binary"
 

@@ -41,7 +41,7 @@ ROUNDS = 2
 MAX_WORD = 40
 #: Words segmented together.
 BATCH = 4000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 #: Probability of a character that the vocabulary lacks, and the smoothing mass of each piece.
 FLOOR, ALPHA = 1e-7, 0.05
 

@@ -14,7 +14,7 @@ import xxhash
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 #: Words longer than this are hashed one by one with XXH3 (polynomials modulo 2^64 are weak on long structured strings).
 _LONG = 256
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
