@@ -208,7 +208,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         rows: dict[str, int] = {}
-        table = np.zeros((1024, max(1, len(own.langs))))
+        table = np.zeros((1024, len(own.langs)))
         for batch in batches:
             preds, scores = [], []
             found = [words_of(text) if own.langs else [] for text in batch.column(at).to_pylist()]
