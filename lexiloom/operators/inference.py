@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import IntegerType, StructType
 
 #: A loader gives a function from prompts to (response, tokens, stopped).
 Loader = Callable[[], Callable[[list[str]], list[tuple[str, int, bool]]]]
@@ -13,7 +14,7 @@ Loader = Callable[[], Callable[[list[str]], list[tuple[str, int, bool]]]]
 
 def generate(df: DataFrame, prompt: str, loader: Loader, model: str, batch: int = 16) -> DataFrame:
     """``df`` with ``response, tokens, stopped, model_path``."""
-    schema = df.schema.add("response", "string").add("tokens", "int").add("stopped", "boolean").add("model_path", "string")
+    schema = StructType([*df.schema.fields, *StructType().add("response", "string").add("tokens", IntegerType()).add("stopped", "boolean").add("model_path", "string").fields])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         answer = loader()
