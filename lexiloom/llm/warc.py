@@ -189,26 +189,27 @@ def verify_chain(facts: DataFrame) -> DataFrame:
     lies in (null: the last one of the file's earlier splits).
     """
     jump = len(MAGIC)
+    # these tables pack far smaller on disk than in memory, so no join is left to a guess of their size
     # offsets: sums within a split, then over the splits of a file (a row each)
     inside = Window.partitionBy("file", "block").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     splits = facts.groupBy("file", "block").agg(F.sum(F.col("len") + jump).alias("bytes"))
     bases = splits.select("file", "block", F.coalesce(F.sum("bytes").over(ahead), F.lit(0)).alias("base"))
     at = F.col("base") + F.coalesce(F.sum(F.col("len") + jump).over(inside), F.lit(0)) - jump
-    placed = facts.join(bases, ["file", "block"]).withColumn("at", at).withColumn("next", F.col("at") + jump + F.col("need"))
+    placed = facts.join(bases.hint("merge"), ["file", "block"]).withColumn("at", at).withColumn("next", F.col("at") + jump + F.col("need"))
     # what stands before a file's first magic (nothing) is no candidate
     placed, _ = durable(placed.where("at >= 0").select("file", "block", "ord", "at", "next"), "candidates")
 
     pointers, _ = durable(placed.groupBy("file", "block").applyInPandas(_shorten, "file long, at long, exit long").where("exit >= 0"), "pointers")
     reach = placed.where("at = 0").select("file", F.col("at").alias("enter"))
     while True:  # after k rounds: all entries within 2^k splits of the file's start
-        gained = reach.withColumnRenamed("enter", "at").join(pointers, ["file", "at"]).select("file", F.col("exit").alias("enter"))
+        gained = reach.withColumnRenamed("enter", "at").join(pointers.hint("merge"), ["file", "at"]).select("file", F.col("exit").alias("enter"))
         reach, _ = durable(reach.union(gained).distinct(), "reach")
-        further = pointers.withColumnRenamed("exit", "via").join(pointers.select("file", F.col("at").alias("via"), "exit"), ["file", "via"]).select("file", "at", "exit")
+        further = pointers.withColumnRenamed("exit", "via").join(pointers.select("file", F.col("at").alias("via"), "exit").hint("merge"), ["file", "via"]).select("file", "at", "exit")
         pointers, _ = durable(further, "pointers")
         if pointers.isEmpty():
             break
-    entered = placed.join(reach.select("file", F.col("enter").alias("at"), "enter"), ["file", "at"], "left")
+    entered = placed.join(reach.select("file", F.col("enter").alias("at"), "enter").hint("merge"), ["file", "at"], "left")
     return entered.groupBy("file", "block").applyInPandas(_mark, "file long, block long, ord long, at long, real boolean, owner long")
 
 
@@ -222,11 +223,11 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     chain, _ = durable(verify_chain(facts), "chain")
     last = chain.where("real").groupBy("file", "block").agg(F.max("at").alias("last"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = chain.select("file", "block").distinct().join(last, ["file", "block"], "left").select("file", "block", F.max("last").over(before).alias("carried"))
-    owned = chain.join(carried, ["file", "block"]).select("file", "block", "ord", "at", F.coalesce("owner", "carried").alias("owner"))
+    carried = chain.select("file", "block").distinct().join(last.hint("merge"), ["file", "block"], "left").select("file", "block", F.max("last").over(before).alias("carried"))
+    owned = chain.join(carried.hint("merge"), ["file", "block"]).select("file", "block", "ord", "at", F.coalesce("owner", "carried").alias("owner"))
     # records in several pieces: those with the magic in their body
     torn = owned.groupBy("file", "owner").count().where("count > 1").select("file", "owner")
-    apart, _ = durable(owned.join(torn, ["file", "owner"]).select("file", "block", "ord", "at", "owner"), "apart")
+    apart, _ = durable(owned.join(torn.hint("merge"), ["file", "owner"]).select("file", "block", "ord", "at", "owner"), "apart")
     def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield _table([Piece(raw).record(with_payload) for raw in batch.column(2).to_pylist() if raw], _RECORD)
