@@ -78,10 +78,9 @@ def test_commands(spark, tmp_path):
     assert run("doctor")["time_zone"] == "UTC"
     done = run("prepare", "--input", tmp_path / "raw", "--output", tmp_path / "clean")
     assert done["kept"] >= 1
+    jsonl.write(rows.withColumn("source_id", F.col("id")), str(tmp_path / "numbered"))
     with pytest.raises(ValueError, match="sum"):
-        run("mix", "--input", tmp_path / "raw", "--output", tmp_path / "mixed", "--fractions", "general_en=0.5", "--total-tokens", 50)
-    numbered = spark.read.json(str(tmp_path / "raw")).withColumn("source_id", F.col("id"))
-    jsonl.write(numbered, str(tmp_path / "numbered"))
+        run("mix", "--input", tmp_path / "numbered", "--output", tmp_path / "mixed", "--fractions", "general_en=0.5", "--total-tokens", 50)
     mixed = run("mix", "--input", tmp_path / "numbered", "--output", tmp_path / "mixed", "--fractions", "general_en=1.0", "--total-tokens", 50)
     assert mixed["achieved"][0]["tokens"] == 50
     assert run("train", "cpt", "--input", tmp_path / "clean", "--output", tmp_path / "cpt")["rows"] >= 1
