@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import small_batches
+from .wordhash import mix
 
 DOCS_PER_LANG = 600
 ROUNDS = 2
@@ -64,34 +65,69 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Lattice:
-    """The segmentations of many words at once."""
+    """The segmentations of many words at once.
+
+    Pieces are looked up by rolling hashes of all substrings, one vector
+    operation for each (start, length); the table is open-addressed and keeps
+    the full 64-bit hashes.
+    """
+
+    BITS = 20
+    BASE = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, pieces: list[str]):
-        # every prefix of a piece, so that a walk stops where no piece goes on: -1 is a prefix that is no piece
-        self.index = {p[:n]: -1 for p in pieces for n in range(1, len(p))}
-        self.index.update({p: i for i, p in enumerate(pieces)})
+        self.longest = max(map(len, pieces), default=1)
+        self.keys = np.zeros(1 << self.BITS, dtype=np.uint64)
+        self.values = np.full(1 << self.BITS, -1, dtype=np.int64)
+        self.probes = 1
+        for i, piece in enumerate(pieces):
+            h = np.zeros(1, dtype=np.uint64)
+            for c in piece:
+                h = h * self.BASE + np.uint64(ord(c) + 1)
+            key = mix(h)[0]
+            at, steps = int(key >> np.uint64(64 - self.BITS)), 1
+            while self.values[at] >= 0:
+                at, steps = (at + 1) % len(self.keys), steps + 1
+            self.keys[at], self.values[at] = key, i
+            self.probes = max(self.probes, steps)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Piece numbers, or -1."""
+        keys = mix(hashes)
+        at = (keys >> np.uint64(64 - self.BITS)).astype(np.int64)
+        out = np.where(self.keys[at] == keys, self.values[at], -1)
+        for step in range(1, self.probes):
+            left = np.flatnonzero((out < 0) & (self.values[(at + step - 1) % len(self.keys)] >= 0))
+            if not len(left):
+                break
+            spot = (at[left] + step) % len(self.keys)
+            out[left] = np.where(self.keys[spot] == keys[left], self.values[spot], -1)
+        return out
 
     def edges(self, parts: list[str]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(start, end, rows, pieces) in order of start, then end; piece -1 is a character of no piece."""
-        get = self.index.get
-        found: dict[tuple[int, int], tuple[list, list]] = {}
-        for row, part in enumerate(parts):
-            n = len(part)
-            for i in range(n):
-                for j in range(i + 1, n + 1):
-                    piece = get(part[i:j])
-                    if piece is None:
-                        if j > i + 1:
-                            break
-                        piece = -1
-                    elif piece < 0 and j > i + 1:
-                        continue
-                    spot = found.get((i, j))
-                    if spot is None:
-                        spot = found[i, j] = ([], [])
-                    spot[0].append(row)
-                    spot[1].append(piece)
-        return [(i, j, np.array(found[i, j][0]), np.array(found[i, j][1])) for i, j in sorted(found)]
+        """(start, end, rows, pieces) in order of start, then end; piece -1 is a character of no piece.
+
+        ``parts`` are in ascending order of length.
+        """
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        width = int(size[-1]) if len(parts) else 0
+        codes = np.zeros((width, len(parts)), dtype=np.uint64)
+        flat = np.frombuffer("".join(parts).encode("utf-32-le"), dtype=np.uint32)
+        row = np.repeat(np.arange(len(parts)), size)
+        codes[np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size), row] = flat + np.uint32(1)
+        out = []
+        for i in range(width):
+            first = int(np.searchsorted(size, i, side="right"))
+            h = np.zeros(len(parts) - first, dtype=np.uint64)
+            for j in range(i + 1, min(width, i + self.longest) + 1):
+                skip = int(np.searchsorted(size, j)) - first  # these rows end before j
+                h, first = h[skip:], first + skip
+                h = h * self.BASE + codes[j - 1, first:]
+                pieces = self._find(h)
+                rows = np.arange(len(pieces)) if j == i + 1 else np.flatnonzero(pieces >= 0)
+                if len(rows):
+                    out.append((i, j, rows + first, pieces[rows]))
+        return out
 
 
 def _parts(word: str) -> list[str]:
@@ -99,6 +135,13 @@ def _parts(word: str) -> list[str]:
     return [marked[i : i + MAX_WORD] for i in range(0, len(marked), MAX_WORD)]
 
 
+def _batches(words: list[str]) -> Iterator[list[tuple[int, str]]]:
+    """(word number, part) in ascending order of length, a batch at a time."""
+    parts = sorted(((k, p) for k, w in enumerate(words) for p in _parts(w)), key=lambda x: len(x[1]))
+    for at in range(0, len(parts), BATCH):
+        yield parts[at : at + BATCH]
+
+
 @dataclass
 class Model:
     """``langs`` in order and ``probs[piece, lang]``."""
@@ -123,16 +166,14 @@ class Model:
     def log_probs(self, words: list[str]) -> np.ndarray:
         """log P(word | language) of each word, summed over all segmentations."""
         out = np.zeros((len(words), len(self.langs)))
-        for at in range(0, len(words), BATCH):
-            parts = [(k, p) for k, w in enumerate(words[at : at + BATCH], at) for p in _parts(w)]
+        for parts in _batches(words):
             total = self._forward([p for _, p in parts])[2]
             np.add.at(out, [k for k, _ in parts], np.log(total))
         return out
 
     def expect(self, words: list[str], weights: np.ndarray, into: np.ndarray) -> None:
         """Add the expected piece counts of words; ``weights[word, lang]``."""
-        for at in range(0, len(words), BATCH):
-            parts = [(k, p) for k, w in enumerate(words[at : at + BATCH], at) for p in _parts(w)]
+        for parts in _batches(words):
             edges, alpha, total = self._forward([p for _, p in parts])
             share = weights[[k for k, _ in parts]] / total
             beta = np.zeros_like(alpha)
