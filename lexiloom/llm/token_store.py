@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql import types as T
 
-from .pretokens import PATTERN, gather, splitter
+from .pretokens import WordTable, code_points, gather, span_hashes, split_points
 from .storage import drop_path, durable, new_path, shuffle_width, small_batches
 
 #: Least, usual and greatest ids in a chunk; ids that the rolling hash looks back on.
@@ -43,7 +43,9 @@ LEAST, USUAL, GREATEST, LOOK_BACK = 128, 512, 4096, 8
 #: Documents in a manifest.
 SEGMENT = 10_000
 #: Distinct pre-tokens that a worker keeps the ids of.
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_BITS = 1_200_000, 21
+#: Words that the library gets as one text.
+ROW = 500
 
 _ENCODED = "doc_id long, n_tokens long, chunks array<struct<digest:binary,n_ids:int,ids:binary>>"
 
@@ -82,22 +84,10 @@ def merkle(digests: list[bytes]) -> bytes:
     return level[0]
 
 
-class _Rows(dict):
-    """Word -> row; a new word gets the next row and is noted in ``new``."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        row = self[word] = len(self)
-        self.new.append(word)
-        return row
-
-
 class CachedEncoder:
     """The tokenizers library, asked once for each distinct pre-token that is kept."""
 
-    def __init__(self, path: str, pattern: str = PATTERN):
+    def __init__(self, path: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
@@ -105,11 +95,14 @@ class CachedEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.split = splitter(pattern)
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        #: bytes of each token: a byte-level token has a character for each byte
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        self.bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self._clear()
 
     def _clear(self):
-        self.rows = _Rows()
+        self.table = WordTable(CACHE_BITS)
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.starts = np.zeros(1 << 14, dtype=np.int64)
         self.sizes = np.zeros(1 << 14, dtype=np.int64)
@@ -119,20 +112,24 @@ class CachedEncoder:
         """Ids of all words in a row, and each word's count.
 
         Words of letters with a space in front part by themselves when they
-        stand in a row, so the library gets them as one text.
+        stand in a row, so the library gets them as a few texts; where one
+        ends is told by the bytes of its tokens.
         """
         apart = np.fromiter((w[0] != " " or not w[1:].isalpha() for w in words), bool, len(words))
         sizes = np.zeros(len(words), dtype=np.int64)
         together, alone = np.flatnonzero(~apart), np.flatnonzero(apart)
-        flat = np.zeros(0, dtype=np.uint32)
+        own = [words[i] for i in together.tolist()]
+        rows = ["".join(own[at : at + ROW]) for at in range(0, len(own), ROW)]
+        flat = np.array([i for e in self.library.encode_batch_fast(rows, add_special_tokens=False) for i in e.ids], dtype=np.uint32)
         if len(together):
-            whole = self.library.encode("".join(words[i] for i in together.tolist()), add_special_tokens=False)
-            counts = np.bincount(np.array(whole.word_ids, dtype=np.int64), minlength=len(together))
-            if len(counts) == len(together):
-                flat, sizes[together] = np.array(whole.ids, dtype=np.uint32), counts
-            else:
-                alone, together = np.arange(len(words)), together[:0]
-        coded = [e.ids for e in self.library.encode_batch([words[i] for i in alone.tolist()], add_special_tokens=False)]
+            ends = np.cumsum(np.fromiter((len(w.encode()) for w in own), np.int64, len(own)))
+            reached = np.cumsum(self.bytes[flat])
+            last = np.minimum(np.searchsorted(reached, ends), len(reached) - 1)
+            if (reached[last] == ends).all() and last[-1] == len(reached) - 1:
+                sizes[together] = np.diff(last, prepend=-1)
+            else:  # a token across words: never for such vocabularies
+                alone, together, flat = np.arange(len(words)), together[:0], flat[:0]
+        coded = [e.ids for e in self.library.encode_batch_fast([words[i] for i in alone.tolist()], add_special_tokens=False)]
         sizes[alone] = np.fromiter(map(len, coded), np.int64, len(coded))
         flat = np.concatenate([flat, np.array([i for ids in coded for i in ids], dtype=np.uint32)])
         # back from (together, alone) to the order given
@@ -142,30 +139,42 @@ class CachedEncoder:
         starts[order] = ends - sizes[order]
         return gather(flat, starts, sizes, np.arange(len(words)))[0], sizes
 
-    def _learn(self) -> None:
-        words, self.rows.new = self.rows.new, []
+    def _learn(self, words: list[str]) -> None:
+        """Ids of the words that the table got last."""
         flat, sizes = self.encode_words(words)
-        first = len(self.rows) - len(words)
-        while len(self.rows) > len(self.starts):
+        first = self.table.count - len(words)
+        while self.table.count > len(self.starts):
             self.starts, self.sizes = np.concatenate([self.starts, self.starts * 0]), np.concatenate([self.sizes, self.sizes * 0])
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat * 0])
         self.flat[self.used : self.used + len(flat)] = flat
         ends = self.used + np.cumsum(sizes)
-        self.starts[first : len(self.rows)], self.sizes[first : len(self.rows)] = ends - sizes, sizes
+        self.starts[first : self.table.count], self.sizes[first : self.table.count] = ends - sizes, sizes
         self.used += len(flat)
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
-        if len(self.rows) > CACHE_WORDS:
+        codes, bases = code_points(texts)
+        begins, ends = split_points(codes)
+        a, b = span_hashes(codes, begins, ends)
+        rows = self.table.find(a, b)
+        if (rows < 0).any() and self.table.count > CACHE_WORDS:
             self._clear()
-        places = []
-        for t in texts:
-            words = self.split(t) if t else []
-            places.append(np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words)))
-        if self.rows.new:
-            self._learn()
-        return [gather(self.flat, self.starts, self.sizes, p)[0] for p in places]
+            rows[:] = -1
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            order = new[np.lexsort((b[new], a[new]))]
+            fresh = np.append(True, (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]]))
+            heads = order[fresh]
+            text = np.searchsorted(bases, begins[heads], side="right") - 1
+            words = [texts[t][i:j] for t, i, j in zip(text.tolist(), (begins[heads] - bases[text]).tolist(), (ends[heads] - bases[text]).tolist(), strict=True)]
+            own = self.table.add(a[heads], b[heads])
+            rows[order] = own[np.cumsum(fresh) - 1]
+            self._learn(words)
+        ids, sizes = gather(self.flat, self.starts, self.sizes, rows)
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        cuts = upto[np.searchsorted(begins, np.append(bases, len(codes)))]
+        return [ids[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 _encoders: dict[str, CachedEncoder] = {}

@@ -43,6 +43,33 @@ def test_pretokens_match_both_libraries(tiktoken_encoding, library, text):
     assert token_store_encoder().encode_batch([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+PIECES = st.sampled_from(["'", "'s", "'re", "'ll", "'ve", "l", "S", " ", "  ", "\n", "\t", "\u00a0", "\x1c", "\x85", "a", "é", "1", "²", "½", "٣", "!", "_", "日", "😀", "\u0301", "\u200d", "x'd", "\ufeff"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(PIECES, max_size=14).map("".join), max_size=4))
+def test_split_points_match_the_pattern(texts):
+    codes, bases = pretokens.code_points(texts)
+    begins, ends = pretokens.split_points(codes)
+    got = [[] for _ in texts]
+    for i, j in zip(begins.tolist(), ends.tolist(), strict=True):
+        t = int(np.searchsorted(bases, i, side="right")) - 1
+        got[t].append(texts[t][i - bases[t] : j - bases[t]])
+    assert got == [pretokens.splitter()(t) for t in texts]
+
+
+def test_word_table():
+    r = np.random.default_rng(1)
+    table = pretokens.WordTable(bits=8)
+    a = r.integers(0, 1 << 60, 150).astype(np.uint64) & np.uint64((1 << 57) - 1)  # crowded slots
+    b = r.integers(0, 1 << 60, 150).astype(np.uint64)
+    a[1] = a[0]  # told apart by the second hash
+    assert (table.find(a, b) == -1).all()
+    rows = np.concatenate([table.add(a[:70], b[:70]), table.add(a[70:], b[70:])])
+    assert (table.find(a, b) == rows).all() and (np.sort(rows) == np.arange(150)).all()
+    assert table.find(a, b + np.uint64(1)).max() == -1
+
+
 def token_store_encoder():
     return token_store._encoder(JSON)
 
