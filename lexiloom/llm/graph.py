@@ -47,7 +47,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark == before or mark[0] == 0:
             return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(state.select("v", "v").distinct())
         before = mark
-        step, new = durable(_small_star(_large_star(state)), "edges")
+        step, new = durable(_small_star(_large_star(state)), "edges", 2 * mark[0])
         drop_path(state.sparkSession, path)
         state, path = step, new
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

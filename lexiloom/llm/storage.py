@@ -44,10 +44,20 @@ def drop_path(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
-def durable(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write ``df`` once and return the frame that reads it, with its path."""
+#: Narrow rows that one task writes where their number is known.
+ROWS_A_TASK = 250_000
+
+
+def durable(df: DataFrame, label: str, rows: int | None = None) -> tuple[DataFrame, str]:
+    """Write ``df`` once and return the frame that reads it, with its path.
+
+    ``rows`` bounds the number of (narrow) rows: a small table is then written
+    by a few tasks, not one for each shuffle partition.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

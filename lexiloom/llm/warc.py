@@ -181,12 +181,13 @@ def _mark(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["file", "block", "ord", "at"]].assign(real=real, owner=pd.array(owner, "Int64"))
 
 
-def verify_chain(facts: DataFrame) -> DataFrame:
+def verify_chain(facts: DataFrame, rows: int) -> DataFrame:
     """``file, block, ord, len, need`` of all pieces -> ``file, block, ord, at, real, owner``.
 
     ``at`` is the offset of the piece's magic, ``real`` whether the chain of
     records from the file's start reaches it, ``owner`` the record that it
-    lies in (null: the last one of the file's earlier splits).
+    lies in (null: the last one of the file's earlier splits).  ``rows`` is
+    the number of pieces.
     """
     jump = len(MAGIC)
     # these tables pack far smaller on disk than in memory, so no join is left to a guess of their size
@@ -198,15 +199,15 @@ def verify_chain(facts: DataFrame) -> DataFrame:
     at = F.col("base") + F.coalesce(F.sum(F.col("len") + jump).over(inside), F.lit(0)) - jump
     placed = facts.join(bases.hint("merge"), ["file", "block"]).withColumn("at", at).withColumn("next", F.col("at") + jump + F.col("need"))
     # what stands before a file's first magic (nothing) is no candidate
-    placed, _ = durable(placed.where("at >= 0").select("file", "block", "ord", "at", "next"), "candidates")
+    placed, _ = durable(placed.where("at >= 0").select("file", "block", "ord", "at", "next"), "candidates", rows)
 
-    pointers, _ = durable(placed.groupBy("file", "block").applyInPandas(_shorten, "file long, at long, exit long").where("exit >= 0"), "pointers")
+    pointers, _ = durable(placed.groupBy("file", "block").applyInPandas(_shorten, "file long, at long, exit long").where("exit >= 0"), "pointers", rows)
     reach = placed.where("at = 0").select("file", F.col("at").alias("enter"))
     while True:  # after k rounds: all entries within 2^k splits of the file's start
         gained = reach.withColumnRenamed("enter", "at").join(pointers.hint("merge"), ["file", "at"]).select("file", F.col("exit").alias("enter"))
-        reach, _ = durable(reach.union(gained).distinct(), "reach")
+        reach, _ = durable(reach.union(gained).distinct(), "reach", rows)
         further = pointers.withColumnRenamed("exit", "via").join(pointers.select("file", F.col("at").alias("via"), "exit").hint("merge"), ["file", "via"]).select("file", "at", "exit")
-        pointers, _ = durable(further, "pointers")
+        pointers, _ = durable(further, "pointers", rows)
         if pointers.isEmpty():
             break
     entered = placed.join(reach.select("file", F.col("enter").alias("at"), "enter").hint("merge"), ["file", "at"], "left")
@@ -220,14 +221,15 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     headers.  Raises if a response's payload does not fit its digest.
     """
     facts, _ = durable(_pieces(spark, path).mapInArrow(_facts, _FACTS), "pieces")
-    chain, _ = durable(verify_chain(facts), "chain")
+    rows = facts.count()
+    chain, _ = durable(verify_chain(facts, rows), "chain", rows)
     last = chain.where("real").groupBy("file", "block").agg(F.max("at").alias("last"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = chain.select("file", "block").distinct().join(last.hint("merge"), ["file", "block"], "left").select("file", "block", F.max("last").over(before).alias("carried"))
     owned = chain.join(carried.hint("merge"), ["file", "block"]).select("file", "block", "ord", "at", F.coalesce("owner", "carried").alias("owner"))
     # records in several pieces: those with the magic in their body
     torn = owned.groupBy("file", "owner").count().where("count > 1").select("file", "owner")
-    apart, _ = durable(owned.join(torn.hint("merge"), ["file", "owner"]).select("file", "block", "ord", "at", "owner"), "apart")
+    apart, _ = durable(owned.join(torn.hint("merge"), ["file", "owner"]).select("file", "block", "ord", "at", "owner"), "apart", rows)
     def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield _table([Piece(raw).record(with_payload) for raw in batch.column(2).to_pylist() if raw], _RECORD)
