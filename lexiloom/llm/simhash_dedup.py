@@ -123,20 +123,96 @@ def chain_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
     """One row per input row: ``doc_id, fp, component_id`` (smallest id reachable over links)."""
     prints, _ = durable(fingerprints(df, id_col, text_col, shingle), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    links = chain_links(classes.select("fp"), radius).distinct()
-    named = components(links.toDF("u", "v"))
+    return prints.join(_grouped(prints, "fp", radius), "fp")
+
+
+def word_fingerprint(text: str | bytes | None) -> int:
+    """64-bit SimHash of a text's distinct words (lower-cased as in :func:`fingerprint`): edits of a few words move it little."""
+    raw = text.encode() if isinstance(text, str) else text
+    words = set(raw.lower().split()) if raw else ()
+    if not words:
+        return 0
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(w, SEED) for w in words], dtype=">u8")
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+
+
+def shingle_similarity(a: str | bytes | None, b: str | bytes | None, size: int = 5) -> float:
+    """Jaccard similarity of the sets of ``size``-word shingles (all words where there are fewer); 1 for two texts without words."""
+    return _jaccard(_shingles(a, size), _shingles(b, size))
+
+
+def _shingles(text: str | bytes | None, size: int) -> frozenset:
+    raw = text.encode() if isinstance(text, str) else text
+    words = raw.lower().split() if raw else []
+    if not words:
+        return frozenset()
+    return frozenset(xxhash.xxh3_128_digest(b" ".join(words[i : i + size])) for i in range(max(1, len(words) - size + 1)))
+
+
+def _jaccard(a: frozenset, b: frozenset) -> float:
+    both = len(a & b)
+    return 1.0 if not a and not b else both / (len(a) + len(b) - both)
+
+
+def _grouped(prints: DataFrame, fp: str, radius: int) -> DataFrame:
+    """``fp, component_id`` of the fingerprints of ``prints`` (``doc_id`` and the column ``fp``)."""
+    classes = prints.groupBy(F.col(fp).alias("fp")).agg(F.min("doc_id").alias("first"))
+    named = components(chain_links(classes.select("fp"), radius).distinct().toDF("u", "v"))
     # components() names a component by a fingerprint; its smallest document id names it for the caller
     own = classes.join(named.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = own.groupBy("component").agg(F.min("first").alias("component_id"))
-    found = own.join(least, "component").select("fp", "component_id")
-    return prints.join(found, "fp")
+    return own.join(least, "component").select("fp", "component_id")
+
 
+def distinct_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, similar: float = 0.8, similar_shingle: int = 5) -> DataFrame:
+    """The rows of ``df`` that stay: one document of each group of near duplicates.
 
-def distinct_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``df`` that stay: of each group of near duplicates the one with the smallest id.
+    First, of each component of :func:`near_duplicates` the smallest id stays.
+    Among the rest, groups are formed the same way over fingerprints of the
+    distinct words, which come closer for lightly edited texts; there a
+    document goes only if its similarity to the group's smallest id, by
+    ``similar_shingle``-word shingles, is at least ``similar``.
 
     Rows that share the smallest id stay together; rows with a null id stay.
     """
-    gone = near_duplicates(df, id_col, text_col, shingle, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
+    spark = df.sparkSession
+    small_batches(spark)
+    text = F.col(f"`{text_col}`").cast("string")
+    two = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.large_binary()).to_pylist()
+            fps, words = ([f(x) for x in texts] for f in (lambda x: fingerprint(x, shingle), word_fingerprint))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (fps, words))], names=["doc_id", "fp", "word_fp"])
+
+    prints, _ = durable(two.mapInArrow(both, "doc_id long, fp long, word_fp long").where("doc_id is not null"), "fingerprints")
+    first = prints.join(_grouped(prints, "fp", radius), "fp")
+    placed, _ = durable(first.select("doc_id", "word_fp", (F.col("doc_id") != F.col("component_id")).alias("gone")), "placed")
+    left = placed.where("not gone").select("doc_id", "word_fp")
+    met = left.join(_grouped(left, "word_fp", radius).withColumnRenamed("fp", "word_fp"), "word_fp").select("doc_id", F.col("component_id").alias("centre"))
+    alone = met.groupBy("centre").agg(F.max("doc_id").alias("last")).where("last > centre").select("centre")
+    wanted, _ = durable(met.join(alone, "centre").select("doc_id", "centre").distinct(), "wanted")
+    # texts of the few documents in groups; each is compared with its centre alone
+    texts = two.join(wanted, "doc_id")
+    centres = texts.where("doc_id = centre").groupBy("centre").agg(F.min("text").alias("centre_text"))
+    checked = texts.where("doc_id <> centre").join(centres, "centre")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, frozenset()
+        for batch in batches:
+            ids = []
+            for i, mine, other in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if other != last:
+                    last, own = other, _shingles(other, similar_shingle)
+                if _jaccard(_shingles(mine, similar_shingle), own) >= similar:
+                    ids.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], names=["doc_id"])
+
+    like = checked.select("doc_id", "text", "centre_text").mapInArrow(compare, "doc_id long")
+    gone, _ = durable(placed.where("gone").select("doc_id").union(like).distinct().select(F.col("doc_id").alias("__id")), "gone")
     return df.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left_anti")

@@ -204,7 +204,43 @@ def test_near_duplicates_and_filter(spark):
     assert got == want
     kept = simhash_dedup.distinct_documents(df)
     assert kept.columns == df.columns
-    assert {r["doc_id"] for r in kept.collect()} == {i for i, _, c in want if i is None or i == c}
+    assert {r["doc_id"] for r in kept.collect()} == expected_kept(docs, want)
+
+
+def expected_kept(docs, want):
+    """Brute force of the filter: components, then verified groups by distinct words."""
+    texts = defaultdict(list)
+    for i, t in docs:
+        texts[i].append(t)
+    left = sorted({i for i, _, c in want if i is not None and i == c})
+    fps = {i: {simhash_dedup.word_fingerprint(t) for t in texts[i]} for i in left}
+    label = {i: i for i in left}
+    for _ in left:
+        for a in left:
+            for b in left:
+                if any(bin(x ^ y).count("1") <= 2 for x in fps[a] for y in fps[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    gone = {i for i in left if label[i] != i and any(simhash_dedup.shingle_similarity(t, min(x or "" for x in texts[label[i]])) >= 0.8 for t in texts[i])}
+    return (set(left) - gone) | ({None} & set(texts))
+
+
+def test_filter_takes_light_edits_and_leaves_others(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 7)))
+    docs, edited = [], []
+    for k in range(20):
+        base = [word() for _ in range(400)]
+        docs.append((k, " ".join(base)))
+        for e in range(3):
+            copy = list(base)
+            for _ in range(e + 1):
+                copy[r.randrange(400)] = word()
+            edited.append((100 + 10 * k + e, " ".join(copy)))
+    kept = {x["doc_id"] for x in simhash_dedup.distinct_documents(frame(spark, docs + edited)).collect()}
+    assert kept >= {i for i, _ in docs}
+    assert len(kept) <= 20 + 0.2 * len(edited)
+    assert simhash_dedup.shingle_similarity("a b c d e f", "a b c d e g") == pytest.approx(1 / 3)
+    assert simhash_dedup.shingle_similarity(None, " ") == 1.0 and simhash_dedup.shingle_similarity("a", None) == 0.0
 
 
 @settings(max_examples=10, deadline=None)
