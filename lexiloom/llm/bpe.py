@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import expand, squeeze
-from .pretokens import PATTERN, gather, read_ranks, splitter
+from .pretokens import PATTERN, code_points, gather, read_ranks, span_hashes, split_points
 from .storage import durable_by, shuffle_width, small_batches
 
-#: Bytes of text after which a block is closed.
+#: Characters of text after which a block is closed.
 BLOCK_BYTES = 4 << 20
 #: Largest token table that is sent to every worker.
 MAX_TOKENS = 2_000_000
@@ -53,64 +53,67 @@ def _unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).reshape(-1).view(np.int32) if len(raw) else np.zeros(0, np.int32)
 
 
-def _split(block_bytes: int, pattern: str, ranges: int):
+def _words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Pre-tokens of each text (a count), all of them as numbers, and the words by number: frequent ones first, as small numbers pack well."""
+    codes, bases = code_points(texts)
+    begins, ends = split_points(codes)
+    a, b = span_hashes(codes, begins, ends)
+    order = np.lexsort((b, a))
+    fresh = np.append(True, (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])) if len(order) else np.zeros(0, bool)
+    heads = np.flatnonzero(fresh)
+    often = np.argsort(-np.diff(np.append(heads, len(order))), kind="stable")
+    rank = np.empty(len(heads), dtype=np.int32)
+    rank[often] = np.arange(len(heads), dtype=np.int32)
+    numbers = np.empty(len(order), dtype=np.int32)
+    numbers[order] = rank[np.cumsum(fresh) - 1] if len(order) else rank
+    first = order[heads[often]]
+    text = np.searchsorted(bases, begins[first], side="right") - 1
+    words = [texts[t][i:j].encode() for t, i, j in zip(text.tolist(), (begins[first] - bases[text]).tolist(), (ends[first] - bases[text]).tolist(), strict=True)]
+    return np.diff(np.searchsorted(begins, np.append(bases, len(codes)))), numbers, words
+
+
+def _split(block_bytes: int, ranges: int):
+    entry = pa.struct([("owner", pa.int32()), ("n", pa.int32()), ("sizes", pa.binary()), ("bytes", pa.binary())])
+
+    def block(number: int, ids: list, texts: list[str | None]) -> pa.RecordBatch:
+        sizes, numbers, words = _words_of(texts)
+        owner = np.fromiter((zlib.crc32(w) % ranges for w in words), np.int32, len(words))
+        dealt = np.argsort(owner, kind="stable")  # an owner gets its words in order of frequency
+        cuts = np.flatnonzero(np.append(True, np.diff(owner[dealt]) != 0)).tolist() if len(dealt) else []
+        lists = []
+        for lo, hi in zip(cuts, [*cuts[1:], len(dealt)], strict=True):
+            mine = [words[i] for i in dealt[lo:hi].tolist()]
+            lists.append({"owner": int(owner[dealt[lo]]), "n": hi - lo, "sizes": squeeze(np.fromiter(map(len, mine), np.int32, hi - lo).tobytes()), "bytes": squeeze(b"".join(mine))})
+        return pa.RecordBatch.from_pydict(
+            {
+                "block": pa.array([number], pa.int64()), "ids": pa.array([np.array([i or 0 for i in ids], np.int64).tobytes()], pa.binary()), "no_id": pa.array([np.array([i is None for i in ids], bool).tobytes()], pa.binary()),
+                "sizes": pa.array([sizes.astype(np.int64).tobytes()], pa.binary()), "positions": pa.array([_planes(numbers)], pa.binary()), "owners": pa.array([_planes(owner)], pa.binary()), "words": pa.array([lists], pa.list_(entry)),
+            }
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, part, made = splitter(pattern), TaskContext.get().partitionId(), 0
+        part, made, held = TaskContext.get().partitionId(), 0, 0
         ids: list = []
-        sizes: list[int] = []
-        spots: list[np.ndarray] = []
-        words: dict[str, int] = {}
-        held = 0
-
-        entry = pa.struct([("owner", pa.int32()), ("n", pa.int32()), ("sizes", pa.binary()), ("bytes", pa.binary())])
-
-        def close():
-            nonlocal ids, sizes, spots, words, held, made
-            at = np.concatenate(spots) if spots else np.zeros(0, np.int32)
-            # frequent words get small numbers, which pack well
-            often = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable") if words else np.zeros(0, np.int64)
-            rank = np.empty(len(words), dtype=np.int32)
-            rank[often] = np.arange(len(words), dtype=np.int32)
-            raw = [w.encode() for w in words]
-            owner = np.fromiter((zlib.crc32(w) % ranges for w in raw), np.int32, len(raw))
-            dealt = np.lexsort((rank, owner))  # an owner gets its words in order of frequency
-            cuts = np.flatnonzero(np.append(True, np.diff(owner[dealt]) != 0)).tolist() if len(dealt) else []
-            lists = []
-            for lo, hi in zip(cuts, [*cuts[1:], len(dealt)], strict=True):
-                mine = [raw[i] for i in dealt[lo:hi].tolist()]
-                lists.append({"owner": int(owner[dealt[lo]]), "n": hi - lo, "sizes": squeeze(np.fromiter(map(len, mine), np.int32, hi - lo).tobytes()), "bytes": squeeze(b"".join(mine))})
-            row = pa.RecordBatch.from_pydict(
-                {
-                    "block": pa.array([(part << 32) | made], pa.int64()), "ids": pa.array([np.array([i or 0 for i in ids], np.int64).tobytes()], pa.binary()), "no_id": pa.array([np.array([i is None for i in ids], bool).tobytes()], pa.binary()),
-                    "sizes": pa.array([np.array(sizes, np.int64).tobytes()], pa.binary()), "positions": pa.array([_planes(rank[at])], pa.binary()), "owners": pa.array([_planes(owner[often])], pa.binary()), "words": pa.array([lists], pa.list_(entry)),
-                }
-            )
-            ids, sizes, spots, words, held, made = [], [], [], {}, 0, made + 1
-            return row
-
+        texts: list[str | None] = []
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = find(text) if text else []
-                for w in set(found):
-                    if w not in words:
-                        words[w] = len(words)
                 ids.append(i)
-                sizes.append(len(found))
-                spots.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
-                held += 2 * len(text or "") + 64
-                if held >= 2 * block_bytes:
-                    yield close()
+                texts.append(text)
+                held += len(text or "") + 32
+                if held >= block_bytes:
+                    yield block((part << 32) | made, ids, texts)
+                    ids, texts, held, made = [], [], 0, made + 1
         if ids:
-            yield close()
+            yield block((part << 32) | made, ids, texts)
 
     return run
 
 
-def _encode_words(ranks_path: str, pattern: str):
+def _encode_words(ranks_path: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import tiktoken
 
-        single = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})._core_bpe.encode_single_piece
+        single = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=read_ranks(ranks_path), special_tokens={})._core_bpe.encode_single_piece
         known: dict[bytes, list[int]] = {}
         out = []
         for sizes, data in zip(pdf["sizes"], pdf["bytes"], strict=True):
@@ -160,7 +163,7 @@ def _assemble(table: list[bytes] | None):
 RANGE_BYTES = 8 << 20
 
 
-def encode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = PATTERN, block_bytes: int = BLOCK_BYTES, decoded: bool = False) -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, decoded: bool = False) -> DataFrame:
     """One row per input row: ``doc_id, ids`` (little-endian unsigned 32-bit).
 
     With ``decoded`` the ids are decoded again in the task that put them
@@ -172,9 +175,9 @@ def encode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str
     two = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = two.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     ranges = max(shuffle_width(spark), -(-size // RANGE_BYTES))
-    blocks = durable_by(two.mapInArrow(_split(block_bytes, pattern, ranges), _BLOCKS), "block", ranges, "pretokens")
+    blocks = durable_by(two.mapInArrow(_split(block_bytes, ranges), _BLOCKS), "block", ranges, "pretokens")
     dealt = blocks.select("block", F.explode("words").alias("w")).select("block", "w.owner", "w.sizes", "w.bytes")
-    coded = dealt.groupBy("owner").applyInPandas(_encode_words(ranks_path, pattern), _CODED).select(F.col("block").alias("home"), "owner", "answer")
+    coded = dealt.groupBy("owner").applyInPandas(_encode_words(ranks_path), _CODED).select(F.col("block").alias("home"), "owner", "answer")
     return blocks.drop("words").groupBy("block").cogroup(coded.groupBy("home")).applyInPandas(_assemble(table), _IDS + ", decoded binary" * decoded)
 
 
