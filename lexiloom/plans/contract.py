@@ -444,8 +444,8 @@ _F1 = "CASE WHEN len({0}) = 0 AND len({1}) = 0 THEN 1.0 ELSE 2.0 * {2} / greates
 
 
 @query(f"""WITH {_PAIRS}, x AS (SELECT *, {_TASK} AS task, regexp_replace(response, '\\s+', '', 'g') AS k, regexp_replace(prompt, '\\s+', '', 'g') AS q, regexp_replace(response, '^\\s+|\\s+$', '', 'g') AS st FROM pairs)
-    SELECT id, CASE WHEN length(st) BETWEEN 8 AND 1200 THEN 1.0 ELSE -1.0 END AS nonempty, round(greatest(-1.0, least(1.0, 2 * (1.0 - {_REP.format("k")}) - 1)), 9) AS anti_repetition,
-    CASE WHEN task IN ('modern_to_old', 'creation') THEN CASE WHEN regexp_matches(response, '非常|这个|所以|因为|我们|总的来说') THEN -0.5 ELSE 0.5 END WHEN task = 'appreciation' THEN CASE WHEN regexp_matches(response, '“|「|原文|句') THEN 0.5 ELSE -0.25 END ELSE 0.0 END AS task_constraint,
+    SELECT id, CASE WHEN length(st) BETWEEN 8 AND 1200 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS nonempty, round(greatest(-1.0, least(1.0, 2 * (1.0 - {_REP.format("k")}) - 1)), 9) AS anti_repetition,
+    CASE WHEN task IN ('modern_to_old', 'creation') THEN CASE WHEN regexp_matches(response, '非常|这个|所以|因为|我们|总的来说') THEN -0.5 ELSE 0.5 END WHEN task = 'appreciation' THEN CASE WHEN regexp_matches(response, '“|「|原文|句') THEN 0.5 ELSE -0.25 END ELSE 0.0 END::DOUBLE AS task_constraint,
     round(greatest(-1.0, 1 - abs(log2(greatest(length(k), 1)::DOUBLE / greatest(length(q), 1)))), 9) AS reference_length FROM x""")
 def rewards_native(spark, sf_dir):
     rows = _pairs(spark, sf_dir).withColumn("task", _tasks(F.col("id")))
