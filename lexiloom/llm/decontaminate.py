@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches
+from .storage import once_a_worker, small_batches
 from .wordhash import mix, window_hashes, word_bounds, word_hashes
 
 SHINGLE = 5
@@ -208,7 +208,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         shared = spark.sparkContext.broadcast(block)  # at most MAX_ITEM_BYTES
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(shared.value)
+            bench = once_a_worker(shared, Benchmark)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 rows = [(ids[d], bench.ids[i], *rest) for (d, i), rest in _found(bench, batch.column(1).to_pylist()).items()]
@@ -229,7 +229,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
         shared = spark.sparkContext.broadcast(block)  # at most MAX_ITEM_BYTES
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(shared.value)
+            bench = once_a_worker(shared, Benchmark)
             for batch in batches:
                 clean = np.ones(batch.num_rows, dtype=bool)
                 clean[[d for d, _ in _found(bench, batch.column(at).to_pylist())]] = False

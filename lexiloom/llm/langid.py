@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches
+from .storage import once_a_worker, small_batches
 from .wordhash import mix
 
 DOCS_PER_LANG = 600
@@ -80,12 +80,17 @@ class Lattice:
         self.keys = np.zeros(1 << self.BITS, dtype=np.uint64)
         self.values = np.full(1 << self.BITS, -1, dtype=np.int64)
         self.probes = 1
-        for i, piece in enumerate(pieces):
-            h = np.zeros(1, dtype=np.uint64)
-            for c in piece:
-                h = h * self.BASE + np.uint64(ord(c) + 1)
-            key = mix(h)[0]
-            at, steps = int(key >> np.uint64(64 - self.BITS)), 1
+        found = np.zeros(len(pieces), dtype=np.uint64)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        for n in np.unique(size).tolist():
+            own = np.flatnonzero(size == n)
+            codes = np.frombuffer("".join(pieces[i] for i in own.tolist()).encode("utf-32-le"), dtype=np.uint32).reshape(len(own), n)
+            h = np.zeros(len(own), dtype=np.uint64)
+            for j in range(n):
+                h = h * self.BASE + (codes[:, j] + np.uint64(1))
+            found[own] = mix(h)
+        for i, (key, at) in enumerate(zip(found.tolist(), (found >> np.uint64(64 - self.BITS)).tolist(), strict=True)):
+            steps = 1
             while self.values[at] >= 0:
                 at, steps = (at + 1) % len(self.keys), steps + 1
             self.keys[at], self.values[at] = key, i
@@ -184,6 +189,10 @@ class Model:
                 beta[i, rows] += step
 
 
+def _load(parts: tuple) -> Model:
+    return Model(*parts)
+
+
 def _flat(pieces: list[str], langs: list[str]) -> Model:
     return Model(langs, pieces, np.full((len(pieces), len(langs)), 1.0 / max(1, len(pieces))))
 
@@ -216,9 +225,10 @@ def fit(labelled: DataFrame, path: str, text_col: str = "text", lang_col: str =
     place = {lang: i for i, lang in enumerate(langs)}
     model = _flat(pieces, langs)
     for _ in range(rounds):
-        now = model
+        shared = spark.sparkContext.broadcast((langs, pieces, model.probs))  # pieces x languages numbers
 
-        def expected(frames: Iterator[pd.DataFrame], now: Model = now) -> Iterator[pd.DataFrame]:
+        def expected(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            now = once_a_worker(shared, _load)
             got = np.zeros_like(now.table)
             for pdf in frames:
                 weights = np.zeros((len(pdf), len(now.langs)))
@@ -247,7 +257,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*shared.value)
+        own = once_a_worker(shared, _load)
         rows: dict[str, int] = {}
         table = np.zeros((1024, len(own.langs)))
         for batch in batches:

@@ -83,3 +83,14 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+_made: dict[str, tuple] = {}
+
+
+def once_a_worker(shared, build):
+    """``build(shared.value)``, kept by a Python worker from task to task; the last one of each builder."""
+    value, name = shared.value, f"{build.__module__}.{build.__qualname__}"
+    if name not in _made or _made[name][0] is not value:
+        _made[name] = (value, build(value))
+    return _made[name][1]
