@@ -35,6 +35,8 @@ from .storage import durable_by, shuffle_width, small_batches
 
 #: Characters of text after which a block is closed.
 BLOCK_BYTES = 4 << 20
+#: Characters that are split together.
+GROUP = 1 << 19
 #: Largest token table that is sent to every worker.
 MAX_TOKENS = 2_000_000
 
@@ -55,9 +57,18 @@ def _unplanes(data: bytes) -> np.ndarray:
 
 def _words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Pre-tokens of each text (a count), all of them as numbers, and the words by number: frequent ones first, as small numbers pack well."""
-    codes, bases = code_points(texts)
-    begins, ends = split_points(codes)
-    a, b = span_hashes(codes, begins, ends)
+    counts, found, lo, held = [], [], 0, 0
+    for hi, text in enumerate(texts, 1):
+        held += len(text or "") + 1
+        if held < GROUP and hi < len(texts):
+            continue
+        codes, bases = code_points(texts[lo:hi])
+        begins, ends = split_points(codes)
+        own = np.searchsorted(bases, begins, side="right") - 1
+        counts.append(np.bincount(own, minlength=hi - lo))
+        found.append((*span_hashes(codes, begins, ends), own + lo, begins - bases[own], ends - bases[own]))
+        lo, held = hi, 0
+    a, b, own, begins, ends = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((b, a))
     fresh = np.append(True, (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])) if len(order) else np.zeros(0, bool)
     heads = np.flatnonzero(fresh)
@@ -67,9 +78,8 @@ def _words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[byt
     numbers = np.empty(len(order), dtype=np.int32)
     numbers[order] = rank[np.cumsum(fresh) - 1] if len(order) else rank
     first = order[heads[often]]
-    text = np.searchsorted(bases, begins[first], side="right") - 1
-    words = [texts[t][i:j].encode() for t, i, j in zip(text.tolist(), (begins[first] - bases[text]).tolist(), (ends[first] - bases[text]).tolist(), strict=True)]
-    return np.diff(np.searchsorted(begins, np.append(bases, len(codes)))), numbers, words
+    words = [texts[t][i:j].encode() for t, i, j in zip(own[first].tolist(), begins[first].tolist(), ends[first].tolist(), strict=True)]
+    return np.concatenate(counts), numbers, words
 
 
 def _split(block_bytes: int, ranges: int):

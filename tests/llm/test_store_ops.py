@@ -79,7 +79,8 @@ def table(spark, rows):
 
 
 @pytest.mark.parametrize("block", [50, 1 << 22])
-def test_bpe_round_trip(spark, tiktoken_encoding, block):
+def test_bpe_round_trip(spark, tiktoken_encoding, block, monkeypatch):
+    monkeypatch.setattr(bpe, "GROUP", 40)
     rows = [*enumerate(TEXTS), (3, TEXTS[3]), (None, "no id")]
     want = Counter((i, np.array(tiktoken_encoding.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in rows)
     once = bpe.encode(table(spark, rows), RANKS, block_bytes=block, decoded=True).collect()
