@@ -103,16 +103,24 @@ def has_run(text: Column, least: int) -> Column:
     return F.coalesce(text.rlike(rf"(?s)([^\n])\1{{{least - 1},}}"), F.lit(False))
 
 
+def bound(value: Column, build) -> Column:
+    """``build(value)`` with ``value`` computed once a row, even where ``build`` uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), build), 1)
+
+
 def ngrams(text: Column, size: int) -> Column:
     """All character n-grams in order; none if the text is shorter."""
-    n = F.length(text)
-    return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+    def build(t):
+        n = F.length(t)
+        return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(t, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+    return bound(text, build)
 
 
 def repetition(text: Column, size: int = 4) -> Column:
     """1 - distinct / all n-grams (0 distinct of none counts as ratio 0 over 1)."""
-    grams = ngrams(text, size)
-    return 1.0 - F.size(F.array_distinct(grams)) / F.greatest(F.size(grams), F.lit(1))
+    return bound(ngrams(text, size), lambda grams: 1.0 - F.size(F.array_distinct(grams)) / F.greatest(F.size(grams), F.lit(1)))
 
 
 def clauses(text: Column) -> Column:
