@@ -108,14 +108,19 @@ def bound(value: Column, build) -> Column:
     return F.element_at(F.transform(F.array(value), build), 1)
 
 
+def characters(text: Column) -> Column:
+    """The code points of a text; unlike ``substring``, reaching one of them does not walk the text."""
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+
 def ngrams(text: Column, size: int) -> Column:
     """All character n-grams in order; none if the text is shorter."""
 
-    def build(t):
-        n = F.length(t)
-        return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(t, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    def build(c):
+        n = F.size(c)
+        return F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), lambda i: F.concat(*(F.get(c, i + k) for k in range(size))))).otherwise(F.array().cast("array<string>"))
 
-    return bound(text, build)
+    return bound(characters(text), build)
 
 
 def repetition(text: Column, size: int = 4) -> Column:
