@@ -9,8 +9,9 @@ every reported link is verified by the cosine in double precision.
 
 Equal vectors of a label are one class before anything is compared, so copies
 are never paired.  A bucket beyond ``TILE`` classes is cut into tiles of
-``TILE`` by ``TILE``, which count links and emit a spanning star of what they
-found, never the pairs; a pair that meets in several
+``TILE`` by ``TILE``, which count links and emit, by a union-find over all
+verified pairs, one edge from each class to the least class that it reaches,
+never the pairs; a pair that meets in several
 buckets is counted in the first of them only.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
@@ -135,6 +136,19 @@ def _near(unit: np.ndarray, keys: np.ndarray, part: np.ndarray, p: np.ndarray, q
             yield i, j
 
 
+def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Union-find in place: ``root[x]`` is the least number of x's set, before and after the pairs ``a, b`` are joined."""
+    while True:
+        a, b = root[a], root[b]
+        apart = a != b
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root[:] = up
+
+
 def _tiles(threshold: float):
     """Links within a share of the buckets; each pair counts in the first bucket that it shares."""
 
@@ -146,7 +160,10 @@ def _tiles(threshold: float):
             key = np.sort(key)
             cid, copies, bucket = own["cid"].to_numpy(), own["copies"].to_numpy(), own["bucket"].to_numpy()
             unit, codes = _units(own["vec"]), np.stack(own["codes"].to_numpy())
-            links, low = np.zeros(len(cid), dtype=np.int64), cid.copy()
+            links = np.zeros(len(cid), dtype=np.int64)
+            # a class has a row in each of its buckets; sets go across the buckets of the share
+            nodes, node = np.unique(cid, return_inverse=True)
+            root = np.arange(len(nodes))
             for i, j in _near(unit, key, own["part"].to_numpy(), own["p"].to_numpy(), own["q"].to_numpy(), threshold):
                 for at in range(0, len(i), 20_000):
                     a, b = i[at : at + 20_000], j[at : at + 20_000]
@@ -156,10 +173,8 @@ def _tiles(threshold: float):
                         shared |= (mine < bucket[a]) & (codes[b] == mine[:, None]).any(axis=1)
                     np.add.at(links, a[~shared], copies[b[~shared]])
                     np.add.at(links, b[~shared], copies[a[~shared]])
-                    # stars: both ends hang on the least class that either is linked to so far
-                    pull = np.minimum(cid[a], cid[b])
-                    np.minimum.at(low, a, pull)
-                    np.minimum.at(low, b, pull)
+                    _unite(root, node[a], node[b])
+            low = nodes[root[node]]
             met = (links > 0) | (low != cid)
             out.append(pd.DataFrame({"cid": cid[met], "links": links[met], "low": low[met]}))
         return pd.concat(out)

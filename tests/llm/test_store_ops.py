@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -211,6 +212,48 @@ def test_many_copies_are_one_class(spark):
     assert embed_dedup.link_embeddings(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def hubs(n):
+    """Rows of a hub and two ends, each end at cosine 0.985 to the hub, the ends at 0.94 to each other."""
+    r = np.random.default_rng(8)
+    hub = r.normal(size=(n, 64))
+    hub /= np.linalg.norm(hub, axis=1, keepdims=True)
+    off = r.normal(size=(n, 64))
+    off -= (hub * off).sum(axis=1, keepdims=True) * hub
+    off *= np.sqrt(1 - 0.985**2) / np.linalg.norm(off, axis=1, keepdims=True)
+    return np.stack([0.985 * hub + off, 0.985 * hub - off, hub], axis=1)
+
+
+def test_a_hub_of_the_largest_class_joins_its_ends():
+    (one, two, hub), codes = hubs(1)[0], np.array([7], dtype=np.int32)
+    rows = pd.DataFrame({"label": "x", "dims": 64, "bucket": 7, "p": 0, "q": 0, "part": 0, "cid": [1, 2, 3], "copies": 1, "codes": [codes] * 3, "vec": [one, two, hub]})
+    met = embed_dedup._tiles(0.98)(rows).sort_values("cid")
+    assert met[["cid", "links", "low"]].to_numpy().tolist() == [[1, 1, 1], [2, 1, 1], [3, 2, 1]]
+
+
+@pytest.mark.parametrize("small", [2, 24])
+def test_every_link_is_in_a_component(spark, monkeypatch, small):
+    monkeypatch.setattr(embed_dedup, "SMALL", small)
+    vectors = hubs(80)
+    rows = [(3 * k + i, vectors[k, i].tolist(), 1) for k in range(80) for i in range(3)]
+    got = {r["vec_id"]: r for r in embed_dedup.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    whole = [k for k in range(80) if got[3 * k + 2]["n_links"] == 2]
+    assert len(whole) > 70
+    assert all([got[3 * k + i]["component_id"] for i in range(3)] == [3 * k] * 3 for k in whole)
+
+
+def test_unite_against_brute_force():
+    r = np.random.default_rng(4)
+    for _ in range(50):
+        n = int(r.integers(1, 40))
+        root, label = np.arange(n), list(range(n))
+        for _ in range(3):
+            a, b = r.integers(n, size=(2, int(r.integers(0, 12))))
+            embed_dedup._unite(root, a, b)
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                label = [min(label[x], label[y]) if z in (label[x], label[y]) else z for z in label]
+        assert root.tolist() == label
+
+
 def test_recall_at_the_threshold():
     r = np.random.default_rng(2)
     a = r.normal(size=(3000, 64))
