@@ -27,12 +27,15 @@ are; other columns are not looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -40,6 +43,8 @@ from .storage import durable, small_batches
 
 SEED = 42
 RADIUS = 2
+#: Documents of a verified group that are decided together, in order of ids.
+HEAD = 256
 
 
 def fingerprint(text: str | bytes | None, shingle: int = 3) -> int:
@@ -168,14 +173,77 @@ def _grouped(prints: DataFrame, fp: str, radius: int) -> DataFrame:
     return own.join(least, "component").select("fp", "component_id")
 
 
+class _Kept:
+    """Shingle sets that stay, found again by anything at least ``similar`` to one of them."""
+
+    def __init__(self, similar: float):
+        self.similar, self.index = similar, {}
+
+    def _prefix(self, own: frozenset) -> list:
+        # in one order of all shingles, two sets this similar share one of their first n - ceil(similar * n) + 1
+        return sorted(own)[: len(own) - math.ceil(self.similar * len(own) - 1e-9) + 1] or [b""]
+
+    def add(self, own: frozenset) -> None:
+        for x in self._prefix(own):
+            self.index.setdefault(x, []).append(own)
+
+    def like(self, own: frozenset) -> bool:
+        seen = set()
+        for x in self._prefix(own):
+            for other in self.index.get(x, ()):
+                if id(other) not in seen:
+                    seen.add(id(other))
+                    if _jaccard(own, other) >= self.similar:
+                        return True
+        return False
+
+
+def _settle(two: DataFrame, members: DataFrame, similar: float, size: int) -> DataFrame:
+    """One round over groups (``doc_id, centre``): ``doc_id, centre, gone`` of those with two members or more.
+
+    The ``HEAD`` smallest ids of each group are decided in order of ids and
+    the others are held against those of them that stay, in parts of about
+    ``HEAD``.  ``gone`` is null for what is still to be decided among the
+    others.  An id with several texts goes if one of them is like another
+    document, and its least text is what others are held against.
+    """
+    sizes = members.groupBy("centre").agg(F.count("*").alias("n")).where("n > 1").select("centre", F.ceil(F.col("n") / HEAD).cast("int").alias("parts"))
+    rank = F.row_number().over(Window.partitionBy("centre").orderBy("doc_id"))
+    cuts = members.withColumn("rank", rank).where(F.col("rank") <= HEAD).groupBy("centre").agg(F.max("doc_id").alias("cut"))
+    dealt = members.join(sizes, "centre").join(cuts, "centre").withColumn("head", F.col("doc_id") <= F.col("cut"))
+    parts = F.when(F.col("head"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")))
+    dealt = dealt.select("doc_id", "centre", "head", F.explode(parts).alias("part"))
+    texts = two.join(dealt, "doc_id").select("centre", "part", "doc_id", "head", "text")
+    tiles = texts.repartition("centre", "part").sortWithinPartitions("centre", "part", "doc_id", F.col("text").asc_nulls_last())
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4).cast(pa.large_binary()).to_pylist(), strict=True))
+        for (centre, part), tile in groupby(rows, key=itemgetter(0, 1)):
+            kept, out = _Kept(similar), []
+            for doc, own in groupby(tile, key=itemgetter(2)):
+                head, sets = zip(*((row[3], _shingles(row[4], size)) for row in own), strict=True)
+                gone = any(map(kept.like, sets)) or None
+                if head[0]:
+                    gone = bool(gone)
+                    if not gone:
+                        kept.add(sets[0])
+                if not head[0] or part == 0:
+                    out.append((doc, gone))
+            ids, gones = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([centre] * len(ids), pa.int64()), pa.array(gones, pa.bool_())], names=["doc_id", "centre", "gone"])
+
+    return tiles.mapInArrow(decide, "doc_id long, centre long, gone boolean")
+
+
 def distinct_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, similar: float = 0.8, similar_shingle: int = 5) -> DataFrame:
     """The rows of ``df`` that stay: one document of each group of near duplicates.
 
     First, of each component of :func:`near_duplicates` the smallest id stays.
     Among the rest, groups are formed the same way over fingerprints of the
-    distinct words, which come closer for lightly edited texts; there a
-    document goes only if its similarity to the group's smallest id, by
-    ``similar_shingle``-word shingles, is at least ``similar``.
+    distinct words, which come closer for lightly edited texts; there, in
+    order of ids, a document goes if its similarity to a smaller id of its
+    group that stays, by ``similar_shingle``-word shingles, is at least
+    ``similar`` (above zero).
 
     Rows that share the smallest id stay together; rows with a null id stay.
     """
@@ -196,23 +264,11 @@ def distinct_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     left = placed.where("not gone").select("doc_id", "word_fp")
     met = left.join(_grouped(left, "word_fp", radius).withColumnRenamed("fp", "word_fp"), "word_fp").select("doc_id", F.col("component_id").alias("centre"))
     alone = met.groupBy("centre").agg(F.max("doc_id").alias("last")).where("last > centre").select("centre")
-    wanted, _ = durable(met.join(alone, "centre").select("doc_id", "centre").distinct(), "wanted")
-    # texts of the few documents in groups; each is compared with its centre alone
-    texts = two.join(wanted, "doc_id")
-    centres = texts.where("doc_id = centre").groupBy("centre").agg(F.min("text").alias("centre_text"))
-    checked = texts.where("doc_id <> centre").join(centres, "centre")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, frozenset()
-        for batch in batches:
-            ids = []
-            for i, mine, other in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if other != last:
-                    last, own = other, _shingles(other, similar_shingle)
-                if _jaccard(_shingles(mine, similar_shingle), own) >= similar:
-                    ids.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], names=["doc_id"])
-
-    like = checked.select("doc_id", "text", "centre_text").mapInArrow(compare, "doc_id long")
-    gone, _ = durable(placed.where("gone").select("doc_id").union(like).distinct().select(F.col("doc_id").alias("__id")), "gone")
+    open_, _ = durable(met.join(alone, "centre").select("doc_id", "centre").distinct(), "wanted")
+    gone = placed.where("gone").select("doc_id")
+    while not open_.isEmpty():
+        settled, _ = durable(_settle(two, open_, similar, similar_shingle), "settled")
+        gone = gone.union(settled.where("gone").select("doc_id"))
+        open_ = settled.where("gone is null").select("doc_id", "centre")
+    gone, _ = durable(gone.distinct().select(F.col("doc_id").alias("__id")), "gone")
     return df.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left_anti")

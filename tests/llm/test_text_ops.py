@@ -243,6 +243,59 @@ def test_filter_takes_light_edits_and_leaves_others(spark):
     assert simhash_dedup.shingle_similarity(None, " ") == 1.0 and simhash_dedup.shingle_similarity("a", None) == 0.0
 
 
+def versions(seed, chains, length, size=500):
+    """Chains of versions of a text, two neighbouring words replaced from each to the next; ids are dealt at random."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 7)))
+    out = []
+    for _ in range(chains):
+        text = [word() for _ in range(size)]
+        for _ in range(length):
+            at = r.randrange(size - 1)
+            text[at : at + 2] = word(), word()
+            out.append(" ".join(text))
+    r.shuffle(out)
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("head", [3, 256])
+def test_filter_holds_members_against_all_that_stay(spark, monkeypatch, head):
+    monkeypatch.setattr(simhash_dedup, "HEAD", head)
+    docs = versions(3, 6, 40)
+    kept = {x["doc_id"] for x in simhash_dedup.distinct_documents(frame(spark, docs)).collect()}
+    # brute force: groups of the first step, then keep-first in order of ids within groups of the second
+    def groups(fps):
+        label = {i: i for i in fps}
+        for _ in fps:
+            new = {i: min(label[j] for j in fps if bin(fps[i] ^ fps[j]).count("1") <= 2) for i in fps}
+            if new == label:
+                break
+            label = new
+        return label
+
+    texts = dict(docs)
+    left = [i for i, c in groups({i: simhash_dedup.fingerprint(t) for i, t in docs}).items() if i == c]
+    label = groups({i: simhash_dedup.word_fingerprint(texts[i]) for i in left})
+    like = lambda i, j: simhash_dedup.shingle_similarity(texts[i], texts[j]) >= 0.8
+    want = []
+    for i in sorted(left):
+        if not any(label[i] == label[j] and like(i, j) for j in want):
+            want.append(i)
+    assert kept == set(want)
+    centre_only = {i for i in left if label[i] == i or not like(i, label[i])}
+    assert len(kept) < len(centre_only)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.frozensets(st.sampled_from([bytes([x]) for x in range(12)]), max_size=12), max_size=12), st.sampled_from([0.5, 0.6, 0.8, 1.0]))
+def test_kept_sets_are_found_again(sets, similar):
+    kept, plain = simhash_dedup._Kept(similar), []
+    for own in sets:
+        assert kept.like(own) == any(simhash_dedup._jaccard(own, x) >= similar for x in plain)
+        kept.add(own)
+        plain.append(own)
+
+
 @settings(max_examples=10, deadline=None)
 @given(st.lists(st.tuples(st.integers(-9, 9), st.integers(-9, 9)), max_size=25))
 def test_components(spark, edges):
