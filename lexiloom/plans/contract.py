@@ -608,7 +608,7 @@ def _deltas(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return stats.bootstrap_ci(_deltas(spark, sf_dir), "id", SEED, 1000)
+    return stats.bootstrap_ci(_deltas(spark, sf_dir), "id", SEED)
 
 
 @query("SELECT lang AS variant, round(avg(n_chars), 6) AS mean, round(coalesce(stddev_samp(n_chars), 0), 6) AS stdev, count(*) AS runs FROM documents GROUP BY lang")

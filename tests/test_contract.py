@@ -5,6 +5,7 @@ import os
 
 import pytest
 
+from lexiloom.operators import stats
 from lexiloom.operators.sampling import QuotaError
 from lexiloom.plans import contract
 
@@ -50,3 +51,8 @@ def test_query(spark, sql, name):
     order = sorted(names)
     want = sorted((tuple(plain(r[names.index(c)]) for c in order) for r in found.fetchall()), key=str)
     assert sorted((tuple(plain(r[c]) for c in order) for r in rows), key=str) == want
+
+
+def test_bootstrap_is_registered_with_all_resamples(spark):
+    want = stats.bootstrap_ci(contract._deltas(spark, DATA), "id", contract.SEED, 10_000).first()
+    assert contract.bootstrap_ci(spark, DATA).first() == want
