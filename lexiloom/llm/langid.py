@@ -14,7 +14,8 @@ Prediction covers every text whole; words are scored once for each worker
 and kept in a cache of bounded size.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
-words without letters say nothing; characters outside the vocabulary cost
+words without letters say nothing; words longer than ``MAX_WORD`` are cut into
+parts, and segmentations with a piece across a cut do not count; characters outside the vocabulary cost
 every language the same; ties go to the language that sorts first; a training
 set without labelled texts makes every prediction ``und``; the id may be null
 (the row is held in) or repeat; other columns are not looked at.
