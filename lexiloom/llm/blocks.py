@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import durable, small_batches
+from .storage import durable, slices
 
 SCHEMA = "block long, docs int, raw_bytes long, ids binary, sizes binary, data binary"
 
@@ -69,7 +69,7 @@ def _pack(block_bytes: int):
             ids, sizes, texts, held, made = [], [], [], 0, made + 1
             return row
 
-        for batch in batches:
+        for batch in slices(batches):
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
                 ids.append(i)
                 sizes.append(-1 if x is None else len(x))
@@ -85,7 +85,6 @@ def _pack(block_bytes: int):
 
 def pack(df: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
     """Blocks of ``df`` in a durable table, with its path.  Rows with a null id are left out."""
-    small_batches(df.sparkSession)
     two = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     return durable(two.mapInArrow(_pack(block_bytes), SCHEMA), "blocks")
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .blocks import expand, squeeze
 from .pretokens import PATTERN, code_points, gather, read_ranks, span_hashes, split_points
-from .storage import durable_by, shuffle_width, small_batches
+from .storage import durable_by, shuffle_width, slices
 
 #: Characters of text after which a block is closed.
 BLOCK_BYTES = 4 << 20
@@ -105,7 +105,7 @@ def _split(block_bytes: int, ranges: int):
         part, made, held = TaskContext.get().partitionId(), 0, 0
         ids: list = []
         texts: list[str | None] = []
-        for batch in batches:
+        for batch in slices(batches):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(i)
                 texts.append(text)
@@ -180,7 +180,6 @@ def encode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str
     together, as :func:`decode` would, and ``decoded`` (bytes) is added.
     """
     spark = df.sparkSession
-    small_batches(spark)
     table = token_table(ranks_path) if decoded else None
     two = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = two.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
@@ -210,11 +209,10 @@ def decode_with(table: list[bytes], ids: bytes) -> bytes:
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """``doc_id, ids`` -> ``doc_id, ids, decoded`` (bytes)."""
-    small_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_table(ranks_path)
-        for batch in batches:
+        for batch in slices(batches):
             decoded = [decode_with(table, x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import durable, small_batches
+from .storage import durable, slices
 
 SEED = 42
 RADIUS = 2
@@ -69,10 +69,8 @@ def fingerprint(text: str | bytes | None, shingle: int = 3) -> int:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``doc_id, fp`` of every row; ``fp`` holds the 64 bits as a signed long."""
-    small_batches(df.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = [fingerprint(x, shingle) for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
@@ -217,7 +215,7 @@ def _settle(two: DataFrame, members: DataFrame, similar: float, size: int) -> Da
     tiles = texts.repartition("centre", "part").sortWithinPartitions("centre", "part", "doc_id", F.col("text").asc_nulls_last())
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4).cast(pa.large_binary()).to_pylist(), strict=True))
+        rows = (row for batch in slices(batches) for row in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4).cast(pa.large_binary()).to_pylist(), strict=True))
         for (centre, part), tile in groupby(rows, key=itemgetter(0, 1)):
             kept, out = _Kept(similar), []
             for doc, own in groupby(tile, key=itemgetter(2)):
@@ -248,12 +246,11 @@ def distinct_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows that share the smallest id stay together; rows with a null id stay.
     """
     spark = df.sparkSession
-    small_batches(spark)
     text = F.col(f"`{text_col}`").cast("string")
     two = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).cast(pa.large_binary()).to_pylist()
             fps, words = ([f(x) for x in texts] for f in (lambda x: fingerprint(x, shingle), word_fingerprint))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (fps, words))], names=["doc_id", "fp", "word_fp"])

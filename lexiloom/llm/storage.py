@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -76,9 +78,12 @@ def durable_by(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
     return out
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Keep Arrow batches of whole texts small, so that Python workers stay small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of whole texts in parts of at most ``rows`` rows and about ``size`` bytes, so that Python workers stay small."""
+    for batch in batches:
+        n = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
 
 
 def shuffle_width(spark: SparkSession) -> int:

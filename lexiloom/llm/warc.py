@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import durable, new_path, small_batches
+from .storage import durable, new_path, slices
 
 REVISIT_BYTES = 1000
 DATE = "1970-01-01T00:00:00Z"
@@ -123,7 +123,7 @@ class Piece:
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, int, bytes]]]:
     """(file, block, order in the split, piece) of a task's rows, which come in file order."""
     last, n = None, 0
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for file, block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             n = n + 1 if (file, block) == last else 0
@@ -141,7 +141,6 @@ def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
     """Every piece between magics, with its file (hashed) and the start of its split."""
-    small_batches(spark)
     text = spark.read.option("lineSep", MAGIC).text(path)
     return text.select(F.xxhash64(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").cast("long").alias("block"), F.col("value").cast("binary").alias("piece"))
 
@@ -230,12 +229,13 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     # records in several pieces: those with the magic in their body
     torn = owned.groupBy("file", "owner").count().where("count > 1").select("file", "owner")
     apart, _ = durable(owned.join(torn.hint("merge"), ["file", "owner"]).select("file", "block", "ord", "at", "owner"), "apart", rows)
+
     def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield _table([Piece(raw).record(with_payload) for raw in batch.column(2).to_pylist() if raw], _RECORD)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield _table([Piece(raw).record(with_payload) for raw in batch.column(0).to_pylist() if raw], _RECORD)
 
     if apart.isEmpty():
