@@ -9,16 +9,21 @@ expected piece counts from the forward-backward algorithm.
 
 The classifier is fitted on a bounded sample of labelled rows: about
 ``docs_per_lang`` documents of each language, chosen by a hash of the id.  The
-model holds languages x pieces numbers whatever the size of the corpus.
-Prediction covers every text whole; words are scored once for each worker
-and kept in a cache of bounded size.
+model holds languages x pieces numbers whatever the size of the corpus; more
+than ``MAX_LANGS`` labels raise.  Prediction covers every text whole; words are
+scored once for each worker and kept in a cache of bounded size.
+
+Words are segmented whole, whatever their length: many short ones at once, and
+those beyond ``SHORT`` characters, whose probabilities leave the range of
+doubles, one by one with the forward values scaled on the way.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
-words without letters say nothing; words longer than ``MAX_WORD`` are cut into
-parts, and segmentations with a piece across a cut do not count; characters outside the vocabulary cost
+words without letters say nothing; characters outside the vocabulary cost
 every language the same; ties go to the language that sorts first; a training
-set without labelled texts makes every prediction ``und``; the id may be null
-(the row is held in) or repeat; other columns are not looked at.
+set without labelled texts makes every prediction ``und``, as does an empty
+one; the id may be null (the row is held in) or repeat; columns of the input
+named as the two that are added give way to them (:func:`keep_known` adds none
+and keeps all); other columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,17 +38,19 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .storage import once_a_worker, small_batches
+from .storage import drop_path, durable, once_a_worker, slices
 from .wordhash import mix
 
 DOCS_PER_LANG = 600
 ROUNDS = 2
-#: Words longer than this are cut into parts of this size before they are segmented.
-MAX_WORD = 40
-#: Words segmented together.
-BATCH = 4000
+#: Longest words (with their mark) that are segmented together, and how many at once.
+SHORT, BATCH = 41, 4000
 CACHE_WORDS = 120_000
+#: Longest words that are kept in the cache.
+CACHE_CHARS = 200
+MAX_LANGS = 10_000
 #: Probability of a character that the vocabulary lacks, and the smoothing mass of each piece.
 FLOOR, ALPHA = 1e-7, 0.05
 
@@ -136,16 +143,50 @@ class Lattice:
         return out
 
 
-def _parts(word: str) -> list[str]:
-    marked = " " + word
-    return [marked[i : i + MAX_WORD] for i in range(0, len(marked), MAX_WORD)]
+    def spans(self, word: str) -> np.ndarray:
+        """``[j, n - 1]``: the piece of ``word[j - n : j]``; -1 for a character of no piece, -2 for other spans of none."""
+        codes = np.frombuffer(word.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+        out = np.full((len(codes) + 1, min(self.longest, max(1, len(codes)))), -2, dtype=np.int32)
+        h = np.zeros(len(codes), dtype=np.uint64)
+        for n in range(1, out.shape[1] + 1):
+            h = h[: len(codes) - n + 1] * self.BASE + codes[n - 1 :]
+            pieces = self._find(h)
+            out[n:, n - 1] = pieces if n == 1 else np.where(pieces < 0, -2, pieces)
+        return out
 
 
 def _batches(words: list[str]) -> Iterator[list[tuple[int, str]]]:
-    """(word number, part) in ascending order of length, a batch at a time."""
-    parts = sorted(((k, p) for k, w in enumerate(words) for p in _parts(w)), key=lambda x: len(x[1]))
-    for at in range(0, len(parts), BATCH):
-        yield parts[at : at + BATCH]
+    """(word number, marked word) of short words in ascending order of length, a batch at a time."""
+    short = sorted(((k, " " + w) for k, w in enumerate(words) if len(w) < SHORT), key=lambda x: len(x[1]))
+    for at in range(0, len(short), BATCH):
+        yield short[at : at + BATCH]
+
+
+def _long(words: list[str]) -> Iterator[tuple[int, str]]:
+    return ((k, " " + w) for k, w in enumerate(words) if len(w) >= SHORT)
+
+
+def _sweep(spans: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward values of one word: ``values[j, lang] * exp(logs[j, lang])`` sums the segmentations of its first ``j`` characters.
+
+    ``table`` has a last row of zeros for spans of no piece.  Every sixteen
+    steps the values that are still needed are scaled to about one, for each
+    language by itself.
+    """
+    n, widest = len(spans) - 1, spans.shape[1]
+    values, logs = np.zeros((n + 1, table.shape[1])), np.zeros((n + 1, table.shape[1]))
+    values[0] = 1.0
+    for j in range(1, n + 1):
+        k = min(widest, j)
+        values[j] = (table[spans[j, :k]] * values[j - k : j][::-1]).sum(axis=0)
+        logs[j] = logs[j - 1]
+        if j % 16 == 0:
+            by = values[j].copy()
+            first = max(0, j - widest + 1)
+            # earlier values are no longer read here; those that are get one common scale
+            values[first : j + 1] *= np.exp(logs[first : j + 1] - logs[j]) / by
+            logs[first : j + 1] = logs[j] + np.log(by)
+    return values, logs
 
 
 @dataclass
@@ -159,6 +200,12 @@ class Model:
     def __post_init__(self):
         self.lattice = Lattice(self.pieces)
         self.table = np.vstack([self.probs, np.full((1, len(self.langs)), FLOOR)])  # the last row is piece -1
+        self.padded = np.vstack([self.table, np.zeros((1, len(self.langs)))])  # and here no piece
+
+    def _spans(self, word: str) -> np.ndarray:
+        """Rows of ``padded``."""
+        found = self.lattice.spans(word)
+        return np.where(found >= 0, found, np.where(found == -1, len(self.pieces), len(self.pieces) + 1))
 
     def _forward(self, parts: list[str]) -> tuple[list, np.ndarray, np.ndarray]:
         edges = self.lattice.edges(parts)
@@ -173,8 +220,10 @@ class Model:
         """log P(word | language) of each word, summed over all segmentations."""
         out = np.zeros((len(words), len(self.langs)))
         for parts in _batches(words):
-            total = self._forward([p for _, p in parts])[2]
-            np.add.at(out, [k for k, _ in parts], np.log(total))
+            out[[k for k, _ in parts]] = np.log(self._forward([p for _, p in parts])[2])
+        for k, word in _long(words):
+            values, logs = _sweep(self._spans(word), self.padded)
+            out[k] = np.log(values[-1]) + logs[-1]
         return out
 
     def expect(self, words: list[str], weights: np.ndarray, into: np.ndarray) -> None:
@@ -188,6 +237,22 @@ class Model:
                 step = self.table[pieces] * beta[j, rows]
                 np.add.at(into, pieces, share[rows] * alpha[i, rows] * step)
                 beta[i, rows] += step
+        for k, word in _long(words):
+            spans = self._spans(word)
+            n = len(spans) - 1
+            values, logs = _sweep(spans, self.padded)
+            # the same sweep from the end: a span of reversed characters ends where it began
+            back = np.full_like(spans, len(self.pieces) + 1)
+            for size in range(1, spans.shape[1] + 1):
+                back[size:, size - 1] = spans[size:, size - 1][::-1]
+            after, after_logs = (x[::-1] for x in _sweep(back, self.padded))
+            total = np.log(values[-1]) + logs[-1]
+            for size in range(1, spans.shape[1] + 1):
+                pieces = spans[size:, size - 1]
+                real = np.flatnonzero(pieces <= len(self.pieces))
+                i, j = real, real + size
+                got = values[i] * after[j] * np.exp(logs[i] + after_logs[j] - total) * self.padded[pieces[real]]
+                np.add.at(into, pieces[real], weights[k] * got)
 
 
 def _load(parts: tuple) -> Model:
@@ -201,10 +266,11 @@ def _flat(pieces: list[str], langs: list[str]) -> Model:
 def fit(labelled: DataFrame, path: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_lang: int = DOCS_PER_LANG, rounds: int = ROUNDS) -> Model:
     """Fit on about ``docs_per_lang`` rows of each language of ``labelled`` (rows without label or text do not count)."""
     spark = labelled.sparkSession
-    small_batches(spark)
     pieces = vocabulary_pieces(path)
     rows = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}  # one row a language
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} labels")
     langs = sorted(counts)
     if not langs:
         return _flat(pieces, [])
@@ -212,17 +278,23 @@ def fit(labelled: DataFrame, path: str, text_col: str = "text", lang_col: str =
     rank = F.shiftrightunsigned(F.xxhash64(F.coalesce("id", F.lit(0)), F.lit("langid")), 11) / F.lit(float(1 << 53))
     sample = rows.where(rank < share[F.col("lang")]).select("lang", "text")
 
-    def tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
-        for pdf in frames:
-            for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for k, c in seen.items():
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([k] * len(c), pa.string()), "word": pa.array(list(c), pa.string()), "n": pa.array(list(c.values()), pa.int64())})
+
+        for batch in slices(batches):
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen.setdefault(lang, Counter()).update(words_of(text))
             if sum(map(len, seen.values())) > CACHE_WORDS:
-                yield from (pd.DataFrame({"lang": k, "word": list(c), "n": list(c.values())}) for k, c in seen.items() if c)
+                yield from told()
                 seen = {}
-        yield from (pd.DataFrame({"lang": k, "word": list(c), "n": list(c.values())}) for k, c in seen.items() if c)
+        yield from told()
 
-    words = sample.mapInPandas(tally, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
+    # distinct words of a bounded sample
+    words, path = durable(sample.mapInArrow(tally, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words", docs_per_lang * len(langs) * 100)
     place = {lang: i for i, lang in enumerate(langs)}
     model = _flat(pieces, langs)
     for _ in range(rounds):
@@ -242,49 +314,75 @@ def fit(labelled: DataFrame, path: str, text_col: str = "text", lang_col: str =
         probs = np.full(model.probs.shape, ALPHA)
         probs[total["piece"], total["lang"]] += total["n"]
         model = Model(langs, pieces, probs / probs.sum(axis=0))
-    words.unpersist()
+    drop_path(spark, path)
     return model
 
 
+class _Scorer:
+    """Predictions for batches of texts; log probabilities of words are kept."""
+
+    def __init__(self, model: Model):
+        self.model, self.rows = model, {}
+        self.table = np.zeros((1024, len(model.langs)))
+
+    def _known(self, fresh: list[str]) -> None:
+        first = len(self.rows)
+        self.rows.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+        while len(self.rows) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[first : len(self.rows)] = self.model.log_probs(fresh)
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        preds, scores, langs = [], [], self.model.langs
+        found = [words_of(text) if langs else [] for text in texts]
+        if len(self.rows) > CACHE_WORDS:
+            self.rows = {}
+        fresh = {w for words in found for w in words if w not in self.rows}
+        large = sorted(w for w in fresh if len(w) > CACHE_CHARS)
+        self._known([w for w in fresh if len(w) <= CACHE_CHARS])
+        apart = dict(zip(large, self.model.log_probs(large), strict=True)) if large else {}
+        for words in found:
+            if not words:
+                preds.append("und")
+                scores.append(0.0)
+                continue
+            total = self.table[[self.rows[w] for w in words if w in self.rows]].sum(axis=0)
+            for w in words if apart else ():
+                total = total + apart.get(w, 0.0)
+            best = int(np.argmax(total))
+            preds.append(langs[best])
+            scores.append(float(1.0 / np.exp(total - total[best]).sum()))
+        return preds, scores
+
+
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``df`` with ``lang_pred`` and ``score`` (posterior of the language over equal priors) appended."""
-    small_batches(df.sparkSession)
-    keep = [F.col(f"`{c}`") for c in df.columns]
-    names = df.columns
-    taken = {"lang_pred", "score"} & set(names)
-    if taken:
-        raise ValueError(f"the input already has {sorted(taken)}")
+    names = [c for c in df.columns if c.lower() not in ("lang_pred", "score")]
+    rows = df.select(*(F.col(f"`{c}`") for c in names))
     shared = df.sparkSession.sparkContext.broadcast((model.langs, model.pieces, model.probs))  # pieces x languages numbers
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = once_a_worker(shared, _load)
-        rows: dict[str, int] = {}
-        table = np.zeros((1024, len(own.langs)))
-        for batch in batches:
-            preds, scores = [], []
-            found = [words_of(text) if own.langs else [] for text in batch.column(at).to_pylist()]
-            if len(rows) > CACHE_WORDS:
-                rows = {}
-            fresh = list({w for words in found for w in words if w not in rows})
-            first = len(rows)
-            rows.update(zip(fresh, range(first, first + len(fresh)), strict=True))
-            while len(rows) > len(table):
-                table = np.concatenate([table, np.zeros_like(table)])
-            table[first : len(rows)] = own.log_probs(fresh)
-            for words in found:
-                if not words:
-                    preds.append("und")
-                    scores.append(0.0)
-                    continue
-                total = table[np.fromiter(map(rows.__getitem__, words), np.int64, len(words))].sum(axis=0)
-                best = int(np.argmax(total))
-                preds.append(own.langs[best])
-                scores.append(float(1.0 / np.exp(total - total[best]).sum()))
+        score = _Scorer(once_a_worker(shared, _load))
+        for batch in slices(batches):
+            preds, scores = score(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    schema = df.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return df.select(*keep).mapInArrow(run, schema)
+    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+
+
+def keep_known(df: DataFrame, model: Model, min_score: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text has a letter and a predicted language of at least ``min_score``, with all their columns, whatever their names."""
+    shared = df.sparkSession.sparkContext.broadcast((model.langs, model.pieces, model.probs))  # pieces x languages numbers
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _Scorer(once_a_worker(shared, _load))
+        for batch in slices(batches):
+            preds, scores = score(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([p != "und" and x >= min_score for p, x in zip(preds, scores, strict=True)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -314,7 +314,10 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert set(got.values()) == {0, 1000} and len(got) == 301
 
 
-def test_decontamination_equals_brute_force(spark):
+@pytest.mark.parametrize("bound", [True, False])
+def test_decontamination_equals_brute_force(spark, monkeypatch, bound):
+    if not bound:  # every window is fingerprinted: what is found comes from the index alone
+        monkeypatch.setattr(decontaminate.Benchmark, "hits", lambda self, width, grams: np.arange(len(grams)))
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(3))
     items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate((14, 20, 33, 50, 6, 5))] + [(50, "Only Three words"), (51, None), (52, ""), (53, "aa bb aa bb aa bb aa bb aa bb")]
@@ -372,17 +375,45 @@ def test_benchmark_in_blocks_gives_the_same(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in decontaminate.clean_documents(docs, items).collect()) == [9, 10, 11]
 
 
-def test_multi_index_finds_all_within_radius():
+def test_multi_index_finds_all_within_radius_and_prunes():
     r = np.random.default_rng(3)
-    prints = r.integers(0, 256, (300, 32), dtype=np.uint8)
+    prints = r.integers(0, 1 << 64, (300, decontaminate.BLOCKS), dtype=np.uint64)
     index = decontaminate.MultiIndex(prints)
+    own = []
     for _ in range(50):
-        fp = prints[r.integers(300)].copy()
-        flips = r.choice(256, r.integers(0, 110), replace=False)
-        bits = np.unpackbits(fp)
-        bits[flips] ^= 1
-        fp = np.packbits(bits)
-        assert set(index.near(fp).tolist()) == set(np.flatnonzero(np.bitwise_count(prints ^ fp).sum(axis=1) <= 96).tolist())
+        bits = np.unpackbits(prints[r.integers(300)].view(np.uint8))
+        bits[r.choice(decontaminate.BITS, r.integers(0, 160), replace=False)] ^= 1
+        own.append(np.packbits(bits).view(np.uint64))
+    own = np.stack(own)
+    far = np.bitwise_count(own[:, None, :] ^ prints[None, :, :]).sum(axis=2)
+    q, i = index.near(own)
+    assert set(zip(q.tolist(), i.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(far <= decontaminate.RADIUS)))) and len(q) > 20
+    q, _ = index.passing(r.integers(0, 1 << 64, (300, decontaminate.BLOCKS), dtype=np.uint64))
+    assert len(q) < 0.01 * 300 * 300
+
+
+def test_window_prints_by_hand(monkeypatch):
+    r = np.random.default_rng(1)
+    grams = r.integers(0, 1 << 64, 400, dtype=np.uint64)
+    starts = np.array([0, 1, 2, 30, 31, 200, 390])
+    monkeypatch.setattr(decontaminate, "_RUN", 25)
+    got = decontaminate.window_prints(grams, starts, 10)
+    for s, fp in zip(starts.tolist(), got, strict=True):
+        assert (decontaminate.window_prints(grams[s : s + 10], np.zeros(1, np.int64), 10)[0] == fp).all()
+    one = decontaminate.window_prints(grams, np.array([7]), 1)[0]
+    assert one[0] == wordhash.mix(grams[7:8] + np.uint64(0x9E3779B97F4A7C15))[0]
+
+
+def test_radius_holds_similar_windows():
+    """Windows whose weighted similarity is just 0.8 or above stay within the radius."""
+    r = np.random.default_rng(4)
+    for m in (9, 10, 14, 20, 46, 100):
+        common = decontaminate.least_common(m, m)
+        for _ in range(300):
+            a = r.integers(0, 1 << 64, m, dtype=np.uint64)
+            b = np.concatenate([a[:common], r.integers(0, 1 << 64, m - common, dtype=np.uint64)])
+            x, y = (decontaminate.window_prints(v, np.zeros(1, np.int64), m)[0] for v in (a, b))
+            assert np.bitwise_count(x ^ y).sum() <= decontaminate.RADIUS
 
 
 def test_forward_sums_all_segmentations():
@@ -393,10 +424,43 @@ def test_forward_sums_all_segmentations():
     got = np.zeros_like(m.table)
     m.expect(["ab"], np.array([[2.0]]), got)
     assert got[2, 0] == pytest.approx(2 * 0.05 * 0.3 / want)
-    assert np.isfinite(m.log_probs(["z" * 500])).all()
-
-
-def test_language_id(spark):
+    assert np.isfinite(m.log_probs(["z" * 500, "a" * 100_000])).all()
+
+
+def test_long_words_are_segmented_whole(monkeypatch):
+    r = random.Random(3)
+    pieces = ["a", "b", "c", "ab", "bca", " a", " ", "abcab", "cc", "aaaaaaaaaaaaaaaaaab"]
+    probs = np.random.default_rng(1).dirichlet(np.ones(len(pieces)), 2).T
+    m = langid.Model(["x", "y"], pieces, probs)
+    words = ["".join(r.choice("abcd") for _ in range(r.choice([1, 5, 39, 40, 41, 60, 90, 300]))) for _ in range(40)] + ["a" * 80, "b" * 41]
+
+    def plain(word, k):  # logs of the sums over all segmentations, by whole numbers of Python
+        from fractions import Fraction
+
+        table = dict(zip(pieces, map(Fraction, probs[:, k].tolist()), strict=True))
+        word, sums = " " + word, [Fraction(1)]
+        for j in range(1, len(word) + 1):
+            total = Fraction(0)
+            for i in range(max(0, j - 19), j):
+                p = table.get(word[i:j], Fraction(langid.FLOOR) if j - i == 1 else 0)
+                total += sums[i] * p
+            sums.append(total)
+        import math
+
+        return math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+
+    got = m.log_probs(words)
+    assert got == pytest.approx(np.array([[plain(w, 0), plain(w, 1)] for w in words]))
+    weights = np.ones((len(words), 2))
+    own, all_long = np.zeros_like(m.table), np.zeros_like(m.table)
+    m.expect(words, weights, own)
+    monkeypatch.setattr(langid, "SHORT", 0)
+    assert m.log_probs(words) == pytest.approx(got)
+    m.expect(words, weights, all_long)
+    assert all_long == pytest.approx(own)
+
+
+def test_language_id(spark, monkeypatch):
     import public_tokenizers
 
     r = random.Random(1)
@@ -414,8 +478,17 @@ def test_language_id(spark):
         elif x["lang"]:
             assert x["lang_pred"] == x["lang"] and 0.5 < x["score"] <= 1
     assert {x["lang_pred"] for x in langid.predict(df, langid.fit(df.where("false"), public_tokenizers.path("piece_bpe_32k.model"))).collect()} == {"und"}
-    with pytest.raises(ValueError, match="already has"):
-        langid.predict(df.withColumn("score", F.lit(1)), model)
+    clash = df.withColumn("score", F.lit(1)).withColumn("lang_pred", F.lit("x"))
+    again = langid.predict(clash, model)
+    assert again.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and sorted(map(str, again.collect())) == sorted(map(str, langid.predict(df, model).collect()))
+    kept = langid.keep_known(clash, model, 0.5)
+    assert kept.columns == clash.columns
+    sure = Counter((x["doc_id"], x["text"]) for x in again.where("lang_pred <> 'und' and score >= 0.5").collect())
+    assert Counter((x["doc_id"], x["text"]) for x in kept.collect()) == sure and sum(sure.values()) == len(rows) - 3
+    assert langid.predict(df.where("false"), model).count() == langid.keep_known(df.where("false"), model, 0.5).count() == 0
+    monkeypatch.setattr(langid, "MAX_LANGS", 1)
+    with pytest.raises(ValueError, match="labels"):
+        langid.fit(df, public_tokenizers.path("piece_bpe_32k.model"))
     import zlib
 
     held = {x["doc_id"]: x["h"] for x in df.select("doc_id", langid.held_out().alias("h")).collect()}
