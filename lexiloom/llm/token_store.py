@@ -16,9 +16,10 @@ chunk against its digest, every recipe and every manifest against its root.
 range partitions and one row for each of them.
 
 Defined cases: a null text counts as empty (one end id); documents with equal
-ids are ordered by the digest of their ids and then alike; null ids come first;
-text that looks like a special token is ordinary text; an empty table gives
-empty tables; other columns are not looked at.
+ids are ordered by a hash of their ids and then alike; null ids come first;
+an added token of the vocabulary that stands in a text, such as an end mark, is
+that token, as in the library's own call; an empty table gives empty tables;
+other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import Window
 from pyspark.sql import types as T
 
 from .pretokens import WordTable, code_points, gather, span_hashes, split_points
-from .storage import drop_path, durable, new_path, shuffle_width, small_batches
+from .storage import drop_path, durable, new_path, shuffle_width, slices
 
 #: Least, usual and greatest ids in a chunk; ids that the rolling hash looks back on.
 LEAST, USUAL, GREATEST, LOOK_BACK = 128, 512, 4096, 8
@@ -94,7 +95,8 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        #: texts with one of these are left to the library as they are
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values() if t.content]
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         #: bytes of each token: a byte-level token has a character for each byte
         self.bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
@@ -120,6 +122,9 @@ class CachedEncoder:
         together, alone = np.flatnonzero(~apart), np.flatnonzero(apart)
         own = [words[i] for i in together.tolist()]
         rows = ["".join(own[at : at + ROW]) for at in range(0, len(own), ROW)]
+        if any(t in row for row in rows for t in self.added):  # of letters, made up by neighbours
+            together, own, rows, apart[:] = together[:0], [], [], True
+            alone = np.arange(len(words))
         flat = np.array([i for e in self.library.encode_batch_fast(rows, add_special_tokens=False) for i in e.ids], dtype=np.uint32)
         if len(together):
             ends = np.cumsum(np.fromiter((len(w.encode()) for w in own), np.int64, len(own)))
@@ -153,7 +158,14 @@ class CachedEncoder:
         self.used += len(flat)
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text."""
+        """Ids of each text, as the library's own call gives them."""
+        special = [bool(x) and any(t in x for t in self.added) for x in texts]
+        out = self._encode_plain([None if own else x for x, own in zip(texts, special, strict=True)])
+        for k in np.flatnonzero(special).tolist():
+            out[k] = np.array(self.library.encode(texts[k], add_special_tokens=False).ids, dtype=np.uint32)
+        return out
+
+    def _encode_plain(self, texts: list[str | None]) -> list[np.ndarray]:
         codes, bases = code_points(texts)
         begins, ends = split_points(codes)
         a, b = span_hashes(codes, begins, ends)
@@ -194,7 +206,7 @@ def encode_chunks(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
         entry = pa.struct([("digest", pa.binary()), ("n_ids", pa.int32()), ("ids", pa.binary())])
-        for batch in batches:
+        for batch in slices(batches, 300):
             counts, rows = [], []
             for ids in encoder.encode_batch(batch.column(1).to_pylist()):
                 ids = np.append(ids, np.uint32(end_id))
@@ -210,9 +222,9 @@ def encode_chunks(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str,
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _ENCODED)
 
 
-@F.udf(T.BinaryType())
-def _root(digests):
-    return merkle([bytes(d) for d in digests])
+@F.pandas_udf(T.BinaryType())
+def _root(digests: pd.Series) -> pd.Series:
+    return digests.map(lambda own: merkle([bytes(d) for d in own]))
 
 
 def write_store(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> str:
@@ -220,7 +232,6 @@ def write_store(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
     from tokenizers import Tokenizer
 
     spark = df.sparkSession
-    small_batches(spark, 300)
     width = 2 if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     encoded, held = durable(encode_chunks(df, tokenizer_path, end_id, id_col, text_col, width), "encoded")
 
@@ -229,7 +240,7 @@ def write_store(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
     chunks.groupBy("digest").agg(F.first("n_ids").alias("n_ids"), F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     lean = encoded.select("doc_id", "n_tokens", F.col("chunks.digest").alias("chunks"))
-    ranged = lean.withColumn("tie", F.sha2(F.array_join(F.transform("chunks", F.hex), ""), 256)).repartitionByRange(shuffle_width(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    ranged = lean.withColumn("tie", F.xxhash64("chunks")).repartitionByRange(shuffle_width(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     ordered, order_path = durable(ranged.withColumn("part", F.spark_partition_id()).withColumn("n", F.monotonically_increasing_id()), "ordered")
     drop_path(spark, held)
     own = Window.partitionBy("part").orderBy("n")
@@ -316,7 +327,6 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
                 raise ValueError("a recipe names a chunk that is not there")
             yield pdf.assign(crc=crc_shift(pdf["crc"].to_numpy().astype(np.uint64), pdf["after"].to_numpy()).astype(np.int64))[["place", "doc_id", "start", "n_tokens", "n_ids", "crc"]]
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")  # no texts from here on
     parts = met.select("place", "doc_id", "start", "n_tokens", "n_ids", "crc", "after").mapInPandas(run, "place long, doc_id long, start long, n_tokens long, n_ids int, crc long")
     whole = parts.groupBy("place", "doc_id", "start", "n_tokens").agg(F.expr("bit_xor(crc)").alias("ids_crc32"), F.sum("n_ids").alias("found"))
     checked = F.when(F.col("found") == F.col("n_tokens"), F.col("ids_crc32")).otherwise(F.raise_error(F.lit("a recipe does not have as many ids as it says")))

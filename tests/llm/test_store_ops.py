@@ -15,6 +15,7 @@ from lexiloom.llm import bpe, embed_dedup, pretokens, storage, token_store, url_
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 RANKS, JSON = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+LONG = "very long \u00e9 text " * 400_000
 TEXTS = [None, "", " ", "\n\n  \t x", "<|endoftext|> it's Größe 123\u0085\u2028 \x1c\x00a", "日本語 テキスト 😀👍🏽", "word " * 4000, "a" * 3000, "same", "same", "don't\r\n won't'S"]
 
 
@@ -29,9 +30,7 @@ def tiktoken_encoding():
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(JSON)
 
 
 @settings(max_examples=200, deadline=None)
@@ -40,6 +39,7 @@ def test_pretokens_match_both_libraries(tiktoken_encoding, library, text):
     single = tiktoken_encoding._core_bpe.encode_single_piece
     found = pretokens.splitter()(text)
     assert "".join(found) == text
+    assert all(pretokens.splitter()(w) == [w] for w in found)
     assert [i for w in found for i in single(w.encode())] == tiktoken_encoding.encode_ordinary(text)
     assert token_store_encoder().encode_batch([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
@@ -84,13 +84,18 @@ def test_bpe_round_trip(spark, tiktoken_encoding, block, monkeypatch):
     monkeypatch.setattr(bpe, "GROUP", 40)
     rows = [*enumerate(TEXTS), (3, TEXTS[3]), (None, "no id")]
     want = Counter((i, np.array(tiktoken_encoding.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in rows)
-    once = bpe.encode(table(spark, rows), RANKS, block_bytes=block, decoded=True).collect()
-    assert Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in once) == want
-    apart = bpe.decode(bpe.encode(table(spark, rows), RANKS, block_bytes=block), RANKS).collect()
-    assert Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in apart) == want
+    got = bpe.decode(bpe.encode(table(spark, rows), RANKS, block_bytes=block), RANKS).collect()
+    assert Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in got) == want
     assert bpe.encode(table(spark, []), RANKS).count() == 0
 
 
+def test_decoding_of_nothing_and_of_unknown_ids(spark):
+    frame = lambda x: spark.createDataFrame([(1, x)], "doc_id long, ids binary")
+    assert bpe.decode(frame(None), RANKS).first()["decoded"] is None and bytes(bpe.decode(frame(b""), RANKS).first()["decoded"]) == b""
+    with pytest.raises(Exception, match="not in the token table"):
+        bpe.decode(frame(b"\xff\xff\xff\x7f"), RANKS).collect()
+
+
 def test_token_store(spark, library):
     rows = [*enumerate(TEXTS), (50, TEXTS[6]), (3, TEXTS[3])]
     path = token_store.write_store(table(spark, rows), storage.new_path(spark, "t"), JSON, segment=4)
@@ -136,6 +141,21 @@ def test_cuts_and_crcs(ids, a, b):
     assert int(shifted[0]) ^ zlib.crc32(b) == zlib.crc32(a + b)
 
 
+def test_token_store_of_special_tokens(spark, library):
+    texts = ["hello <|endoftext|> x", "a<|endoftext|>b", "<|endoftext|>", "<|endoftext|", "x <|endoftext|><|endoftext|>\n"]
+    path = token_store.write_store(table(spark, list(enumerate(texts))), storage.new_path(spark, "t"), JSON)
+    got = {r["doc_id"]: r["ids"] for r in token_store.read_documents(spark, path).collect()}
+    assert got == {i: [*library.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert got[0] == [31373, 220, 50256, 2124, 2]
+
+
+def test_a_very_long_text(spark, tiktoken_encoding, library):
+    got = bpe.decode(bpe.encode(table(spark, [(1, LONG), (2, "x")]), RANKS), RANKS).collect()
+    assert {r["doc_id"]: (bytes(r["ids"]), bytes(r["decoded"])) for r in got} == {1: (np.array(tiktoken_encoding.encode_ordinary(LONG), "<u4").tobytes(), LONG.encode()), 2: (np.array(tiktoken_encoding.encode_ordinary("x"), "<u4").tobytes(), b"x")}
+    path = token_store.write_store(table(spark, [(1, LONG)]), storage.new_path(spark, "t"), JSON)
+    assert token_store.read_index(spark, path).first()["ids_crc32"] == zlib.crc32(np.array([*library.encode(LONG, add_special_tokens=False).ids, 2], "<u4").tobytes())
+
+
 def test_cuts_are_content_defined():
     r = np.random.default_rng(1)
     x = r.integers(0, 50_000, 20_000).astype(np.uint32)
