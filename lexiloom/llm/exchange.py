@@ -58,10 +58,11 @@ def deal(block: int, keys: np.ndarray, more: list[np.ndarray], ranges: int, lane
         yield {"owner": lane * ranges + i, "block": block, "n": b - a, "keys": pack_sorted(keys[a:b] >> np.uint64(shift)), "more": squeeze(b"".join(x[a:b].tobytes() for x in more))}
 
 
-def resolve(blobs: DataFrame, judge: Callable[[np.ndarray, list[np.ndarray]], np.ndarray], dtypes: list) -> DataFrame:
-    """Answers of every range.  ``judge(keys, columns)`` gives an answer for each entry of a range."""
+def resolve(blobs: DataFrame, ranges: int, *lanes: tuple[Callable[[np.ndarray, list[np.ndarray]], np.ndarray], list]) -> DataFrame:
+    """Answers of every range.  A lane's ``judge(keys, columns)`` gives an answer for each entry of a range; further lanes are like the last one given."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        judge, dtypes = lanes[min(int(pdf["owner"].iloc[0]) // ranges, len(lanes) - 1)]
         keys, columns = [], [[] for _ in dtypes]
         for n, packed, more in zip(pdf["n"], pdf["keys"], pdf["more"], strict=True):
             keys.append(unpack_sorted(bytes(packed), n))

@@ -86,6 +86,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 4 <<
             yield batch.slice(at, n)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names with a tail that keeps them apart from ``columns`` in any case of letters."""
+    taken, tail = {c.lower() for c in columns}, ""
+    while any(f"{n}{tail}".lower() in taken for n in names):
+        tail += "_"
+    return [f"{n}{tail}" for n in names]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

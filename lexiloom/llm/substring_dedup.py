@@ -13,10 +13,11 @@ of ``DEPTH`` rows, is spread over the cluster by cell range, and each block gets
 back one bit for each of its own cells, so it is nowhere held whole.
 
 Defined cases: a null text has no words; an empty text or one shorter than a
-window loses nothing; rows with a null id are left out; rows that share an id
-count as one document for "smaller", so neither removes words of the other; a
-passage that repeats only inside one document stays; other columns of the
-input are not looked at, whatever their names.
+window loses nothing; rows with a null id come back whole, as no id is smaller
+than null, and take nothing from others; rows that share an id count as one
+document for "smaller", so neither removes words of the other; a passage that
+repeats only inside one document stays; a text of any length is taken whole;
+other columns of the input are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from .blocks import Block, blocks_in, pack
-from .storage import durable
+from .storage import durable, unused
 from .wordhash import mix, window_hashes, word_bounds, word_hashes
 
 DEPTH = 2
@@ -151,10 +152,14 @@ def _cut(size: int, ranges: int, shift: int, exact_ranges: int):
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
-    """One row per document with an id: ``doc_id, n_words, n_removed, kept`` (UTF-8, words joined by one space).
+    """One row per document: ``doc_id, n_words, n_removed, kept`` (UTF-8, words joined by one space).
 
     ``text_hash`` is Spark's ``xxhash64`` of the text that was read (of '' for null).
     """
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    own = F.col(f"`{id_col}`").cast("long")
+    nameless = df.where(own.isNull()).select(own.alias("doc_id"), F.size(words).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join(words, " ").cast("binary").alias("kept"), F.xxhash64(text).alias("text_hash"))
     blocks, _ = pack(df, id_col, text_col)
     size = blocks.agg(F.coalesce(F.sum("raw_bytes"), F.lit(0)).alias("n")).first()["n"]
     entries = max(1, size // 6)
@@ -162,12 +167,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shift = 64 - max(1, (entries * CELLS).bit_length())
     blobs = blocks.mapInPandas(_sketch(window, ranges, shift), X.BLOB)
     # the bits that came back are small and used by both later passes
-    merged, _ = durable(X.resolve(blobs, lambda keys, more: X.seen_twice(keys, more[0]), [np.uint8]), "estimates")
+    merged, _ = durable(X.resolve(blobs, ranges, (lambda keys, more: X.seen_twice(keys, more[0]), [np.uint8])), "estimates")
     exact_ranges = X.ranges_for(blocks, entries // 2)
     second = blocks.groupBy("block").cogroup(merged.groupBy("block")).applyInPandas(_exact(window, ranges, shift, exact_ranges), X.BLOB)
-    least = X.resolve(second, lambda keys, more: X.least_doc(keys, more[0], more[1]), [np.uint32, np.int64])
+    least = X.resolve(second, exact_ranges, (lambda keys, more: X.least_doc(keys, *more), [np.uint32, np.int64]))
     said = merged.withColumn("pass", F.lit(1)).union(least.withColumn("pass", F.lit(2)))
-    return blocks.groupBy("block").cogroup(said.groupBy("block")).applyInPandas(_cut(window, ranges, shift, exact_ranges), OUT)
+    return blocks.groupBy("block").cogroup(said.groupBy("block")).applyInPandas(_cut(window, ranges, shift, exact_ranges), OUT).union(nameless)
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
@@ -176,8 +181,9 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Texts that lose nothing stay as they are, white space included; rows that
     lose all their words go; rows with a null id stay as they are.
     """
+    own, seen, kept, gone = unused(df.columns, "id", "hash", "kept", "gone")
     cut = remove_repeats(df, id_col, text_col, window).where("n_removed > 0")
-    cut = cut.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.decode("kept", "UTF-8").alias("__kept"), (F.col("n_removed") == F.col("n_words")).alias("__gone")).dropDuplicates(["__id", "__hash"])
+    cut = cut.select(F.col("doc_id").alias(own), F.col("text_hash").alias(seen), F.decode("kept", "UTF-8").alias(kept), (F.col("n_removed") == F.col("n_words")).alias(gone)).dropDuplicates([own, seen])
     text = F.col(f"`{text_col}`")
-    met = df.join(cut, (F.col(f"`{id_col}`").cast("long") == F.col("__id")) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col("__hash")), "left").where("__gone is null or not __gone")
-    return met.withColumn(text_col, F.coalesce("__kept", text)).select(*(F.col(f"`{c}`") for c in df.columns))
+    met = df.join(cut, (F.col(f"`{id_col}`").cast("long") == F.col(own)) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col(seen)), "left").where(f"{gone} is null or not {gone}")
+    return met.select(*(F.coalesce(kept, text).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns))

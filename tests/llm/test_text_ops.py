@@ -61,15 +61,13 @@ def test_substring_dedup(spark, block, monkeypatch):
     first = firsts(docs, 13)
     want = []
     for i, t in docs:
-        if i is None:
-            continue
         w, gone = words(t), set()
         for p in range(len(w) - 12):
-            if first[tuple(w[p : p + 13])] < i:
+            if i is not None and first[tuple(w[p : p + 13])] < i:
                 gone |= set(range(p, p + 13))
         want.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
     got = [(r["doc_id"], r["n_words"], r["n_removed"], bytes(r["kept"]).decode()) for r in substring_dedup.remove_repeats(frame(spark, docs)).collect()]
-    assert sorted(got) == sorted(want)
+    assert sorted(got, key=str) == sorted(want, key=str)
 
 
 from lexiloom.llm.blocks import pack  # noqa: E402
@@ -77,9 +75,10 @@ from lexiloom.llm.blocks import pack  # noqa: E402
 
 def test_substring_filter_keeps_columns_and_clean_texts(spark):
     docs = corpus(2)
-    df = frame(spark, docs)
+    df = frame(spark, docs).withColumnsRenamed({"block": "Id", "owner": "hash", "n": "kept", "fp": "id_"})
     out = substring_dedup.without_repeats(df)
     assert out.columns == df.columns
+    assert substring_dedup.without_repeats(df.where("false")).count() == 0
     cut = {(r["doc_id"], r["text_hash"]): r for r in substring_dedup.remove_repeats(df).collect()}
     kept = Counter((r["doc_id"], r["text"]) for r in out.collect())
     want = Counter()
@@ -92,7 +91,9 @@ def test_substring_filter_keeps_columns_and_clean_texts(spark):
     assert kept == want
 
 
-def test_suffix_spans(spark):
+@pytest.mark.parametrize("hot", [0, 3, 4096])
+def test_suffix_spans(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)  # all, some or none of the beginnings by digests
     docs = corpus(3)
     first = firsts(docs, 50)
     want = set()
@@ -121,6 +122,48 @@ def test_suffix_spans(spark):
     assert removed[clean] == " ".join(words(dict(docs)[clean]))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=40), st.integers(1, 12))
+def test_sliding_argmin(values, width):
+    got = suffix_dedup.sliding_argmin(np.array(values, dtype=np.uint64), width).tolist()
+    assert got == [p + values[p : p + width].index(min(values[p : p + width])) for p in range(len(values) - width + 1)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.lists(st.integers(1, 2), min_size=4, max_size=4)), max_size=20))
+def test_common_prefixes_of_sorted_neighbours(rows):
+    group, words = np.array([g for g, _ in rows], dtype=np.int64), np.array([w for _, w in rows], dtype=np.uint64).reshape(-1, 4)
+    order, common = suffix_dedup.common_prefixes(words, group)
+    ranked = [rows[i] for i in order.tolist()]
+    assert ranked == sorted(rows)
+    for (g, a), (h, b), n in zip(ranked, ranked[1:], common[1:].tolist()):
+        assert n == (-1 if g != h else next((k for k in range(4) if a[k] != b[k]), 4))
+    assert not len(common) or common[0] == -1
+
+
+def test_matches_are_extended_to_both_sides(spark):
+    """One shared passage with own words around it: runs reach as far as it does, on either side, and no further."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    for size in (49, 50, 51, 75, 120, 400):
+        passage = [word() for _ in range(size)]
+        docs = [(k, " ".join([word() for _ in range(10 * k)] + passage + [word() for _ in range(7)])) for k in (1, 2, 3)]
+        got = sorted(map(tuple, suffix_dedup.repeated_spans(frame(spark, docs)).collect()))
+        assert got == ([(2, 1, 20, size), (3, 1, 30, size)] if size >= 50 else [])
+
+
+def test_a_text_beyond_a_block(spark):
+    r = random.Random(6)
+    long = " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(600_000))  # 4 MB
+    docs = [(1, long), (2, " ".join(long.split()[500_000:500_100]))]
+    assert sorted(map(tuple, suffix_dedup.repeated_spans(frame(spark, docs)).collect())) == [(2, 1, 0, 100)]
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"]) for x in substring_dedup.remove_repeats(frame(spark, docs)).collect()}
+    assert got == {1: (600_000, 0), 2: (100, 100)}
+    assert simhash_dedup.fingerprints(frame(spark, docs)).where("doc_id = 1").first()["fp"] % (1 << 64) == simhash_dedup.fingerprint(long)
+    items = spark.createDataFrame([(7, docs[1][1])], "item_id long, text string")
+    assert [(x["doc_id"], x["start_word"]) for x in decontaminate.contaminated(frame(spark, docs), items).orderBy("doc_id").collect()] == [(1, 500_000), (2, 0)]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], CLASH)
     items = spark.createDataFrame([], "item_id long, text string")
