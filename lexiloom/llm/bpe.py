@@ -8,13 +8,14 @@ and joins the ids back to the blobs in their order; each document's ids are
 then put together by position.  A frequent word costs a block one entry, so it
 makes no hot key.
 
-Decoding joins the token-byte table (a fixed vocabulary of some fifty thousand
-rows, refused beyond ``MAX_TOKENS``) to the ids, in the order of the ids.
+Decoding joins the token-byte table to the ids: the table, a fixed vocabulary
+of some fifty thousand rows, refused beyond ``MAX_TOKENS``, is broadcast once,
+and a document's ids gather their bytes from it in their order.
 
 Defined cases: a null text counts as empty and has no ids; text that looks
 like a special token is ordinary text; ids repeat as rows do; rows with a null
-id are kept with it; other columns are not looked at.  Ids out of the table
-raise when decoded.
+id are kept with it; a text of any length is one document of its block; other
+columns are not looked at.  Ids out of the table raise when decoded.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .blocks import expand, squeeze
 from .pretokens import PATTERN, code_points, gather, read_ranks, span_hashes, split_points
-from .storage import durable_by, shuffle_width, slices
+from .storage import durable_by, once_a_worker, shuffle_width, slices
 
 #: Characters of text after which a block is closed.
 BLOCK_BYTES = 4 << 20
@@ -40,8 +41,9 @@ GROUP = 1 << 19
 #: Largest token table that is sent to every worker.
 MAX_TOKENS = 2_000_000
 
-_BLOCKS = "block long, ids binary, no_id binary, sizes binary, positions binary, owners binary, words array<struct<owner:int,n:int,sizes:binary,bytes:binary>>"
-_CODED = "block long, owner int, answer binary"
+#: A block is a row of its documents (owner -1) and a row for each word range: no row is large.
+_BLOCKS = "block long, owner int, ids binary, no_id binary, positions binary, owners binary, sizes binary, bytes binary"
+_CODED = "home long, owner int, answer binary"
 _IDS = "doc_id long, ids binary"
 
 
@@ -83,23 +85,17 @@ def _words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[byt
 
 
 def _split(block_bytes: int, ranges: int):
-    entry = pa.struct([("owner", pa.int32()), ("n", pa.int32()), ("sizes", pa.binary()), ("bytes", pa.binary())])
-
     def block(number: int, ids: list, texts: list[str | None]) -> pa.RecordBatch:
         sizes, numbers, words = _words_of(texts)
         owner = np.fromiter((zlib.crc32(w) % ranges for w in words), np.int32, len(words))
         dealt = np.argsort(owner, kind="stable")  # an owner gets its words in order of frequency
         cuts = np.flatnonzero(np.append(True, np.diff(owner[dealt]) != 0)).tolist() if len(dealt) else []
-        lists = []
+        rows = [(number, -1, np.array([i or 0 for i in ids], np.int64).tobytes(), np.array([i is None for i in ids], bool).tobytes(), _planes(numbers), _planes(owner), sizes.astype(np.int64).tobytes(), None)]
         for lo, hi in zip(cuts, [*cuts[1:], len(dealt)], strict=True):
             mine = [words[i] for i in dealt[lo:hi].tolist()]
-            lists.append({"owner": int(owner[dealt[lo]]), "n": hi - lo, "sizes": squeeze(np.fromiter(map(len, mine), np.int32, hi - lo).tobytes()), "bytes": squeeze(b"".join(mine))})
-        return pa.RecordBatch.from_pydict(
-            {
-                "block": pa.array([number], pa.int64()), "ids": pa.array([np.array([i or 0 for i in ids], np.int64).tobytes()], pa.binary()), "no_id": pa.array([np.array([i is None for i in ids], bool).tobytes()], pa.binary()),
-                "sizes": pa.array([sizes.astype(np.int64).tobytes()], pa.binary()), "positions": pa.array([_planes(numbers)], pa.binary()), "owners": pa.array([_planes(owner)], pa.binary()), "words": pa.array([lists], pa.list_(entry)),
-            }
-        )
+            rows.append((number, int(owner[dealt[lo]]), None, None, None, None, squeeze(np.fromiter(map(len, mine), np.int32, hi - lo).tobytes()), squeeze(b"".join(mine))))
+        kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 6)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _BLOCKS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, held = TaskContext.get().partitionId(), 0, 0
@@ -119,11 +115,22 @@ def _split(block_bytes: int, ranges: int):
     return run
 
 
-def _encode_words(ranks_path: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+_coders: dict = {}
+
+
+def _coder(ranks_path: str):
+    """A worker's encoder of pre-tokens, kept from task to task; a pre-token splits into itself alone."""
+    if ranks_path not in _coders:
         import tiktoken
 
-        single = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=read_ranks(ranks_path), special_tokens={})._core_bpe.encode_single_piece
+        _coders.clear()
+        _coders[ranks_path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=read_ranks(ranks_path), special_tokens={}).encode_ordinary
+    return _coders[ranks_path]
+
+
+def _encode_words(ranks_path: str):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        code = _coder(ranks_path)
         known: dict[bytes, list[int]] = {}
         out = []
         for sizes, data in zip(pdf["sizes"], pdf["bytes"], strict=True):
@@ -131,25 +138,29 @@ def _encode_words(ranks_path: str):
             words = [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
             for w in words:
                 if w not in known:
-                    known[w] = single(w)
+                    known[w] = code(w.decode())
             ids = [known[w] for w in words]
             width = np.fromiter(map(len, ids), np.int32, len(ids))
             flat = np.array([i for x in ids for i in x], dtype=np.int32)
             widths = _planes(width)
             out.append(len(widths).to_bytes(4, "little") + widths + _planes(flat))
-        return pdf[["block", "owner"]].assign(answer=out)
+        return pd.DataFrame({"home": pdf["block"], "owner": pdf["owner"], "answer": out})
 
     return run
 
 
-def _assemble(table: list[bytes] | None):
+def _assemble(table):
+    """``table``: the broadcast token-byte table where the ids are decoded as well."""
+
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        decoder = table and once_a_worker(table, _Decoder)
+        answers = right.sort_values("owner")["answer"].tolist()
         out_ids, out, decoded = [], [], []
         for row in left.itertuples(index=False):
             ids, no_id = np.frombuffer(row.ids, np.int64), np.frombuffer(row.no_id, bool)
             sizes, at, owners = np.frombuffer(row.sizes, np.int64), _unplanes(row.positions), _unplanes(row.owners)
             widths, flats = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-            for answer in right.sort_values("owner")["answer"]:
+            for answer in answers:
                 n = int.from_bytes(answer[:4], "little") + 4
                 widths.append(_unplanes(answer[4:n]))
                 flats.append(_unplanes(answer[n:]))
@@ -159,12 +170,11 @@ def _assemble(table: list[bytes] | None):
             place[np.argsort(owners, kind="stable")] = np.arange(len(owners))
             at, doc_ends = place[at], np.cumsum(sizes)
             for i, (end, size) in enumerate(zip(doc_ends.tolist(), sizes.tolist(), strict=True)):
-                got, _ = gather(flat, starts, width, at[end - size : end])
                 out_ids.append(None if no_id[i] else int(ids[i]))
-                out.append(got.tobytes())
-                if table is not None:
-                    decoded.append(decode_with(table, out[-1]))
-        return pd.DataFrame({"doc_id": pd.array(out_ids, "Int64"), "ids": out} | ({} if table is None else {"decoded": decoded}))
+                out.append(gather(flat, starts, width, at[end - size : end])[0].tobytes())
+                if decoder:
+                    decoded.append(decoder(out[-1]))
+        return pd.DataFrame({"doc_id": pd.array(out_ids, "Int64"), "ids": out} | ({"decoded": decoded} if table else {}))
 
     return run
 
@@ -176,44 +186,54 @@ RANGE_BYTES = 8 << 20
 def encode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, decoded: bool = False) -> DataFrame:
     """One row per input row: ``doc_id, ids`` (little-endian unsigned 32-bit).
 
-    With ``decoded`` the ids are decoded again in the task that put them
-    together, as :func:`decode` would, and ``decoded`` (bytes) is added.
+    With ``decoded`` the ids of a block are joined with the token-byte table
+    in the task that put them together, as :func:`decode` does, and
+    ``decoded`` (bytes) is added.
     """
     spark = df.sparkSession
-    table = token_table(ranks_path) if decoded else None
-    two = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    two = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     size = two.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     ranges = max(shuffle_width(spark), -(-size // RANGE_BYTES))
     blocks = durable_by(two.mapInArrow(_split(block_bytes, ranges), _BLOCKS), "block", ranges, "pretokens")
-    dealt = blocks.select("block", F.explode("words").alias("w")).select("block", "w.owner", "w.sizes", "w.bytes")
-    coded = dealt.groupBy("owner").applyInPandas(_encode_words(ranks_path), _CODED).select(F.col("block").alias("home"), "owner", "answer")
-    return blocks.drop("words").groupBy("block").cogroup(coded.groupBy("home")).applyInPandas(_assemble(table), _IDS + ", decoded binary" * decoded)
+    coded = blocks.where("owner >= 0").select("block", "owner", "sizes", "bytes").groupBy("owner").applyInPandas(_encode_words(ranks_path), _CODED)
+    table = spark.sparkContext.broadcast(token_table(ranks_path)) if decoded else None  # at most MAX_TOKENS tokens
+    own = blocks.where("owner < 0").select("block", "ids", "no_id", "sizes", "positions", "owners")
+    return own.groupBy("block").cogroup(coded.groupBy("home")).applyInPandas(_assemble(table), _IDS + ", decoded binary" * decoded)
 
 
-def token_table(ranks_path: str) -> list[bytes]:
-    """Token bytes by id."""
+def token_table(ranks_path: str) -> tuple[bytes, np.ndarray]:
+    """The bytes of all tokens in a row, and how many each id has (-1: no such id)."""
     ranks = read_ranks(ranks_path)
     top = max(ranks.values(), default=-1) + 1
     if top > MAX_TOKENS:
         raise ValueError(f"{top} tokens; at most {MAX_TOKENS} are sent to every worker")
-    table: list = [None] * top
+    sizes = np.full(top, -1, dtype=np.int64)
     for token, i in ranks.items():
-        table[i] = token
-    return table
+        sizes[i] = len(token)
+    return b"".join(token for token, _ in sorted(ranks.items(), key=lambda x: x[1])), sizes
+
 
+class _Decoder:
+    def __init__(self, table: tuple[bytes, np.ndarray]):
+        self.bytes, self.sizes = np.frombuffer(table[0], np.uint8), table[1]
+        self.starts = np.cumsum(np.maximum(self.sizes, 0)) - np.maximum(self.sizes, 0)
 
-def decode_with(table: list[bytes], ids: bytes) -> bytes:
-    """The bytes of a document's ids."""
-    return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def __call__(self, ids: bytes) -> bytes:
+        """The bytes of a document's ids."""
+        own = np.frombuffer(ids, "<u4").astype(np.int64)
+        if len(own) and (int(own.max()) >= len(self.sizes) or int(self.sizes[own].min()) < 0):
+            raise ValueError("an id is not in the token table")
+        return gather(self.bytes, self.starts, self.sizes, own)[0].tobytes()
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """``doc_id, ids`` -> ``doc_id, ids, decoded`` (bytes)."""
+    """``doc_id, ids`` -> ``doc_id, ids, decoded`` (bytes; null ids stay null)."""
+    shared = encoded.sparkSession.sparkContext.broadcast(token_table(ranks_path))  # at most MAX_TOKENS tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_table(ranks_path)
+        decoder = once_a_worker(shared, _Decoder)
         for batch in slices(batches):
-            decoded = [decode_with(table, x) for x in batch.column(1).to_pylist()]
+            decoded = [None if x is None else decoder(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
