@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import os
 
@@ -10,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import chat, inference, preferences, review, sft, teacher, tokens
+from .operators import chat, inference, preferences, review, sft, stats, teacher, tokens
 from .operators.acquire import acquire
-from .plans import corpus, session
+from .plans import corpus, judge_run, session
 from .sources import artifacts, jsonl, registry
+from .sources.shared import durable
 
 SEED = corpus.SEED
+#: Characters that are packed together.
+PACKED = 32 << 20
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
@@ -30,6 +34,12 @@ def _config(path: str) -> dict:
     return value
 
 
+def _named(name: str):
+    """An object by ``module:name``, such as a model loader or a tokenizer."""
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
+
+
 def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]  # small reports only
 
@@ -51,14 +61,16 @@ def build_parser() -> argparse.ArgumentParser:
     command("acquire", ("--config", need()), ("--output", need()), ("--max-documents", {"type": int}))
     command("inspect-hf", ("--config", need()), ("--source", need()), seed=False)
     command("prepare", ("--input", need(nargs="+")), ("--output", need()))
-    command("mix", ("--input", need()), ("--output", need()), ("--fractions", need(help="category=share,...")), ("--total-tokens", need(type=int)))
+    command("mix", ("--input", need()), ("--output", need()), ("--fractions", need(help="category=share,...")), ("--total-tokens", need(type=int)), ("--tokenizer", {"help": "module:name of a function that gives (encode, decode)"}))
     command("build-sft", ("--input", need(nargs="+")), ("--output", need()), ("--quotas", {"help": "task=rows,..."}))
-    command("synthesize-sft", ("--input", need()), ("--output", need()), ("--limit", {"type": int, "default": 200}))
+    loader = ("--loader", {"help": "module:name of a function that gives a model's answer function; without it a stub that echoes"})
+    command("synthesize-sft", ("--input", need()), ("--output", need()), ("--limit", {"type": int, "default": 200}), loader)
     command("build-preferences", ("--input", need()), ("--output", need()), ("--limit", {"type": int, "default": 20_000}))
     command("build-eval", ("--input", need()), ("--output", need()), ("--per-task", {"type": int, "default": 100}))
     command("build-general-eval", ("--input", need()), ("--output", need()), ("--per-category", {"type": int, "default": 200}))
     command("train", ("stage", {"choices": ["cpt", "sft", "reward", "dpo", "grpo"]}), ("--input", need()), ("--output", need()), seed=False)
-    command("generate", ("--input", need()), ("--output", need()), ("--max-new-tokens", {"type": int, "default": 384}), seed=False)
+    command("generate", ("--input", need()), ("--output", need()), ("--max-new-tokens", {"type": int, "default": 384}), loader, ("--model", {"default": "stub"}), seed=False)
+    command("judge", ("--input", need(help="presentations")), ("--output", need()), loader, ("--model", {"default": "stub"}), ("--min-consistency", {"type": float, "default": stats.CONSISTENCY}), seed=False)
     command("score", ("--input", need()), ("--output", need()), seed=False)
     command("blind-review", ("--input", need(nargs="+", help="model=path")), ("--output", need()))
     command("summarize-review", ("--review", need()), ("--key", need()), seed=False)
@@ -103,16 +115,19 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
         rows = jsonl.write(done.where(F.size("reasons") == 0).drop("reasons", "ordinal"), a.output, ["split"])
         return {"kept": rows, "audit": _rows(corpus.audit(done, "source" if "source" in done.columns else "category"))}
     if a.command == "mix":
-        mixed = corpus.mixture(_read(spark, a.input), _pairs(a.fractions, float), a.total_tokens, a.seed).persist()
+        tokenizer = tokens.library_tokenizer(_named(a.tokenizer)) if a.tokenizer else tokens.SIMPLE
+        mixed, _ = durable(corpus.mixture(_read(spark, a.input), _pairs(a.fractions, float), a.total_tokens, a.seed, tokenizer=tokenizer), "mixture")
         return {"rows": jsonl.write(mixed, a.output), "achieved": _rows(tokens.mixture_manifest(mixed))}
     if a.command == "build-sft":
         rows = sft.build(_union(spark, a.input), "ordinal", a.seed, _pairs(a.quotas, int) if a.quotas else None)
         return {"rows": jsonl.write(rows, a.output, ["split"])}
     if a.command == "synthesize-sft":
         asked = teacher.passages(_read(spark, a.input), "source_id", a.limit, a.seed)
-        answered = inference.generate(asked, "prompt", inference.echo, "stub")
+        answered = inference.generate(asked, "prompt", _named(a.loader) if a.loader else inference.echo, a.loader or "stub")
         audited = answered.withColumn("rejection_reasons", teacher.rejections(F.col("task"), F.col("response"), F.col("passage"))).withColumn("accepted_by_rules", F.size("rejection_reasons") == 0).withColumn("requires_human_review", F.lit(True))
-        return {"rows": jsonl.write(audited, a.output)}
+        audited, _ = durable(audited, "answers")
+        accepted = audited.where("accepted_by_rules").select("task", "source_id", F.col("prompt").alias("input"), F.col("response").alias("output"), F.lit("teacher").alias("source"))
+        return {"rows": jsonl.write(audited, os.path.join(a.output, "audit")), "accepted": jsonl.write(accepted, os.path.join(a.output, "accepted"))}
     if a.command == "build-preferences":
         rows = _read(spark, a.input)
         pairs = preferences.build(rows.withColumn("messages", _messages(rows)), a.seed, a.limit).persist()
@@ -129,7 +144,9 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
         rows = _read(spark, a.input)
         prompt = chat.prompt_text(_messages(rows)) if "messages" in rows.columns else T.truthy(*(F.col(c) for c in ("prompt", "input", "text") if c in rows.columns))
         limit = a.max_new_tokens
-        return {"rows": jsonl.write(inference.generate(rows.withColumn("__prompt", prompt), "__prompt", lambda: inference.echo(limit), "stub").drop("__prompt"), a.output)}
+        return {"rows": jsonl.write(inference.generate(rows.withColumn("__prompt", prompt), "__prompt", _named(a.loader) if a.loader else lambda: inference.echo(limit), a.model).drop("__prompt"), a.output)}
+    if a.command == "judge":
+        return judge_run.pairwise(spark, _read(spark, a.input), a.output, _named(a.loader) if a.loader else inference.echo, a.model, a.min_consistency)
     if a.command == "score":
         rows = _read(spark, a.input)
         reference = chat.reference_text(_messages(rows) if "messages" in rows.columns else F.array().cast(chat.MESSAGES), *(F.col(c) for c in ("reference", "answer", "output") if c in rows.columns))
@@ -140,11 +157,11 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
         together = parts[0]
         for p in parts[1:]:
             together = together.unionByName(p)
-        sheet, key = review.blind(together, a.seed, ["accuracy", "completeness", "fluency"])
+        sheet, key = review.blind(together, a.seed, review.DIMENSIONS)
         return {"rows": jsonl.write(sheet, os.path.join(a.output, "sheet")), "key": jsonl.write(key, os.path.join(a.output, "key"))}
     if a.command == "summarize-review":
         sheet = _read(spark, a.review)
-        sheet = sheet.withColumn("scores", F.from_json(F.to_json("scores"), "map<string,int>"))
+        sheet = sheet.withColumn("scores", F.from_json(F.to_json("scores", {"ignoreNullFields": "false"}), "map<string,int>"))
         return {"models": _rows(review.review_summary(sheet, _read(spark, a.key)))}
     if a.command == "perplexity":
         rows = _read(spark, a.input)
@@ -156,7 +173,9 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
 def training_table(df: DataFrame, stage: str) -> DataFrame:
     """The table that a training stage consumes; training itself is out of scope."""
     if stage == "cpt":
-        rows = df.withColumn("tokens", tokens.simple_tokens(F.col("text"))).withColumn("__g", F.pmod(F.xxhash64("text"), F.lit(1024))).withColumn("__o", F.sha2("text", 256))
+        size = df.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+        groups = max(1, -(-size // PACKED))
+        rows = df.withColumn("tokens", tokens.simple_tokens(F.col("text"))).withColumn("__g", F.pmod(F.xxhash64("text"), F.lit(groups))).withColumn("__o", F.sha2("text", 256))
         return tokens.pack_blocks(rows, "tokens", "__o", 1024, "__g")
     if stage == "sft":
         if "messages" in df.columns:

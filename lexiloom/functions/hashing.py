@@ -33,8 +33,8 @@ def bucket(digest: Column, size: int) -> Column:
 
 def stable_split(key: Column, seed: int | str, train: float = 0.90, validation: float = 0.05) -> Column:
     """``train``, ``validation`` or ``test`` by the key's hash under a seed."""
-    if not 0 <= train <= 1 or not 0 <= validation <= 1 or train + validation > 1:
-        raise ValueError("split shares must be between 0 and 1 and not exceed 1 together")
+    if train <= 0 or validation < 0 or train + validation >= 1:
+        raise ValueError("split shares must be positive and leave some for the test part")
     at = fraction(keyed_hash(str(seed), key))
     return F.when(at < train, "train").when(at < train + validation, "validation").otherwise("test")
 

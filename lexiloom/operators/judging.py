@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.hashing import coin, keyed_hash
 
 # Rubric ranges, weights, margins and score layout.
@@ -17,8 +21,8 @@ JUDGE = f"struct<winner:string,a:{SCORES},b:{SCORES},reason:string>"
 
 def presentations(pairs: DataFrame, seed: int | str) -> DataFrame:
     """Two rows for each pair (``id, split, source_id, chosen, rejected``): both orders, the first by a hash coin."""
-    both = pairs.withColumn("order", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__a", (coin(keyed_hash(str(seed), F.col("id"))) == 0) == (F.col("order") == 0))
-    pick = lambda x, y: F.when(F.col("__a"), x).otherwise(y)
+    both = pairs.withColumn("order", F.explode(F.array(F.lit(0), F.lit(1))))
+    pick = lambda x, y: F.when((coin(keyed_hash(str(seed), F.col("id"))) == 0) == (F.col("order") == 0), x).otherwise(y)
     return both.select(
         F.concat_ws(":", "split", "id", F.col("order").cast("string")).alias("presentation_id"), F.col("id").cast("string").alias("pair_id"), "split", "order", "source_id",
         pick(F.col("chosen"), F.col("rejected")).alias("option_a"), pick(F.col("rejected"), F.col("chosen")).alias("option_b"), pick(F.lit("chosen"), F.lit("rejected")).alias("option_a_role"), pick(F.lit("rejected"), F.lit("chosen")).alias("option_b_role"),
@@ -97,28 +101,59 @@ def outcomes(merged: DataFrame) -> DataFrame:
     return merged.groupBy(F.when(F.col("position_consistent"), F.array_join("winner_roles", "/")).otherwise("inconsistent").alias("outcome")).agg(F.count("*").alias("pairs"))
 
 
-def position_bias(judgments: DataFrame, shown: DataFrame) -> dict[str, DataFrame]:
-    """Winner counts overall, by order and by role, order patterns, and schema rates; a judgment of nothing shown raises."""
+def position_bias(judgments: DataFrame, shown: DataFrame, examples: int = 20) -> dict[str, DataFrame]:
+    """What the order of the options did: winners and roles by order, patterns over both orders, by the judge's word and by its scores, and schema counts.
+
+    A judgment of nothing shown raises.  A missing winner is INVALID, which is
+    no schema violation; one of its own making is, and so is a score that is
+    not there.  Patterns come most common first; ``examples`` are the first
+    pairs, in order of their ids, whose roles differ between the orders.
+    """
     missing = judgments.join(shown, "presentation_id", "left_anti")
     if not missing.isEmpty():
         raise KeyError("a judgment has no presentation")
     met = judgments.join(shown, "presentation_id")
-    winner = F.upper(F.trim(F.coalesce(F.col("judge.winner"), F.lit("INVALID"))))
-    rows = met.select("pair_id", "order", winner.alias("winner"), normalize_winner(F.col("judge.winner"), F.col("option_a_role"), F.col("option_b_role")).alias("role"), score_winner(F.col("judge")).alias("by_score"), "judge")
-    bad_winner = ~F.col("winner").isin("A", "B", "TIE")
-    bad_scores = utility(F.col("judge.a")).isNull() | utility(F.col("judge.b")).isNull()
+    winner = F.upper(T.strip(F.coalesce(F.col("judge.winner"), F.lit("INVALID"))))
+    role = lambda said: normalize_winner(said, F.col("option_a_role"), F.col("option_b_role"))
+    reason = T.strip(F.coalesce(F.col("judge.reason"), F.lit("")))
+    rows = met.select("pair_id", "order", winner.alias("winner"), role(F.col("judge.winner")).alias("role"), score_winner(F.col("judge")).alias("by_score"), role(score_winner(F.col("judge"))).alias("score_role"), reason.alias("reason"), "judge")
+    bad_winner = ~F.col("winner").isin("A", "B", "TIE", "INVALID")
+    bad_scores = reduce(lambda x, y: x | y, (F.col(f"judge.{s}.{n}").isNull() for s in "ab" for n in WEIGHTS))
     rate = lambda c: F.coalesce(F.avg(c.cast("double")), F.lit(0.0))
-    wide = rows.groupBy("pair_id").pivot("order", [0, 1]).agg(F.first("role"))
-    pattern = F.concat_ws("/", F.coalesce("0", F.lit("MISSING")), F.coalesce("1", F.lit("MISSING")))
+
+    def patterns(name: str, absent: str) -> DataFrame:
+        wide = rows.groupBy("pair_id").pivot("order", [0, 1]).agg(F.first(name))
+        found = wide.groupBy(F.concat_ws("/", F.coalesce("0", F.lit(absent)), F.coalesce("1", F.lit(absent))).alias("pattern")).agg(F.count("*").alias("pairs"))
+        return found.orderBy(F.desc("pairs"), "pattern")  # a few patterns
+
+    both = rows.groupBy("pair_id").pivot("order", [0, 1]).agg(F.first("score_role").alias("s"), F.first("role").alias("r"), F.first("reason").alias("why"))
+    complete = both.where(F.col("0_s").isNotNull() & F.col("1_s").isNotNull())
+    differ = complete.where(F.col("0_r") != F.col("1_r")).select("pair_id", F.array("0_r", "1_r").alias("winner_roles"), F.array("0_why", "1_why").alias("reasons"))
     return {
         "winners": rows.groupBy("winner").agg(F.count("*").alias("rows")),
         "winners_by_order": rows.groupBy("order", "winner").agg(F.count("*").alias("rows")),
         "roles": rows.groupBy("role").agg(F.count("*").alias("rows")),
-        "patterns": wide.groupBy(pattern.alias("pattern")).agg(F.count("*").alias("pairs")),
-        "schema": rows.agg(F.count("*").alias("rows"), rate(F.col("judge").isNull()).alias("parse_error_rate"), rate(F.coalesce(F.trim("judge.reason"), F.lit("")) == "").alias("missing_reason_rate"), (F.count_if(bad_winner) + F.count_if(bad_scores)).alias("schema_violations"), F.count_if(F.coalesce(F.col("judge.reason").rlike(r"\bC\b"), F.lit(False))).alias("spurious_c"), rate(F.col("winner") == F.col("by_score")).alias("score_agreement")),
+        "roles_by_order": rows.groupBy("order", "role").agg(F.count("*").alias("rows")),
+        "patterns": patterns("role", "MISSING"),
+        "pair_patterns": patterns("winner", "MISSING"),
+        "score_patterns": patterns("score_role", "missing"),
+        "score_consistency": complete.agg(F.count("*").alias("pairs"), rate(F.col("0_s") == F.col("1_s")).alias("position_consistency")),
+        "examples": differ.orderBy("pair_id").limit(examples),
+        "schema": rows.agg(F.count("*").alias("rows"), rate(F.col("judge").isNull()).alias("parse_error_rate"), rate(F.col("reason") == "").alias("missing_reason_rate"), (F.count_if(bad_winner) + F.count_if(bad_scores)).alias("schema_violations"), F.count_if(F.contains(F.upper("reason"), F.lit("C"))).alias("spurious_c"), rate(F.col("winner") == F.col("by_score")).alias("score_agreement")),
     }
 
 
+#: Our own wording of what a judge is asked.
+PAIRWISE = "你是严格的评审。比较两份译文，只依据原文打分。\n原文：\n{source}\n\n译文A：\n{a}\n\n译文B：\n{b}\n\n只输出一个JSON对象：winner为A、B或TIE；a与b各含faithfulness(0-4)、completeness(0-4)、fluency(0-2)、hallucination(0-2)；reason为一句理由。"
+SINGLE = "你是严格的评审。只依据原文给译文打分。\n原文：\n{source}\n\n译文：\n{a}\n\n只输出一个JSON对象，含faithfulness(0-4)、completeness(0-4)、fluency(0-2)、hallucination(0-2)。"
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A template with its ``{names}`` replaced by columns; their texts are taken as they are."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(F.lit(p) if k % 2 == 0 else F.coalesce(values[p], F.lit("")) for k, p in enumerate(parts)))
+
+
 def independent_tasks(pairs: DataFrame) -> DataFrame:
     """Four scoring tasks for each pair: two protocols times two roles."""
     each = pairs.withColumn("protocol", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("role", F.explode(F.array(F.lit("chosen"), F.lit("rejected"))))

@@ -11,6 +11,12 @@ from ..functions.hashing import keyed_hash
 # Terminators and score range of the review.
 LINE_ENDS = "[\n。！？]"
 RUBRIC = (1, 5)
+DIMENSIONS = {
+    "old_to_modern": ("faithfulness", "completeness", "fluency"),
+    "modern_to_old": ("meaning_preservation", "classical_style", "fluency"),
+    "appreciation": ("factuality", "textual_evidence", "depth"),
+    "creation": ("constraint_following", "style", "coherence", "originality"),
+}
 
 
 def constraint_score(response: Column, line_count: Column, keywords: Column) -> Column:
@@ -31,10 +37,16 @@ def blind_id(seed: int | str, model: Column, question: Column) -> Column:
     return F.substring(keyed_hash(str(seed), model, question), 1, 16)
 
 
-def blind(generations: DataFrame, seed: int | str, rubric: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The sheet (no model, no order) and its key, from ``model, id, task, prompt, response, reference``."""
+def blind(generations: DataFrame, seed: int | str, rubric: list[str] | dict[str, tuple[str, ...]]) -> tuple[DataFrame, DataFrame]:
+    """The sheet (no model, no order) and its key, from ``model, id, task, prompt, response, reference``.
+
+    ``rubric``: what is scored, for all tasks or for each (other tasks get no scores).
+    """
     rows = generations.withColumn("blind_id", blind_id(seed, F.col("model"), F.col("id")))
-    empty = F.create_map(*(x for r in rubric for x in (F.lit(r), F.lit(None).cast("int"))))
+    fields = lambda names: F.create_map(*(x for r in names for x in (F.lit(r), F.lit(None).cast("int"))))
+    empty = F.create_map().cast("map<string,int>") if isinstance(rubric, dict) else fields(rubric)
+    for task, names in rubric.items() if isinstance(rubric, dict) else ():
+        empty = F.when(F.col("task") == task, fields(names)).otherwise(empty)
     sheet = rows.select("blind_id", F.col("id").alias("question_id"), "task", "prompt", "response", "reference", empty.alias("scores"), F.lit("").alias("review_notes"))
     return sheet.orderBy(keyed_hash(str(seed), "sheet", F.col("blind_id"))), rows.select("blind_id", "model", F.col("id").alias("question_id"))
 
@@ -42,15 +54,17 @@ def blind(generations: DataFrame, seed: int | str, rubric: list[str]) -> tuple[D
 def review_summary(sheet: DataFrame, key: DataFrame) -> DataFrame:
     """``model, task, mean, reviewed, incomplete`` with a row for each model over all tasks (task null).
 
-    A row's score is the mean of its rubric; unknown ids and scores out of range raise.
+    A row's score is the mean of its rubric; rows without all of it are
+    incomplete, whatever they hold.  Unknown ids, and scores out of range in
+    complete rows, raise.
     """
     if not sheet.join(key, "blind_id", "left_anti").isEmpty():
         raise KeyError("a reviewed row is not in the key")
     values = F.map_values("scores")
     done = F.coalesce((F.size(values) > 0) & ~F.exists(values, lambda v: v.isNull()), F.lit(False))
-    wrong = F.exists(values, lambda v: v.isNotNull() & ~v.between(*RUBRIC))
+    wrong = F.exists(values, lambda v: ~v.between(*RUBRIC))
     mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values)
-    checked = F.when(F.coalesce(wrong, F.lit(False)), F.raise_error(F.lit("a score is out of range"))).when(done, mean)
+    checked = F.when(done & F.coalesce(wrong, F.lit(False)), F.raise_error(F.lit("a score is out of range"))).when(done, mean)
     rows = sheet.join(key.select("blind_id", "model"), "blind_id").withColumn("score", checked)
     return rows.groupingSets([["model"], ["model", "task"]], "model", "task").agg(F.avg("score").alias("mean"), F.count("score").alias("reviewed"), F.count_if(F.col("score").isNull()).alias("incomplete"))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import keyed_hash
+from ..sources.shared import durable
 
 
 class QuotaError(ValueError):
@@ -104,10 +107,9 @@ def number(df: DataFrame, order: list[str]) -> DataFrame:
     are range-partitioned, numbered within a partition, and shifted by the
     counts of the partitions before (one row for each partition).
     """
-    from functools import reduce
-
     spark = df.sparkSession
-    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("__p", F.spark_partition_id()).persist()
+    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("__p", F.spark_partition_id())
+    ranged, _ = durable(ranged, "ranged")
     counts = sorted((r["__p"], r["count"]) for r in ranged.groupBy("__p").count().collect())  # a row a partition
     before, shift = 0, {}
     for p, n in counts:
@@ -127,3 +129,8 @@ def argmin(df: DataFrame, metric: str, name: str) -> DataFrame:
     """Ranked candidates, best (least) first; raises where the metric is missing."""
     checked = F.when(F.col(metric).isNull(), F.raise_error(F.concat(F.lit("no metric for "), F.col(name)))).otherwise(F.col(metric))
     return df.withColumn(metric, checked).withColumn("rank", F.row_number().over(Window.orderBy(metric, name)))
+
+
+def first_n(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows in the given order (top-k, no full sort)."""
+    return df.orderBy(*order).limit(n)

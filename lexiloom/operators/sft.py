@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.hashing import bucket, sha256_hex
+from ..sources.shared import unused
 from .acquire import alias, column
 from .chat import message
 from .dedup import first_by
@@ -41,32 +42,45 @@ def valid_pair(source: Column, target: Column, task: Column) -> Column:
     return T.nonblank(source) & T.nonblank(target) & fits
 
 
-def chat_messages(source: Column, target: Column, task: Column, identity: Column, instruction: Column) -> Column:
-    """System, user and assistant turns; an instruction that is there already is not wrapped again."""
-    pick = bucket(identity, 3)
-    templates = F.create_map(*(x for t, ts in TEMPLATES.items() for x in (F.lit(t), F.array(*map(F.lit, ts)))))
-    wrapped = F.concat(F.get(templates[task], pick), source)
+def chat_messages(source: Column, target: Column, task: Column, identity: Column, instruction: Column, templates: dict = TEMPLATES, system: str = SYSTEM) -> Column:
+    """System, user and assistant turns; an instruction that is there already is not wrapped again.
+
+    A template stands in front of the source, or around it where it has ``{text}``.
+    """
+    parts = {t: [x.partition("{text}") for x in own] for t, own in templates.items()}
+    side = lambda k: F.create_map(*(x for t, own in parts.items() for x in (F.lit(t), F.array(*(F.lit(p[k]) for p in own)))))
+    pick = F.lit(0)
+    for t, own in parts.items():
+        pick = F.when(task == t, bucket(identity, len(own))).otherwise(pick)
+    wrapped = F.concat(F.get(side(0)[task], pick), source, F.get(side(2)[task], pick))
     user = F.when(F.coalesce(instruction, F.lit("")) != "", source).otherwise(wrapped)
-    return F.array(message("system", F.lit(SYSTEM)), message("user", user), message("assistant", target))
+    return F.array(message("system", F.lit(system)), message("user", user), message("assistant", target))
+
 
+def candidates(df: DataFrame, order: str, entities: bool = True, templates: dict = TEMPLATES, system: str = SYSTEM, origin: str | None = None) -> DataFrame:
+    """Valid pairs of the four tasks, first of equal ones, as chat rows.
 
-def candidates(df: DataFrame, order: str, entities: bool = True) -> DataFrame:
-    """Valid pairs of the four tasks, first of equal ones, as chat rows."""
+    Without a source id the row's id stands for it, without a license
+    ``unknown``, without a split ``train``; the provenance is the row's
+    ``source``, or ``origin`` (where the rows were read) without one.
+    """
     task = alias(column(df, "task"))
     source, target = pair(df, task)
-    rows = df.withColumn("__task", task).withColumn("__source", T.normalize_text(source, entities)).withColumn("__target", T.normalize_text(target, entities))
-    rows = rows.where(F.col("__task").isin(*TASKS) & valid_pair(F.col("__source"), F.col("__target"), F.col("__task")))
-    rows = rows.withColumn("__id", sha256_hex(F.concat_ws("\x00", "__task", "__source", "__target")))
-    rows = first_by(rows, ["__id"], [F.col(order)])
+    kind, asked, answer, identity = unused(df.columns, "kind", "asked", "answered", "identity")
+    rows = df.withColumns({kind: task, asked: T.normalize_text(source, entities), answer: T.normalize_text(target, entities)})
+    rows = rows.where(F.col(kind).isin(*TASKS) & valid_pair(F.col(asked), F.col(answer), F.col(kind)))
+    rows = rows.withColumn(identity, sha256_hex(F.concat_ws("\x00", kind, asked, answer)))
+    rows = first_by(rows, [identity], [F.col(order)])
     return rows.select(
-        F.col("__id").alias("id"), F.col("__task").alias("task"), chat_messages(F.col("__source"), F.col("__target"), F.col("__task"), F.col("__id"), column(df, "instruction")).alias("messages"),
-        column(df, "source_id").alias("source_id"), column(df, "work").alias("work"), column(df, "author").alias("author"), column(df, "license").alias("license"), column(df, "provenance").alias("provenance"), column(df, "split").alias("split"),
+        F.col(identity).alias("id"), F.col(kind).alias("task"), chat_messages(F.col(asked), F.col(answer), F.col(kind), F.col(identity), column(df, "instruction"), templates, system).alias("messages"),
+        F.coalesce(T.truthy(column(df, "source_id")), column(df, "id")).alias("source_id"), column(df, "work").alias("work"), column(df, "author").alias("author"), F.coalesce(column(df, "license"), F.lit("unknown")).alias("license"),
+        F.coalesce(column(df, "source"), F.lit(origin).cast("string")).alias("provenance"), F.coalesce(column(df, "split"), F.lit("train")).alias("split"),
     )
 
 
-def build(df: DataFrame, order: str, seed: int | str, quotas: dict[str, int] | None = None, entities: bool = True) -> DataFrame:
+def build(df: DataFrame, order: str, seed: int | str, quotas: dict[str, int] | None = None, entities: bool = True, templates: dict = TEMPLATES, system: str = SYSTEM, origin: str | None = None) -> DataFrame:
     """Chat rows; with quotas exactly so many train rows of each task."""
-    rows = candidates(df, order, entities)
+    rows = candidates(df, order, entities, templates, system, origin)
     return rows if quotas is None else exact_quota(rows, "task", quotas, seed, "id")
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.hashing import fraction, keyed_hash
+from ..sources.shared import unused
 
 # Ties, resamples and the thresholds of the gates.
 TIE, SAMPLES = 1e-12, 10_000
@@ -19,7 +24,8 @@ class GateError(ValueError):
 
 def paired(candidate: DataFrame, baseline: DataFrame, key: str, value: str, expected: int | None = None) -> DataFrame:
     """``key, delta`` of the rows in both; raises if there are not ``expected``."""
-    both = candidate.select(key, F.col(value).alias("__c")).join(baseline.select(key, F.col(value).alias("__b")), key).select(key, (F.col("__c") - F.col("__b")).alias("delta"))
+    own, other = unused([key], "own", "other")
+    both = candidate.select(key, F.col(value).alias(own)).join(baseline.select(key, F.col(value).alias(other)), key).select(key, (F.col(own) - F.col(other)).alias("delta"))
     if expected is not None and both.count() != expected:
         raise GateError(f"not {expected} paired rows")
     return both
@@ -30,24 +36,64 @@ def win_tie_loss(deltas: DataFrame, groups: list[str] | None = None) -> DataFram
     return deltas.groupBy(*(groups or [])).agg(F.avg(d).alias("mean_delta"), F.count_if(d > TIE).alias("wins"), F.count_if(F.abs(d) <= TIE).alias("ties"), F.count_if(d < -TIE).alias("losses"))
 
 
-def bootstrap_ci(deltas: DataFrame, key: str, seed: int | str, samples: int = SAMPLES, n: int | None = None) -> DataFrame:
+#: Values that are sent to every task (32 MB); beyond that, rows are weighted where they are.
+MOST_VALUES = 4_000_000
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64: 64 random bits of each number."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def bootstrap_ci(deltas: DataFrame, key: str, seed: int, samples: int = SAMPLES) -> DataFrame:
     """Percentile bootstrap of the mean: ``mean, low, high`` (2.5 and 97.5 %).
 
-    A row's weight in each resample is Poisson(1), drawn by inverting its hash:
-    no index join, one pass, and the resamples are aggregated on the map side.
+    Each resample draws as many values as there are rows, with replacement:
+    draw ``j`` of resample ``r`` takes the value whose place, in order of the
+    key, is splitmix64(seed + r n + j) modulo ``n``.  Resamples are spread over
+    the tasks.  Beyond ``MOST_VALUES`` rows the values stay where they are and
+    each gets a Poisson(1) weight in every resample, which is the same in the
+    limit.  Null deltas do not count; no deltas give nulls.
     """
-    cumulative, term = [], 0.36787944117144233
-    total = 0.0
-    for k in range(12):
-        total += term
-        cumulative.append(total)
-        term /= k + 1
-    draw = deltas.select("delta", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("resample"), F.col(key).alias("__k"))
-    u = fraction(keyed_hash(str(seed), F.col("resample"), F.col("__k")))
-    weight = sum((F.when(u > c, 1).otherwise(0) for c in cumulative), F.lit(0))
-    means = draw.select("resample", (F.col("delta") * weight).alias("wd"), weight.alias("w")).groupBy("resample").agg((F.sum("wd") / F.sum("w")).alias("mean"))
+    spark = deltas.sparkSession
+    own = deltas.where(F.col("delta").isNotNull()).select(F.col(key).cast("string").alias("key"), F.col("delta").cast("double").alias("delta"))
+    n = own.count()
+    mean = deltas.agg(F.avg("delta").alias("mean"))
+    if not n:
+        return mean.select("mean", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+    if n <= MOST_VALUES:
+        shared = spark.sparkContext.broadcast(np.array([r["delta"] for r in own.orderBy("key", "delta").select("delta").toLocalIterator()]))  # at most MOST_VALUES
+
+        def drawn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            values = shared.value
+            for pdf in frames:
+                means = []
+                for r in pdf["id"].tolist():
+                    total = 0.0
+                    for at in range(0, n, 1 << 20):
+                        draw = np.arange(at, min(n, at + (1 << 20)), dtype=np.uint64) + np.uint64((seed + r * n) % (1 << 64))
+                        total += values[(_mixed(draw) % np.uint64(n)).astype(np.int64)].sum()
+                    means.append(total / n)
+                yield pd.DataFrame({"mean": means})
+
+        means = spark.range(samples).repartition(max(1, min(samples, spark.sparkContext.defaultParallelism))).mapInPandas(drawn, "mean double")
+    else:
+
+        def weighted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums, weights = np.zeros(samples), np.zeros(samples)
+            for pdf in frames:
+                for name, delta in zip(pdf["key"], pdf["delta"], strict=True):
+                    own_seed = int.from_bytes(hashlib.sha256(f"{seed}:{name}".encode()).digest()[:8], "little")
+                    w = np.random.default_rng(own_seed).poisson(1.0, samples)
+                    sums += w * delta
+                    weights += w
+            yield pd.DataFrame({"resample": np.arange(samples), "s": sums, "w": weights})
+
+        means = own.mapInPandas(weighted, "resample long, s double, w double").groupBy("resample").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("mean"))
     low_high = means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
-    return deltas.agg(F.avg("delta").alias("mean")).crossJoin(low_high)  # two single rows
+    return mean.crossJoin(low_high)  # two single rows
 
 
 def seeds(values: DataFrame, group: str, value: str) -> DataFrame:

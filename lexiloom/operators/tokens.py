@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import keyed_hash
+from ..sources.shared import unused
 from .sampling import QuotaError
 
 # Chunk, epoch and block limits.
@@ -17,27 +22,75 @@ def simple_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+|[^A-Za-z0-9\\s]"), F.lit(0))
 
 
+@dataclass(frozen=True)
+class Tokenizer:
+    """From a text to tokens (strings) and back."""
+
+    encode: Callable[[Column], Column]
+    decode: Callable[[Column], Column]
+
+
+#: Decoding puts a space between tokens, as white space is no token.
+SIMPLE = Tokenizer(simple_tokens, lambda tokens: F.array_join(tokens, " "))
+
+
+def library_tokenizer(load: Callable[[], tuple[Callable[[str], list[str]], Callable[[list[str]], str]]]) -> Tokenizer:
+    """A tokenizer of a library in Arrow batches.  ``load`` gives its encode and decode functions and is called once a batch stream."""
+
+    def encoded(texts):
+        encode, _ = load()
+        for batch in texts:
+            yield batch.map(lambda t: None if t is None else list(encode(t)))
+
+    def decoded(tokens):
+        _, decode = load()
+        for batch in tokens:
+            yield batch.map(lambda t: None if t is None else decode(list(t)))
+
+    def columns(run, kind):
+        def of(batches):
+            return run(batches)
+
+        from collections.abc import Iterator
+
+        of.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        return F.pandas_udf(kind)(of)
+
+    return Tokenizer(columns(encoded, "array<string>"), columns(decoded, "string"))
+
+
 def chunk(df: DataFrame, tokens: str, key: str, most: int = MAX_TOKENS) -> DataFrame:
-    """A row for each run of up to ``most`` tokens: ``parent_source_id, chunk_index, tokens``."""
+    """A row for each run of up to ``most`` tokens: ``parent_source_id, chunk_index, tokens``; none for a row without tokens."""
     starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(most))).otherwise(F.array().cast("array<int>"))
-    spread = df.withColumn("__at", F.explode(starts))
-    piece = F.slice(F.col(tokens), F.col("__at") + 1, F.lit(most))
-    return spread.withColumn("parent_source_id", F.col(key)).withColumn("chunk_index", (F.col("__at") / most).cast("int")).withColumn(tokens, piece).drop("__at")
+    (at,) = unused([*df.columns, "parent_source_id", "chunk_index"], "at")
+    spread = df.withColumn(at, F.explode(starts))
+    piece = F.slice(F.col(tokens), F.col(at) + 1, F.lit(most))
+    return spread.withColumn("parent_source_id", F.col(key)).withColumn("chunk_index", (F.col(at) / most).cast("int")).withColumn(tokens, piece).drop(at)
+
+
+#: Rows that one task adds up in order.
+ROWS_A_BUCKET = 500_000
 
 
-def _running(df: DataFrame, group: str, order: list[str], size: str, buckets: int = 64) -> DataFrame:
-    """``df`` with ``__before``: the sum of ``size`` over earlier rows of the group.
+def _last_rows(rows: DataFrame, quotas: dict[str, int], buckets: int) -> dict[str, tuple]:
+    """``(epoch, hash, key, tokens left)`` of the row that reaches each quota, from ``category, epoch, hash, key, n``.
 
-    Two steps, so that a group of any size is spread over ``buckets`` tasks:
-    sums within hash-prefix buckets, then over buckets (rows: groups x epochs x buckets).
+    Two steps, so that a category of any size is spread over ``buckets``
+    tasks: sums within ranges of the hash, of which the quota falls into one;
+    then a running sum over the rows of that range alone.
     """
-    own = df.withColumn("__b", (F.conv(F.substring(order[-1], 1, 4), 16, 10).cast("int") * buckets / 65536).cast("int"))
-    heads = [group, *order[:-1], "__b"]
-    sums = own.groupBy(*heads).agg(F.sum(size).alias("__sum"))
-    ahead = Window.partitionBy(group).orderBy(*order[:-1], "__b").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(*heads, F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy(*heads).orderBy(order[-1], "__key").rowsBetween(Window.unboundedPreceding, -1)
-    return own.join(base, heads).withColumn("__before", F.col("__base") + F.coalesce(F.sum(size).over(inside), F.lit(0))).drop("__b", "__base")
+    bucket = (F.conv(F.substring("hash", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("long")
+    own = rows.withColumn("bucket", bucket)
+    heads = ["category", "epoch", "bucket"]
+    sums = own.groupBy(*heads).agg(F.sum("n").alias("sum"))
+    ahead = Window.partitionBy("category").orderBy("epoch", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    quota = F.create_map(*(F.lit(x) for pair in quotas.items() for x in pair))[F.col("category")]
+    # a row for each category, epoch and bucket
+    base = sums.select(*heads, "sum", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("base"), quota.alias("quota")).where("base < quota and base + sum >= quota")
+    inside = Window.partitionBy(*heads).orderBy("hash", "key").rowsBetween(Window.unboundedPreceding, -1)
+    met = own.join(base.select(*heads, "base", "quota"), heads).withColumn("before", F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    last = met.where("before < quota and before + n >= quota").select("category", "epoch", "hash", "key", (F.col("quota") - F.col("before")).alias("left"))
+    return {r["category"]: (r["epoch"], r["hash"], r["key"], r["left"]) for r in last.collect()}  # a row a category
 
 
 def token_mixture(df: DataFrame, fractions: dict[str, float], total: int, seed: int | str, key: str, category: str = "category", tokens: str = "tokens", epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -45,22 +98,32 @@ def token_mixture(df: DataFrame, fractions: dict[str, float], total: int, seed:
 
     Each row counts its tokens and one end token.  Rows come in hash order,
     up to ``epochs`` times; the row that crosses the quota is cut to what
-    remains.  Raises when a category is short.  Adds ``token_count`` and
-    ``mixture_epoch``; the result is in no order.
+    remains.  ``key`` tells rows apart (not null).  Raises when a category is
+    short.  Adds ``token_count`` and ``mixture_epoch``; the result is in no
+    order.  Only keys and counts are added up: the rows themselves are
+    filtered where they are, up to the one that reaches the quota.
     """
     if abs(sum(fractions.values()) - 1) > 1e-6:
         raise ValueError(f"fractions sum to {sum(fractions.values())}")
     quotas = {c: round(total * f) for c, f in fractions.items()}
     pool = df.where(F.col(category).isin(*quotas)).withColumn("token_count", (F.size(tokens) + 1).cast("long"))
-    found = {r[category]: r["n"] for r in pool.groupBy(category).agg(F.sum("token_count").alias("n")).collect()}
-    if short := {c: epochs * (found.get(c) or 0) for c, q in quotas.items() if epochs * (found.get(c) or 0) < q}:
+    found = {r[category]: r for r in pool.groupBy(category).agg(F.sum("token_count").alias("n"), F.count("*").alias("rows")).collect()}
+    have = {c: epochs * (found[c]["n"] if c in found else 0) for c in quotas}
+    if short := {c: n for c, n in have.items() if n < quotas[c]}:
         raise QuotaError(f"too few tokens: {short}, wanted {quotas}")
-    passes = pool.withColumn("mixture_epoch", F.explode(F.array(*map(F.lit, range(epochs))))).withColumn("__key", F.col(key).cast("string"))
-    ordered = passes.withColumn("__hash", keyed_hash(str(seed), F.col("mixture_epoch"), F.col("__key")))
-    quota = F.create_map(*(F.lit(x) for pair in quotas.items() for x in pair))[F.col(category)]
-    kept = _running(ordered, category, ["mixture_epoch", "__hash"], "token_count").withColumn("__left", quota - F.col("__before")).where("__left > 0")
-    cut = F.least(F.col("token_count"), F.col("__left"))
-    return kept.withColumn(tokens, F.slice(F.col(tokens), F.lit(1), (cut - 1).cast("int"))).withColumn("token_count", cut).drop("__key", "__hash", "__before", "__left")
+    hashed, name = unused([*pool.columns, "mixture_epoch"], "hash", "key")
+    passes = pool.withColumn("mixture_epoch", F.explode(F.array(*map(F.lit, range(epochs))))).withColumn(name, F.col(key).cast("string"))
+    ordered = passes.withColumn(hashed, keyed_hash(str(seed), F.col("mixture_epoch"), F.col(name)))
+    narrow = ordered.select(F.col(category).alias("category"), F.col("mixture_epoch").alias("epoch"), F.col(hashed).alias("hash"), F.col(name).alias("key"), F.col("token_count").alias("n"))
+    rows = max((r["rows"] for r in found.values()), default=0)
+    keep, left = F.lit(False), F.col("token_count")
+    place = F.struct(F.col("mixture_epoch").alias("e"), F.col(hashed).alias("h"), F.col(name).alias("k"))
+    for c, (epoch, at, own, rest) in _last_rows(narrow, {c: q for c, q in quotas.items() if q > 0}, max(64, -(-rows // ROWS_A_BUCKET))).items():
+        last = F.struct(F.lit(epoch).alias("e"), F.lit(at).alias("h"), F.lit(own).alias("k"))
+        keep = keep | ((F.col(category) == c) & (place <= last))
+        left = F.when((F.col(category) == c) & (place == last), F.lit(rest).cast("long")).otherwise(left)
+    kept = ordered.where(keep).withColumn("token_count", left)
+    return kept.withColumn(tokens, F.slice(F.col(tokens), F.lit(1), (F.col("token_count") - 1).cast("int"))).drop(hashed, name)
 
 
 def mixture_manifest(mixed: DataFrame, category: str = "category") -> DataFrame:

@@ -157,9 +157,7 @@ _GREEDY = f"""{_PRINTS}, e AS (SELECT b.doc_id AS n, list(a.doc_id) AS nb FROM f
 
 def _good_prints(spark, sf_dir, blake: bool = False) -> DataFrame:
     good = corpus.judged(_docs(spark, sf_dir)).where(F.size("reasons") == 0)
-    if blake:
-        return good.select("doc_id", dedup.simhash_blake2b(T.dedup_key(F.col("text"))).alias("fp"))
-    return dedup.simhash_sha2(good, "doc_id", T.dedup_key(F.col("text")))
+    return good.select("doc_id", dedup.simhash(T.dedup_key(F.col("text")), "blake2b" if blake else "sha256").alias("fp"))
 
 
 @query(f"WITH {_PRINTS}, c AS (SELECT fp, min(doc_id) AS doc_id FROM f GROUP BY fp) SELECT least(a.doc_id, b.doc_id) AS a, greatest(a.doc_id, b.doc_id) AS b, CAST(bit_count(xor(a.fp, b.fp)) AS INT) AS distance FROM c a JOIN c b ON a.doc_id < b.doc_id AND bit_count(xor(a.fp, b.fp)) <= 3")
@@ -174,15 +172,15 @@ def simhash_blake2b_pairs(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_GREEDY} SELECT doc_id, kind FROM f LEFT JOIN kind USING (doc_id)")
 def near_dedup_keep_first(spark, sf_dir):
-    good = corpus.judged(_docs(spark, sf_dir)).where(F.size("reasons") == 0).withColumn("k", sha256_hex(T.dedup_key(F.col("text"))))
-    rows = good.select("doc_id", "k").join(dedup.simhash_sha2(good, "doc_id", T.dedup_key(F.col("text"))), "doc_id")
-    return dedup.keep_first(rows, "doc_id", "k", "fp").select("doc_id", F.col("duplicate_of_kind").alias("kind"))
+    good = corpus.judged(_docs(spark, sf_dir)).where(F.size("reasons") == 0).select("doc_id", T.dedup_key(F.col("text")).alias("k"))
+    rows = good.select("doc_id", sha256_hex(F.col("k")).alias("k"), dedup.simhash(F.col("k"), "sha256").alias("fp"))
+    return dedup.duplicate_kinds(rows, "doc_id", "k", "fp").select("doc_id", F.col("duplicate_of_kind").alias("kind"))
 
 
 @query(f"""WITH RECURSIVE {_GREEDY} SELECT s.doc_id, array_to_string(CASE WHEN kind IS NOT NULL THEN [kind] ELSE reasons END, ',') AS reasons, quality_score, sha256(t) AS content_hash, category,
     {_SPLIT.format(f"sha256('{SEED}:source_id:' || source_id)")} AS split FROM s LEFT JOIN kind USING (doc_id)""")
 def prepare_corpus(spark, sf_dir):
-    out = corpus.prepare(_docs(spark, sf_dir), "doc_id", fingerprint="sha2")
+    out = corpus.prepare(_docs(spark, sf_dir), "doc_id", fingerprint="sha256")
     return out.select("doc_id", F.array_join("reasons", ",").alias("reasons"), "quality_score", "content_hash", "category", "split")
 
 
@@ -415,14 +413,14 @@ def perplexity_weighted(spark, sf_dir):
     r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY sha256('{SEED}:balanced:' || hid), hid) AS k FROM u WHERE n = 1) SELECT hid AS id, task, prompt, response AS reference FROM r WHERE k <= 3""")
 def domain_eval_sample(spark, sf_dir):
     rows = _pairs(spark, sf_dir).withColumn("task", _tasks(F.col("id"))).withColumn("split", F.lit("test")).withColumn("reference", F.col("response"))
-    return corpus.domain_evaluation(rows.drop("response"), 3)
+    return corpus.domain_evaluation(rows.drop("response"), 3).select("id", "task", "prompt", "reference")
 
 
 @query(f"""WITH x AS (SELECT doc_id, lang, {_SPLIT.format(f"sha256('{SEED}:source_id:doc:' || doc_id)")} AS split FROM documents WHERE text <> ''),
     r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sha256('{SEED}:capped:' || doc_id), doc_id) AS k FROM x WHERE split = 'test' AND lang IN ('en', 'fr')) SELECT doc_id, lang AS category FROM r WHERE k <= 20""")
 def perplexity_sample(spark, sf_dir):
     rows = _read(spark, sf_dir, "documents").withColumn("category", F.col("lang")).withColumn("split", stable_split(F.concat(F.lit("source_id:doc:"), F.col("doc_id")), SEED))
-    return corpus.perplexity_sets(rows, 20, categories=("en", "fr"), key="doc_id").select("doc_id", "category")
+    return corpus.perplexity_sets(rows.where("split = 'test'"), 20, categories=("en", "fr"), key="doc_id").select("doc_id", "category")
 
 
 @query()
@@ -608,7 +606,8 @@ def _deltas(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return stats.bootstrap_ci(_deltas(spark, sf_dir), "id", SEED)
+    out = stats.bootstrap_ci(_deltas(spark, sf_dir), "id", SEED)
+    return out.select(*(F.round(c, 9).alias(c) for c in out.columns))
 
 
 @query("SELECT lang AS variant, round(avg(n_chars), 6) AS mean, round(coalesce(stddev_samp(n_chars), 0), 6) AS stdev, count(*) AS runs FROM documents GROUP BY lang")
@@ -681,6 +680,9 @@ def corpus_counters(spark, sf_dir):
     return rows.groupBy("lang", "source").agg(F.count("*").alias("docs"), F.sum((F.length("text") < 80).cast("int")).alias("short_docs"), F.sum((F.col("quality") == 1).cast("int")).alias("good"))
 
 
+from . import contract_rules  # noqa: E402,F401  registers more
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

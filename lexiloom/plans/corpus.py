@@ -10,20 +10,22 @@ from ..functions import text as T
 from ..functions.hashing import group_key, sha256_hex, stable_split
 from ..operators import chat, tokens
 from ..operators.acquire import column
-from ..operators.dedup import first_by, keep_first, simhash_blake2b, simhash_sha2
+from ..operators.dedup import MAX_FEATURES, duplicate_kinds, first_by, simhash
 from ..operators.sampling import balanced, capped
+from ..sources.shared import unused
 
 #: Seed, tasks and categories of the evaluation sets.
 SEED = 20260912
 EVAL_TASKS = ("old_to_modern", "modern_to_old", "appreciation", "creation")
 GENERAL = ("classical", "general_zh", "general_en")
 GROUP_FIELDS = ("work", "source_group", "source_id", "url", "id")
+DEFAULT_CATEGORY = "general_zh"
 
 
 def normalized(df: DataFrame, entities: bool = True) -> DataFrame:
     """``df`` with normalised ``text`` (``content`` where there is no text) and ``category``."""
     raw = F.coalesce(T.truthy(column(df, "text"), column(df, "content")), F.lit(""))
-    return df.withColumn("text", T.normalize_text(raw, entities)).withColumn("category", F.coalesce(column(df, "category"), F.lit("unknown")))
+    return df.withColumn("text", T.normalize_text(raw, entities)).withColumn("category", F.coalesce(column(df, "category"), F.lit(DEFAULT_CATEGORY)))
 
 
 def judged(df: DataFrame, entities: bool = True) -> DataFrame:
@@ -32,20 +34,25 @@ def judged(df: DataFrame, entities: bool = True) -> DataFrame:
     return rows.withColumn("quality_score", quality.score(F.col("text"), F.col("reasons")))
 
 
-def prepare(df: DataFrame, order: str, seed: int = SEED, entities: bool = True, fingerprint: str = "blake2b") -> DataFrame:
-    """All rows with ``reasons``; those without any are the kept corpus, with score, hash, split and final category."""
-    rows = judged(df, entities).withColumn("__key", sha256_hex(T.dedup_key(F.col("text"))))
-    good = rows.where(F.size("reasons") == 0)
-    if fingerprint == "blake2b":
-        good = good.withColumn("__fp", simhash_blake2b(T.dedup_key(F.col("text"))))
-    else:
-        good = good.join(simhash_sha2(good, order, T.dedup_key(F.col("text"))).withColumnRenamed("fp", "__fp"), order)
-    kinds = keep_first(good.select(order, "__key", "__fp"), order, "__key", "__fp").select(order, "duplicate_of_kind")
-    out = rows.join(kinds, order, "left").withColumn("reasons", F.when(F.col("duplicate_of_kind").isNotNull(), F.array("duplicate_of_kind")).otherwise(F.col("reasons")))
-    key = group_key({f: column(df, f) for f in GROUP_FIELDS if f in df.columns} or {"id": F.col(order)})
+def prepare(df: DataFrame, order: str, seed: int = SEED, entities: bool = True, fingerprint: str = "blake2b", max_features: int | None = MAX_FEATURES) -> DataFrame:
+    """All rows with ``reasons``; those without any are the kept corpus, with score, hash, split and final category.
+
+    ``order`` numbers the rows (not null).  A null or empty text is too short,
+    a missing category is ``general_zh``; columns of the result replace those
+    of the same name.  ``fingerprint``: the hash of the near-duplicate
+    fingerprint; ``max_features``: trigrams it takes of a long text (None: all).
+    """
+    number, key, fp = unused([*df.columns, "reasons", "duplicate_of_kind"], "number", "key", "fp")
+    rows = judged(df, entities)
+    # normalising is done twice, once here and once for the result; only ids, keys and fingerprints are written
+    good = rows.where(F.size("reasons") == 0).select(F.col(f"`{order}`").alias(number), T.dedup_key(F.col("text")).alias(key))
+    facts = good.select(number, sha256_hex(F.col(key)).alias(key), simhash(F.col(key), fingerprint, max_features).alias(fp))
+    kinds = duplicate_kinds(facts, number, key, fp)
+    out = rows.join(kinds, F.col(f"`{order}`") == F.col(number), "left").withColumn("reasons", F.when(F.col("duplicate_of_kind").isNotNull(), F.array("duplicate_of_kind")).otherwise(F.col("reasons")))
+    group = group_key({f: column(df, f) for f in GROUP_FIELDS if f in df.columns} or {"id": F.col(order)})
     # relabelled after the decision, so the stricter rules of the new category do not apply
-    technical = (F.col("category") == "general_zh") & quality.looks_technical(F.col("text"))
-    return out.withColumn("category", F.when(technical, "stem_technical").otherwise(F.col("category"))).withColumn("content_hash", sha256_hex(F.col("text"))).withColumn("split", stable_split(key, seed)).drop("__key", "duplicate_of_kind")
+    technical = (F.col("category") == DEFAULT_CATEGORY) & quality.looks_technical(F.col("text"))
+    return out.withColumn("category", F.when(technical, "stem_technical").otherwise(F.col("category"))).withColumn("content_hash", sha256_hex(F.col("text"))).withColumn("split", stable_split(group, seed)).drop(number, "duplicate_of_kind")
 
 
 def audit(prepared: DataFrame, source: str = "source") -> DataFrame:
@@ -59,21 +66,32 @@ def audit(prepared: DataFrame, source: str = "source") -> DataFrame:
     return prepared.select(F.explode(facts).alias("f")).groupBy("f.kind", "f.name").agg(F.count("*").alias("rows"))
 
 
-def mixture(prepared: DataFrame, fractions: dict[str, float], total: int, seed: int = SEED, key: str = "source_id", tokenizer=tokens.simple_tokens) -> DataFrame:
-    """Tokenise, chunk, and fill each category's quota."""
-    pieces = tokens.chunk(prepared.withColumn("tokens", tokenizer(F.col("text"))), "tokens", key)
+def mixture(prepared: DataFrame, fractions: dict[str, float], total: int, seed: int = SEED, key: str = "source_id", tokenizer: tokens.Tokenizer = tokens.SIMPLE) -> DataFrame:
+    """Tokenise, chunk, and fill each category's quota; ``text`` is that of the chunk's tokens."""
+    pieces = tokens.chunk(prepared.withColumn("tokens", tokenizer.encode(F.col("text"))), "tokens", key)
     pieces = pieces.withColumn("chunk_id", F.concat_ws("#", F.col("parent_source_id").cast("string"), F.col("chunk_index").cast("string")))
-    return tokens.token_mixture(pieces, fractions, total, seed, "chunk_id")
+    return tokens.token_mixture(pieces, fractions, total, seed, "chunk_id").withColumn("text", tokenizer.decode(F.col("tokens")))
 
 
 def evaluation_rows(df: DataFrame) -> DataFrame:
-    """Held-out rows with task, prompt and reference, first of equal ones; the id is a hash of task and prompt."""
+    """Held-out rows with task, prompt and reference, first of equal ones; the id is a hash of task and prompt.
+
+    Rows without a prompt of their own take their messages but the last as the
+    prompt, those without a reference the last message, whatever its role.
+    Other columns stay as they are.
+    """
     messages = F.col("messages") if "messages" in df.columns else F.lit(None).cast(chat.MESSAGES)
-    prompt = F.coalesce(T.truthy(column(df, "prompt"), column(df, "input")), F.to_json(chat.without_answer(messages)))
-    reference = F.coalesce(T.truthy(column(df, "reference"), column(df, "answer"), column(df, "output")), chat.last_of(messages, "assistant"))
-    rows = df.withColumn("__prompt", prompt).withColumn("__reference", reference).where((column(df, "split") == "test") & (F.coalesce(column(df, "task"), F.lit("")) != "") & (F.coalesce("__prompt", F.lit("")) != "") & (F.coalesce("__reference", F.lit("")) != ""))
-    rows = rows.withColumn("__id", sha256_hex(F.concat_ws("\x00", "task", "__prompt")))
-    return first_by(rows, ["__id"], [column(df, "id")]).select(F.col("__id").alias("id"), "task", F.col("__prompt").alias("prompt"), F.col("__reference").alias("reference"))
+    some = F.coalesce(F.size(messages) > 0, F.lit(False))
+    before, last = chat.prompt_and_completion(messages)
+    own = F.coalesce(T.truthy(column(df, "prompt")), column(df, "input"))
+    answer = F.coalesce(T.truthy(column(df, "reference"), column(df, "output")), column(df, "answer"))
+    prompt = F.when(own.isNull() & some, F.to_json(before)).otherwise(own)
+    reference = F.when(answer.isNull() & some, F.get(last, F.lit(0))["content"]).otherwise(answer)
+    identity, asked, given = unused(df.columns, "identity", "asked", "given")
+    rows = df.withColumns({asked: prompt, given: reference}).where((column(df, "split") == "test") & (F.coalesce(column(df, "task"), F.lit("")) != "") & (F.coalesce(asked, F.lit("")) != "") & (F.coalesce(given, F.lit("")) != ""))
+    rows = rows.withColumn(identity, sha256_hex(F.concat_ws("\x00", "task", asked)))
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("id", "task", "prompt", "reference")]
+    return first_by(rows, [identity], [column(df, "id")]).select(F.col(identity).alias("id"), "task", F.col(asked).alias("prompt"), F.col(given).alias("reference"), *kept)
 
 
 def domain_evaluation(df: DataFrame, per_task: int = 100, seed: int = SEED, tasks: tuple[str, ...] = EVAL_TASKS) -> DataFrame:
@@ -82,9 +100,8 @@ def domain_evaluation(df: DataFrame, per_task: int = 100, seed: int = SEED, task
 
 
 def perplexity_sets(df: DataFrame, per_category: int = 200, seed: int = SEED, categories: tuple[str, ...] = GENERAL, key: str = "id") -> DataFrame:
-    """Up to so many held-out texts of each category; raises where one has none."""
-    rows = df.where((F.col("split") == "test") & (F.coalesce(F.col("text"), F.lit("")) != ""))
-    return capped(rows, "category", list(categories), per_category, seed, key)
+    """Up to so many texts of each category from held-out rows (all of ``df``); raises where a category has none."""
+    return capped(df.where(F.coalesce(F.col("text"), F.lit("")) != ""), "category", list(categories), per_category, seed, key)
 
 
 def score_generations(df: DataFrame, response: Column, reference: Column) -> DataFrame:

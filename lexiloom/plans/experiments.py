@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.hashing import coin, keyed_hash, sha256_hex
 from ..operators import judging, preferences, sampling, stats
+from ..sources.shared import durable
 
 # Limits of the sets and rules of the pilot.
 TRAIN, VALIDATION = (768, 256), (128, 64)  # most and least confident pairs
@@ -38,31 +40,39 @@ def ablation_sets(pairs: DataFrame, shown: DataFrame, judgments: DataFrame, seed
     and each split has enough confident pairs.
     """
     limits = limits or {"train": TRAIN, "validation": VALIDATION}
-    merged = judging.verdicts(judgments, shown).persist()
-    known = pairs.join(merged.select(F.col("pair_id").alias("id"), "high_confidence", "length_ratio"), "id", "left").withColumn("high_confidence", F.coalesce("high_confidence", F.lit(False))).withColumn("length_ratio", F.coalesce("length_ratio", F.lit(0.0))).withColumn("band", sampling.difficulty(F.col("rejected_chrf"))).persist()
+    merged, _ = durable(judging.verdicts(judgments, shown), "verdicts")
+    known = pairs.join(merged.select(F.col("pair_id").alias("id"), "high_confidence", "length_ratio"), "id", "left").withColumn("high_confidence", F.coalesce("high_confidence", F.lit(False))).withColumn("length_ratio", F.coalesce("length_ratio", F.lit(0.0))).withColumn("band", sampling.difficulty(F.col("rejected_chrf")))
+    known, _ = durable(known, "known")
     found = {r["split"]: r["count"] for r in known.where("high_confidence").groupBy("split").count().collect()}
     stats.require_consistency(judging.merge_report(merged), pairs.count(), {s: (found.get(s, 0), least) for s, (_, least) in limits.items()})
     out = {}
     for split, (most, _) in limits.items():
         own = known.where(F.col("split") == split)
-        high = sampling.sample(own.where("high_confidence"), most, seed, f"high:{split}", "id").persist()
+        high, _ = durable(sampling.sample(own.where("high_confidence"), most, seed, f"high:{split}", "id"), "high")
         rest = own.join(high.select("id"), "id", "left_anti").where(F.col("length_ratio").between(0.8, 1.25))
         out[f"high_confidence:{split}"] = high
         out[f"length_matched:{split}"] = sampling.match_bands(high, rest, "band", f"{seed}:control:{split}", "id")
         out[f"sft:{split}"] = high.select("id", "source_id", F.col("prompt").alias("prompt_text"), F.col("chosen").alias("answer_text"))
         out[f"grpo:{split}"] = high.select("id", "source_id", "prompt", T.source_span(F.col("prompt")).alias("source_text"), F.col("chosen").alias("reference"))
-    out["review_sheet"], out["review_key"] = review_strata(known, seed)
+    chosen = reduce(DataFrame.unionByName, (out[f"high_confidence:{split}"] for split in limits))
+    # the confident stratum is drawn from the pairs that were selected, the other from all that were judged otherwise
+    strata = chosen.unionByName(known.where(~F.col("high_confidence")).join(merged.select(F.col("pair_id").alias("id")), "id", "left_semi"))
+    out["review_sheet"], out["review_key"] = review_strata(strata, merged, seed)
     return out
 
 
-def review_strata(known: DataFrame, seed: int | str, each: int = REVIEWED) -> tuple[DataFrame, DataFrame]:
-    """Up to ``each`` pairs of both strata with options in a hash order, and the key kept apart."""
+def review_strata(known: DataFrame, merged: DataFrame, seed: int | str, each: int = REVIEWED) -> tuple[DataFrame, DataFrame]:
+    """Up to ``each`` pairs of both strata with options in a hash order, and the key with the judge's verdict kept apart."""
     stratum = F.when(F.col("high_confidence"), "high_confidence").otherwise("ambiguous_or_reversed")
     rows = sampling.per_group(known.withColumn("stratum", stratum), ["stratum"], each, seed, "review", "id")
-    rows = rows.withColumn("review_id", F.concat_ws(":", "stratum", "id")).withColumn("__a", coin(keyed_hash(str(seed), "side", F.col("id"))) == 0)
-    options = [F.when(F.col("__a"), F.col(x)).otherwise(F.col(y)) for x, y in (("chosen", "rejected"), ("rejected", "chosen"))]
-    sheet = rows.select("review_id", T.source_span(F.col("prompt")).alias("source"), options[0].alias("option_a"), options[1].alias("option_b"), F.lit("").alias("human_winner"), F.lit("").alias("notes"))
-    return sheet.orderBy(keyed_hash(str(seed), "review-final", F.col("review_id"))), rows.select("review_id", F.col("id").alias("pair_id"), F.when(F.col("__a"), "A").otherwise("B").alias("chosen_is"))
+    rows = rows.withColumn("review_id", F.concat_ws(":", "stratum", "id"))
+    first = coin(keyed_hash(str(seed), "side", F.col("id"))) == 0
+    options = [F.when(first, F.col(x)).otherwise(F.col(y)) for x, y in (("chosen", "rejected"), ("rejected", "chosen"))]
+    empty = F.lit(None).cast("int")
+    sheet = rows.select("review_id", "stratum", T.source_span(F.col("prompt")).alias("source"), options[0].alias("option_a"), options[1].alias("option_b"), F.lit("").alias("human_winner"), empty.alias("human_fidelity_a"), empty.alias("human_fidelity_b"), F.lit("").alias("notes"))
+    judge = merged.select("pair_id", F.struct(*merged.columns).alias("judge"))
+    key = rows.select("review_id", F.col("id").alias("pair_id"), F.when(first, "A").otherwise("B").alias("chosen_is")).join(judge, "pair_id", "left")
+    return sheet.orderBy(keyed_hash(str(seed), "review-final", F.col("review_id"))), key
 
 
 def pilot(rows: DataFrame, seed: int | str, tokens: str, counts: dict[str, int] | None = None) -> DataFrame:

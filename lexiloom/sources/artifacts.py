@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import dataclass, field
 
@@ -9,9 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Files beyond this many bytes are hashed as streams, one after the other.
+LARGE = 256 << 20
+
+
 def audit_files(spark: SparkSession, folder: str, expected: DataFrame) -> DataFrame:
-    """``path, exists, matches`` of expected files (``path, sha256``), hashed where they are stored."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_extract("path", r"[^/]+$", 0).alias("path"), F.sha2("content", 256).alias("found"), F.col("length"))
+    """``path, exists, matches`` of expected files (``path, sha256``).
+
+    Small files are hashed in parallel where they are read; those beyond
+    ``LARGE``, such as model weights, are streamed through the driver's JVM, which
+    holds a buffer of them and no more.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    name = F.regexp_extract("path", r"[^/]+$", 0).alias("path")
+    found = files.where(F.col("length") <= LARGE).select(name, F.sha2("content", 256).alias("found"), "length")
+    large = [(r["path"].rpartition("/")[2], _streamed_sha256(spark, r["path"]), r["length"]) for r in files.where(F.col("length") > LARGE).select("path", "length").collect()]  # names of large files
+    if large:
+        found = found.union(spark.createDataFrame(large, "path string, found string, length long"))
     return expected.join(found, "path", "left").select("path", F.col("found").isNotNull().alias("exists"), F.coalesce(F.lower("sha256") == F.col("found"), F.lit(False)).alias("matches"), "length")
 
 
@@ -25,9 +40,22 @@ def collect_reports(spark: SparkSession, root: str, needed: list[str]) -> DataFr
     return out.select("path", *(F.get_json_object("value", f"$.{n}").alias(n) for n in needed), F.col("value").alias("document")).orderBy("path")
 
 
+def _streamed_sha256(spark: SparkSession, path: str) -> str:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
 @dataclass
 class Manifest:
-    """Run state with checked transitions, kept as JSON text by the caller."""
+    """Run state with checked transitions, kept as JSON text by the caller.
+
+    A gate ends a run: ``gate(passed)`` completes it or marks the gate's failure.
+    """
 
     inputs: dict
     status: str = "loading"
@@ -42,8 +70,16 @@ class Manifest:
         self.facts |= facts
         return self
 
+    def gate(self, passed: bool, **facts) -> Manifest:
+        return self.to("complete" if passed else "gate_failed", **facts)
+
+    @property
+    def input_sha256(self) -> str:
+        """Hash of the inputs as canonical JSON: equal inputs, equal runs."""
+        return hashlib.sha256(json.dumps(self.inputs, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
     def json(self) -> str:
-        return json.dumps({"status": self.status, "inputs": self.inputs, **self.facts}, ensure_ascii=False, sort_keys=True)
+        return json.dumps({"status": self.status, "inputs": self.inputs, "input_sha256": self.input_sha256, **self.facts}, ensure_ascii=False, sort_keys=True)
 
 
 def upsert_block(document: str, name: str, block: str) -> str:

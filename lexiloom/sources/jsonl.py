@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import exists
+
 
 def read_strict(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """One object a line: byte-order marks and blank lines are skipped, anything else that is no object raises."""
@@ -40,11 +42,8 @@ def write(df: DataFrame, path: str, partition_by: list[str] | None = None, mode:
 def append_pending(tasks: DataFrame, path: str, key: str, run) -> int:
     """Resumable sink: ``run(pending)`` is appended for the tasks whose key is not there yet; how many were."""
     spark = tasks.sparkSession
-    try:
-        done = spark.read.json(path).select(F.col(key))
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing) and "UNRESOLVED_COLUMN" not in str(missing):
-            raise
+    if not exists(spark, path):
         return write(run(tasks), path, mode="append")
+    done = spark.read.schema(T.StructType([tasks.schema[key]])).json(path)
     left = tasks.join(done.distinct(), key, "left_anti")
     return 0 if left.isEmpty() else write(run(left), path, mode="append")

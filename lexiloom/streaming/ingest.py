@@ -9,31 +9,42 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import quality
 from ..functions import text as T
 from ..functions.hashing import sha256_hex
+from ..sources.shared import drop_path, durable, exists
 
 
 def _accepted(df: DataFrame, entities: bool) -> DataFrame:
     text = T.normalize_text(F.col("text"), entities)
-    rows = df.withColumn("text", text).withColumn("__r", quality.reasons(F.col("text"), F.col("category"))).where(F.size("__r") == 0).drop("__r")
+    rows = df.withColumn("text", text)
+    rows = rows.where(F.size(quality.reasons(F.col("text"), F.col("category"))) == 0)
     return rows.withColumn("content_hash", sha256_hex(T.dedup_key(F.col("text"))))
 
 
-def start(spark: SparkSession, source: str, schema, table: str, checkpoint: str, entities: bool = True, once: bool = True) -> StreamingQuery:
+#: Parts that the hashes seen so far are kept in.
+BUCKETS = 16
+
+
+def start(spark: SparkSession, source: str, schema, table: str, checkpoint: str, entities: bool = True, once: bool = True, seen: str | None = None) -> StreamingQuery:
     """Append accepted, unseen documents of each micro-batch to the Parquet folder ``table``.
 
     A batch is written under its own number and overwritten when it is retried,
-    so a restart neither loses nor repeats rows.
+    so a restart neither loses nor repeats rows.  ``seen`` (beside the table if
+    not given) keeps nothing but the hashes of what was written, in parts by
+    their first digit; a batch reads those parts that it has hashes in.
     """
+    seen = seen or f"{table.rstrip('/')}-seen"
+    part = F.conv(F.substring("content_hash", 1, 1), 16, 10).cast("int") % BUCKETS
 
     def keep(batch: DataFrame, number: int) -> None:
-        fresh = _accepted(batch, entities).dropDuplicates(["content_hash"])
-        try:
-            seen = spark.read.option("basePath", table).parquet(table).where(F.col("batch") != number).select("content_hash")
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-                raise
-        else:
-            fresh = fresh.join(seen, "content_hash", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        fresh, path = durable(_accepted(batch, entities).dropDuplicates(["content_hash"]).withColumn("part", part), "batch")
+        new = fresh
+        if exists(spark, seen):
+            parts = [r["part"] for r in fresh.select("part").distinct().collect()]  # at most BUCKETS
+            known = spark.read.schema("content_hash string, part int, batch long").option("basePath", seen).parquet(seen).where(F.col("part").isin(parts) & (F.col("batch") != number))
+            new = fresh.join(known.select("content_hash"), "content_hash", "left_anti")
+        new.drop("part").write.mode("overwrite").parquet(f"{table}/batch={number}")
+        written = spark.read.parquet(f"{table}/batch={number}").select("content_hash", part.alias("part"), F.lit(number).cast("long").alias("batch"))
+        written.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(seen)
+        drop_path(spark, path)
 
     query = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
     return (query.trigger(availableNow=True) if once else query).start()

@@ -15,16 +15,24 @@ duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.exists(f"{DATA}/documents.parquet"), reason="no driver tables here")
 
 
-@pytest.fixture(scope="module")
-def sql():
+#: Tables for queries whose quota the smallest ones cannot fill.
+LARGER = os.path.join(os.path.dirname(DATA), "sf0.01")
+
+
+def _connect(folder):
     con = duckdb.connect()
     con.execute("set timezone='UTC'")
     for t in TABLES:
-        path = f"{DATA}/{t}.parquet"
+        path = f"{folder}/{t}.parquet"
         con.execute(f"create view {t} as select * from read_parquet('{path + '/*' if os.path.isdir(path) else path}')")
     return con
 
 
+@pytest.fixture(scope="module")
+def sql():
+    return _connect(DATA)
+
+
 def plain(value):
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return None
@@ -41,7 +49,9 @@ def test_query(spark, sql, name):
         got = contract.QUERIES[name](spark, DATA)
         rows = got.collect()
     except QuotaError:
-        pytest.skip("too few rows in the smallest tables")
+        sql = _connect(LARGER)
+        got = contract.QUERIES[name](spark, LARGER)
+        rows = got.collect()
     assert len(set(got.columns)) == len(got.columns)
     if name not in contract.ORACLES:
         return
@@ -55,4 +65,4 @@ def test_query(spark, sql, name):
 
 def test_bootstrap_is_registered_with_all_resamples(spark):
     want = stats.bootstrap_ci(contract._deltas(spark, DATA), "id", contract.SEED, 10_000).first()
-    assert contract.bootstrap_ci(spark, DATA).first() == want
+    assert tuple(contract.bootstrap_ci(spark, DATA).first()) == pytest.approx(tuple(want))

@@ -29,7 +29,10 @@ def test_ablation_sets_and_strata(spark):
     assert sorted(r["band"] for r in high) == sorted(r["band"] for r in controls) and not {r["id"] for r in high} & {r["id"] for r in controls}
     assert out["grpo:train"].first()["source_text"].startswith("甲")
     sheet, key = out["review_sheet"].collect(), {r["review_id"]: r for r in out["review_key"].collect()}
-    assert len(sheet) == 60 and all((s["option_a"] if key[s["review_id"]]["chosen_is"] == "A" else s["option_b"]).startswith("chosen") for s in sheet)
+    # seven confident pairs were selected, and thirty were not confident
+    assert len(sheet) == 37 and {s["stratum"] for s in sheet} == {"high_confidence", "ambiguous_or_reversed"} and all(s["human_fidelity_a"] is None and s["human_fidelity_b"] is None for s in sheet)
+    assert all(k["judge"]["pair_id"] == k["pair_id"] and k["judge"]["high_confidence"] == r.startswith("high") for r, k in key.items())
+    assert all((s["option_a"] if key[s["review_id"]]["chosen_is"] == "A" else s["option_b"]).startswith("chosen") for s in sheet)
     with pytest.raises(stats.GateError):
         E.ablation_sets(pairs, shown, judgments, 1, {"train": (50, 45)})
 

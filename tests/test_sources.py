@@ -54,6 +54,36 @@ def test_file_audit_reports_and_manifest(spark, tmp_path):
     assert artifacts.upsert_block(once, "r", "two").count("r:start") == 1
 
 
+def test_large_files_are_hashed_as_streams(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(artifacts, "LARGE", 5)
+    (tmp_path / "big.bin").write_bytes(b"x" * 100)
+    (tmp_path / "m.bin").write_bytes(b"abc")
+    want = spark.createDataFrame([(n, hashlib.sha256(c).hexdigest()) for n, c in (("big.bin", b"x" * 100), ("m.bin", b"abc"))], "path string, sha256 string")
+    assert {r["path"]: (r["matches"], r["length"]) for r in artifacts.audit_files(spark, str(tmp_path), want).collect()} == {"big.bin": (True, 100), "m.bin": (True, 3)}
+    assert artifacts.Manifest({"a": 1, "b": 2}).input_sha256 == artifacts.Manifest({"b": 2, "a": 1}).input_sha256
+    assert artifacts.Manifest({}).to("running").gate(False).status == "gate_failed"
+
+
+def test_judge_runs_resume_and_gate(spark, tmp_path):
+    from lexiloom.operators import judging
+    from lexiloom.plans import judge_run
+
+    pairs = spark.createDataFrame([(f"p{i}", "s", "train", f"good {{a}} {i}", "bad") for i in range(3)], "id string, source_id string, split string, chosen string, rejected string")
+    shown = judging.presentations(pairs, 1)
+    asked = judge_run.prompts(shown.where("pair_id = 'p0'")).first()
+    assert "good {a} 0" in asked["judge_prompt"] and "bad" in asked["judge_prompt"]
+
+    def fair():
+        return lambda prompts: [('{"winner": "%s"}' % ("A" if "译文A：\ngood" in p else "B"), 1, True) for p in prompts]
+
+    first = judge_run.pairwise(spark, shown.where("order = 0"), str(tmp_path / "j"), fair, "m")
+    assert first["status"] == "gate_failed" and first["answered"] == 3
+    whole = judge_run.pairwise(spark, shown, str(tmp_path / "j"), fair, "m")
+    assert whole["status"] == "complete" and whole["answered"] == 3 and whole["position_consistency"] == 1.0
+
+
 def test_generation_interface(spark):
     out = inference.generate(spark.createDataFrame([("a\nlast",), (None,)], "p string"), "p", inference.echo, "stub").collect()
     assert [(r["response"], r["stopped"], r["model_path"]) for r in out] == [("last", True, "stub"), ("", True, "stub")]
@@ -68,6 +98,7 @@ def test_streaming_ingest_keeps_first(spark, tmp_path):
         ingest.start(spark, src, rows.schema, table, str(tmp_path / "cp")).awaitTermination()
         rows.withColumn("text", F.concat("text", F.lit("?"))).write.mode("append").parquet(src)
     assert spark.read.parquet(table).count() == 1
+    assert spark.read.parquet(f"{table}-seen").count() == 1
 
 
 def test_commands(spark, tmp_path):
@@ -84,6 +115,8 @@ def test_commands(spark, tmp_path):
     mixed = run("mix", "--input", tmp_path / "numbered", "--output", tmp_path / "mixed", "--fractions", "general_en=1.0", "--total-tokens", 50)
     assert mixed["achieved"][0]["tokens"] == 50
     assert run("train", "cpt", "--input", tmp_path / "clean", "--output", tmp_path / "cpt")["rows"] >= 1
+    said = run("generate", "--input", tmp_path / "raw", "--output", tmp_path / "said", "--loader", "lexiloom.operators.inference:echo", "--model", "m")
+    assert said["rows"] == 6
     gen = spark.createDataFrame([("1", "t", "p", "an answer", "an answer")], "id string, task string, prompt string, response string, reference string")
     jsonl.write(gen, str(tmp_path / "gen"))
     scored = run("score", "--input", tmp_path / "gen", "--output", tmp_path / "scored")
