@@ -250,9 +250,11 @@ def test_bootstrap_draws_with_replacement(spark, monkeypatch):
     at = lambda q: means[int(199 * q)] + (199 * q % 1) * (means[int(199 * q) + 1] - means[int(199 * q)])
     assert got["mean"] == 3.75 and got["low"] == pytest.approx(at(0.025)) and got["high"] == pytest.approx(at(0.975))
     assert tuple(stats.bootstrap_ci(df.where("false"), "id", 7, 10).first()) == (None, None, None)
+    many = spark.createDataFrame([(f"k{i}", values[i % 4]) for i in range(400)], "id string, delta double")
+    near = stats.bootstrap_ci(many, "id", 7, 2000).first()
     monkeypatch.setattr(stats, "MOST_VALUES", 3)
-    far = stats.bootstrap_ci(df, "id", 7, 2000).first()
-    assert far["mean"] == 3.75 and abs(far["low"] - got["low"]) < 1 and abs(far["high"] - got["high"]) < 1.5
+    far = stats.bootstrap_ci(many, "id", 7, 2000).first()
+    assert far["mean"] == 3.75 and abs(far["low"] - near["low"]) < 0.05 and abs(far["high"] - near["high"]) < 0.05
 
 
 def test_nothing_changes_the_session(spark):
