@@ -14,6 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
+#: How intermediate tables are written.  On a local file system Hadoop puts a
+#: checksum file beside each file and starts a process to set the mode of both;
+#: Parquet pages have checksums of their own, so the plain file is enough.
+#: Other stores do not look at the latter two.
+WRITING = {"compression": "zstd", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; on a local master without one, a private folder of this application."""
@@ -66,7 +72,7 @@ def durable(df: DataFrame, label: str, rows: int | None = None) -> tuple[DataFra
     path = new_path(spark, label)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**WRITING).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
