@@ -1,67 +1,21 @@
-"""Durable intermediate tables in the folder that all executors share.
+"""Durable intermediate tables laid out by a key, and what workers keep.
 
 Lineage is cut with Parquet tables under ``spark.checkpoint.dir``: unlike a
 local checkpoint they outlive any executor, and unlike ``checkpoint()`` they
-are columnar and compressed.  The folder is read from the session; a folder of
-our own is set only where none is configured (tests, notebooks).
+are columnar and compressed.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import WRITING, drop_path, durable, new_path, unused
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; sets a private one if it has none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def _hadoop_path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    where, fs = _hadoop_path(spark, path)
-    fs.deleteOnExit(where)
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a table of :func:`durable` that nothing reads any more."""
-    where, fs = _hadoop_path(spark, path)
-    fs.delete(where, True)
-
-
-#: Narrow rows that one task writes where their number is known.
-ROWS_A_TASK = 250_000
-
-
-def durable(df: DataFrame, label: str, rows: int | None = None) -> tuple[DataFrame, str]:
-    """Write ``df`` once and return the frame that reads it, with its path.
-
-    ``rows`` bounds the number of (narrow) rows: a small table is then written
-    by a few tasks, not one for each shuffle partition.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    if rows is not None:
-        df = df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+__all__ = ["drop_path", "durable", "durable_by", "new_path", "once_a_worker", "shuffle_width", "slices", "unused"]
 
 
 def durable_by(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
@@ -72,7 +26,7 @@ def durable_by(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path, name = new_path(spark, label), f"lexiloom_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+    df.write.options(**WRITING).bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return out
@@ -86,14 +40,6 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 4 <<
             yield batch.slice(at, n)
 
 
-def unused(columns: list[str], *names: str) -> list[str]:
-    """The names with a tail that keeps them apart from ``columns`` in any case of letters."""
-    taken, tail = {c.lower() for c in columns}, ""
-    while any(f"{n}{tail}".lower() in taken for n in names):
-        tail += "_"
-    return [f"{n}{tail}" for n in names]
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -49,7 +49,7 @@ from .wordhash import window_hashes, word_bounds, word_hashes
 MIN_WORDS = 50
 ANCHOR = 25
 #: Suffixes with the same beginning that are sorted together at most.
-HOT = 4096
+HOT = 1024
 #: Suffixes that the owner of a range holds at once.
 RANGE_SUFFIXES = 50_000
 SPANS = "doc_id long, first_doc_id long, start_word long, n_words long"
