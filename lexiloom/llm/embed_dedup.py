@@ -8,16 +8,19 @@ only compared with those of equal label and length that share a bucket, and
 every reported link is verified by the cosine in double precision.
 
 Equal vectors of a label are one class before anything is compared, so copies
-are never paired.  A bucket beyond ``TILE`` classes is cut into tiles of
-``TILE`` by ``TILE``, which count links and emit, by a union-find over all
-verified pairs, one edge from each class to the least class that it reaches,
-never the pairs; a pair that meets in several
-buckets is counted in the first of them only.
+are never paired.  Buckets are formed over numbers alone.  Those that have the
+same least class are one group, as near vectors share most of their buckets,
+so a vector is sent once for each such group and not for each bucket.  A group
+beyond ``TILE`` classes is cut into tiles of ``TILE`` by ``TILE``, which count
+links and emit, by a union-find over all verified pairs, one edge from each
+class to the least class that it reaches, never the pairs; a pair that meets
+in several groups is counted in the first of them only.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components, and those with a null label, have no links and are their own
-component; rows with a null id are left out; rows that share an id count as
-separate vectors with that id; labels of any type; other columns are not
+component; rows with a null id are linked like others, but name no component
+(null where all its ids are null) and are not kept; rows that share an id count
+as separate vectors with that id; labels of any type; other columns are not
 looked at.
 """
 
@@ -40,7 +43,7 @@ PROBES = 1
 TILE = 1024
 #: Vectors hashed and dealt out together.
 SLICE = 200
-#: Rows of buckets that are compared together, and the largest bucket that is not a matrix of its own.
+#: Rows of groups that are compared together, and the largest group that is not a matrix of its own.
 SHARE = 20_000
 SMALL = 24
 THRESHOLD = 0.98
@@ -102,18 +105,17 @@ def _members(tables: int, depth: int, probes: int):
                 keep = np.ones(codes.shape, dtype=bool)
                 keep[:, 1:] = codes[:, 1:] != codes[:, :-1]
                 row, col = np.nonzero(keep)
-                own = list(codes.astype(np.int32))
-                yield pd.DataFrame({"label": part["label"].to_numpy()[row], "dims": np.int32(size), "bucket": codes[row, col].astype(np.int32), "cid": part["cid"].to_numpy()[row], "copies": part["copies"].to_numpy()[row], "codes": [own[i] for i in row], "vec": part["vec"].to_numpy()[row]})
+                yield pd.DataFrame({"label": part["label"].to_numpy()[row], "dims": np.int32(size), "code": codes[row, col].astype(np.int32), "cid": part["cid"].to_numpy()[row]})
 
     return run
 
 
 def _near(unit: np.ndarray, keys: np.ndarray, part: np.ndarray, p: np.ndarray, q: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one bucket tile within the threshold; rows are in order of ``keys``."""
+    """Pairs of rows of one tile within the threshold; rows are in order of ``keys``."""
     cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     ends = np.append(cuts[1:], len(keys))
     small = np.repeat(ends - cuts <= SMALL, ends - cuts)
-    # small buckets, all at once: each row with the one k places on
+    # small groups, all at once: each row with the one k places on
     for k in range(1, SMALL):
         i = np.flatnonzero(small[:-k] & (keys[:-k] == keys[k:]) & ((p[:-k] == q[:-k]) | (part[:-k] != part[k:])))
         if not len(i):
@@ -150,29 +152,32 @@ def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def _tiles(threshold: float):
-    """Links within a share of the buckets; each pair counts in the first bucket that it shares."""
+    """Links within a share of the groups; each pair counts in the first group (least leader) that both are in."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, own in pdf.groupby("dims"):
-            key = pd.util.hash_pandas_object(own[["label", "bucket", "p", "q"]].astype({"label": object}), index=False).to_numpy()
+            key = pd.util.hash_pandas_object(own[["label", "leader", "p", "q"]].astype({"label": object}), index=False).to_numpy()
             own = own.iloc[np.argsort(key, kind="stable")]
             key = np.sort(key)
-            cid, copies, bucket = own["cid"].to_numpy(), own["copies"].to_numpy(), own["bucket"].to_numpy()
-            unit, codes = _units(own["vec"]), np.stack(own["codes"].to_numpy())
+            cid, copies, leader = own["cid"].to_numpy(), own["copies"].to_numpy(), own["leader"].to_numpy()
+            unit = _units(own["vec"])
+            many = own["leaders"].map(len).to_numpy()
+            leaders = np.full((len(own), int(many.max())), -1, dtype=np.int64)
+            leaders[np.arange(leaders.shape[1]) < many[:, None]] = np.concatenate(own["leaders"].to_list())
             links = np.zeros(len(cid), dtype=np.int64)
-            # a class has a row in each of its buckets; sets go across the buckets of the share
+            # a class has a row in each of its groups; sets go across the groups of the share
             nodes, node = np.unique(cid, return_inverse=True)
             root = np.arange(len(nodes))
             for i, j in _near(unit, key, own["part"].to_numpy(), own["p"].to_numpy(), own["q"].to_numpy(), threshold):
                 for at in range(0, len(i), 20_000):
                     a, b = i[at : at + 20_000], j[at : at + 20_000]
-                    shared = np.zeros(len(a), dtype=bool)
-                    for c in range(codes.shape[1]):  # an earlier bucket of both?
-                        mine = codes[a, c]
-                        shared |= (mine < bucket[a]) & (codes[b] == mine[:, None]).any(axis=1)
-                    np.add.at(links, a[~shared], copies[b[~shared]])
-                    np.add.at(links, b[~shared], copies[a[~shared]])
+                    before = np.zeros(len(a), dtype=bool)
+                    for c in range(leaders.shape[1]):  # an earlier group of both?
+                        mine = leaders[a, c]
+                        before |= (mine >= 0) & (mine < leader[a]) & (leaders[b] == mine[:, None]).any(axis=1)
+                    np.add.at(links, a[~before], copies[b[~before]])
+                    np.add.at(links, b[~before], copies[a[~before]])
                     _unite(root, node[a], node[b])
             low = nodes[root[node]]
             met = (links > 0) | (low != cid)
@@ -183,26 +188,34 @@ def _tiles(threshold: float):
 
 
 def link_embeddings(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, tables: int = TABLES, depth: int = DEPTH, probes: int = PROBES) -> DataFrame:
-    """One row per vector with an id: ``vec_id, n_links, component_id, kept``."""
+    """One row per vector: ``vec_id, n_links, component_id, kept``."""
     spark = df.sparkSession
     # single-precision vectors stay so until they are compared, which loses nothing
     kind = "array<float>" if df.schema[vec_col].dataType == T.ArrayType(T.FloatType()) else "array<double>"
-    vec = F.col(vec_col).cast(kind)
+    vec = F.col(f"`{vec_col}`").cast(kind)
     fit = F.col("label").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0) & F.expr("forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))") & F.expr("exists(vec, x -> x <> 0)")
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), vec.alias("vec")).where("vec_id is not null").withColumn("vec", F.when(fit, F.col("vec")))
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").cast("string").alias("label"), vec.alias("vec")).withColumn("vec", F.when(fit, F.col("vec")))
     # -0.0 and 0.0 are equal vectors
     rows = rows.withColumn("vec", F.transform("vec", lambda x: F.when(x == 0, 0.0).otherwise(x).cast(kind[6:-1])))
     alone = rows.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     classes, _ = durable(rows.where("vec is not null").groupBy("label", "vec").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")).withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    members, _ = durable(classes.select("label", "vec", "cid", "copies").mapInPandas(_members(tables, depth, probes), f"label string, dims int, bucket int, cid long, copies long, codes array<int>, vec {kind}"), "members")
-    sizes = members.groupBy("label", "dims", "bucket").count().where("count > 1").withColumn("parts", F.ceil(F.col("count") / TILE).cast("int")).drop("count")
-    dealt = members.join(sizes, ["label", "dims", "bucket"]).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    hashed = classes.select("label", "vec", "cid").mapInPandas(_members(tables, depth, probes), "label string, dims int, code int, cid long")
+    members, _ = durable(hashed.select(F.xxhash64("label", "dims", "code").alias("bucket"), "cid"), "members")
+    # numbers only: a group for the least class of each bucket that has several
+    full = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("cid").alias("leader")).where("n > 1").select("bucket", "leader")
+    placed = members.join(full, "bucket").select("leader", "cid").distinct()
+    sizes = placed.groupBy("leader").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    # at most a group for each bucket of a class
+    groups, _ = durable(placed.join(sizes, "leader").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("leader", "parts"))).alias("groups")), "groups")
+    # from here on vectors: one row for each group (and tile) of a class
+    dealt = classes.select("label", "vec", "cid", "copies").join(groups, "cid").select("label", F.size("vec").alias("dims"), "vec", "cid", "copies", F.col("groups.leader").alias("leaders"), F.explode("groups").alias("g")).select("*", "g.leader", "g.parts").drop("g")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     tiles = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiles = tiles.withColumn("p", F.least("part", "with")).withColumn("q", F.greatest("part", "with"))
-    # many small buckets share a task's group; a tile stays whole
+    # many small groups share a task's; a tile stays whole
     shares = max(shuffle_width(spark), -(-members.count() // SHARE))
-    shared = tiles.withColumn("share", F.pmod(F.xxhash64("label", "dims", "bucket", "p", "q"), F.lit(shares)))
+    shared = tiles.withColumn("share", F.pmod(F.xxhash64("leader", "p", "q"), F.lit(shares)))
     met, _ = durable(shared.groupBy("share").applyInPandas(_tiles(threshold), "cid long, links long, low long"), "met")
 
     named = components(met.where("low <> cid").select(F.col("cid").alias("u"), F.col("low").alias("v")))
@@ -211,4 +224,4 @@ def link_embeddings(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     least = own.groupBy("component").agg(F.min("first").alias("component_id"))
     own = own.join(least, "component").select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     found = rows.where("vec is not null").join(own, ["label", "vec"]).select("vec_id", "n_links", "component_id")
-    return found.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return found.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -200,14 +200,15 @@ def test_warc_of_no_pages(spark):
 def brute_links(rows, threshold=0.98):
     ok = {}
     for k, (i, label, v) in enumerate(rows):
-        if i is not None and label is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v):
+        if label is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v):
             ok[k] = np.array(v, dtype=np.float64) / np.linalg.norm(np.array(v, dtype=np.float64) / max(map(abs, v))) / max(map(abs, v))
     links = {k: {j for j in ok if j != k and rows[j][1] == rows[k][1] and len(ok[j]) == len(ok[k]) and ok[j] @ ok[k] >= threshold} for k in ok}
-    comp = {k: rows[k][0] for k in range(len(rows)) if rows[k][0] is not None}
+    far = 1 << 60  # a null id names no component
+    comp = {k: far if rows[k][0] is None else rows[k][0] for k in range(len(rows))}
     for _ in rows:
         for k, near in links.items():
             comp[k] = min([comp[k], *(comp[j] for j in near)])
-    return Counter((rows[k][0], len(links.get(k, ())), comp[k], comp[k] == rows[k][0]) for k in comp)
+    return Counter((rows[k][0], len(links.get(k, ())), None if comp[k] == far else comp[k], comp[k] == rows[k][0]) for k in comp)
 
 
 @pytest.mark.parametrize("small", [2, 24])
@@ -220,8 +221,8 @@ def test_embeddings_against_brute_force(spark, monkeypatch, small):
     for i in range(260):
         c = centres[r.integers(6)] if i < 200 else centres[0] * r.uniform(0.5, 2)
         rows.append((i, str(i % 2), [float(np.float32(x)) for x in c + r.normal(size=24) * r.choice([0.0, 0.02, 0.05, 0.12])]))
-    rows += [(300, "0", None), (301, "0", []), (302, "0", [0.0] * 24), (303, "0", [float("nan")] + [1.0] * 23), (304, "0", [None] + [1.0] * 23), (305, None, rows[0][2]), (306, "0", [1.0]), (307, "0", [2.0]), (308, "0", [-1.0]), (309, "1", [float("inf")] * 24), (None, "0", rows[0][2]), (5, "1", rows[5][2])]
-    df = spark.createDataFrame([(i, v, label, 1, 2) for i, label, v in rows], "vec_id long, embedding array<float>, label string, bucket int, cid int")
+    rows += [(300, "0", None), (301, "0", []), (302, "0", [0.0] * 24), (303, "0", [float("nan")] + [1.0] * 23), (304, "0", [None] + [1.0] * 23), (305, None, rows[0][2]), (306, "0", [1.0]), (307, "0", [2.0]), (308, "0", [-1.0]), (309, "1", [float("inf")] * 24), (None, "0", rows[0][2]), (None, "1", [1.0] + [0.0] * 23), (None, "1", None), (5, "1", rows[5][2])]
+    df = spark.createDataFrame([(i, v, label, 1, 2) for i, label, v in rows], "vec_id long, embedding array<float>, label string, leader int, cid int")
     got = Counter(map(tuple, embed_dedup.link_embeddings(df).select("vec_id", "n_links", "component_id", "kept").collect()))
     assert got == brute_links(rows)
 
@@ -245,8 +246,8 @@ def hubs(n):
 
 
 def test_a_hub_of_the_largest_class_joins_its_ends():
-    (one, two, hub), codes = hubs(1)[0], np.array([7], dtype=np.int32)
-    rows = pd.DataFrame({"label": "x", "dims": 64, "bucket": 7, "p": 0, "q": 0, "part": 0, "cid": [1, 2, 3], "copies": 1, "codes": [codes] * 3, "vec": [one, two, hub]})
+    one, two, hub = hubs(1)[0]
+    rows = pd.DataFrame({"label": "x", "dims": 64, "leader": 1, "p": 0, "q": 0, "part": 0, "cid": [1, 2, 3], "copies": 1, "leaders": [np.array([1])] * 3, "vec": [one, two, hub]})
     met = embed_dedup._tiles(0.98)(rows).sort_values("cid")
     assert met[["cid", "links", "low"]].to_numpy().tolist() == [[1, 1, 1], [2, 1, 1], [3, 2, 1]]
 
@@ -262,6 +263,21 @@ def test_every_link_is_in_a_component(spark, monkeypatch, small):
     assert all([got[3 * k + i]["component_id"] for i in range(3)] == [3 * k] * 3 for k in whole)
 
 
+def test_recall_against_brute_force(spark):
+    """Links found among all of some thousand vectors, a third of which are near others at cosines down to the threshold."""
+    r = np.random.default_rng(12)
+    base = r.normal(size=(1500, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = r.normal(size=(700, 64))
+    off -= (base[:700] * off).sum(axis=1, keepdims=True) * base[:700]
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    c = r.uniform(0.9801, 0.9999, size=(700, 1))
+    whole = np.concatenate([base, c * base[:700] + np.sqrt(1 - c**2) * off])
+    got = sum(x["n_links"] for x in embed_dedup.link_embeddings(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(whole)], "vec_id long, embedding array<double>, label int")).collect())
+    links = int(((whole @ whole.T) >= 0.98).sum()) - len(whole)
+    assert links >= 1400 and 0.995 * links <= got <= links
+
+
 def test_unite_against_brute_force():
     r = np.random.default_rng(4)
     for _ in range(50):
@@ -309,6 +325,33 @@ def test_url_rules_against_a_plain_scan(spark):
         url_filter.RuleIndex([("block", "x", "/")] * (url_filter.MAX_RULES + 1))
 
 
+def test_url_rules_on_an_empty_table(spark):
+    assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_queries_leave_the_session_alone(spark):
+    from lexiloom.llm import queries
+
+    before = dict(spark.conf.getAll)
+    for run in queries.QUERIES.values():
+        run(spark, "/root/testdata/sf0.001").count()
+    assert dict(spark.conf.getAll) == before
+
+
+def test_pipeline_of_an_empty_table_and_of_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as P
+
+    for name, rows in (("none", []), ("clash", [(1, "und die nicht ein auch sich werden", "de", 1, 2, 3, "x"), (2, None, None, 1, 2, 3, "x"), (None, "der die das und nicht ein auch", "de", 1, 2, 3, "x")])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, score int, __id int, gone int, kept string").write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, "some item of the benchmark")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, f in P.STAGES[:-1]:
+            docs, _ = storage.durable(f(spark, docs, folder), stage)
+            assert docs.columns == ["doc_id", "text", "lang", "score", "__id", "gone", "kept"]
+        assert {x["doc_id"] for x in P.run(spark, folder).collect()} == ({1, None} if rows else set())
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 
