@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import judging, preferences, review, sampling, sft, stats, tokens
 from ..operators.acquire import pick_text
 from . import corpus, experiments
-from .contract import _CHATS, _GREEDY, _JUDGED, _LEN, _PAIRS, _REP, _SPLIT, _TASK, ORACLES, SEED, _chats, _docs, _pairs, _read, _shown, _stub_judgments, _tasks, query
+from .contract import _CHATS, _GREEDY, _JUDGED, _LEN, _NORM_OF, _PAIRS, _REP, _SPLIT, _TASK, ORACLES, SEED, _chats, _docs, _pairs, _read, _shown, _stub_judgments, _tasks, query
 
 _STRIPPED = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
@@ -25,6 +25,9 @@ _CHRF = f"""{_GRAMS.format("ga", "response")}, {_GRAMS.format("gb", "prompt")},
     pq AS (SELECT id, avg(coalesce(m, 0)::DOUBLE / sa.s) AS p, avg(coalesce(m, 0)::DOUBLE / sb.s) AS q FROM sa JOIN sb USING (id, n) LEFT JOIN met USING (id, n) GROUP BY id),
     chrf AS (SELECT pairs.id, coalesce(CASE WHEN p + q > 0 THEN 100 * 5 * p * q / (4 * p + q) END, 0) AS chrf FROM pairs LEFT JOIN pq USING (id))"""
 
+#: The entities of the tables, in one pass each; no other stands there.
+_UNESCAPED = """regexp_replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g')"""
+ORACLES["normalize_pages"] = f"SELECT page_id, {_NORM_OF(_UNESCAPED)} AS text FROM pages"
 ORACLES["chrf_scores"] = f"WITH {_PAIRS}, {_CHRF} SELECT id, round(chrf, 6) AS chrf FROM chrf"
 ORACLES["reward_critical_token"] = f"WITH {_PAIRS}, {_CRITICAL} SELECT id, round(critical_token, 9) AS critical_token FROM crit"
 ORACLES["reward_weighted"] = f"""WITH {_PAIRS}, {_CHRF}, {_CRITICAL}, x AS (SELECT *, regexp_replace(response, '\\s+', '', 'g') AS k, regexp_replace(prompt, '\\s+', '', 'g') AS p FROM pairs)
