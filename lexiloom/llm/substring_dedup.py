@@ -163,16 +163,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blocks, _ = pack(df, id_col, text_col)
     size = blocks.agg(F.coalesce(F.sum("raw_bytes"), F.lit(0)).alias("n")).first()["n"]
     entries = max(1, size // 6)
-    ranges = X.ranges_for(blocks, entries)
+    ranges = X.ranges_for(blocks, entries, 0, size)
     shift = 64 - max(1, (entries * CELLS).bit_length())
-    blobs = blocks.mapInPandas(_sketch(window, ranges, shift), X.BLOB)
+    blobs = blocks.mapInPandas(_sketch(window, ranges.coarse, shift), X.BLOB)
     # the bits that came back are small and used by both later passes
-    merged, _ = durable(X.resolve(blobs, ranges, (lambda keys, more: X.seen_twice(keys, more[0]), [np.uint8])), "estimates")
-    exact_ranges = X.ranges_for(blocks, entries // 2)
-    second = blocks.groupBy("block").cogroup(merged.groupBy("block")).applyInPandas(_exact(window, ranges, shift, exact_ranges), X.BLOB)
+    merged, _ = durable(X.resolve(blobs, ranges, (lambda keys, more: X.seen_twice(keys, more[0]), [np.uint8]), kinds=(bool,), shift=shift), "estimates")
+    exact_ranges = X.ranges_for(blocks, entries // 2, 0, size)
+    second = blocks.groupBy("block").cogroup(merged.groupBy("block")).applyInPandas(_exact(window, ranges.coarse, shift, exact_ranges.coarse), X.BLOB)
     least = X.resolve(second, exact_ranges, (lambda keys, more: X.least_doc(keys, *more), [np.uint32, np.int64]))
     said = merged.withColumn("pass", F.lit(1)).union(least.withColumn("pass", F.lit(2)))
-    return blocks.groupBy("block").cogroup(said.groupBy("block")).applyInPandas(_cut(window, ranges, shift, exact_ranges), OUT).union(nameless)
+    return blocks.groupBy("block").cogroup(said.groupBy("block")).applyInPandas(_cut(window, ranges.coarse, shift, exact_ranges.coarse), OUT).union(nameless)
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:

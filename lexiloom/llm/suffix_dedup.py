@@ -273,15 +273,17 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = blocks.agg(F.coalesce(F.sum("raw_bytes"), F.lit(0)).alias("n")).first()["n"]
     reach = min_words - anchor
     suffixes = total // 6 // max(1, reach // 2)
-    ranges = X.ranges_for(blocks, suffixes)
-    shares = X.ranges_for(blocks, suffixes * X.RANGE_ENTRIES // RANGE_SUFFIXES)
+    ranges = X.ranges_for(blocks, suffixes, 0, total)
+    shares = X.ranges_for(blocks, suffixes, RANGE_SUFFIXES, total)
     # the answers are small and used by both later passes
-    kinds, _ = durable(X.resolve(blocks.mapInPandas(_emit(min_words, anchor, ranges), X.BLOB), ranges, (_kinds, [np.uint8, np.uint32])), "anchors")
-    dealt = blocks.groupBy("block").cogroup(kinds.groupBy("block")).applyInPandas(_deal(min_words, anchor, ranges, shares), X.BLOB)
-    row = np.dtype(f"V{8 + 2 * reach * _WORD}")
-    least = X.resolve(dealt, shares, (lambda keys, more: extended(keys, more, reach), [row, np.int64]), (lambda keys, more: X.least_doc(keys, *more), [np.uint32, np.int64]))
+    told = X.resolve(blocks.mapInPandas(_emit(min_words, anchor, ranges.coarse), X.BLOB), ranges, (_kinds, [np.uint8, np.uint32]), kinds=(np.uint8,))
+    kinds, _ = durable(told, "anchors")
+    dealt = blocks.groupBy("block").cogroup(kinds.groupBy("block")).applyInPandas(_deal(min_words, anchor, ranges.coarse, shares.coarse), X.BLOB)
+    row, wide = np.dtype(f"V{8 + 2 * reach * _WORD}"), np.dtype(f"V{8 * (reach + 1)}")
+    sorted_ = lambda keys, more: np.ascontiguousarray(extended(keys, more, reach)).view(wide).reshape(-1)
+    least = X.resolve(dealt, shares, (sorted_, [row, np.int64]), (lambda keys, more: X.least_doc(keys, *more), [np.uint32, np.int64]), kinds=(wide, np.int64))
     said = kinds.withColumn("pass", F.lit(1)).union(least.withColumn("pass", F.lit(2)))
-    return blocks.groupBy("block").cogroup(said.groupBy("block")).applyInPandas(_spans(min_words, anchor, ranges, shares), SPANS)
+    return blocks.groupBy("block").cogroup(said.groupBy("block")).applyInPandas(_spans(min_words, anchor, ranges.coarse, shares.coarse), SPANS)
 
 
 def remove_spans(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -45,6 +45,8 @@ LEAST, USUAL, GREATEST, LOOK_BACK = 128, 512, 4096, 8
 SEGMENT = 10_000
 #: Distinct pre-tokens that a worker keeps the ids of.
 CACHE_WORDS, CACHE_BITS = 1_200_000, 21
+#: Range partitions whose sums are broadcast.
+MOST_PARTS = 100_000
 #: Words that the library gets as one text.
 ROW = 500
 
@@ -249,7 +251,9 @@ def write_store(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
     parts = ordered.groupBy("part").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("tokens").over(ahead), F.lit(0)).alias("tokens"), F.coalesce(F.sum("docs").over(ahead), F.lit(0)).alias("docs"))
-    placed = ordered.join(F.broadcast(parts), "part").select(
+    # a row for each shuffle partition; wider shuffles than this leave the join to the optimizer
+    parts = F.broadcast(parts) if shuffle_width(spark) <= MOST_PARTS else parts
+    placed = ordered.join(parts, "part").select(
         (F.col("docs") + F.row_number().over(own) - 1).alias("place"), "doc_id", (F.col("tokens") + F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).alias("start"), "n_tokens", "chunks", _root("chunks").alias("root")
     )
     placed.write.option("compression", "zstd").parquet(f"{path}/recipes")
