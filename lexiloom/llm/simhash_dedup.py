@@ -39,12 +39,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import durable, slices
+from .storage import durable, shuffle_width, slices, unused
 
 SEED = 42
 RADIUS = 2
 #: Documents of a verified group that are decided together, in order of ids.
 HEAD = 256
+#: Seeds of the word fingerprints that the filter groups by.
+WORD_SEEDS = (SEED, SEED + 1, SEED + 2)
+#: Their radius: wider than that of whole texts, as what they group is verified.
+WORD_RADIUS = 3
 
 
 def fingerprint(text: str | bytes | None, shingle: int = 3) -> int:
@@ -100,6 +104,8 @@ def chain_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     if n == 1:
         return fps.select(fp.alias("a"), fp.alias("b")).where("false")
     second_budget = 2 * radius // n
+    # each fingerprint becomes many rows, so they are spread before that
+    fps = fps.repartition(shuffle_width(fps.sparkSession))
     sides = []
     for probe in (False, True):
         keys = []
@@ -129,18 +135,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(_grouped(prints, "fp", radius), "fp")
 
 
-def word_fingerprint(text: str | bytes | None) -> int:
+def word_fingerprint(text: str | bytes | None, seed: int = SEED) -> int:
     """64-bit SimHash of a text's distinct words (lower-cased as in :func:`fingerprint`): edits of a few words move it little."""
+    return word_fingerprints(text, (seed,))[0]
+
+
+def word_fingerprints(text: str | bytes | None, seeds: tuple[int, ...]) -> list[int]:
+    """One for each seed; the hashes under different seeds are independent."""
     raw = text.encode() if isinstance(text, str) else text
     words = set(raw.lower().split()) if raw else ()
     if not words:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(w, SEED) for w in words], dtype=">u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+        return [0] * len(seeds)
+    digest, out = xxhash.xxh64_intdigest, []
+    for seed in seeds:
+        hashes = np.array([digest(w, seed) for w in words], dtype=">u8")
+        ones = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(hashes), 1 << 16):
+            ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big"))
+    return out
 
 
 def shingle_similarity(a: str | bytes | None, b: str | bytes | None, size: int = 5) -> float:
@@ -233,39 +246,51 @@ def _settle(two: DataFrame, members: DataFrame, similar: float, size: int) -> Da
     return tiles.mapInArrow(decide, "doc_id long, centre long, gone boolean")
 
 
-def distinct_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, similar: float = 0.8, similar_shingle: int = 5) -> DataFrame:
+def _gone(two: DataFrame, left: DataFrame, fp: str, radius: int, similar: float, size: int) -> DataFrame:
+    """``doc_id`` of those of ``left`` that go, by groups over one of their fingerprints."""
+    own = left.select("doc_id", F.col(fp).alias("print"))
+    met = own.join(_grouped(own, "print", radius).withColumnRenamed("fp", "print"), "print").select("doc_id", F.col("component_id").alias("centre"))
+    several = met.groupBy("centre").agg(F.max("doc_id").alias("last")).where("last > centre").select("centre")
+    open_, _ = durable(met.join(several, "centre").select("doc_id", "centre").distinct(), "wanted")
+    gone = open_.where("false").select("doc_id")
+    while not open_.isEmpty():
+        settled, _ = durable(_settle(two, open_, similar, size), "settled")
+        gone = gone.union(settled.where("gone").select("doc_id"))
+        open_ = settled.where("gone is null").select("doc_id", "centre")
+    return durable(gone.distinct(), "gone")[0]
+
+
+def distinct_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, similar: float = 0.8, similar_shingle: int = 5, seeds: tuple[int, ...] = WORD_SEEDS, word_radius: int = WORD_RADIUS) -> DataFrame:
     """The rows of ``df`` that stay: one document of each group of near duplicates.
 
     First, of each component of :func:`near_duplicates` the smallest id stays.
     Among the rest, groups are formed the same way over fingerprints of the
-    distinct words, which come closer for lightly edited texts; there, in
-    order of ids, a document goes if its similarity to a smaller id of its
-    group that stays, by ``similar_shingle``-word shingles, is at least
-    ``similar`` (above zero).
-
-    Rows that share the smallest id stay together; rows with a null id stay.
+    distinct words, which come closer for lightly edited texts, once for each
+    of ``seeds``; there, in order of ids, a document goes if its similarity to
+    a smaller id of its group that stays, by ``similar_shingle``-word shingles,
+    is at least ``similar`` (above zero).
+
+    Rows that share the smallest id stay together; rows with a null id stay;
+    null and blank texts are near each other; an empty table stays empty; all
+    columns are passed on, whatever their names.
     """
-    spark = df.sparkSession
     text = F.col(f"`{text_col}`").cast("string")
     two = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
+    names = [f"word_{k}" for k in range(len(seeds))]
 
-    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = batch.column(1).cast(pa.large_binary()).to_pylist()
-            fps, words = ([f(x) for x in texts] for f in (lambda x: fingerprint(x, shingle), word_fingerprint))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (fps, words))], names=["doc_id", "fp", "word_fp"])
+            fps = [[fingerprint(x, shingle) for x in texts], *zip(*(word_fingerprints(x, seeds) for x in texts), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in fps)], names=["doc_id", "fp", *names])
 
-    prints, _ = durable(two.mapInArrow(both, "doc_id long, fp long, word_fp long").where("doc_id is not null"), "fingerprints")
+    prints, _ = durable(two.mapInArrow(prints_of, ", ".join(["doc_id long", "fp long", *(f"{n} long" for n in names)])).where("doc_id is not null"), "fingerprints")
     first = prints.join(_grouped(prints, "fp", radius), "fp")
-    placed, _ = durable(first.select("doc_id", "word_fp", (F.col("doc_id") != F.col("component_id")).alias("gone")), "placed")
-    left = placed.where("not gone").select("doc_id", "word_fp")
-    met = left.join(_grouped(left, "word_fp", radius).withColumnRenamed("fp", "word_fp"), "word_fp").select("doc_id", F.col("component_id").alias("centre"))
-    alone = met.groupBy("centre").agg(F.max("doc_id").alias("last")).where("last > centre").select("centre")
-    open_, _ = durable(met.join(alone, "centre").select("doc_id", "centre").distinct(), "wanted")
-    gone = placed.where("gone").select("doc_id")
-    while not open_.isEmpty():
-        settled, _ = durable(_settle(two, open_, similar, similar_shingle), "settled")
-        gone = gone.union(settled.where("gone").select("doc_id"))
-        open_ = settled.where("gone is null").select("doc_id", "centre")
-    gone, _ = durable(gone.distinct().select(F.col("doc_id").alias("__id")), "gone")
-    return df.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left_anti")
+    placed, _ = durable(first.select("doc_id", *names, (F.col("doc_id") != F.col("component_id")).alias("gone")), "placed")
+    left, gone = placed.where("not gone").drop("gone"), placed.where("gone").select("doc_id")
+    for name in names:
+        more = _gone(two, left, name, word_radius, similar, similar_shingle)
+        left, gone = left.join(more, "doc_id", "left_anti"), gone.union(more)
+    (own,) = unused(df.columns, "gone_id")
+    gone, _ = durable(gone.distinct().select(F.col("doc_id").alias(own)), "gone")
+    return df.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(own), "left_anti")
