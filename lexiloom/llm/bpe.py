@@ -57,9 +57,22 @@ def _unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).reshape(-1).view(np.int32) if len(raw) else np.zeros(0, np.int32)
 
 
+def _numbered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of equal hash pairs, where each number first stands, and how often."""
+    order = np.lexsort((b, a))
+    fresh = np.append(True, (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])) if len(order) else np.zeros(0, bool)
+    heads = np.flatnonzero(fresh)
+    numbers = np.empty(len(order), dtype=np.int32)
+    numbers[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    return numbers, order[heads], np.diff(np.append(heads, len(order)))
+
+
 def _words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Pre-tokens of each text (a count), all of them as numbers, and the words by number: frequent ones first, as small numbers pack well."""
-    counts, found, lo, held = [], [], 0, 0
+    """Pre-tokens of each text (a count), all of them as numbers, and the words by number: frequent ones first, as small numbers pack well.
+
+    Texts are split a group at a time, and only a group's distinct words go on.
+    """
+    counts, numbers, found, words, lo, held = [], [], [], [], 0, 0
     for hi, text in enumerate(texts, 1):
         held += len(text or "") + 1
         if held < GROUP and hi < len(texts):
@@ -68,20 +81,24 @@ def _words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[byt
         begins, ends = split_points(codes)
         own = np.searchsorted(bases, begins, side="right") - 1
         counts.append(np.bincount(own, minlength=hi - lo))
-        found.append((*span_hashes(codes, begins, ends), own + lo, begins - bases[own], ends - bases[own]))
+        a, b = span_hashes(codes, begins, ends)
+        number, first, many = _numbered(a, b)
+        numbers.append(number)
+        found.append((a[first], b[first], many))
+        at, i, j = own[first], begins[first], ends[first]
+        words += [texts[lo + t][p:q].encode() for t, p, q in zip(at.tolist(), (i - bases[at]).tolist(), (j - bases[at]).tolist(), strict=True)]
         lo, held = hi, 0
-    a, b, own, begins, ends = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((b, a))
-    fresh = np.append(True, (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])) if len(order) else np.zeros(0, bool)
-    heads = np.flatnonzero(fresh)
-    often = np.argsort(-np.diff(np.append(heads, len(order))), kind="stable")
-    rank = np.empty(len(heads), dtype=np.int32)
-    rank[often] = np.arange(len(heads), dtype=np.int32)
-    numbers = np.empty(len(order), dtype=np.int32)
-    numbers[order] = rank[np.cumsum(fresh) - 1] if len(order) else rank
-    first = order[heads[often]]
-    words = [texts[t][i:j].encode() for t, i, j in zip(own[first].tolist(), begins[first].tolist(), ends[first].tolist(), strict=True)]
-    return np.concatenate(counts), numbers, words
+    a, b, many = (np.concatenate(x) for x in zip(*found, strict=True))
+    number, first, _ = _numbered(a, b)
+    often = np.argsort(-np.bincount(number, weights=many, minlength=len(first)), kind="stable")
+    rank = np.empty(len(first), dtype=np.int32)
+    rank[often] = np.arange(len(first), dtype=np.int32)
+    at, ranked = 0, rank[number]
+    for k, own in enumerate(numbers):
+        size = len(found[k][0])
+        numbers[k] = ranked[at : at + size][own]
+        at += size
+    return np.concatenate(counts), np.concatenate(numbers), [words[i] for i in first[often].tolist()]
 
 
 def _split(block_bytes: int, ranges: int):

@@ -7,6 +7,8 @@ are columnar and compressed.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -18,6 +20,22 @@ from ..sources.shared import WRITING, drop_path, durable, new_path, unused
 __all__ = ["drop_path", "durable", "durable_by", "new_path", "once_a_worker", "shuffle_width", "slices", "unused"]
 
 
+def _return_freed_arrays() -> None:
+    """Let freed arrays beyond a megabyte go back to the system at once.
+
+    glibc raises the size from which it does so with every large array that is
+    freed, and a worker then stays as large as the most it ever held.
+    """
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None) if sys.platform == "linux" else None
+    if mallopt:
+        mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
+_return_freed_arrays()
+
+
 def durable_by(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
     """Like :func:`durable`, laid out by a hash of ``key``: grouping by it needs no shuffle of this table.
 
