@@ -40,8 +40,14 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores, dealt out to all; larger ones as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc:"), F.col("doc_id")).alias("source_id"), "text", F.concat(F.lit("general_"), F.col("lang")).alias("category"), "source")
+    return _spread(_read(spark, sf_dir, "documents")).select("doc_id", F.concat(F.lit("doc:"), F.col("doc_id")).alias("source_id"), "text", F.concat(F.lit("general_"), F.col("lang")).alias("category"), "source")
 
 
 def _chats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ def normalized(df: DataFrame, entities: bool = True) -> DataFrame:
 
 def judged(df: DataFrame, entities: bool = True) -> DataFrame:
     """Normalised rows with ``reasons`` and ``quality_score``."""
-    rows = normalized(df, entities).withColumn("reasons", quality.reasons(F.col("text"), F.col("category")))
+    rows = normalized(df, entities).withColumn("reasons", T.once(quality.reasons(F.col("text"), F.col("category"))))
     return rows.withColumn("quality_score", quality.score(F.col("text"), F.col("reasons")))
 
 

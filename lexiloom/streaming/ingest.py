@@ -9,13 +9,14 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import quality
 from ..functions import text as T
 from ..functions.hashing import sha256_hex
-from ..sources.shared import drop_path, durable, exists
+from ..sources.shared import drop_path, durable, exists, unused
 
 
 def _accepted(df: DataFrame, entities: bool) -> DataFrame:
     text = T.normalize_text(F.col("text"), entities)
     rows = df.withColumn("text", text)
-    rows = rows.where(F.size(quality.reasons(F.col("text"), F.col("category"))) == 0)
+    (found,) = unused(df.columns, "found")
+    rows = rows.withColumn(found, T.once(quality.reasons(F.col("text"), F.col("category")))).where(F.size(found) == 0).drop(found)
     return rows.withColumn("content_hash", sha256_hex(T.dedup_key(F.col("text"))))
 
 

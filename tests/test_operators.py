@@ -96,9 +96,11 @@ def test_greedy_over_blake2b_fingerprints(spark):
     assert got == greedy(rows) and {None, "near_duplicate"} <= set(got.values())
 
 
-def test_a_chain_longer_than_any_number_of_rounds(spark):
+def test_a_chain_longer_than_any_number_of_rounds(spark, monkeypatch):
     chain = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    assert {r["n"]: r["kept"] for r in dedup.first_independent(chain).collect()} == {n: n % 2 == 0 for n in range(401)}
+    for each in (30, 500_000):  # many ranges, one range
+        monkeypatch.setattr(dedup, "EDGES_A_RANGE", each)
+        assert {r["n"]: r["kept"] for r in dedup.first_independent(chain).collect()} == {n: n % 2 == 0 for n in range(401)}
     back = spark.createDataFrame([(0, 9), (9, 4), (4, 7), (2, 7), (7, 8)], "x long, y long").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     edges, kept = [(r["a"], r["b"]) for r in back.collect()], {}
     for n in sorted({n for e in edges for n in e}):
