@@ -21,15 +21,15 @@ __all__ = ["drop_path", "durable", "durable_by", "new_path", "once_a_worker", "s
 
 
 def _return_freed_arrays() -> None:
-    """Let freed arrays beyond a megabyte go back to the system at once.
+    """Let freed arrays beyond four megabytes go back to the system at once.
 
     glibc raises the size from which it does so with every large array that is
     freed, and a worker then stays as large as the most it ever held.
     """
     mallopt = getattr(ctypes.CDLL(None), "mallopt", None) if sys.platform == "linux" else None
     if mallopt:
-        mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-        mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+        mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
         pa.set_memory_pool(pa.system_memory_pool())
 
 
