@@ -107,16 +107,6 @@ def bound(value: Column, build) -> Column:
     return F.element_at(F.transform(F.array(value), build), 1)
 
 
-def once(value: Column) -> Column:
-    """``value`` in a projection that later filters stay behind.
-
-    A filter is otherwise moved below the projection, with the whole expression
-    put in place of each use of the column, and computed that many times.  A
-    projection with a random number in it is left where it is.
-    """
-    return F.when(F.rand(0) >= 0, value)
-
-
 def characters(text: Column) -> Column:
     """The code points of a text; unlike ``substring``, reaching one of them does not walk the text."""
     return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))

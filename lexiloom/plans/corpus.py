@@ -12,7 +12,7 @@ from ..operators import chat, tokens
 from ..operators.acquire import column
 from ..operators.dedup import MAX_FEATURES, duplicate_kinds, first_by, simhash
 from ..operators.sampling import balanced, capped
-from ..sources.shared import unused
+from ..sources.shared import durable, unused
 
 #: Seed, tasks and categories of the evaluation sets.
 SEED = 20260912
@@ -30,7 +30,7 @@ def normalized(df: DataFrame, entities: bool = True) -> DataFrame:
 
 def judged(df: DataFrame, entities: bool = True) -> DataFrame:
     """Normalised rows with ``reasons`` and ``quality_score``."""
-    rows = normalized(df, entities).withColumn("reasons", T.once(quality.reasons(F.col("text"), F.col("category"))))
+    rows = normalized(df, entities).withColumn("reasons", quality.reasons(F.col("text"), F.col("category")))
     return rows.withColumn("quality_score", quality.score(F.col("text"), F.col("reasons")))
 
 
@@ -45,9 +45,10 @@ def prepare(df: DataFrame, order: str, seed: int = SEED, entities: bool = True,
     number, key, fp = unused([*df.columns, "reasons", "duplicate_of_kind"], "number", "key", "fp")
     rows = judged(df, entities)
     # normalising is done twice, once here and once for the result; only ids, keys and fingerprints are written
-    good = rows.where(F.size("reasons") == 0).select(F.col(f"`{order}`").alias(number), T.dedup_key(F.col("text")).alias(key))
-    facts = good.select(number, sha256_hex(F.col(key)).alias(key), simhash(F.col(key), fingerprint, max_features).alias(fp))
-    kinds = duplicate_kinds(facts, number, key, fp)
+    # a filter here would be moved below the projection and compute the normalised text once for each rule
+    good = rows.select(F.col(f"`{order}`").alias(number), F.when(F.size("reasons") == 0, T.dedup_key(F.col("text"))).alias(key))
+    facts, _ = durable(good.select(number, sha256_hex(F.col(key)).alias(key), simhash(F.col(key), fingerprint, max_features).alias(fp)), "fingerprints")
+    kinds = duplicate_kinds(facts.where(F.col(fp).isNotNull()), number, key, fp)
     out = rows.join(kinds, F.col(f"`{order}`") == F.col(number), "left").withColumn("reasons", F.when(F.col("duplicate_of_kind").isNotNull(), F.array("duplicate_of_kind")).otherwise(F.col("reasons")))
     group = group_key({f: column(df, f) for f in GROUP_FIELDS if f in df.columns} or {"id": F.col(order)})
     # relabelled after the decision, so the stricter rules of the new category do not apply

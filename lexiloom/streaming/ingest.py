@@ -16,7 +16,7 @@ def _accepted(df: DataFrame, entities: bool) -> DataFrame:
     text = T.normalize_text(F.col("text"), entities)
     rows = df.withColumn("text", text)
     (found,) = unused(df.columns, "found")
-    rows = rows.withColumn(found, T.once(quality.reasons(F.col("text"), F.col("category")))).where(F.size(found) == 0).drop(found)
+    rows = rows.withColumn(found, quality.reasons(F.col("text"), F.col("category"))).where(F.size(found) == 0).drop(found)
     return rows.withColumn("content_hash", sha256_hex(T.dedup_key(F.col("text"))))
 
 
