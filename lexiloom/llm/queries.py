@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from . import bpe, langid, token_store, warc
 from .decontaminate import contaminated
+from .divergence import divergence
 from .embed_dedup import link_embeddings
+from .exact_dedup import equal_texts
 from .simhash_dedup import near_duplicates
 from .substring_dedup import remove_repeats
 from .suffix_dedup import repeated_spans
@@ -74,6 +76,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return equal_texts(_table(spark, sf_dir, "documents"), carry={"text_sha256": F.sha2(F.coalesce("text", F.lit("")), 256)})
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontamination": op2_decontamination,
@@ -85,6 +95,8 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
@@ -136,6 +148,32 @@ ORACLES = {
         SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
                sha256(coalesce(t, '')) AS kept_sha256
         FROM w LEFT JOIN kept USING (doc_id)""",
+    "op11_exact_dedup": """
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        g AS (SELECT doc_id, text, max(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (PARTITION BY text) AS group_size FROM t)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(text) AS text_sha256 FROM g""",
+    "op12_source_divergence": """
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+        w AS (SELECT doc_id, lang, source, unnest(ws) AS term FROM d),
+        vocab AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 3),
+        kept AS (SELECT lang, source, term, count(*) AS c FROM w SEMI JOIN vocab USING (lang, term) GROUP BY ALL),
+        grp AS (SELECT DISTINCT lang, source FROM d),
+        v AS (SELECT g.lang, count(term) AS v FROM (SELECT DISTINCT lang FROM grp) g LEFT JOIN vocab USING (lang) GROUP BY g.lang),
+        n AS (SELECT grp.lang, grp.source, v, coalesce(sum(c), 0) AS n FROM grp JOIN v USING (lang) LEFT JOIN kept USING (lang, source) GROUP BY ALL),
+        p AS (SELECT n.lang, n.source, vocab.term, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)) // (n + v) AS p
+              FROM n JOIN vocab USING (lang) LEFT JOIN kept ON kept.lang = n.lang AND kept.source = n.source AND kept.term = vocab.term),
+        q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (c + 1)) // (n + v) AS q
+              FROM (SELECT lang, term, sum(c) AS c FROM kept GROUP BY ALL) JOIN (SELECT lang, any_value(v) AS v, sum(n) AS n FROM n GROUP BY lang) USING (lang)),
+        pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(f, 0) AS value
+                 FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+                 LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS f
+                            FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+                 ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+        term AS (SELECT p.lang, p.source, p.term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+        r AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pair
+              UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM term)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 200""",
 }
 
 
