@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, token_store, warc
+from . import bpe, langid, token_align, token_store, warc
 from .decontaminate import contaminated
 from .divergence import divergence
 from .embed_dedup import link_embeddings
@@ -84,6 +84,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(_table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.summarize(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontamination": op2_decontamination,
@@ -97,6 +101,7 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
     "op11_exact_dedup": op11_exact_dedup,
     "op12_source_divergence": op12_source_divergence,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"

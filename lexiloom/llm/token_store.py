@@ -88,17 +88,24 @@ def merkle(digests: list[bytes]) -> bytes:
 
 
 class CachedEncoder:
-    """The tokenizers library, asked once for each distinct pre-token that is kept."""
+    """The tokenizers library, asked once for each distinct pre-token that is kept.
 
-    def __init__(self, path: str):
+    ``plain``: added tokens that stand in a text are ordinary text.
+    """
+
+    split = staticmethod(split_points)
+    cache_words, cache_bits = CACHE_WORDS, CACHE_BITS
+
+    def __init__(self, path: str, plain: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = plain
         #: texts with one of these are left to the library as they are
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values() if t.content]
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values() if t.content and not (plain and t.special)]
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         #: bytes of each token: a byte-level token has a character for each byte
         self.bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
@@ -106,7 +113,7 @@ class CachedEncoder:
         self._clear()
 
     def _clear(self):
-        self.table = WordTable(CACHE_BITS)
+        self.table = WordTable(self.cache_bits)
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.starts = np.zeros(1 << 14, dtype=np.int64)
         self.sizes = np.zeros(1 << 14, dtype=np.int64)
@@ -169,10 +176,10 @@ class CachedEncoder:
 
     def _encode_plain(self, texts: list[str | None]) -> list[np.ndarray]:
         codes, bases = code_points(texts)
-        begins, ends = split_points(codes)
+        begins, ends = self.split(codes)
         a, b = span_hashes(codes, begins, ends)
         rows = self.table.find(a, b)
-        if (rows < 0).any() and self.table.count > CACHE_WORDS:
+        if (rows < 0).any() and self.table.count > self.cache_words:
             self._clear()
             rows[:] = -1
         new = np.flatnonzero(rows < 0)
