@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import chat, inference, preferences, review, sft, stats, teacher, tokens
-from .operators.acquire import acquire
+from .operators.acquire import acquire, column
 from .plans import corpus, judge_run, session
-from .sources import artifacts, jsonl, registry
+from .sources import artifacts, jsonl, jsonsource, registry
 from .sources.shared import durable
 
 SEED = corpus.SEED
@@ -23,7 +23,7 @@ PACKED = 32 << 20
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path) if path.endswith(".parquet") else spark.read.option("mode", "FAILFAST").json(path)
+    return spark.read.parquet(path) if path.endswith(".parquet") else jsonsource.read(spark, path, jsonsource.infer(spark, path))
 
 
 def _config(path: str) -> dict:
@@ -97,13 +97,16 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     if a.command == "doctor":
         return session.doctor(spark)
     if a.command == "audit-resources":
-        return {"files": _rows(artifacts.audit_files(spark, a.folder, _read(spark, a.expected)))}
+        expected = _read(spark, a.expected)
+        audit = artifacts.audit_resources if "name" in expected.columns else artifacts.audit_files
+        if audit is artifacts.audit_resources:
+            expected = expected.select("name", "path", column(expected, "sha256").alias("sha256"), column(expected, "model_sha256").alias("model_sha256"))
+        return {"files": _rows(audit(spark, a.folder, expected))}
     if a.command == "acquire":
         sources = registry.parse(_config(a.config))
         for s in sources:
             s.max_documents = a.max_documents or s.max_documents
-        numbered = lambda s: registry.load(spark, s).withColumn("__n", F.monotonically_increasing_id())
-        frames, report = acquire(spark, sources, numbered, "__n", a.seed)
+        frames, report = acquire(spark, sources, lambda s: registry.numbered(spark, s, "__n"), "__n", a.seed)
         for name, df in frames.items():
             jsonl.write(df, os.path.join(a.output, name))
         return {"sources": _rows(report)}

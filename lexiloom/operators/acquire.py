@@ -149,6 +149,12 @@ def alias(task: Column, names: dict[str, str] = TASK_ALIASES) -> Column:
 MODES = {"corpus": corpus, "translation_pair": translation_pairs, "generic_sft": generic_instructions, "instruction": task_instructions}
 
 
+def shortened(message: str, most: int = 500) -> str:
+    """A message, or its beginning and end: Spark puts the cause last."""
+    text = message.strip()
+    return text if len(text) <= most else f"{text[: most // 2]} ... {text[-most // 2 :]}"
+
+
 def acquire(spark, sources: list[Source], load, index: str, seed: int | str) -> tuple[dict[str, DataFrame], DataFrame]:
     """Normalise every enabled source with ``load(source)``; one that fails does not stop the others.
 
@@ -166,5 +172,5 @@ def acquire(spark, sources: list[Source], load, index: str, seed: int | str) ->
             report.append((s.name, frames[s.name].count(), s.path, s.license, s.revision, None))
         except Exception as wrong:  # recorded, and the next source goes on
             frames.pop(s.name, None)
-            report.append((s.name, 0, s.path, s.license, s.revision, str(wrong)[:500]))
+            report.append((s.name, 0, s.path, s.license, s.revision, shortened(str(wrong))))
     return frames, spark.createDataFrame(report, "name string, rows long, path string, license string, revision string, error string")

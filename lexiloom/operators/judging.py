@@ -147,6 +147,9 @@ def position_bias(judgments: DataFrame, shown: DataFrame, examples: int = 20) ->
 PAIRWISE = "你是严格的评审。比较两份译文，只依据原文打分。\n原文：\n{source}\n\n译文A：\n{a}\n\n译文B：\n{b}\n\n只输出一个JSON对象：winner为A、B或TIE；a与b各含faithfulness(0-4)、completeness(0-4)、fluency(0-2)、hallucination(0-2)；reason为一句理由。"
 SINGLE = "你是严格的评审。只依据原文给译文打分。\n原文：\n{source}\n\n译文：\n{a}\n\n只输出一个JSON对象，含faithfulness(0-4)、completeness(0-4)、fluency(0-2)、hallucination(0-2)。"
 
+#: The two protocols of independent scoring: the same rubric, asked in two ways.
+SINGLE_PROTOCOLS = (SINGLE, "逐句核对译文与原文，先找错译、漏译与臆增，再打分。\n原文：\n{source}\n\n待评译文：\n{a}\n\n只输出一个JSON对象：faithfulness(0-4)为忠实，completeness(0-4)为完整，fluency(0-2)为通顺，hallucination(0-2)为臆增。")
+
 
 def filled(template: str, **values: Column) -> Column:
     """A template with its ``{names}`` replaced by columns; their texts are taken as they are."""

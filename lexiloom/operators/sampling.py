@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import keyed_hash
-from ..sources.shared import durable
+from ..sources.shared import durable, unused
+
+#: Partitions whose counts are broadcast.
+MOST_PARTS = 100_000
 
 
 class QuotaError(ValueError):
@@ -97,32 +98,51 @@ def match_bands(target: DataFrame, candidates: DataFrame, band: str, seed: int |
 
 def every_nth(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     """Rows 0, n, 2n ... in the given order, numbered without gathering all rows in one task."""
-    return number(df, order).where(F.col("__n") % n == 0).drop("__n")
+    (at,) = unused(df.columns, "at")
+    return number(df, order, at).where(F.col(at) % n == 0).drop(at)
+
+
+def _shifted(counts: DataFrame, part: str) -> DataFrame:
+    """``part, before`` of ``part, count``: rows in the parts ahead; a row a part."""
+    ahead = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(part, F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("before"))
 
 
-def number(df: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` with ``__n``: 0, 1, 2 ... in the given order.
+def number(df: DataFrame, order: list[str], out: str = "number") -> DataFrame:
+    """``df`` with ``out``: 0, 1, 2 ... in the given order; rows that tie are numbered in any order.
 
     A window without partitions would send every row to one task; instead rows
     are range-partitioned, numbered within a partition, and shifted by the
     counts of the partitions before (one row for each partition).
     """
     spark = df.sparkSession
-    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("__p", F.spark_partition_id())
-    ranged, _ = durable(ranged, "ranged")
-    counts = sorted((r["__p"], r["count"]) for r in ranged.groupBy("__p").count().collect())  # a row a partition
-    before, shift = 0, {}
-    for p, n in counts:
-        shift[p], before = before, before + n
-    base = reduce(lambda m, kv: m + kv, ([F.lit(k), F.lit(v)] for k, v in shift.items()), []) or [F.lit(-1), F.lit(0)]
-    within = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    return ranged.withColumn("__n", (within - 1 + F.create_map(*base)[F.col("__p")]).cast("long")).drop("__p")
+    part, before = unused([*df.columns, out], "part", "before")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged, _ = durable(df.repartitionByRange(width, *order).withColumn(part, F.spark_partition_id()), "ranged")
+    shifts = _shifted(ranged.groupBy(part).count(), part).withColumnRenamed("before", before)
+    within = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    met = ranged.join(F.broadcast(shifts) if width <= MOST_PARTS else shifts, part)
+    return met.withColumn(out, (within - 1 + F.col(before)).cast("long")).select(*[F.col(f"`{c}`") for c in df.columns], out)
+
+
+def ordinals(df: DataFrame, out: str = "ordinal") -> DataFrame:
+    """``df`` with ``out``: 0, 1, 2 ... in the order of its partitions, without a shuffle.
+
+    For scans: partition by partition as the source gives them, so the same
+    files give the same numbers.
+    """
+    part, row, before = unused([*df.columns, out], "part", "row", "before")
+    placed = df.withColumn(part, F.spark_partition_id()).withColumn(row, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    shifts = _shifted(placed.groupBy(part).count(), part).withColumnRenamed("before", before)
+    met = placed.join(F.broadcast(shifts) if df.rdd.getNumPartitions() <= MOST_PARTS else shifts, part)
+    return met.withColumn(out, F.col(row) + F.col(before)).select(*[F.col(f"`{c}`") for c in df.columns], out)
 
 
 def round_robin(df: DataFrame, names: list[str], order: list[str], out: str = "task") -> DataFrame:
     """Assign names in turn."""
     picks = F.array(*map(F.lit, names))
-    return number(df, order).withColumn(out, F.element_at(picks, (F.col("__n") % len(names) + 1).cast("int"))).drop("__n")
+    (at,) = unused([*df.columns, out], "at")
+    return number(df, order, at).withColumn(out, F.element_at(picks, (F.col(at) % len(names) + 1).cast("int"))).drop(at)
 
 
 def argmin(df: DataFrame, metric: str, name: str) -> DataFrame:

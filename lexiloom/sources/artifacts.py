@@ -4,30 +4,72 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jsonsource import file_system
+from .shared import qualified, write_text
 
-#: Files beyond this many bytes are hashed as streams, one after the other.
-LARGE = 256 << 20
+
+#: Bytes of a file that a task holds at once.
+BUFFER = 8 << 20
+
+
+def file_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, length, found`` (SHA-256) of every file under a folder, ``path`` being relative to it.
+
+    Spark lists the files without their contents; executors stream them through
+    Arrow's file systems, a buffer at a time, so nothing but digests comes back.
+    """
+    root = qualified(spark, folder)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+
+    def digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pdf.assign(found=[_streamed(p) for p in pdf["path"]])
+
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hashed = listed.repartition(width, "path").mapInPandas(digests, "path string, length long, found string")
+    return hashed.withColumn("path", F.ltrim(F.expr(f"substring(path, {len(root) + 1})"), F.lit("/")))
+
+
+def _streamed(path: str) -> str:
+    fs, at = file_system(path)
+    digest = hashlib.sha256()
+    with fs.open_input_file(at) as stream:
+        while piece := stream.read(BUFFER):
+            digest.update(piece)
+    return digest.hexdigest()
 
 
 def audit_files(spark: SparkSession, folder: str, expected: DataFrame) -> DataFrame:
-    """``path, exists, matches`` of expected files (``path, sha256``).
+    """``path, exists, matches, length`` of expected files (``path`` relative to the folder, ``sha256``); a null hash only asks for the file."""
+    found = file_digests(spark, folder)
+    matches = F.when(F.col("sha256").isNull(), F.col("found").isNotNull()).otherwise(F.coalesce(F.lower("sha256") == F.col("found"), F.lit(False)))
+    return expected.join(found, "path", "left").select("path", F.col("found").isNotNull().alias("exists"), matches.alias("matches"), "length")
 
-    Small files are hashed in parallel where they are read; those beyond
-    ``LARGE``, such as model weights, are streamed through the driver's JVM, which
-    holds a buffer of them and no more.
+
+#: Fixed value: the file of a resource folder that its model hash is of.
+MODEL_FILE = "model.safetensors"
+
+
+def audit_resources(spark: SparkSession, folder: str, resources: DataFrame) -> DataFrame:
+    """``name, path, exists, hash_matches, model_hash_matches`` of ``name, path, sha256, model_sha256``.
+
+    A resource is a file or a folder under ``folder``; a hash that is not given,
+    or whose file is not there, leaves null.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    name = F.regexp_extract("path", r"[^/]+$", 0).alias("path")
-    found = files.where(F.col("length") <= LARGE).select(name, F.sha2("content", 256).alias("found"), "length")
-    large = [(r["path"].rpartition("/")[2], _streamed_sha256(spark, r["path"]), r["length"]) for r in files.where(F.col("length") > LARGE).select("path", "length").collect()]  # names of large files
-    if large:
-        found = found.union(spark.createDataFrame(large, "path string, found string, length long"))
-    return expected.join(found, "path", "left").select("path", F.col("found").isNotNull().alias("exists"), F.coalesce(F.lower("sha256") == F.col("found"), F.lit(False)).alias("matches"), "length")
+    found = file_digests(spark, folder).select(F.col("path").alias("file"), "found")
+    whole = found.select(F.col("file").alias("path"), F.col("found").alias("own"))
+    model = found.where(F.col("file").endswith(f"/{MODEL_FILE}")).select(F.regexp_replace("file", "/[^/]*$", "").alias("path"), F.col("found").alias("model"))
+    folders = found.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("file", "/")) - 1, F.lit(1))), lambda n: F.array_join(F.slice(F.split("file", "/"), F.lit(1), n), "/"))).alias("path")).distinct().withColumn("inside", F.lit(True))
+    met = resources.join(whole, "path", "left").join(model, "path", "left").join(folders, "path", "left")
+    fits = lambda want, got: F.when(F.col(want).isNotNull() & F.col(got).isNotNull(), F.lower(want) == F.col(got))
+    return met.select("name", "path", (F.col("own").isNotNull() | F.coalesce("inside", F.lit(False))).alias("exists"), fits("sha256", "own").alias("hash_matches"), fits("model_sha256", "model").alias("model_hash_matches"))
 
 
 def collect_reports(spark: SparkSession, root: str, needed: list[str]) -> DataFrame:
@@ -40,16 +82,6 @@ def collect_reports(spark: SparkSession, root: str, needed: list[str]) -> DataFr
     return out.select("path", *(F.get_json_object("value", f"$.{n}").alias(n) for n in needed), F.col("value").alias("document")).orderBy("path")
 
 
-def _streamed_sha256(spark: SparkSession, path: str) -> str:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
-    try:
-        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
-    finally:
-        stream.close()
-
-
 @dataclass
 class Manifest:
     """Run state with checked transitions, kept as JSON text by the caller.
@@ -78,6 +110,11 @@ class Manifest:
         """Hash of the inputs as canonical JSON: equal inputs, equal runs."""
         return hashlib.sha256(json.dumps(self.inputs, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
+    def save(self, spark: SparkSession, path: str) -> Manifest:
+        """Write the state to a file, over an older one."""
+        write_text(spark, path, self.json())
+        return self
+
     def json(self) -> str:
         return json.dumps({"status": self.status, "inputs": self.inputs, "input_sha256": self.input_sha256, **self.facts}, ensure_ascii=False, sort_keys=True)
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import sampling
 from ..operators.acquire import Source
+from . import jsonsource
+from .shared import exists
 
 #: Keys that an entry may have.
 KEYS = ("name", "kind", "path", "category", "license", "mode", "text_fields", "fields", "revision", "max_documents", "enabled")
@@ -25,13 +28,31 @@ def parse(config: dict) -> list[Source]:
     return out
 
 
+def path_of(spark: SparkSession, source: Source) -> str:
+    """Where a source is read: the folder of its revision, which must be there, if it names one."""
+    if not source.revision:
+        return source.path
+    path = f"{source.path.rstrip('/')}/{source.revision}"
+    if "/" in source.revision or not exists(spark, path):
+        raise FileNotFoundError(f"no revision {source.revision!r} of {source.name} at {source.path}")
+    return path
+
+
 def load(spark: SparkSession, source: Source) -> DataFrame:
-    """A staged source by its kind: Parquet, ORC, JSON lines, CSV or text."""
-    read = spark.read
-    kinds = {"parquet": read.parquet, "orc": read.orc, "json": read.json, "csv": lambda p: read.option("header", True).csv(p), "text": read.text}
+    """A staged source by its kind: Parquet, ORC, JSON lines, CSV or text; JSON lines strictly, of a bounded source only its first lines."""
+    path, read = path_of(spark, source), spark.read
+    if source.kind == "json":
+        schema = jsonsource.infer(spark, path)
+        return jsonsource.read(spark, path, schema) if source.max_documents is None else jsonsource.first_rows(spark, path, schema, source.max_documents)
+    kinds = {"parquet": read.parquet, "orc": read.orc, "csv": lambda p: read.option("header", True).csv(p), "text": read.text}
     if source.kind not in kinds:
         raise ValueError(f"no reader for kind {source.kind}")
-    return kinds[source.kind](source.path)
+    return kinds[source.kind](path)
+
+
+def numbered(spark: SparkSession, source: Source, index: str) -> DataFrame:
+    """A staged source with each row's ordinal in it, by file and place."""
+    return sampling.ordinals(load(spark, source), index)
 
 
 def inspect(df: DataFrame, preview: int = 500) -> DataFrame:

@@ -51,6 +51,36 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, as Spark's file scans name it."""
+    where, fs = _hadoop_path(spark, path)
+    return fs.makeQualified(where).toString()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file: written beside its place, then moved there."""
+    where, fs = _hadoop_path(spark, path)
+    beside, _ = _hadoop_path(spark, f"{where.getParent().toString()}/_{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    fs.delete(where, False)
+    if not fs.rename(beside, where):
+        raise OSError(f"{path} could not be written")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    where, fs = _hadoop_path(spark, path)
+    stream = fs.open(where)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a table of :func:`durable` that nothing reads any more."""
     where, fs = _hadoop_path(spark, path)

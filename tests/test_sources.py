@@ -54,14 +54,7 @@ def test_file_audit_reports_and_manifest(spark, tmp_path):
     assert artifacts.upsert_block(once, "r", "two").count("r:start") == 1
 
 
-def test_large_files_are_hashed_as_streams(spark, tmp_path, monkeypatch):
-    import hashlib
-
-    monkeypatch.setattr(artifacts, "LARGE", 5)
-    (tmp_path / "big.bin").write_bytes(b"x" * 100)
-    (tmp_path / "m.bin").write_bytes(b"abc")
-    want = spark.createDataFrame([(n, hashlib.sha256(c).hexdigest()) for n, c in (("big.bin", b"x" * 100), ("m.bin", b"abc"))], "path string, sha256 string")
-    assert {r["path"]: (r["matches"], r["length"]) for r in artifacts.audit_files(spark, str(tmp_path), want).collect()} == {"big.bin": (True, 100), "m.bin": (True, 3)}
+def test_manifests_hash_their_inputs(spark, tmp_path):
     assert artifacts.Manifest({"a": 1, "b": 2}).input_sha256 == artifacts.Manifest({"b": 2, "a": 1}).input_sha256
     assert artifacts.Manifest({}).to("running").gate(False).status == "gate_failed"
 
@@ -78,10 +71,66 @@ def test_judge_runs_resume_and_gate(spark, tmp_path):
     def fair():
         return lambda prompts: [('{"winner": "%s"}' % ("A" if "译文A：\ngood" in p else "B"), 1, True) for p in prompts]
 
-    first = judge_run.pairwise(spark, shown.where("order = 0"), str(tmp_path / "j"), fair, "m")
-    assert first["status"] == "gate_failed" and first["answered"] == 3
-    whole = judge_run.pairwise(spark, shown, str(tmp_path / "j"), fair, "m")
-    assert whole["status"] == "complete" and whole["answered"] == 3 and whole["position_consistency"] == 1.0
+    half = judge_run.pairwise(spark, shown.where("order = 0"), str(tmp_path / "half"), fair, "m")
+    assert half["status"] == "gate_failed" and half["answered"] == 3
+
+    def dying():
+        import time
+
+        answer = fair()
+
+        def one(prompts):
+            if any("good {a} 2" in p for p in prompts):
+                time.sleep(3)  # the others finish meanwhile
+                raise RuntimeError("lost")
+            return answer(prompts)
+
+        return one
+
+    folder = tmp_path / "j"
+    read = lambda name: json.loads((folder / name).read_text())
+    with pytest.raises(Exception, match="lost"):
+        judge_run.pairwise(spark, shown, str(folder), dying, "m", rows=1)
+    assert read("manifest.json")["status"] == "failed" and "lost" in read("manifest.json")["error"]
+    whole = judge_run.pairwise(spark, shown, str(folder), fair, "m")
+    assert whole["status"] == "complete" and 0 < whole["answered"] < 6 and whole["position_consistency"] == 1.0
+    assert read("manifest.json")["inputs"]["input"]["rows"] == 6 and read("report.json")["pairs"] == 3
+    assert judge_run.pairwise(spark, shown, str(folder), fair, "m")["answered"] == 0
+    for other, model in ((shown.withColumn("option_a", F.lit("x")), "m"), (shown, "n")):
+        with pytest.raises(ValueError, match="another input"):
+            judge_run.pairwise(spark, other, str(folder), fair, model)
+
+
+def test_independent_judge_runs(spark, tmp_path):
+    from lexiloom.operators import judging
+    from lexiloom.plans import judge_run
+
+    rows = [(f"p{i}", "s", "train", "请翻译：“学而时习之”", f"good {i}", f"bad {i}") for i in range(4)]
+    pairs = spark.createDataFrame(rows, "id string, source_id string, split string, prompt string, chosen string, rejected string")
+    shown = judging.presentations(pairs, 1)
+
+    def scores():
+        one = '{"faithfulness": %d, "completeness": 4, "fluency": 2, "hallucination": 0}'
+
+        def answer(prompts):
+            assert all("学而时习之" in p for p in prompts)
+            said = lambda p: "no scores" if "good 3" in p else one % (4 if "good" in p or "bad 2" in p else 1)
+            return [(said(p), 1, True) for p in prompts]
+
+        return answer
+
+    done = judge_run.independent(spark, pairs, shown, str(tmp_path / "j"), scores, "m")
+    assert (done["status"], done["tasks"], done["answered"], done["unparsed"], done["pairs_complete"]) == ("complete", 16, 16, 2, 4)
+    assert done["double_chosen_rate"] == 0.5 and done["position_consistency"] == 1.0
+    answers = spark.read.parquet(str(tmp_path / "j" / "answers"))
+    found = {r.presentation_id: r.judge for r in judge_run.independent_judgments(answers, pairs, shown).collect()}
+    assert len(found) == 8
+    for r in shown.collect():
+        want = "INVALID" if r.pair_id == "p3" else "TIE" if r.pair_id == "p2" else "A" if r.option_a_role == "chosen" else "B"
+        assert found[r.presentation_id].winner == want
+    # a pair that nobody scored is invalid, not missing
+    none = judge_run.independent_judgments(answers.where("pair_id <> 'p0'"), pairs, shown).where("presentation_id like '%p0%'").collect()
+    assert [r.judge.winner for r in none] == ["INVALID"] * 2
 
 
 def test_generation_interface(spark):
