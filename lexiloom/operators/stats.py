@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.shared import unused
+from ..sources.shared import durable, unused
+from . import sampling
 
 # Ties, resamples and the thresholds of the gates.
 TIE, SAMPLES = 1e-12, 10_000
@@ -36,8 +34,8 @@ def win_tie_loss(deltas: DataFrame, groups: list[str] | None = None) -> DataFram
     return deltas.groupBy(*(groups or [])).agg(F.avg(d).alias("mean_delta"), F.count_if(d > TIE).alias("wins"), F.count_if(F.abs(d) <= TIE).alias("ties"), F.count_if(d < -TIE).alias("losses"))
 
 
-#: Values that are sent to every task (32 MB); beyond that, rows are weighted where they are.
-MOST_VALUES = 4_000_000
+#: Values that a task of the bootstrap holds and draws from.
+LEAF = 1 << 16
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -47,51 +45,62 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def bootstrap_ci(deltas: DataFrame, key: str, seed: int, samples: int = SAMPLES) -> DataFrame:
+def leaf_draws(n: int, leaf: int, size: int, seed: int, samples: int) -> np.ndarray:
+    """How many of its ``n`` draws each resample takes from the leaf with places ``leaf * size`` and on.
+
+    Draws are split down a binary tree over the leaves: how many of a node's
+    draws go to its left half is binomial in the half's share of the node's
+    rows, seeded by the node.  So counts over all leaves are multinomial and add
+    up to ``n``, and each leaf finds its own without knowing any other.
+    """
+    lo, hi = 0, -(-n // size)
+    draws = np.full(samples, n, dtype=np.int64)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        share = (mid - lo) * size / (min(hi * size, n) - lo * size)
+        left = np.random.Generator(np.random.PCG64([seed % (1 << 64), lo, hi])).binomial(draws, share)
+        lo, hi, draws = (lo, mid, left) if leaf < mid else (mid, hi, draws - left)
+    return draws
+
+
+def bootstrap_ci(deltas: DataFrame, key: str, seed: int, samples: int = SAMPLES, leaf_size: int = LEAF) -> DataFrame:
     """Percentile bootstrap of the mean: ``mean, low, high`` (2.5 and 97.5 %).
 
-    Each resample draws as many values as there are rows, with replacement:
-    draw ``j`` of resample ``r`` takes the value whose place, in order of the
-    key, is splitmix64(seed + r n + j) modulo ``n``.  Resamples are spread over
-    the tasks.  Beyond ``MOST_VALUES`` rows the values stay where they are and
-    each gets a Poisson(1) weight in every resample, which is the same in the
-    limit.  Null deltas do not count; no deltas give nulls.
+    Each resample draws as many values as there are rows, with replacement.
+    Values stand in order of the key and are cut in leaves of ``leaf_size``
+    places; :func:`leaf_draws` says how many draws a leaf gets, and draw ``j`` of
+    resample ``r`` in a leaf takes the place splitmix64(seed + r n + j + leaf
+    golden) modulo the leaf's size.  A task holds one leaf, nothing is broadcast,
+    and neither partitions nor tasks change the result.  Null deltas do not
+    count; no deltas give nulls.
     """
     spark = deltas.sparkSession
     own = deltas.where(F.col("delta").isNotNull()).select(F.col(key).cast("string").alias("key"), F.col("delta").cast("double").alias("delta"))
-    n = own.count()
+    placed, _ = durable(sampling.number(own, ["key", "delta"], "place"), "placed")
+    n = placed.count()
     mean = deltas.agg(F.avg("delta").alias("mean"))
     if not n:
         return mean.select("mean", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
-    if n <= MOST_VALUES:
-        shared = spark.sparkContext.broadcast(np.array([r["delta"] for r in own.orderBy("key", "delta").select("delta").toLocalIterator()]))  # at most MOST_VALUES
-
-        def drawn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            values = shared.value
-            for pdf in frames:
-                means = []
-                for r in pdf["id"].tolist():
-                    total = 0.0
-                    for at in range(0, n, 1 << 20):
-                        draw = np.arange(at, min(n, at + (1 << 20)), dtype=np.uint64) + np.uint64((seed + r * n) % (1 << 64))
-                        total += values[(_mixed(draw) % np.uint64(n)).astype(np.int64)].sum()
-                    means.append(total / n)
-                yield pd.DataFrame({"mean": means})
-
-        means = spark.range(samples).repartition(max(1, min(samples, spark.sparkContext.defaultParallelism))).mapInPandas(drawn, "mean double")
-    else:
-
-        def weighted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums, weights = np.zeros(samples), np.zeros(samples)
-            for pdf in frames:
-                for name, delta in zip(pdf["key"], pdf["delta"], strict=True):
-                    own_seed = int.from_bytes(hashlib.sha256(f"{seed}:{name}".encode()).digest()[:8], "little")
-                    w = np.random.default_rng(own_seed).poisson(1.0, samples)
-                    sums += w * delta
-                    weights += w
-            yield pd.DataFrame({"resample": np.arange(samples), "s": sums, "w": weights})
-
-        means = own.mapInPandas(weighted, "resample long, s double, w double").groupBy("resample").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("mean"))
+    leaves = -(-n // leaf_size)
+    # few leaves: several tasks each, for different resamples
+    turns = max(1, min(samples, 4 * spark.sparkContext.defaultParallelism // leaves))
+
+    def drawn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        leaf, turn = map(int, key)
+        values = pdf.sort_values("place")["delta"].to_numpy()
+        counts = leaf_draws(n, leaf, leaf_size, seed, samples)
+        out = []
+        for r in range(turn, samples, turns):
+            total, base = 0.0, seed + r * n + leaf * 0x9E3779B97F4A7C15
+            for at in range(0, int(counts[r]), 1 << 20):
+                draw = np.arange(at, min(int(counts[r]), at + (1 << 20)), dtype=np.uint64) + np.uint64(base % (1 << 64))
+                total += values[(_mixed(draw) % np.uint64(len(values))).astype(np.int64)].sum()
+            out.append((r, total))
+        return pd.DataFrame(out, columns=["resample", "total"])
+
+    dealt = placed.select(F.expr(f"place div {leaf_size}").alias("leaf"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), "place", "delta")
+    totals = dealt.groupBy("leaf", "turn").applyInPandas(drawn, "resample long, total double")
+    means = totals.groupBy("resample").agg((F.sum("total") / n).alias("mean"))
     low_high = means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
     return mean.crossJoin(low_high)  # two single rows
 

@@ -22,48 +22,70 @@ def simple_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+|[^A-Za-z0-9\\s]"), F.lit(0))
 
 
+def simple_pieces(text: Column) -> Column:
+    """The text cut behind each default token: white space goes with the token that follows, at the end with the last one.  Joined, the pieces are the text (none where it has no token)."""
+    return F.regexp_extract_all(text, F.lit("\\s*+(?:[A-Za-z0-9]++|[^A-Za-z0-9\\s])(?:\\s++\\z)?"), F.lit(0))
+
+
 @dataclass(frozen=True)
 class Tokenizer:
-    """From a text to tokens (strings) and back."""
+    """From a text to tokens (strings) and back, and the text cut into a piece for each token where that is known."""
 
     encode: Callable[[Column], Column]
     decode: Callable[[Column], Column]
+    pieces: Callable[[Column], Column] | None = None
+
 
+#: Decoding alone puts a space between tokens, as white space is no token; pieces keep it.
+SIMPLE = Tokenizer(simple_tokens, lambda tokens: F.array_join(tokens, " "), simple_pieces)
 
-#: Decoding puts a space between tokens, as white space is no token.
-SIMPLE = Tokenizer(simple_tokens, lambda tokens: F.array_join(tokens, " "))
 
+def _cut(text: str, ends: list[int]) -> list[str]:
+    """Pieces of a text that end where its tokens do; what is left over goes with the last."""
+    ends = [*ends[:-1], len(text)] if ends else []
+    return [text[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
 
-def library_tokenizer(load: Callable[[], tuple[Callable[[str], list[str]], Callable[[list[str]], str]]]) -> Tokenizer:
-    """A tokenizer of a library in Arrow batches.  ``load`` gives its encode and decode functions and is called once a batch stream."""
 
-    def encoded(texts):
-        encode, _ = load()
-        for batch in texts:
-            yield batch.map(lambda t: None if t is None else list(encode(t)))
+def library_tokenizer(load: Callable[[], tuple]) -> Tokenizer:
+    """A tokenizer of a library in Arrow batches.
 
-    def decoded(tokens):
-        _, decode = load()
-        for batch in tokens:
-            yield batch.map(lambda t: None if t is None else decode(list(t)))
+    ``load`` gives its encode and decode functions, and if there is a third one,
+    that gives the (start, end) of each token in the text, in rising order; it is
+    called once a batch stream.
+    """
 
-    def columns(run, kind):
+    def mapped(pick: int, call: Callable, kind: str):
         def of(batches):
-            return run(batches)
+            functions = load()
+            for batch in batches:
+                yield batch.map(lambda x: None if x is None else call(functions[pick], x))
 
         from collections.abc import Iterator
 
         of.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
         return F.pandas_udf(kind)(of)
 
-    return Tokenizer(columns(encoded, "array<string>"), columns(decoded, "string"))
+    pieces = mapped(2, lambda offsets, t: _cut(t, [e for _, e in offsets(t)]), "array<string>") if len(load()) > 2 else None
+    return Tokenizer(mapped(0, lambda encode, t: list(encode(t)), "array<string>"), mapped(1, lambda decode, t: decode(list(t)), "string"), pieces)
+
 
+def chunk(df: DataFrame, tokens: str, key: str, most: int = MAX_TOKENS, pieces: str | None = None) -> DataFrame:
+    """A row for each run of up to ``most`` tokens: ``parent_source_id, chunk_index, tokens``; none for a row without tokens.
 
-def chunk(df: DataFrame, tokens: str, key: str, most: int = MAX_TOKENS) -> DataFrame:
-    """A row for each run of up to ``most`` tokens: ``parent_source_id, chunk_index, tokens``; none for a row without tokens."""
+    ``pieces``: a column with the text cut into a piece for each token.  It is
+    cut like the tokens, and ``text_start`` and ``text_end`` (characters) say
+    where the chunk lies in the text: chunks laid end to end are the text.
+    """
     starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(most))).otherwise(F.array().cast("array<int>"))
-    (at,) = unused([*df.columns, "parent_source_id", "chunk_index"], "at")
-    spread = df.withColumn(at, F.explode(starts))
+    at, sizes, span = unused([*df.columns, "parent_source_id", "chunk_index", "text_start", "text_end"], "at", "sizes", "span")
+    if pieces is not None:
+        lengths = F.transform(starts, lambda k: F.length(F.array_join(F.slice(F.col(pieces), k + 1, F.lit(most)), "")))
+        own = lambda k, i: F.struct(k.alias("at"), F.aggregate(F.slice(F.col(sizes), F.lit(1), i), F.lit(0), lambda x, y: x + y).alias("from"), F.get(F.col(sizes), i).alias("size"))
+        spread = df.withColumn(sizes, lengths).withColumn(span, F.explode(F.transform(starts, own))).withColumn(at, F.col(f"{span}.at"))
+        spread = spread.withColumn("text_start", F.col(f"{span}.from")).withColumn("text_end", F.col(f"{span}.from") + F.col(f"{span}.size"))
+        spread = spread.withColumn(pieces, F.slice(F.col(pieces), F.col(at) + 1, F.lit(most))).drop(sizes, span)
+    else:
+        spread = df.withColumn(at, F.explode(starts))
     piece = F.slice(F.col(tokens), F.col(at) + 1, F.lit(most))
     return spread.withColumn("parent_source_id", F.col(key)).withColumn("chunk_index", (F.col(at) / most).cast("int")).withColumn(tokens, piece).drop(at)
 
@@ -73,7 +95,7 @@ ROWS_A_BUCKET = 500_000
 
 
 def _last_rows(rows: DataFrame, quotas: dict[str, int], buckets: int) -> dict[str, tuple]:
-    """``(epoch, hash, key, tokens left)`` of the row that reaches each quota, from ``category, epoch, hash, key, n``.
+    """``(epoch, hash, key, tie, tokens left)`` of the row that reaches each quota, from ``category, epoch, hash, key, tie, n``.
 
     Two steps, so that a category of any size is spread over ``buckets``
     tasks: sums within ranges of the hash, of which the quota falls into one;
@@ -87,19 +109,20 @@ def _last_rows(rows: DataFrame, quotas: dict[str, int], buckets: int) -> dict[st
     quota = F.create_map(*(F.lit(x) for pair in quotas.items() for x in pair))[F.col("category")]
     # a row for each category, epoch and bucket
     base = sums.select(*heads, "sum", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("base"), quota.alias("quota")).where("base < quota and base + sum >= quota")
-    inside = Window.partitionBy(*heads).orderBy("hash", "key").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*heads).orderBy("hash", "key", "tie").rowsBetween(Window.unboundedPreceding, -1)
     met = own.join(base.select(*heads, "base", "quota"), heads).withColumn("before", F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    last = met.where("before < quota and before + n >= quota").select("category", "epoch", "hash", "key", (F.col("quota") - F.col("before")).alias("left"))
-    return {r["category"]: (r["epoch"], r["hash"], r["key"], r["left"]) for r in last.collect()}  # a row a category
+    last = met.where("before < quota and before + n >= quota").select("category", "epoch", "hash", "key", "tie", (F.col("quota") - F.col("before")).alias("left"))
+    return {r["category"]: (r["epoch"], r["hash"], r["key"], r["tie"], r["left"]) for r in last.collect()}  # a row a category
 
 
-def token_mixture(df: DataFrame, fractions: dict[str, float], total: int, seed: int | str, key: str, category: str = "category", tokens: str = "tokens", epochs: int = MAX_EPOCHS) -> DataFrame:
+def token_mixture(df: DataFrame, fractions: dict[str, float], total: int, seed: int | str, key: str, category: str = "category", tokens: str = "tokens", epochs: int = MAX_EPOCHS, tie: str | None = None) -> DataFrame:
     """Rows of ``df`` (chunks) that fill each category's share of ``total`` tokens exactly.
 
     Each row counts its tokens and one end token.  Rows come in hash order,
     up to ``epochs`` times; the row that crosses the quota is cut to what
-    remains.  ``key`` tells rows apart (not null).  Raises when a category is
-    short.  Adds ``token_count`` and ``mixture_epoch``; the result is in no
+    remains.  ``key`` tells rows apart (not null); where it may repeat, ``tie``
+    names a column of numbers that tells those rows apart, and without one a
+    repeated key raises.  Raises when a category is short.  Adds ``token_count`` and ``mixture_epoch``; the result is in no
     order.  Only keys and counts are added up: the rows themselves are
     filtered where they are, up to the one that reaches the quota.
     """
@@ -111,19 +134,21 @@ def token_mixture(df: DataFrame, fractions: dict[str, float], total: int, seed:
     have = {c: epochs * (found[c]["n"] if c in found else 0) for c in quotas}
     if short := {c: n for c, n in have.items() if n < quotas[c]}:
         raise QuotaError(f"too few tokens: {short}, wanted {quotas}")
-    hashed, name = unused([*pool.columns, "mixture_epoch"], "hash", "key")
-    passes = pool.withColumn("mixture_epoch", F.explode(F.array(*map(F.lit, range(epochs))))).withColumn(name, F.col(key).cast("string"))
+    if tie is None and not (again := pool.groupBy(F.col(key).alias("key")).count().where("count > 1").limit(1)).isEmpty():
+        raise ValueError(f"the key {again.first()['key']!r} stands for several rows")
+    hashed, name, last_key = unused([*pool.columns, "mixture_epoch"], "hash", "key", "tie")
+    passes = pool.withColumn("mixture_epoch", F.explode(F.array(*map(F.lit, range(epochs))))).withColumn(name, F.col(key).cast("string")).withColumn(last_key, F.lit(0).cast("long") if tie is None else F.col(tie).cast("long"))
     ordered = passes.withColumn(hashed, keyed_hash(str(seed), F.col("mixture_epoch"), F.col(name)))
-    narrow = ordered.select(F.col(category).alias("category"), F.col("mixture_epoch").alias("epoch"), F.col(hashed).alias("hash"), F.col(name).alias("key"), F.col("token_count").alias("n"))
+    narrow = ordered.select(F.col(category).alias("category"), F.col("mixture_epoch").alias("epoch"), F.col(hashed).alias("hash"), F.col(name).alias("key"), F.col(last_key).alias("tie"), F.col("token_count").alias("n"))
     rows = max((r["rows"] for r in found.values()), default=0)
     keep, left = F.lit(False), F.col("token_count")
-    place = F.struct(F.col("mixture_epoch").alias("e"), F.col(hashed).alias("h"), F.col(name).alias("k"))
-    for c, (epoch, at, own, rest) in _last_rows(narrow, {c: q for c, q in quotas.items() if q > 0}, max(64, -(-rows // ROWS_A_BUCKET))).items():
-        last = F.struct(F.lit(epoch).alias("e"), F.lit(at).alias("h"), F.lit(own).alias("k"))
+    place = F.struct(F.col("mixture_epoch").alias("e"), F.col(hashed).alias("h"), F.col(name).alias("k"), F.col(last_key).alias("t"))
+    for c, (epoch, at, own, copy, rest) in _last_rows(narrow, {c: q for c, q in quotas.items() if q > 0}, max(64, -(-rows // ROWS_A_BUCKET))).items():
+        last = F.struct(F.lit(epoch).alias("e"), F.lit(at).alias("h"), F.lit(own).alias("k"), F.lit(copy).cast("long").alias("t"))
         keep = keep | ((F.col(category) == c) & (place <= last))
         left = F.when((F.col(category) == c) & (place == last), F.lit(rest).cast("long")).otherwise(left)
     kept = ordered.where(keep).withColumn("token_count", left)
-    return kept.withColumn(tokens, F.slice(F.col(tokens), F.lit(1), (F.col("token_count") - 1).cast("int"))).drop(hashed, name)
+    return kept.withColumn(tokens, F.slice(F.col(tokens), F.lit(1), (F.col("token_count") - 1).cast("int"))).drop(hashed, name, last_key)
 
 
 def mixture_manifest(mixed: DataFrame, category: str = "category") -> DataFrame:

@@ -687,7 +687,7 @@ def corpus_counters(spark, sf_dir):
     return rows.groupBy("lang", "source").agg(F.count("*").alias("docs"), F.sum((F.length("text") < 80).cast("int")).alias("short_docs"), F.sum((F.col("quality") == 1).cast("int")).alias("good"))
 
 
-from . import contract_rules  # noqa: E402,F401  registers more
+from . import contract_data, contract_rules  # noqa: E402,F401  register more
 
 
 def queries() -> dict:

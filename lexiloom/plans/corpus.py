@@ -11,7 +11,7 @@ from ..functions.hashing import group_key, sha256_hex, stable_split
 from ..operators import chat, tokens
 from ..operators.acquire import column
 from ..operators.dedup import MAX_FEATURES, duplicate_kinds, first_by, simhash
-from ..operators.sampling import balanced, capped
+from ..operators.sampling import balanced, capped, ordinals
 from ..sources.shared import durable, unused
 
 #: Seed, tasks and categories of the evaluation sets.
@@ -67,11 +67,28 @@ def audit(prepared: DataFrame, source: str = "source") -> DataFrame:
     return prepared.select(F.explode(facts).alias("f")).groupBy("f.kind", "f.name").agg(F.count("*").alias("rows"))
 
 
-def mixture(prepared: DataFrame, fractions: dict[str, float], total: int, seed: int = SEED, key: str = "source_id", tokenizer: tokens.Tokenizer = tokens.SIMPLE) -> DataFrame:
-    """Tokenise, chunk, and fill each category's quota; ``text`` is that of the chunk's tokens."""
-    pieces = tokens.chunk(prepared.withColumn("tokens", tokenizer.encode(F.col("text"))), "tokens", key)
-    pieces = pieces.withColumn("chunk_id", F.concat_ws("#", F.col("parent_source_id").cast("string"), F.col("chunk_index").cast("string")))
-    return tokens.token_mixture(pieces, fractions, total, seed, "chunk_id").withColumn("text", tokenizer.decode(F.col("tokens")))
+def mixture(prepared: DataFrame, fractions: dict[str, float], total: int, seed: int = SEED, key: str | None = None, tokenizer: tokens.Tokenizer = tokens.SIMPLE, most: int = tokens.MAX_TOKENS) -> DataFrame:
+    """Tokenise, chunk, and fill each category's quota; ``text`` is the chunk's slice of the text where the tokenizer tells its pieces, else its decoded tokens.
+
+    A chunk's parent is ``key``, or the first of ``source_id`` and ``id`` that is
+    not empty.  Records may share a parent, and rows may repeat: chunks are told
+    apart by parent, id, text and place in it, and those that have all of these
+    in common by their order in the scan.
+    """
+    parent = T.truthy(column(prepared, key)) if key else T.truthy(column(prepared, "source_id"), column(prepared, "id"))
+    own, pieces, tie, chunk_key = unused([*prepared.columns, "tokens", "token_count", "mixture_epoch"], "own", "pieces", "tie", "chunk_key")
+    rows = ordinals(prepared, tie).withColumn(own, F.coalesce(parent, F.raise_error(F.lit("a row has no source_id and no id")))).withColumn("tokens", tokenizer.encode(F.col("text")))
+    if tokenizer.pieces:
+        rows = rows.withColumn(pieces, tokenizer.pieces(F.col("text")))
+    identity = F.concat_ws("#", F.col(own), F.coalesce(column(prepared, "id"), F.lit("")), F.sha2("text", 256))
+    cut = tokens.chunk(rows.withColumn(chunk_key, identity), "tokens", own, most, pieces if tokenizer.pieces else None)
+    cut = cut.withColumn(chunk_key, F.concat_ws("#", chunk_key, F.col("chunk_index").cast("string"))).withColumn("chunk_id", F.concat_ws("#", "parent_source_id", F.col("chunk_index").cast("string")))
+    mixed = tokens.token_mixture(cut, fractions, total, seed, chunk_key, tie=tie).drop(own, tie, chunk_key)
+    if not tokenizer.pieces:
+        return mixed.withColumn("text", tokenizer.decode(F.col("tokens")))
+    # the chunk that reaches the quota is cut, and its text with it
+    text = F.array_join(F.slice(F.col(pieces), F.lit(1), F.size("tokens")), "")
+    return mixed.withColumn("text", text).withColumn("text_end", F.col("text_start") + F.length("text")).drop(pieces)
 
 
 def evaluation_rows(df: DataFrame) -> DataFrame:

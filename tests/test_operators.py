@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexiloom.functions import rewards
@@ -243,7 +245,7 @@ def test_mixture_equals_a_sequential_fill(spark):
     assert got == want
 
 
-def test_bootstrap_draws_with_replacement(spark, monkeypatch):
+def test_bootstrap_draws_with_replacement(spark):
     values = [1.0, 2.0, 4.0, 8.0, None]
     df = spark.createDataFrame([(f"k{i}", v) for i, v in enumerate(values)], "id string, delta double")
     mixed = lambda x: stats._mixed(stats.np.array([x], dtype=stats.np.uint64))[0]
@@ -254,9 +256,26 @@ def test_bootstrap_draws_with_replacement(spark, monkeypatch):
     assert tuple(stats.bootstrap_ci(df.where("false"), "id", 7, 10).first()) == (None, None, None)
     many = spark.createDataFrame([(f"k{i}", values[i % 4]) for i in range(400)], "id string, delta double")
     near = stats.bootstrap_ci(many, "id", 7, 2000).first()
-    monkeypatch.setattr(stats, "MOST_VALUES", 3)
-    far = stats.bootstrap_ci(many, "id", 7, 2000).first()
-    assert far["mean"] == 3.75 and abs(far["low"] - near["low"]) < 0.05 and abs(far["high"] - near["high"]) < 0.05
+    far = stats.bootstrap_ci(many, "id", 7, 2000, leaf_size=3).first()
+    assert far["mean"] == 3.75 and abs(far["low"] - near["low"]) < 0.1 and abs(far["high"] - near["high"]) < 0.1
+    # neither partitions nor the order of rows change it, at one leaf or many
+    again = many.orderBy(F.rand(1)).repartition(7)
+    assert tuple(stats.bootstrap_ci(again, "id", 7, 2000, leaf_size=3).first()) == pytest.approx(tuple(far))
+    assert tuple(stats.bootstrap_ci(again, "id", 7, 2000).first()) == pytest.approx(tuple(near))
+
+
+@pytest.mark.parametrize(("n", "size"), [(1, 1), (10, 3), (64, 8), (101, 7), (5, 100)])
+def test_draws_of_all_leaves_are_multinomial(n, size):
+    samples, leaves = 4000, -(-n // size)
+    draws = stats.np.array([stats.leaf_draws(n, k, size, 3, samples) for k in range(leaves)])
+    assert (draws.sum(axis=0) == n).all() and (draws >= 0).all()
+    rows = stats.np.array([min(size, n - k * size) for k in range(leaves)])
+    share = rows / n
+    assert stats.np.allclose(draws.mean(axis=1), rows, atol=6 * (n * 0.25 / samples) ** 0.5)
+    want = n * share * (1 - share)  # variance of a multinomial's parts
+    assert stats.np.allclose(draws.var(axis=1), want, rtol=0.15, atol=0.05)
+    if leaves > 2:
+        assert abs(stats.np.cov(draws[0], draws[1])[0, 1] + n * share[0] * share[1]) < 0.15 * n * share[0]
 
 
 def test_nothing_changes_the_session(spark):
@@ -425,3 +444,54 @@ def test_statistics(spark):
     assert stats.seeds(a.limit(1).withColumn("g", F.lit("x")), "g", "v").first()["stdev"] == 0.0
     with pytest.raises(Exception, match="no metric"):
         sampling.argmin(spark.createDataFrame([("a", None)], "n string, m double"), "m", "n").collect()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab1 é学，\t\n\r\x0b\u3000"), max_size=40))
+def test_pieces_make_the_text(text):
+    import re
+
+    found = re.findall(r"\s*(?:[A-Za-z0-9]+|[^A-Za-z0-9\s])(?:\s+\Z)?", text, re.ASCII)
+    assert not found or "".join(found) == text
+
+
+def test_native_pieces_chunks_and_offsets(spark):
+    texts = [" 学而时习之，  不亦说乎 abc def\n ", "a", "", None, "   ", "x" * 50 + " \n\n y\n", "one two  three\u3000four " * 9]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumns({"tokens": tokens.SIMPLE.encode(F.col("text")), "pieces": tokens.SIMPLE.pieces(F.col("text"))})
+    assert all(len(r.tokens or []) == len(r.pieces or []) for r in df.collect())
+    cut = tokens.chunk(df.withColumns({"at": F.lit(1), "sizes": F.lit(2), "span": F.lit(3)}), "tokens", "id", 3, "pieces").orderBy("id", "chunk_index").collect()
+    for i, text in enumerate(texts):
+        mine = [r for r in cut if r.id == i]
+        assert "".join("".join(r.pieces) for r in mine) == (text if text and text.strip() else "")
+        assert all(text[r.text_start : r.text_end] == "".join(r.pieces) for r in mine)
+        assert [r["at"] for r in mine] == [1] * len(mine)
+
+
+def test_mixtures_fill_quotas_where_parents_and_rows_repeat(spark):
+    rows = [("p", "same", "c", "学而时习之 a b")] * 20 + [(None, f"d{i}", "c", f"x{i} y z") for i in range(5)]
+    df = spark.createDataFrame(rows, "source_id string, id string, category string, text string").repartition(3)
+    for total in (50, 51, 77):
+        got = corpus.mixture(df, {"c": 1.0}, total, most=4).collect()
+        assert sum(r.token_count for r in got) == total
+        assert all(len(r.tokens) == r.token_count - 1 for r in got)
+    assert {r.parent_source_id for r in got} == {"p", *[f"d{i}" for i in range(5) if any(r.id == f"d{i}" for r in got)]}
+    whole = [r for r in got if r.parent_source_id == "p" and r.token_count == 5 - r.chunk_index]
+    assert whole and all(r.text == ("学而时习", "之 a b")[r.chunk_index] for r in whole) and all(r.text_end - r.text_start == len(r.text) for r in got)
+    with pytest.raises(Exception, match="no source_id and no id"):
+        corpus.mixture(df.drop("source_id", "id"), {"c": 1.0}, 50).collect()
+    with pytest.raises(ValueError, match="several rows"):
+        tokens.token_mixture(df.withColumn("tokens", tokens.simple_tokens(F.col("text"))), {"c": 1.0}, 50, 1, "id")
+
+
+def test_library_tokenizers_with_offsets_keep_the_text(spark):
+    def load():
+        import re
+
+        return lambda t: re.findall(r"\w+", t), lambda ts: "|".join(ts), lambda t: [m.span() for m in re.finditer(r"\w+", t)]
+
+    df = spark.createDataFrame([("p", "c", "  one, two;  three!  ")], "id string, category string, text string")
+    got = corpus.mixture(df, {"c": 1.0}, 4, tokenizer=tokens.library_tokenizer(load)).first()
+    assert got.text == "  one, two;  three!  " and got.tokens == ["one", "two", "three"]
+    assert corpus.mixture(df, {"c": 1.0}, 3, tokenizer=tokens.library_tokenizer(load)).first().text == "  one, two"
+    bare = tokens.library_tokenizer(lambda: load()[:2])
+    assert corpus.mixture(df, {"c": 1.0}, 4, tokenizer=bare).first().text == "one|two|three"
