@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import chat, inference, preferences, review, sft, stats, teacher, tokens
+from .operators import chat, inference, ngram_model, preferences, review, sft, stats, teacher, tokens
 from .operators.acquire import acquire, column
+from .operators.sampling import ordinals
 from .plans import corpus, judge_run, session
 from .sources import artifacts, jsonl, jsonsource, registry
 from .sources.shared import durable
@@ -74,7 +75,7 @@ def build_parser() -> argparse.ArgumentParser:
     command("score", ("--input", need()), ("--output", need()), seed=False)
     command("blind-review", ("--input", need(nargs="+", help="model=path")), ("--output", need()))
     command("summarize-review", ("--review", need()), ("--key", need()), seed=False)
-    command("perplexity", ("--input", need()), ("--max-length", {"type": int, "default": 1024}), seed=False)
+    command("perplexity", ("--input", need()), ("--max-length", {"type": int, "default": 1024}), ("--train", {"help": "texts to fit an n-gram model on, where the input has no loss"}), ("--order", {"type": int, "default": ngram_model.ORDER}), seed=False)
     command("report", ("--root", need()), ("--fields", {"default": "status,metrics"}), seed=False)
     return top
 
@@ -166,6 +167,11 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
         sheet = _read(spark, a.review)
         sheet = sheet.withColumn("scores", F.from_json(F.to_json("scores", {"ignoreNullFields": "false"}), "map<string,int>"))
         return {"models": _rows(review.review_summary(sheet, _read(spark, a.key)))}
+    if a.command == "perplexity" and a.train:
+        split = lambda path: _read(spark, path).where(T.nonblank(F.col("text"))).select(tokens.simple_tokens(F.col("text")).alias("tokens"))
+        by_row = ngram_model.perplexity(ngram_model.fit(split(a.train), "tokens", a.order), ordinals(split(a.input), "row"), "tokens", "row")
+        whole = by_row.agg(F.sum("n_tokens").alias("predicted_tokens"), F.exp(-F.sum("log_prob") / F.sum("n_tokens")).alias("perplexity"))
+        return {"perplexity": _rows(whole)}
     if a.command == "perplexity":
         rows = _read(spark, a.input)
         pieces = tokens.chunk(rows.where(T.nonblank(F.col("text"))).withColumn("tokens", tokens.simple_tokens(F.col("text"))).withColumn("__id", F.xxhash64("text")), "tokens", "__id", a.max_length)

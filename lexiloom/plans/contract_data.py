@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import judging, tokens
+from ..functions import text as T
+from ..operators import judging, ngram_model, tokens
 from ..operators.acquire import Source, acquire
 from ..sources import digest, journal, jsonl, jsonsource, registry
 from ..sources.shared import new_path
 from . import corpus, judge_run
-from .contract import _PAIRS, _SPLIT, SEED, _read, _shown, query
+from ..streaming import ingest
+from .contract import _KEY, _PAIRS, _REASONED, _SPLIT, SEED, _docs, _read, _shown, query
 from .contract_rules import _STRIPPED
 
 # --- JSON lines -----------------------------------------------------------------
@@ -177,3 +179,35 @@ def mixture_shared_parents(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.col("lang").alias("category"), "text")
     out = corpus.mixture(docs, _QUOTAS, 20_000, SEED, most=256)
     return out.select("category", "id", "parent_source_id", "chunk_index", "mixture_epoch", "token_count", F.sha2("text", 256).alias("text_sha256"))
+
+
+# --- streaming and fitted models --------------------------------------------------------
+
+
+@query(f"WITH {_REASONED} SELECT sha256({_KEY}) AS content_hash, count(*) AS times FROM s WHERE len(reasons) = 0 GROUP BY 1")
+def stream_first_seen(spark, sf_dir):
+    """``documents`` arriving in eight files, two a batch: what the stream kept, with how often it came."""
+    staged, table = new_path(spark, "arrivals"), new_path(spark, "ingested")
+    docs = _docs(spark, sf_dir).select("doc_id", "text", "category")
+    docs.repartition(8, "doc_id").write.parquet(staged)
+    ingest.start(spark, staged, docs.schema, table, new_path(spark, "checkpoint"), files=2).awaitTermination()
+    came = corpus.judged(docs).where(F.size("reasons") == 0).groupBy(F.sha2(T.dedup_key(F.col("text")), 256).alias("content_hash")).agg(F.count("*").alias("times"))
+    return spark.read.parquet(table).select("content_hash").join(came, "content_hash", "left")
+
+
+_TOKENS_OF = "regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\\s]')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, list_concat(['\x02'], {_TOKENS_OF}, ['\x03']) AS t FROM documents), g AS (SELECT doc_id, unnest(t[1:len(t) - 1]) AS a, unnest(t[2:]) AS b FROM d),
+    c2 AS (SELECT a, b, count(*) AS c FROM g WHERE doc_id % 10 <> 0 GROUP BY ALL), c1 AS (SELECT b, count(*) AS c FROM c2 GROUP BY b), t1 AS (SELECT sum(c) AS total, count(*) AS types FROM c1),
+    p1 AS (SELECT b, greatest(c - 0.75, 0)::DOUBLE / total + 0.75::DOUBLE * types / total / (types + 1) AS p FROM c1, t1), h AS (SELECT a, sum(c) AS total, 0.75::DOUBLE * count(*) / sum(c) AS w FROM c2 GROUP BY a),
+    p2 AS (SELECT a, b, greatest(c - 0.75, 0)::DOUBLE / total + w * p AS p FROM c2 JOIN h USING (a) JOIN p1 USING (b)),
+    e AS (SELECT doc_id, ln(coalesce(p2.p, coalesce(w, 1) * coalesce(p1.p, (SELECT 0.75::DOUBLE * types / total / (types + 1) FROM t1)))) AS l
+          FROM g LEFT JOIN p2 USING (a, b) LEFT JOIN h USING (a) LEFT JOIN p1 USING (b) WHERE doc_id % 10 = 0)
+    SELECT doc_id, count(*) AS n_tokens, round(sum(l), 6) AS log_prob, round(exp(-avg(l)), 6) AS perplexity FROM e GROUP BY doc_id""")
+def ngram_perplexity(spark, sf_dir):
+    """A bigram model of nine documents in ten, and the perplexity of the others."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", tokens.simple_tokens(F.col("text")).alias("tokens"))
+    model = ngram_model.fit(docs.where("doc_id % 10 <> 0"), "tokens", 2)
+    out = ngram_model.perplexity(model, docs.where("doc_id % 10 = 0"), "tokens", "doc_id")
+    return out.select("doc_id", "n_tokens", F.round("log_prob", 6).alias("log_prob"), F.round("perplexity", 6).alias("perplexity"))

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import quality
 from ..functions import text as T
 from ..functions.hashing import sha256_hex
-from ..sources.shared import drop_path, durable, exists, unused
+from ..sources.shared import unused
 
 
 def _accepted(df: DataFrame, entities: bool) -> DataFrame:
@@ -20,34 +20,27 @@ def _accepted(df: DataFrame, entities: bool) -> DataFrame:
     return rows.withColumn("content_hash", sha256_hex(T.dedup_key(F.col("text"))))
 
 
-#: Parts that the hashes seen so far are kept in.
-BUCKETS = 16
-
-
-def start(spark: SparkSession, source: str, schema, table: str, checkpoint: str, entities: bool = True, once: bool = True, seen: str | None = None) -> StreamingQuery:
+def start(spark: SparkSession, source: str, schema, table: str, checkpoint: str, entities: bool = True, once: bool = True, seen: str | None = None, files: int | None = None) -> StreamingQuery:
     """Append accepted, unseen documents of each micro-batch to the Parquet folder ``table``.
 
-    A batch is written under its own number and overwritten when it is retried,
-    so a restart neither loses nor repeats rows.  ``seen`` (beside the table if
-    not given) keeps nothing but the hashes of what was written, in parts by
-    their first digit; a batch reads those parts that it has hashes in.
+    What was seen is the state of the stream, one key for each content hash: a
+    batch asks the state store for its own hashes and no others.  With the
+    RocksDB provider (:data:`session.DEFAULTS`) the state lies on the executors'
+    disks and its changes in the checkpoint, so it may grow beyond memory.  A
+    batch is written under its own number and overwritten when it is retried, so
+    a restart neither loses nor repeats rows.  ``seen`` (beside the table if not
+    given) lists the hashes of what was written, a folder a batch; nothing here
+    reads it.  ``files``: most files a batch.
     """
     seen = seen or f"{table.rstrip('/')}-seen"
-    part = F.conv(F.substring("content_hash", 1, 1), 16, 10).cast("int") % BUCKETS
 
     def keep(batch: DataFrame, number: int) -> None:
-        fresh, path = durable(_accepted(batch, entities).dropDuplicates(["content_hash"]).withColumn("part", part), "batch")
-        new = fresh
-        if exists(spark, seen):
-            parts = [r["part"] for r in fresh.select("part").distinct().collect()]  # at most BUCKETS
-            known = spark.read.schema("content_hash string, part int, batch long").option("basePath", seen).parquet(seen).where(F.col("part").isin(parts) & (F.col("batch") != number))
-            new = fresh.join(known.select("content_hash"), "content_hash", "left_anti")
-        new.drop("part").write.mode("overwrite").parquet(f"{table}/batch={number}")
-        written = spark.read.parquet(f"{table}/batch={number}").select("content_hash", part.alias("part"), F.lit(number).cast("long").alias("batch"))
-        written.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(seen)
-        drop_path(spark, path)
-
-    query = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        spark.read.parquet(f"{table}/batch={number}").select("content_hash").write.mode("overwrite").parquet(f"{seen}/batch={number}")
+
+    reader = spark.readStream.schema(schema)
+    rows = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(source)
+    query = _accepted(rows, entities).dropDuplicates(["content_hash"]).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
     return (query.trigger(availableNow=True) if once else query).start()
 
 
