@@ -8,6 +8,12 @@ and joins the ids back to the blobs in their order; each document's ids are
 then put together by position.  A frequent word costs a block one entry, so it
 makes no hot key.
 
+Blocks send to ``FAN`` coarse ranges at most.  Where finer ones are wanted, a
+team of blocks first merges what it has for a coarse range into distinct words,
+parts those into fine ranges, and hands the answers on: blobs keep some
+``BLOB_WORDS`` words then, whatever the size of the input.  Blocks lie in files
+of ``BLOCKS_A_FILE``, in ``MOST_BUCKETS`` buckets at most.
+
 Decoding joins the token-byte table to the ids: the table, a fixed vocabulary
 of some fifty thousand rows, refused beyond ``MAX_TOKENS``, is broadcast once,
 and a document's ids gather their bytes from it in their order.
@@ -22,17 +28,19 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import expand, squeeze
+from .exchange import Ranges
 from .pretokens import PATTERN, code_points, gather, read_ranks, span_hashes, split_points
-from .storage import durable_by, once_a_worker, shuffle_width, slices
+from .storage import durable, durable_by, once_a_worker, shuffle_width, slices
 
 #: Characters of text after which a block is closed.
 BLOCK_BYTES = 4 << 20
@@ -42,8 +50,12 @@ GROUP = 1 << 19
 MAX_TOKENS = 2_000_000
 
 #: A block is a row of its documents (owner -1) and a row for each word range: no row is large.
-_BLOCKS = "block long, owner int, ids binary, no_id binary, positions binary, owners binary, sizes binary, bytes binary"
-_CODED = "home long, owner int, answer binary"
+_BLOCKS = "home long, block long, owner int, ids binary, no_id binary, positions binary, owners binary, sizes binary, bytes binary"
+_CODED = "home long, block long, owner long, answer binary"
+#: Coarse ranges; words of a blob between the levels, and distinct words of a block, about.
+FAN, BLOB_WORDS, BLOCK_WORDS = 4096, 32, 30_000
+#: Blocks that are written and put together by one task in a row, and the buckets of their table (Spark takes 100,000).
+BLOCKS_A_FILE, MOST_BUCKETS = 4, 50_000
 _IDS = "doc_id long, ids binary"
 
 
@@ -107,11 +119,12 @@ def _split(block_bytes: int, ranges: int):
         owner = np.fromiter((zlib.crc32(w) % ranges for w in words), np.int32, len(words))
         dealt = np.argsort(owner, kind="stable")  # an owner gets its words in order of frequency
         cuts = np.flatnonzero(np.append(True, np.diff(owner[dealt]) != 0)).tolist() if len(dealt) else []
-        rows = [(number, -1, np.array([i or 0 for i in ids], np.int64).tobytes(), np.array([i is None for i in ids], bool).tobytes(), _planes(numbers), _planes(owner), sizes.astype(np.int64).tobytes(), None)]
+        home = number // BLOCKS_A_FILE
+        rows = [(home, number, -1, np.array([i or 0 for i in ids], np.int64).tobytes(), np.array([i is None for i in ids], bool).tobytes(), _planes(numbers), _planes(owner), sizes.astype(np.int64).tobytes(), None)]
         for lo, hi in zip(cuts, [*cuts[1:], len(dealt)], strict=True):
             mine = [words[i] for i in dealt[lo:hi].tolist()]
-            rows.append((number, int(owner[dealt[lo]]), None, None, None, None, squeeze(np.fromiter(map(len, mine), np.int32, hi - lo).tobytes()), squeeze(b"".join(mine))))
-        kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 6)
+            rows.append((home, number, int(owner[dealt[lo]]), None, None, None, None, *_packed_words(mine)))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 6)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _BLOCKS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,42 +158,117 @@ def _coder(ranks_path: str):
     return _coders[ranks_path]
 
 
+def _words_in(sizes: bytes, data: bytes) -> list[bytes]:
+    raw, ends = expand(data), np.cumsum(np.frombuffer(expand(sizes), np.int32))
+    return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+def _packed_words(words: list[bytes]) -> tuple[bytes, bytes]:
+    return squeeze(np.fromiter(map(len, words), np.int32, len(words)).tobytes()), squeeze(b"".join(words))
+
+
+def _packed_ids(ids: list) -> bytes:
+    """Each word's count, and all ids in a row."""
+    widths = _planes(np.fromiter(map(len, ids), np.int32, len(ids)))
+    return len(widths).to_bytes(4, "little") + widths + _planes(np.array([i for x in ids for i in x], dtype=np.int32))
+
+
+def _unpacked_ids(answer: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(answer[:4], "little") + 4
+    return _unplanes(answer[4:n]), _unplanes(answer[n:])
+
+
 def _encode_words(ranks_path: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         code = _coder(ranks_path)
         known: dict[bytes, list[int]] = {}
         out = []
         for sizes, data in zip(pdf["sizes"], pdf["bytes"], strict=True):
-            raw, ends = expand(data), np.cumsum(np.frombuffer(expand(sizes), np.int32))
-            words = [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            words = _words_in(sizes, data)
             for w in words:
                 if w not in known:
                     known[w] = code(w.decode())
-            ids = [known[w] for w in words]
-            width = np.fromiter(map(len, ids), np.int32, len(ids))
-            flat = np.array([i for x in ids for i in x], dtype=np.int32)
-            widths = _planes(width)
-            out.append(len(widths).to_bytes(4, "little") + widths + _planes(flat))
-        return pd.DataFrame({"home": pdf["block"], "owner": pdf["owner"], "answer": out})
+            out.append(_packed_ids([known[w] for w in words]))
+        return pd.DataFrame({"home": pdf["home"], "block": pdf["block"], "owner": pdf["owner"], "answer": out})
+
+    return run
+
+
+_WORDS = "home long, block long, owner long, sizes binary, bytes binary"
+
+
+def _merged(ranges: Ranges):
+    """The distinct words of a team for one coarse range, a blob for each fine range (``block`` is the team's meeting)."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        words = sorted({w for sizes, data in zip(pdf["sizes"], pdf["bytes"], strict=True) for w in _words_in(sizes, data)})
+        fine: dict[int, list[bytes]] = {}
+        for w in words:
+            fine.setdefault(zlib.crc32(w) // ranges.coarse % ranges.sub, []).append(w)
+        coarse, meeting = int(pdf["owner"].iloc[0]), int(key[0])
+        return pd.DataFrame([(0, meeting, coarse * ranges.sub + f, *_packed_words(own)) for f, own in sorted(fine.items())], columns=["home", "block", "owner", "sizes", "bytes"])
+
+    return run
+
+
+def _parted(ranges: Ranges):
+    """Answers for each blob of a team, from those for its fine ranges."""
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame({"home": [], "block": [], "owner": [], "answer": []})
+        words = sorted({w for sizes, data in zip(left["sizes"], left["bytes"], strict=True) for w in _words_in(sizes, data)})
+        fine: dict[int, list[bytes]] = {}
+        for w in words:
+            fine.setdefault(zlib.crc32(w) // ranges.coarse % ranges.sub, []).append(w)
+        answers, known = dict(zip(right["owner"] % ranges.sub, right["answer"], strict=True)), {}
+        for f, own in fine.items():
+            widths, flat = _unpacked_ids(answers[f])
+            ends = np.cumsum(widths).tolist()
+            known.update({w: flat[a:b] for w, a, b in zip(own, [0, *ends[:-1]], ends, strict=True)})
+        out = [_packed_ids([known[w] for w in _words_in(sizes, data)]) for sizes, data in zip(left["sizes"], left["bytes"], strict=True)]
+        return pd.DataFrame({"home": left["home"], "block": left["block"], "owner": left["owner"], "answer": out})
 
     return run
 
 
+def _coded(words: DataFrame, ranks_path: str, ranges: Ranges) -> DataFrame:
+    """Answers (:data:`_CODED`) for all blobs of words, each distinct word encoded once."""
+    if ranges.sub == 1:
+        return words.groupBy("owner").applyInPandas(_encode_words(ranks_path), _CODED)
+    meeting = F.col("owner") * ranges.teams + F.pmod(F.xxhash64("block"), F.lit(ranges.teams))
+    sent, _ = durable(words.withColumn("meeting", meeting), "words")
+    fine = sent.groupBy("meeting").applyInPandas(_merged(ranges), _WORDS).groupBy("owner").applyInPandas(_encode_words(ranks_path), _CODED)
+    return sent.groupBy("meeting").cogroup(fine.groupBy("block")).applyInPandas(_parted(ranges), _CODED)
+
+
+def _ranges_for(spark: SparkSession, size: int, block_bytes: int) -> Ranges:
+    """Word ranges for so many bytes of text, and the teams between two levels of them."""
+    wanted = max(shuffle_width(spark), -(-size // RANGE_BYTES))
+    if wanted <= FAN:
+        return Ranges(wanted)
+    sub, blocks = -(-wanted // FAN), max(1, size // block_bytes)
+    team = max(1, sub * BLOB_WORDS * FAN // BLOCK_WORDS)  # blocks with BLOB_WORDS words for each fine range
+    return Ranges(FAN, sub, max(1, -(-blocks // team)))
+
+
 def _assemble(table):
     """``table``: the broadcast token-byte table where the ids are decoded as well."""
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         decoder = table and once_a_worker(table, _Decoder)
-        answers = right.sort_values("owner")["answer"].tolist()
+        answers: dict[int, list] = {}
+        for block, owner, answer in sorted(zip(right["block"], right["owner"], right["answer"], strict=True), key=itemgetter(0, 1)):
+            answers.setdefault(block, []).append(answer)
         out_ids, out, decoded = [], [], []
         for row in left.itertuples(index=False):
             ids, no_id = np.frombuffer(row.ids, np.int64), np.frombuffer(row.no_id, bool)
             sizes, at, owners = np.frombuffer(row.sizes, np.int64), _unplanes(row.positions), _unplanes(row.owners)
             widths, flats = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-            for answer in answers:
-                n = int.from_bytes(answer[:4], "little") + 4
-                widths.append(_unplanes(answer[4:n]))
-                flats.append(_unplanes(answer[n:]))
+            for answer in answers.get(row.block, ()):
+                width, flat = _unpacked_ids(answer)
+                widths.append(width)
+                flats.append(flat)
             width, flat = np.concatenate(widths).astype(np.int64), np.concatenate(flats).astype("<u4")
             starts = np.cumsum(width) - width
             place = np.empty(len(owners), dtype=np.int64)
@@ -210,12 +298,12 @@ def encode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str
     spark = df.sparkSession
     two = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     size = two.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    ranges = max(shuffle_width(spark), -(-size // RANGE_BYTES))
-    blocks = durable_by(two.mapInArrow(_split(block_bytes, ranges), _BLOCKS), "block", ranges, "pretokens")
-    coded = blocks.where("owner >= 0").select("block", "owner", "sizes", "bytes").groupBy("owner").applyInPandas(_encode_words(ranks_path), _CODED)
+    ranges = _ranges_for(spark, size, block_bytes)
+    blocks = durable_by(two.mapInArrow(_split(block_bytes, ranges.coarse), _BLOCKS), "home", min(MOST_BUCKETS, max(shuffle_width(spark), -(-size // RANGE_BYTES))), "pretokens")
+    coded = _coded(blocks.where("owner >= 0").select("home", "block", F.col("owner").cast("long").alias("owner"), "sizes", "bytes"), ranks_path, ranges)
     table = spark.sparkContext.broadcast(token_table(ranks_path)) if decoded else None  # at most MAX_TOKENS tokens
-    own = blocks.where("owner < 0").select("block", "ids", "no_id", "sizes", "positions", "owners")
-    return own.groupBy("block").cogroup(coded.groupBy("home")).applyInPandas(_assemble(table), _IDS + ", decoded binary" * decoded)
+    own = blocks.where("owner < 0").select("home", "block", "ids", "no_id", "sizes", "positions", "owners")
+    return own.groupBy("home").cogroup(coded.groupBy("home")).applyInPandas(_assemble(table), _IDS + ", decoded binary" * decoded)
 
 
 def token_table(ranks_path: str) -> tuple[bytes, np.ndarray]:

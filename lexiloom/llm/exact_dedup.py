@@ -49,13 +49,18 @@ def _bits_for(keys: int, most: int) -> int:
 
 
 def shared_keys(rows: DataFrame, key: Column, most_bits: int = MOST_BITS) -> tuple[DataFrame, int]:
-    """The hashed keys that two or more rows have, as a bitmap (``bucket, bitmap``), and its bits."""
-    shared, path = durable(rows.groupBy(key.alias("k")).agg(F.count("*").alias("n")).where("n > 1").select("k"), "shared")
-    bits = _bits_for(shared.count(), most_bits)
+    """The hashed keys that two or more rows have, as a bitmap, and its bits."""
+    return key_bitmap(rows.groupBy(key.alias("k")).agg(F.count("*").alias("n")).where("n > 1").select("k"), most_bits)
+
+
+def key_bitmap(keys: DataFrame, most_bits: int = MOST_BITS) -> tuple[DataFrame, int]:
+    """Hashed keys (``k``) as a bitmap (``bucket, bitmap``), and its bits."""
+    held_keys, path = durable(keys, "keys")
+    bits = _bits_for(held_keys.count(), most_bits)
     slot = F.pmod("k", F.lit(bits)) + 1  # Spark counts bits from 1
-    bitmap = shared.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bitmap"))
+    bitmap = held_keys.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bitmap"))
     held, _ = durable(bitmap.coalesce(1), "bitmap")  # at most MOST_BITS / ROW_BITS rows
-    drop_path(rows.sparkSession, path)
+    drop_path(keys.sparkSession, path)
     return held, bits
 
 

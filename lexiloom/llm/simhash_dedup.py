@@ -38,13 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .exact_dedup import key_bitmap, with_hits
 from .graph import components
-from .storage import durable, shuffle_width, slices, unused
+from .storage import drop_path, durable, shuffle_width, slices, unused
 
 SEED = 42
 RADIUS = 2
-#: Documents of a verified group that are decided together, in order of ids.
-HEAD = 256
+#: Documents of a verified group that the first round decides together, in order of ids; how many times as many each next round does, and the most.
+HEAD, GROWTH, MOST_HEAD = 256, 4, 4096
 #: Seeds of the word fingerprints that the filter groups by.
 WORD_SEEDS = (SEED, SEED + 1, SEED + 2)
 #: Their radius: wider than that of whole texts, as what they group is verified.
@@ -161,17 +162,20 @@ def shingle_similarity(a: str | bytes | None, b: str | bytes | None, size: int =
     return _jaccard(_shingles(a, size), _shingles(b, size))
 
 
-def _shingles(text: str | bytes | None, size: int) -> frozenset:
+def _shingles(text: str | bytes | None, size: int) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes."""
     raw = text.encode() if isinstance(text, str) else text
     words = raw.lower().split() if raw else []
     if not words:
-        return frozenset()
-    return frozenset(xxhash.xxh3_128_digest(b" ".join(words[i : i + size])) for i in range(max(1, len(words) - size + 1)))
+        return np.zeros(0, np.uint64)
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(words[i : i + size])) for i in range(max(1, len(words) - size + 1))), np.uint64))
 
 
-def _jaccard(a: frozenset, b: frozenset) -> float:
-    both = len(a & b)
-    return 1.0 if not a and not b else both / (len(a) + len(b) - both)
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    if not len(a) and not len(b):
+        return 1.0
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
 
 
 def _grouped(prints: DataFrame, fp: str, radius: int) -> DataFrame:
@@ -188,44 +192,42 @@ class _Kept:
     """Shingle sets that stay, found again by anything at least ``similar`` to one of them."""
 
     def __init__(self, similar: float):
-        self.similar, self.index = similar, {}
+        self.similar, self.sets, self.index = similar, [], {}
 
-    def _prefix(self, own: frozenset) -> list:
+    def _prefix(self, own: np.ndarray) -> list:
         # in one order of all shingles, two sets this similar share one of their first n - ceil(similar * n) + 1
-        return sorted(own)[: len(own) - math.ceil(self.similar * len(own) - 1e-9) + 1] or [b""]
+        return own[: len(own) - math.ceil(self.similar * len(own) - 1e-9) + 1].tolist() or [-1]
 
-    def add(self, own: frozenset) -> None:
+    def add(self, own: np.ndarray) -> None:
+        self.sets.append(own)
         for x in self._prefix(own):
-            self.index.setdefault(x, []).append(own)
+            self.index.setdefault(x, []).append(len(self.sets) - 1)
 
-    def like(self, own: frozenset) -> bool:
-        seen = set()
-        for x in self._prefix(own):
-            for other in self.index.get(x, ()):
-                if id(other) not in seen:
-                    seen.add(id(other))
-                    if _jaccard(own, other) >= self.similar:
-                        return True
-        return False
+    def like(self, own: np.ndarray) -> bool:
+        met = {k for x in self._prefix(own) for k in self.index.get(x, ())}
+        near = (self.sets[k] for k in sorted(met) if self._sizes_fit(len(own), len(self.sets[k])))
+        return any(_jaccard(own, other) >= self.similar for other in near)
+
+    def _sizes_fit(self, a: int, b: int) -> bool:
+        return min(a, b) >= self.similar * max(a, b) - 1e-9
 
 
-def _settle(two: DataFrame, members: DataFrame, similar: float, size: int) -> DataFrame:
+def _settle(texts: DataFrame, members: DataFrame, similar: float, size: int, first: int) -> DataFrame:
     """One round over groups (``doc_id, centre``): ``doc_id, centre, gone`` of those with two members or more.
 
-    The ``HEAD`` smallest ids of each group are decided in order of ids and
+    The ``first`` smallest ids of each group are decided in order of ids and
     the others are held against those of them that stay, in parts of about
-    ``HEAD``.  ``gone`` is null for what is still to be decided among the
+    as many.  ``gone`` is null for what is still to be decided among the
     others.  An id with several texts goes if one of them is like another
     document, and its least text is what others are held against.
     """
-    sizes = members.groupBy("centre").agg(F.count("*").alias("n")).where("n > 1").select("centre", F.ceil(F.col("n") / HEAD).cast("int").alias("parts"))
+    sizes = members.groupBy("centre").agg(F.count("*").alias("n")).where("n > 1").select("centre", F.ceil(F.col("n") / first).cast("int").alias("parts"))
     rank = F.row_number().over(Window.partitionBy("centre").orderBy("doc_id"))
-    cuts = members.withColumn("rank", rank).where(F.col("rank") <= HEAD).groupBy("centre").agg(F.max("doc_id").alias("cut"))
+    cuts = members.withColumn("rank", rank).where(F.col("rank") <= first).groupBy("centre").agg(F.max("doc_id").alias("cut"))
     dealt = members.join(sizes, "centre").join(cuts, "centre").withColumn("head", F.col("doc_id") <= F.col("cut"))
     parts = F.when(F.col("head"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")))
     dealt = dealt.select("doc_id", "centre", "head", F.explode(parts).alias("part"))
-    texts = two.join(dealt, "doc_id").select("centre", "part", "doc_id", "head", "text")
-    tiles = texts.repartition("centre", "part").sortWithinPartitions("centre", "part", "doc_id", F.col("text").asc_nulls_last())
+    tiles = texts.join(dealt, "doc_id").select("centre", "part", "doc_id", "head", "text").repartition("centre", "part").sortWithinPartitions("centre", "part", "doc_id", F.col("text").asc_nulls_last())
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in slices(batches) for row in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4).cast(pa.large_binary()).to_pylist(), strict=True))
@@ -247,17 +249,30 @@ def _settle(two: DataFrame, members: DataFrame, similar: float, size: int) -> Da
 
 
 def _gone(two: DataFrame, left: DataFrame, fp: str, radius: int, similar: float, size: int) -> DataFrame:
-    """``doc_id`` of those of ``left`` that go, by groups over one of their fingerprints."""
+    """``doc_id`` of those of ``left`` that go, by groups over one of their fingerprints.
+
+    Texts of group members are taken out once, behind a bitmap of their ids, and
+    rounds read those alone.  A round decides ever more ids of each group, so
+    groups of some five thousand take three rounds, and each further
+    ``MOST_HEAD`` that are like none before them take one more.
+    """
     own = left.select("doc_id", F.col(fp).alias("print"))
     met = own.join(_grouped(own, "print", radius).withColumnRenamed("fp", "print"), "print").select("doc_id", F.col("component_id").alias("centre"))
     several = met.groupBy("centre").agg(F.max("doc_id").alias("last")).where("last > centre").select("centre")
     open_, _ = durable(met.join(several, "centre").select("doc_id", "centre").distinct(), "wanted")
-    gone = open_.where("false").select("doc_id")
+    gone, first = open_.where("false").select("doc_id"), HEAD
+    if open_.isEmpty():
+        return gone
+    wanted = open_.select("doc_id").distinct()
+    bitmap, bits = key_bitmap(wanted.select(F.xxhash64("doc_id").alias("k")))
+    texts, held = durable(with_hits(two.where("doc_id is not null"), F.xxhash64("doc_id"), bitmap, bits).where("hit").select("doc_id", "text").join(wanted, "doc_id", "left_semi"), "members")
     while not open_.isEmpty():
-        settled, _ = durable(_settle(two, open_, similar, size), "settled")
+        settled, _ = durable(_settle(texts, open_, similar, size, first), "settled")
         gone = gone.union(settled.where("gone").select("doc_id"))
-        open_ = settled.where("gone is null").select("doc_id", "centre")
-    return durable(gone.distinct(), "gone")[0]
+        open_, first = settled.where("gone is null").select("doc_id", "centre"), max(first, min(first * GROWTH, MOST_HEAD))
+    out, _ = durable(gone.distinct(), "gone")
+    drop_path(two.sparkSession, held)
+    return out
 
 
 def distinct_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, similar: float = 0.8, similar_shingle: int = 5, seeds: tuple[int, ...] = WORD_SEEDS, word_radius: int = WORD_RADIUS) -> DataFrame:

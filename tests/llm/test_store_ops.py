@@ -90,6 +90,28 @@ def test_bpe_round_trip(spark, tiktoken_encoding, block, monkeypatch):
     assert bpe.encode(table(spark, []), RANKS).count() == 0
 
 
+@pytest.mark.parametrize(("fan", "range_bytes", "blob_words", "buckets"), [(3, 2000, 1, 5), (2, 500, 4, 100_000), (4096, 10_000, 32, 3)])
+def test_bpe_with_two_levels_and_few_buckets(spark, monkeypatch, tiktoken_encoding, fan, range_bytes, blob_words, buckets):
+    """As with very large inputs: fewer coarse ranges than wanted, teams of blocks, several ranges and blocks in a bucket."""
+    for name, value in (("FAN", fan), ("RANGE_BYTES", range_bytes), ("BLOB_WORDS", blob_words), ("BLOCK_WORDS", 8), ("MOST_BUCKETS", buckets)):
+        monkeypatch.setattr(bpe, name, value)
+    r = random.Random(4)
+    rows = [*enumerate(TEXTS), *[(100 + i, " ".join(r.choices(["common", "Größe", "x", f"w{i}", "it's", "日本"], k=r.randint(0, 40)))) for i in range(150)], (None, "no id")]
+    if fan < 4096:
+        ranges = bpe._ranges_for(spark, 30_000, 300)
+        assert ranges.sub > 1 and ranges.teams > 1
+    got = bpe.encode(table(spark, rows), RANKS, block_bytes=300, decoded=True).collect()
+    want = [(i, np.array(tiktoken_encoding.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in rows]
+    assert sorted(((x.doc_id, bytes(x.ids), bytes(x.decoded)) for x in got), key=str) == sorted(want, key=str)
+
+
+def test_ranges_of_a_hundred_terabytes_stay_bounded(spark):
+    ranges = bpe._ranges_for(spark, 100 << 40, bpe.BLOCK_BYTES)
+    assert ranges.coarse == bpe.FAN and ranges.coarse * ranges.sub * bpe.RANGE_BYTES >= 100 << 40
+    blocks = (100 << 40) // bpe.BLOCK_BYTES
+    assert blocks / ranges.teams * bpe.BLOCK_WORDS / bpe.FAN / ranges.sub >= 0.9 * bpe.BLOB_WORDS
+
+
 def test_decoding_of_nothing_and_of_unknown_ids(spark):
     frame = lambda x: spark.createDataFrame([(1, x)], "doc_id long, ids binary")
     assert bpe.decode(frame(None), RANKS).first()["decoded"] is None and bytes(bpe.decode(frame(b""), RANKS).first()["decoded"]) == b""
