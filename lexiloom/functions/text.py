@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -204,27 +205,64 @@ def route(requested: Column, last_user: Column, auto: str = "smart_repaired", tr
     return F.when(requested != auto, requested).when(asks_translation(last_user), translate).otherwise(general)
 
 
-def _chrf(hypothesis: str, reference: str, order: int = 6, beta: float = 2.0) -> float:
-    """Sentence chrF (Popovic 2015): character n-grams without white space, averaged over orders that both have."""
-    from collections import Counter
+#: Characters of both sides that are compared together.
+CHRF_GROUP = 1 << 19
+_STEP, _ROW = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
-    h, r = "".join(hypothesis.split()), "".join(reference.split())
-    total_p = total_r = 0.0
-    used = 0
+
+def _visible(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of all texts without white space in a row, their text, how many follow in it (itself included), and sizes."""
+    parts = ["".join(t.split()) for t in texts]
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    rows = np.repeat(np.arange(len(parts)), sizes)
+    return codes, rows, np.cumsum(sizes)[rows] - np.arange(len(codes)), sizes
+
+
+def _counted(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their row, and how often each occurs."""
+    found, first, counts = np.unique(keys, return_index=True, return_counts=True)
+    return found, rows[first], counts
+
+
+def _chrf(hypotheses: list[str], references: list[str], order: int = 6, beta: float = 2.0) -> np.ndarray:
+    """Sentence chrF (Popovic 2015) of many pairs: character n-grams without white space, averaged over the orders that both have.
+
+    N-grams are rolling 64-bit hashes that hold their row, so the multisets of
+    all pairs are counted and met by one sort for each side and order.
+    """
+    n_rows = len(hypotheses)
+    sides = [_visible(hypotheses), _visible(references)]
+    rolled = [np.zeros(len(s[0]), np.uint64) for s in sides]
+    total_p, total_r, used = np.zeros(n_rows), np.zeros(n_rows), np.zeros(n_rows)
     for n in range(1, order + 1):
-        a, b = Counter(h[i : i + n] for i in range(len(h) - n + 1)), Counter(r[i : i + n] for i in range(len(r) - n + 1))
-        if a and b:
-            both = sum((a & b).values())
-            total_p += both / sum(a.values())
-            total_r += both / sum(b.values())
-            used += 1
-    if not used:
-        return 0.0
-    p, q = total_p / used, total_r / used
-    return 100 * (1 + beta**2) * p * q / (beta**2 * p + q) if p + q else 0.0
+        counted = []
+        for k, (codes, rows, left, _) in enumerate(sides):
+            fits = np.flatnonzero(left >= n)
+            rolled[k][fits] = rolled[k][fits] * np.uint64(_STEP) + codes[fits + (n - 1)]
+            keys = rolled[k][fits] ^ (rows[fits].astype(np.uint64) + np.uint64(1)) * np.uint64(_ROW)
+            keys ^= keys >> np.uint64(31)
+            counted.append(_counted(keys * np.uint64(0xBF58476D1CE4E5B9), rows[fits]))
+        (a, row, a_count), (b, _, b_count) = counted
+        _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        both = np.bincount(row[i], np.minimum(a_count[i], b_count[j]), n_rows)
+        h, r = (np.maximum(s[3] - n + 1, 0) for s in sides)
+        has = (h > 0) & (r > 0)
+        total_p += np.where(has, both / np.maximum(h, 1), 0)
+        total_r += np.where(has, both / np.maximum(r, 1), 0)
+        used += has
+    p, q = total_p / np.maximum(used, 1), total_r / np.maximum(used, 1)
+    return np.where(p + q > 0, 100 * (1 + beta**2) * p * q / np.where(p + q > 0, beta**2 * p + q, 1), 0.0)
 
 
 @F.pandas_udf(DoubleType())
 def chrf(hypothesis: pd.Series, reference: pd.Series) -> pd.Series:
     """chrF of each pair, 0 to 100; nulls count as empty."""
-    return pd.Series([_chrf(h or "", r or "") for h, r in zip(hypothesis, reference, strict=True)], dtype="float64")
+    a, b = ([x or "" for x in side] for side in (hypothesis, reference))
+    ends = np.cumsum([len(x) + len(y) for x, y in zip(a, b, strict=True)]) if a else np.zeros(0)
+    out, lo = [], 0
+    while lo < len(a):  # a bounded number of characters, one pair at least
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHRF_GROUP, side="right")))
+        out.append(_chrf(a[lo:hi], b[lo:hi]))
+        lo = hi
+    return pd.Series(np.concatenate([np.zeros(0), *out]))

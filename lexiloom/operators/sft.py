@@ -91,16 +91,17 @@ BANNED = ("http", "<|", "答案：", "作为ai", "无法回答", "translation:")
 def clean_translation(df: DataFrame, order: str) -> DataFrame:
     """``id, task, source_id, source_text, answer_text``: strictly clean old-to-modern pairs, first of equal ones."""
     source, answer = (T.strip(F.coalesce(T.truthy(column(df, a), column(df, b)), F.lit(""))) for a, b in (("classical", "input"), ("modern", "output")))
-    rows = df.withColumn("__s", source).withColumn("__a", answer)
-    both = F.concat("__s", "__a")
-    ratio = F.length("__a") / F.length("__s")
+    given, said, identity = unused(df.columns, "given", "said", "identity")
+    rows = df.withColumn(given, source).withColumn(said, answer)
+    both = F.concat(given, said)
+    ratio = F.length(said) / F.length(given)
     clean = (
-        (column(df, "task") == "old_to_modern") & F.length("__s").between(8, 260) & F.length("__a").between(10, 360) & ratio.between(0.55, 4.0)
-        & (T.cjk_ratio(F.col("__s"), "visible") >= 0.55) & (T.cjk_ratio(F.col("__a"), "visible") >= 0.55)
+        (column(df, "task") == "old_to_modern") & F.length(given).between(8, 260) & F.length(said).between(10, 360) & ratio.between(0.55, 4.0)
+        & (T.cjk_ratio(F.col(given), "visible") >= 0.55) & (T.cjk_ratio(F.col(said), "visible") >= 0.55)
         & ~F.exists(F.array(*map(F.lit, BANNED)), lambda b: F.contains(F.lower(both), b)) & ~T.has_run(both, 6)
     )
-    rows = rows.where(clean).withColumn("__id", sha256_hex(F.concat_ws("\x00", "__s", "__a")))
-    return first_by(rows, ["__id"], [F.col(order)]).select(F.col("__id").alias("id"), F.lit("old_to_modern").alias("task"), column(df, "source_id").alias("source_id"), F.col("__s").alias("source_text"), F.col("__a").alias("answer_text"))
+    rows = rows.where(clean).withColumn(identity, sha256_hex(F.concat_ws("\x00", given, said)))
+    return first_by(rows, [identity], [F.col(order)]).select(F.col(identity).alias("id"), F.lit("old_to_modern").alias("task"), column(df, "source_id").alias("source_id"), F.col(given).alias("source_text"), F.col(said).alias("answer_text"))
 
 
 def rl_prompts(rows: DataFrame, n: int, seed: int | str, split: str) -> DataFrame:

@@ -4,11 +4,17 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexiloom import cli
-from lexiloom.operators import joins, ngram_model, tokens
+from lexiloom.functions import text as T
+from lexiloom.operators import joins, ngram_model, reward_model, tokens
+from lexiloom.operators.stats import GateError
+from lexiloom.plans import repair, runner
 from lexiloom.sources import jsonl
 from lexiloom.streaming import ingest
 
@@ -143,3 +149,201 @@ def test_a_batch_reads_its_own_state(spark, tmp_path):
 
 def test_tokens_of_one_sign_are_no_marks():
     assert len(ngram_model.BEGIN) > 1 and len(ngram_model.END) > 1 and tokens.MAX_TOKENS > 0
+
+
+# --- chrF --------------------------------------------------------------------------------
+
+
+def chrf_by_definition(hypothesis, reference, order=6, beta=2.0):
+    h, r = "".join(hypothesis.split()), "".join(reference.split())
+    ps, rs = [], []
+    for n in range(1, order + 1):
+        a, b = (Counter(x[i : i + n] for i in range(len(x) - n + 1)) for x in (h, r))
+        if a and b:
+            both = sum((a & b).values())
+            ps.append(both / sum(a.values()))
+            rs.append(both / sum(b.values()))
+    p, q = (sum(x) / len(x) if x else 0.0 for x in (ps, rs))
+    return 100 * (1 + beta**2) * p * q / (beta**2 * p + q) if p + q else 0.0
+
+
+SHORT = st.text(alphabet=st.sampled_from("ab 学\U0001f600\n"), max_size=14)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(SHORT, SHORT), max_size=6))
+def test_chrf_of_a_batch(pairs):
+    got = T._chrf([a for a, _ in pairs], [b for _, b in pairs])
+    assert got == pytest.approx([chrf_by_definition(a, b) for a, b in pairs])
+
+
+def test_chrf_column_takes_nulls_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(T, "CHRF_GROUP", 100)
+    r = random.Random(1)
+    pairs = [(None, "a"), ("a", None), (None, None), ("", "")] + [("".join(r.choices("abc ", k=k)), "".join(r.choices("abc ", k=k))) for k in (1, 30, 99, 101, 5000)]
+    got = spark.createDataFrame(pairs, "h string, r string").coalesce(1).select(T.chrf(F.col("h"), F.col("r")).alias("c")).collect()
+    assert [x.c for x in got] == pytest.approx([chrf_by_definition(h or "", r or "") for h, r in pairs])
+    assert spark.createDataFrame([], "h string, r string").select(T.chrf(F.col("h"), F.col("r"))).count() == 0
+
+
+# --- the reward model ------------------------------------------------------------------
+
+
+def reward_pairs(n=120, seed=4):
+    r = random.Random(seed)
+    good, bad, same = ["clear", "exact", "brief"], ["vague", "wrong", "long"], ["the", "text", "is", "so"]
+    make = lambda own: " ".join(r.choices(same, k=5) + r.choices(own, k=2))
+    return [(make(good), make(bad)) if r.random() < 0.95 else (make(bad), make(good)) for _ in range(n)] + [("equal", "equal"), (None, "wrong"), ("exact", "")]
+
+
+def dense(spark, rows, width):
+    hashed = spark.createDataFrame(rows, "chosen string, rejected string").select(reward_model.features(F.col("chosen"), width).alias("a"), reward_model.features(F.col("rejected"), width).alias("b")).collect()
+    count = lambda x: np.bincount(np.array(x, dtype=int), minlength=width)
+    return np.array([count(x.a) - count(x.b) for x in hashed], dtype=float)
+
+
+def test_fitted_weights_are_the_optimum(spark):
+    rows, width, l2 = reward_pairs(), 64, 0.05
+    x = dense(spark, rows, width)
+    measure = lambda w: (np.logaddexp(0, -x @ w).mean() + l2 / 2 * w @ w, -(x / (1 + np.exp(x @ w))[:, None]).mean(axis=0) + l2 * w)
+    want = np.zeros(width)
+    for _ in range(100):  # Newton's method, on a matrix that fits
+        p = 1 / (1 + np.exp(x @ want))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(x) + l2 * np.eye(width), measure(want)[1])
+        want = want - step
+    got = {parts: reward_model.fit(spark.createDataFrame(rows, "chosen string, rejected string").repartition(parts), width=width, l2=l2) for parts in (1, 5)}
+    assert np.abs(measure(want)[1]).max() < 1e-10
+    for w in got.values():
+        assert np.allclose(w, want, atol=1e-4) and measure(w)[0] == pytest.approx(measure(want)[0], abs=1e-8)
+
+
+def test_scores_rank_held_out_pairs(spark):
+    weights = reward_model.fit(spark.createDataFrame(reward_pairs(), "chosen string, rejected string"), width=1 << 13)
+    held = spark.createDataFrame(reward_pairs(80, 9), "chosen string, rejected string")
+    scored = reward_model.score(reward_model.score(held, weights, "chosen", "c"), weights, "rejected", "r")
+    assert scored.agg(F.avg((F.col("c") > F.col("r")).cast("double"))).first()[0] > 0.85
+    assert scored.where("chosen is null").first()["c"] == 0.0
+    assert not reward_model.fit(held.limit(0), width=32).any()
+
+
+def test_gradient_pieces_make_the_gradient(spark, monkeypatch):
+    monkeypatch.setattr(reward_model, "PIECE", 7)
+    rows, width = reward_pairs(30), 50
+    x, w = dense(spark, rows, width), np.linspace(-1, 1, width)
+    pairs = spark.createDataFrame(rows, "chosen string, rejected string").select(reward_model.features(F.col("chosen"), width).alias("chosen"), reward_model.features(F.col("rejected"), width).alias("rejected")).repartition(6)
+    loss, slope = reward_model.loss_and_gradient(pairs, w, 0.1, len(rows))
+    assert loss == pytest.approx(np.logaddexp(0, -x @ w).mean() + 0.05 * w @ w)
+    assert np.allclose(slope, -(x / (1 + np.exp(x @ w))[:, None]).mean(axis=0) + 0.1 * w)
+
+
+# --- stages and plans -------------------------------------------------------------------
+
+
+def test_stages_are_done_once(spark, tmp_path):
+    ran = []
+
+    def plus(x, s):
+        ran.append(("plus", s["by"]))
+        return x["rows"].select((F.col("n") + s["by"]).alias("n"))
+
+    def total(x, s):
+        ran.append("total")
+        return x["plus"].agg(F.sum("n").alias("n"))
+
+    rows = spark.range(10).toDF("n")
+    make = lambda by, gate=None: [runner.Stage("plus", ("rows",), plus, {"by": by}), runner.Stage("total", ("plus",), total, {}, gate)]
+    go = lambda *a, df=rows: runner.run(spark, str(tmp_path), {"rows": df}, make(*a))
+    first = go(1)
+    assert first["total"].frame.first().n == 55 and ran == [("plus", 1), "total"] and first["total"].fresh
+    assert not go(1)["total"].fresh and len(ran) == 2
+    assert go(2)["total"].frame.first().n == 65 and ran[2:] == [("plus", 2), "total"]
+    # another input, but the same table comes out: the stage behind is not run again
+    assert go(1, df=spark.range(1, 11).toDF("n").select(F.col("n") - 1).toDF("n"))["total"].fresh is False and len(ran) == 4
+    assert go(0, df=spark.range(1, 11).toDF("n"))["plus"].fresh and ran[4:] == [("plus", 0)]
+    with pytest.raises(ValueError, match="later"):
+        runner.run(spark, str(tmp_path), {"rows": rows}, make(1)[::-1])
+    with pytest.raises(ValueError, match="repeat"):
+        runner.run(spark, str(tmp_path), {"plus": rows}, make(1))
+
+
+def test_gates_and_failed_stages(spark, tmp_path):
+    rows, state = spark.range(3).toDF("n"), {"broken": True, "ran": 0}
+
+    def work(x, s):
+        state["ran"] += 1
+        if state["broken"]:
+            raise RuntimeError("lost")
+        return x["rows"]
+
+    stages = [runner.Stage("work", ("rows",), work, {}, lambda df: (df.count() > 3, {"rows": df.count()}), version="1")]
+    with pytest.raises(RuntimeError, match="lost"):
+        runner.run(spark, str(tmp_path), {"rows": rows}, stages)
+    state["broken"] = False
+    for _ in range(2):  # the verdict is kept, the work not done again
+        with pytest.raises(GateError, match="'rows': 3"):
+            runner.run(spark, str(tmp_path), {"rows": rows}, stages)
+    assert state["ran"] == 2
+    assert runner.run(spark, str(tmp_path), {"rows": spark.range(5).toDF("n")}, stages)["work"].facts == {"rows": 5}
+
+
+def translations(spark):
+    hanzi = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁律吕调阳云腾致雨露结为霜"
+    rows = []
+    for i in range(36):
+        source = hanzi[i % 20 : i % 20 + 10] + hanzi[i]
+        rows.append((i, f"s{i}", ["train", "validation", "test"][i % 3], "old_to_modern", source, "今译" + source[::-1] + "也"))
+    return spark.createDataFrame(rows, "n int, source_id string, split string, task string, classical string, modern string")
+
+
+def model(answers, calls):
+    def load():
+        def answer(prompts):
+            return [(answers(p), 5, True) for p in prompts]
+
+        return answer
+
+    return load
+
+
+def test_capability_repair_end_to_end(spark, tmp_path):
+    rows = translations(spark)
+    good = lambda p: "Paris it is" if "France" in p else "今译" + p.split("原文：")[-1].split("\n")[0][::-1] + "也"
+    candidates = [
+        repair.Candidate("base", model(lambda p: "Paris" if "France" in p else "无", None), "chat", "w1"),
+        repair.Candidate("tuned", model(good, None), "plain", "w1"),
+        repair.Candidate("broken", model(lambda p: "�", None), "plain", "w1"),
+    ]
+    questions = [repair.Question("Capital of France?", ("paris",)), repair.Question("Name both.", ("a", "b"), True)]
+    limits = {"train": 5, "validation": 2, "test": 4}
+    go = lambda cs=candidates, lim=limits: repair.capability_repair(spark, str(tmp_path), rows, "n", cs, questions, "base", 1, lim)
+    done = go()
+    assert {s: r["count"] for s, r in ((r["split"], r) for r in done["repair_rows"].frame.groupBy("split").count().collect())} == limits
+    assert done["selection"].frame.first()["name"] == "tuned" and done["selection"].facts["selected"] == "tuned"
+    found = {r["name"]: r for r in done["summaries"].frame.collect()}
+    assert found["tuned"]["chrf"] == pytest.approx(100) and found["broken"]["replacement_rate"] == 1.0 and found["base"]["general"] == 0.5
+    assert not any(r.fresh for r in go().values())
+    retrained = [*candidates[:2], repair.Candidate("broken", model(good, None), "plain", "w2")]
+    again = {n for n, r in go(retrained).items() if r.fresh}
+    assert again == {"translations-broken", "general-broken", "summary-broken", "summaries", "selection"}
+    assert "repair_rows" in {n for n, r in go(candidates, limits | {"train": 6}).items() if r.fresh}
+    repaired = done["repair_rows"].frame
+    with pytest.raises(ValueError, match="already"):
+        repair.evaluate_checkpoint(spark, str(tmp_path), repaired, candidates[0], questions, done["summaries"].frame)
+    late = repair.evaluate_checkpoint(spark, str(tmp_path), repaired, repair.Candidate("late", model(good, None), "plain", "w1"), questions, done["summaries"].frame)
+    assert late.first()["chrf"] == pytest.approx(100)
+    with pytest.raises(GateError):
+        repair.capability_repair(spark, str(tmp_path / "none"), rows, "n", [candidates[2]], questions, "broken", 1, limits)
+    with pytest.raises(Exception, match="too few"):
+        repair.capability_repair(spark, str(tmp_path / "short"), rows, "n", candidates, questions, "base", 1, {"test": 99})
+
+
+def test_training_data_diagnosis(spark, tmp_path):
+    chat = lambda asked, said: [("user", asked), ("assistant", said)]
+    rows = spark.createDataFrame([(i, "ab"[i % 2], f"src{i}", chat("ask " * (i + 1), "short" if i % 4 == 0 else "a longer answer " * (i + 1))) for i in range(24)], "n int, task string, provenance string, messages array<struct<role:string,content:string>>")
+    done = repair.training_data_diagnosis(spark, str(tmp_path), rows, "n", step=2, limit=40)
+    found = {r["task"]: r for r in done["counters"].frame.collect()}
+    assert found[None]["rows"] == 12 == found["a"]["rows"] and found[None]["short_answer"] == 6
+    assert found[None]["prefix_mismatch"] == 0 and 0 < found[None]["over_limit"] < 12 and found[None]["end_kept"] == 12 - found[None]["over_limit"]
+    shown = done["examples"].frame.orderBy("task", "number").collect()
+    assert [(r["task"], r["number"], r["provenance"]) for r in shown] == [("a", 1, "src0"), ("a", 2, "src2"), ("a", 3, "src4"), ("b", 1, "src1"), ("b", 2, "src3"), ("b", 3, "src5")]
+    assert not any(r.fresh for r in repair.training_data_diagnosis(spark, str(tmp_path), rows, "n", step=2, limit=40).values())
