@@ -315,11 +315,11 @@ def preference_split(spark, sf_dir):
 
 def _featured(spark, sf_dir):
     rows = _pairs(spark, sf_dir)
-    return rows.select("id", "source_id", F.col("response").alias("chosen"), F.col("prompt").alias("rejected"), preferences.features(F.col("prompt"), F.col("response"), F.substring("response", 1, 200)).alias("features"))
+    return rows.select("id", "source_id", F.col("response").alias("chosen"), F.col("prompt").alias("rejected"), preferences.features(F.col("prompt"), F.col("response"), F.col("prompt")).alias("features"))
 
 
 _LEN = "length(regexp_replace({0}, '\\s+', '', 'g'))"
-_FEATURES = f"""{_PAIRS}, f AS (SELECT id, prompt, response, {_LEN.format("response")} AS cl, {_LEN.format("substr(response, 1, 200)")} AS rl, {_LEN.format("response")}::DOUBLE / greatest({_LEN.format("substr(response, 1, 200)")}, 1) AS ratio,
+_FEATURES = f"""{_PAIRS}, f AS (SELECT id, prompt, response, {_LEN.format("response")} AS cl, {_LEN.format("prompt")} AS rl, {_LEN.format("response")}::DOUBLE / greatest({_LEN.format("prompt")}, 1) AS ratio,
     regexp_extract_all(prompt, '[0-9]+(?:\\.[0-9]+)?') AS nums, regexp_extract_all(response, '[0-9]+(?:\\.[0-9]+)?') AS got FROM pairs)"""
 
 

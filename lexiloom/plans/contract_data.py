@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import judging, ngram_model, tokens
-from ..operators.acquire import Source, acquire
+from ..operators import chat, judging, ngram_model, preferences, reward_model, stats, teacher, tokens
+from ..operators.acquire import Source, acquire, alias
 from ..sources import digest, journal, jsonl, jsonsource, registry
 from ..sources.shared import new_path
-from . import corpus, judge_run
+from . import corpus, experiments, judge_run, repair
 from ..streaming import ingest
-from .contract import _KEY, _PAIRS, _REASONED, _SPLIT, SEED, _docs, _read, _shown, query
+from .contract import _BLIND, _KEY, _OPTIONS, _PAIRS, _REASONED, _REP, _SPLIT, SEED, _chats, _docs, _generations, _pairs, _preferences, _read, _shown, query
+from .contract import _CHATS as _CHATS_SQL
 from .contract_rules import _STRIPPED
 
 # --- JSON lines -----------------------------------------------------------------
@@ -211,3 +212,85 @@ def ngram_perplexity(spark, sf_dir):
     model = ngram_model.fit(docs.where("doc_id % 10 <> 0"), "tokens", 2)
     out = ngram_model.perplexity(model, docs.where("doc_id % 10 = 0"), "tokens", "doc_id")
     return out.select("doc_id", "n_tokens", F.round("log_prob", 6).alias("log_prob"), F.round("perplexity", 6).alias("perplexity"))
+
+
+@query()
+def reward_model_accuracy(spark, sf_dir):
+    """The pairwise model fitted on nine pairs in ten (the answer against the prompt), and its accuracy on the others; SQL can't fit it."""
+    pairs = _pairs(spark, sf_dir).select("id", F.col("response").alias("chosen"), F.col("prompt").alias("rejected"), (F.crc32("id") % 10 == 0).alias("held"))
+    weights = reward_model.fit(pairs.where("not held"), steps=5)
+    scored = reward_model.score(reward_model.score(pairs, weights, "chosen", "c"), weights, "rejected", "r")
+    return scored.groupBy("held").agg(F.count("*").alias("pairs"), F.round(stats.preference_accuracy(F.col("c"), F.col("r")), 6).alias("accuracy"))
+
+
+# --- rules that had no row of their own -------------------------------------------------
+
+
+@query(f"WITH {_PAIRS} SELECT id, sha256('原文：' || prompt || chr(10) || '译文：') AS translation_sha256, sha256('问题：' || prompt || chr(10) || '回答：') AS question_sha256 FROM pairs")
+def plain_prompts(spark, sf_dir):
+    prompts = [F.sha2(chat.plain_prompt(kind, F.col("prompt")), 256).alias(f"{kind}_sha256") for kind in ("translation", "question")]
+    return _pairs(spark, sf_dir).select("id", *prompts)
+
+
+@query("SELECT conv_id, arg_max(text, turn) AS completion FROM conversations GROUP BY conv_id")
+def completion_texts(spark, sf_dir):
+    return _chats(spark, sf_dir).select("conv_id", chat.completion_text(F.col("messages")).alias("completion"))
+
+
+@query("""SELECT doc_id, ['old_to_modern', 'old_to_modern', 'modern_to_old', 'appreciation', 'creation', 'other', NULL][CAST(doc_id % 7 + 1 AS INT)] AS task FROM documents""")
+def task_aliases(spark, sf_dir):
+    names = F.element_at(F.array(*map(F.lit, ("classical_to_modern", "translation", "modern_to_classical", "analysis", "writing", "other", None))), (F.col("doc_id") % 7 + 1).cast("int"))
+    return _read(spark, sf_dir, "documents").select("doc_id", alias(names).alias("task"))
+
+
+@query(f"WITH {_OPTIONS} SELECT bad.error AS error, count(*) AS rows FROM c WHERE bad.text <> response GROUP BY 1")
+def error_types(spark, sf_dir):
+    return preferences.error_counts(_preferences(spark, sf_dir))
+
+
+@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Classical' ELSE 'web' END AS category, repeat('天', CAST(doc_id % 10 AS INT)) || repeat('x', CAST(10 - doc_id % 10 AS INT)) AS t FROM documents)
+    SELECT doc_id, category = 'Classical' AND doc_id % 10 / 10.0 >= 0.65 AS classical FROM d""")
+def classical_gate(spark, sf_dir):
+    n = (F.col("doc_id") % 10).cast("int")
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "Classical").otherwise("web").alias("category"), F.concat(F.repeat(F.lit("天"), n), F.repeat(F.lit("x"), 10 - n)).alias("t"))
+    return docs.select("doc_id", teacher.is_classical(F.col("category"), F.col("t")).alias("classical"))
+
+
+_WRONG = f"""{_PAIRS}, e AS (SELECT id, (length(prompt) % 70)::DOUBLE AS score, (length(response) % 50)::DOUBLE AS copied, length(response) % 20 <> 0 AS stopped, length(prompt) % 13 = 0 AS replaced, (length(response) % 9) / 60.0 AS rep, prompt, response FROM pairs),
+    k AS (SELECT *, CASE WHEN score < 20 THEN 'low' WHEN score < 40 THEN 'medium' ELSE 'hard' END AS band FROM e WHERE stopped AND NOT replaced AND regexp_matches(prompt, '\\S') AND prompt <> response AND rep <= 0.10 AND score BETWEEN 3 AND 68),
+    r AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY sha256('{SEED}:band:' || id), id) AS n, CASE band WHEN 'low' THEN 12 WHEN 'medium' THEN 20 ELSE 8 END AS target FROM k),
+    z AS (SELECT * FROM r WHERE n <= target UNION ALL SELECT * EXCLUDE q FROM (SELECT *, row_number() OVER (ORDER BY sha256('{SEED}:band:' || id), id) AS q FROM r WHERE n > target) WHERE q <= 40 - (SELECT count(*) FROM r WHERE n <= target))"""
+
+
+@query(f"""WITH {_WRONG} SELECT (SELECT count(*) FROM e) AS candidates, (SELECT count(*) FROM k) AS eligible, count(*) AS selected, count(*) FILTER (band = 'low') AS low, count(*) FILTER (band = 'medium') AS medium, count(*) FILTER (band = 'hard') AS hard,
+    round(coalesce(avg(score), 0), 9) AS mean_rejected_chrf, round(coalesce(avg(copied), 0), 9) AS mean_source_copy_chrf FROM z""")
+def repair_report(spark, sf_dir):
+    """Hard negatives from model errors: what was there, what could be used, and the forty that were taken."""
+    n, m = F.length("prompt"), F.length("response")
+    errors = _pairs(spark, sf_dir).select("id", F.col("response").alias("chosen"), F.col("prompt").alias("rejected"), (n % 70).cast("double").alias("rejected_chrf"), (m % 50).cast("double").alias("source_copy_chrf"), (m % 20 != 0).alias("stopped"), (n % 13 == 0).alias("replacement"), ((m % 9) / 60.0).alias("repetition"))
+    report = experiments.repair_pairs(errors, 40, SEED)[1]
+    return report.select("candidates", "eligible", "selected", "low", "medium", "hard", F.round("mean_rejected_chrf", 9).alias("mean_rejected_chrf"), F.round("mean_source_copy_chrf", 9).alias("mean_source_copy_chrf"))
+
+
+@query(f"""WITH {_BLIND}, x AS (SELECT model, response, prompt, {_REP.format("response")} AS rep FROM g WHERE model = 'alpha' OR length(response) % 2 = 0)
+    SELECT model, count(*) AS rows, round(avg((length(response) % 20 <> 0)::INT), 9) AS stop_rate, round(avg(rep), 9) AS repetition, round(avg(length(prompt) % 70), 9) AS chrf FROM x GROUP BY model""")
+def model_rollup(spark, sf_dir):
+    rows = _generations(spark, sf_dir).where("model = 'alpha' or length(response) % 2 = 0")
+    measured = rows.select("model", "response", F.col("prompt").alias("source"), (F.length("response") % 20 != 0).alias("stopped"), F.lit(False).alias("replacement"), T.repetition(F.col("response")).alias("repetition"), (F.length("prompt") % 70).alias("chrf"), F.lit(1).alias("tokens"))
+    return stats.frozen_summary(measured, ["model"]).select("model", "rows", *(F.round(c, 9).alias(c) for c in ("stop_rate", "repetition", "chrf")))
+
+
+_RENDERED = "array_to_string(list_transform({0}, lambda z: '<|im_start|>' || z.role || chr(10) || z.content || '<|im_end|>' || chr(10)), '')"
+_CODED = "regexp_extract_all({0}, '[A-Za-z0-9]+|[^A-Za-z0-9\\s]')"
+
+
+@query(f"""WITH {_CHATS_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY conv_id) - 1 AS place, 'task ' || conv_id % 3 AS task, m[-1].content AS answer FROM chats),
+    t AS (SELECT task, answer, {_CODED.format(_RENDERED.format("m[1:len(m) - 1]") + " || '<|im_start|>assistant' || chr(10)")} AS p, {_CODED.format(_RENDERED.format("m"))} AS w FROM n WHERE place % 2 = 0),
+    f AS (SELECT task, len(p) >= 64 AS a, len(w) > 64 AS b, w[1:len(p)] <> p AS c, length(answer) < 10 AS d, w[len(p) + 1:64] AS kept FROM t),
+    g AS (SELECT *, len(list_filter(range(1, greatest(len(kept) - 5, 1)), lambda i: kept[i:i + 6] = ['<', '|', 'im', '_', 'end', '|', '>'])) > 0 AS e FROM f)
+    SELECT task, grouping(task)::TINYINT AS all_tasks, count(*) AS rows, sum(a::INT)::BIGINT AS prompt_at_limit, sum(b::INT)::BIGINT AS over_limit, sum(c::INT)::BIGINT AS prefix_mismatch, sum(d::INT)::BIGINT AS short_answer, sum(e::INT)::BIGINT AS end_kept
+    FROM g GROUP BY GROUPING SETS ((), (task))""")
+def training_diagnosis(spark, sf_dir):
+    """Counters of every second conversation by task, with a limit of 64 tokens."""
+    rows = _chats(spark, sf_dir).withColumn("task", F.concat(F.lit("task "), F.col("conv_id") % 3))
+    return repair.diagnosis(rows, "conv_id", limit=64, step=2)
