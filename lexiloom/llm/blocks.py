@@ -85,7 +85,7 @@ def _pack(block_bytes: int):
 
 def pack(df: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
     """Blocks of ``df`` in a durable table, with its path.  Rows with a null id are left out."""
-    two = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    two = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null")
     return durable(two.mapInArrow(_pack(block_bytes), SCHEMA), "blocks")
 
 

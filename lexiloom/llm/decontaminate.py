@@ -205,13 +205,13 @@ def _found(bench: Benchmark, texts: list[str | None]) -> dict[tuple[int, int], l
 
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    return benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
+    return benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, similarity, start_word, n_words``: for each document and item that match, the best window."""
     spark = docs.sparkSession
-    two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    two = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
     out = None
     for block in _item_blocks(_items(benchmark, item_col, item_text_col)):

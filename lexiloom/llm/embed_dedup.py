@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .exact_dedup import SPREAD
 from .graph import components
 from .storage import durable, shuffle_width
 
@@ -197,8 +198,10 @@ def link_embeddings(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").cast("string").alias("label"), vec.alias("vec")).withColumn("vec", F.when(fit, F.col("vec")))
     # -0.0 and 0.0 are equal vectors
     rows = rows.withColumn("vec", F.transform("vec", lambda x: F.when(x == 0, 0.0).otherwise(x).cast(kind[6:-1])))
+    # equal vectors of a label are one class, told by a 128-bit digest; vectors themselves are no keys
+    rows = rows.withColumn("d1", F.xxhash64("vec", F.lit(1))).withColumn("d2", F.xxhash64(F.lit(2), "vec"))
     alone = rows.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    classes, _ = durable(rows.where("vec is not null").groupBy("label", "vec").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    classes, _ = durable(rows.where("vec is not null").groupBy("label", "d1", "d2").agg(F.first("vec").alias("vec"), F.min("vec_id").alias("first"), F.count("*").alias("copies")).withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     hashed = classes.select("label", "vec", "cid").mapInPandas(_members(tables, depth, probes), "label string, dims int, code int, cid long")
     members, _ = durable(hashed.select(F.xxhash64("label", "dims", "code").alias("bucket"), "cid"), "members")
@@ -222,6 +225,11 @@ def link_embeddings(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     counts = met.groupBy("cid").agg(F.sum("links").alias("links"))
     own = classes.join(counts, "cid", "left").join(named.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = own.groupBy("component").agg(F.min("first").alias("component_id"))
-    own = own.join(least, "component").select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    found = rows.where("vec is not null").join(own, ["label", "vec"]).select("vec_id", "n_links", "component_id")
+    own, _ = durable(own.join(least, "component").select("label", "d1", "d2", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "named")
+    # classes that hold much of a shuffle partition are few: at most SPREAD for each, and broadcast
+    limit = max(1, own.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"] // (SPREAD * shuffle_width(spark)))
+    large, small = own.where(F.col("copies") > limit).drop("copies").withColumn("is_large", F.lit(True)), own.where(F.col("copies") <= limit).drop("copies")
+    met = rows.where("vec is not null").select("vec_id", "label", "d1", "d2").join(F.broadcast(large), ["label", "d1", "d2"], "left")
+    rest = met.where("is_large is null").select("vec_id", "label", "d1", "d2").join(small, ["label", "d1", "d2"])
+    found = met.where("is_large").select("vec_id", "n_links", "component_id").union(rest.select("vec_id", "n_links", "component_id"))
     return found.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

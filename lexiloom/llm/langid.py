@@ -10,7 +10,7 @@ expected piece counts from the forward-backward algorithm.
 The classifier is fitted on a bounded sample of labelled rows: about
 ``docs_per_lang`` documents of each language, chosen by a hash of the id.  The
 model holds languages x pieces numbers whatever the size of the corpus; more
-than ``MAX_LANGS`` labels raise.  Prediction covers every text whole; words are
+than ``MAX_LANGS`` labels, or ``MAX_CELLS`` numbers, raise.  Prediction covers every text whole; words are
 scored once for each worker and kept in a cache of bounded size.
 
 Words are segmented whole, whatever their length: many short ones at once, and
@@ -51,6 +51,8 @@ CACHE_WORDS = 120_000
 #: Longest words that are kept in the cache.
 CACHE_CHARS = 200
 MAX_LANGS = 10_000
+#: Numbers of a model (languages x pieces) that are sent to every worker: 320 MB.
+MAX_CELLS = 40_000_000
 #: Probability of a character that the vocabulary lacks, and the smoothing mass of each piece.
 FLOOR, ALPHA = 1e-7, 0.05
 
@@ -267,10 +269,12 @@ def fit(labelled: DataFrame, path: str, text_col: str = "text", lang_col: str =
     """Fit on about ``docs_per_lang`` rows of each language of ``labelled`` (rows without label or text do not count)."""
     spark = labelled.sparkSession
     pieces = vocabulary_pieces(path)
-    rows = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
+    rows = labelled.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}  # one row a language
     if len(counts) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} labels")
+    if len(counts) * len(pieces) > MAX_CELLS:
+        raise ValueError(f"{len(counts)} labels and {len(pieces)} pieces make more than {MAX_CELLS} numbers")
     langs = sorted(counts)
     if not langs:
         return _flat(pieces, [])
@@ -387,4 +391,4 @@ def keep_known(df: DataFrame, model: Model, min_score: float, text_col: str = "t
 
 def held_out(id_col: str = "doc_id"):
     """crc32 of the id as text, modulo 5, is 0."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
+    return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % 5 == 0, F.lit(False))

@@ -289,7 +289,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def remove_spans(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, kept``: the texts without the words of their spans, joined by one space."""
     cuts = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("cuts"))
-    words = F.filter(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    own = df.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words")).where("doc_id is not null").join(cuts, "doc_id", "left")
+    words = F.filter(F.split(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    own = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), words.alias("words")).where("doc_id is not null").join(cuts, "doc_id", "left")
     kept = F.expr("filter(words, (w, i) -> cuts is null or not exists(cuts, c -> i >= c.start_word and i < c.start_word + c.n_words))")
     return own.select("doc_id", F.array_join(kept, " ").alias("kept"))

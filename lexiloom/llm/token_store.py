@@ -228,7 +228,7 @@ def encode_chunks(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str,
                 rows.append(mine)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(rows, pa.list_(entry))], names=["doc_id", "n_tokens", "chunks"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _ENCODED)
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, _ENCODED)
 
 
 @F.pandas_udf(T.BinaryType())

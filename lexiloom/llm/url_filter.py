@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import once_a_worker
+
 MAX_RULES = 500_000
 OUT = "id long, host string, path string, rule string, verdict string"
 
@@ -61,16 +63,23 @@ class RuleIndex:
         # A path's last token may be cut short by the prefix, so only whole path tokens are literal ones.
         literal = [set(_TOKEN.findall(host)) | set(_TOKEN.findall(path.rpartition("/")[0])) for _, host, path in rules]
         common = Counter(t for own in literal for t in own)
-        self.by_token: dict[str, list[tuple[int, str, str, re.Pattern]]] = {}
-        self.rest: list[tuple[int, str, str, re.Pattern]] = []
+        self.by_token: dict[str, list[tuple[int, str, str, str]]] = {}
+        self.rest: list[tuple[int, str, str, str]] = []
+        self.patterns: dict[int, re.Pattern] = {}
         for n, ((action, host, path), own) in enumerate(zip(rules, literal, strict=True)):
-            entry = (n, host + path, action, re.compile(rf"(?:.*\.)?{re.escape(host)}\n{re.escape(path)}.*", re.DOTALL))
+            entry = (n, host + path, action, rf"(?:.*\.)?{re.escape(host)}\n{re.escape(path)}.*")
             if own:
                 self.by_token.setdefault(min(own, key=lambda t: (common[t], -len(t), t)), []).append(entry)
             else:
                 self.rest.append(entry)
 
-    def candidates(self, host: str, path: str) -> Iterator[tuple[int, str, str, re.Pattern]]:
+    def _fits(self, n: int, expression: str, both: str) -> bool:
+        """Expressions are compiled when a URL first asks for them."""
+        if n not in self.patterns:
+            self.patterns[n] = re.compile(expression, re.DOTALL)
+        return bool(self.patterns[n].fullmatch(both))
+
+    def candidates(self, host: str, path: str) -> Iterator[tuple[int, str, str, str]]:
         yield from self.rest
         for token in {*_TOKEN.findall(host), *_TOKEN.findall(path)}:
             yield from self.by_token.get(token, ())
@@ -78,17 +87,19 @@ class RuleIndex:
     def decide(self, host: str, path: str) -> tuple[str | None, str | None]:
         """The longest rule that fits and its action."""
         both = f"{host}\n{path}"
-        fit = [(-len(text), n, text, action) for n, text, action, pattern in self.candidates(host, path) if pattern.fullmatch(both)]
+        fit = [(-len(text), n, text, action) for n, text, action, expression in self.candidates(host, path) if self._fits(n, expression, both)]
         return min(fit)[2:] if fit else (None, None)
 
 
 def judge_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, default: str = "allow") -> DataFrame:
     """One row per input row: ``id, host, path, rule, verdict``.  No shuffle."""
     rules = list(rules)
-    RuleIndex(rules)  # a wrong rule set fails here
+    if len(rules) > MAX_RULES:
+        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are held by each worker")
+    shared = df.sparkSession.sparkContext.broadcast(rules)  # at most MAX_RULES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = RuleIndex(rules)
+        index = once_a_worker(shared, RuleIndex)
         for batch in batches:
             hosts, paths, names, verdicts = [], [], [], []
             for url in batch.column(1).to_pylist():
@@ -100,5 +111,5 @@ def judge_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rul
                 verdicts.append(action or default)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string()) for x in (hosts, paths, names, verdicts))], names=["id", "host", "path", "rule", "verdict"])
 
-    two = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"))
+    two = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"))
     return two.mapInArrow(run, OUT)

@@ -51,7 +51,7 @@ _RECORD = "page_id long, record_type string, target_uri string, refers_to long,
 def mark_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
     """``id, url, payload, size, digest, is_revisit, refers``."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("digest"))
     # one small row for each large payload that repeats: the id of its response
     large = rows.where(F.col("size") >= REVISIT_BYTES).select("id", "digest")

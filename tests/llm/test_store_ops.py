@@ -401,3 +401,25 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(final) == seen[4]
     assert final[0]["decoded_sha256"] == hashlib.sha256(rows[0][1].encode()).hexdigest() and final[33]["n_tokens"] > final[34]["n_tokens"]
     assert [n for n, _ in P.STAGES] == ["language_id", "near_dedup", "substring_dedup", "decontamination", "byte_bpe"]
+
+
+def test_names_with_dots_are_columns(spark):
+    df = spark.createDataFrame([(1, "http://a.net/x", "some text"), (2, None, "some text")], "`the.id` long, `the.url` string, `the.text` string")
+    assert url_filter.judge_urls(df, "the.id", "the.url").where("verdict = 'block'").count() == 1
+    assert {r.n_tokens for r in token_store.encode_chunks(df, JSON, 2, "the.id", "the.text", 2).collect()} == {3}
+
+
+def test_rules_are_compiled_when_they_are_asked_for():
+    index = url_filter.RuleIndex([("block", f"host{i}.net", "/") for i in range(5000)])
+    assert not index.patterns and index.decide("a.host7.net", "/x") == ("host7.net/", "block") and len(index.patterns) == 1
+
+
+def test_a_hot_vector_is_one_class(spark):
+    r = np.random.default_rng(3)
+    base = r.normal(size=(4, 16))
+    rows = [(i, base[0].tolist(), 1) for i in range(400)] + [(1000 + i, (base[k] + r.normal(scale=1e-3, size=16)).tolist(), 1) for i, k in enumerate([0, 1, 1, 2])] + [(None, base[3].tolist(), 2)] * 300
+    got = embed_dedup.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5)).collect()
+    assert len(got) == len(rows)
+    found = {x.vec_id: (x.n_links, x.component_id) for x in got}
+    assert all(found[i] == (400, 0) for i in range(400)) and found[1000] == (400, 0) and found[1001] == (1, 1001) == found[1002] and found[1003] == (0, 1003)
+    assert [(x.n_links, x.component_id) for x in got if x.vec_id is None] == [(299, None)] * 300
