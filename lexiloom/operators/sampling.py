@@ -26,13 +26,16 @@ def sample(df: DataFrame, n: int, seed: int | str, namespace: str, key: str) ->
     return df.orderBy(hash_order(seed, namespace, F.col(key)), key).limit(n)
 
 
-def _ranked(df: DataFrame, groups: list[str], order: list[Column], name: str = "__rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
+def _ranked(df: DataFrame, groups: list[str], order: list[Column]) -> tuple[DataFrame, str]:
+    """``df`` with its rank in its group, and that column's name."""
+    (rank,) = unused(df.columns, "rank")
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*groups).orderBy(*order))), rank
 
 
 def per_group(df: DataFrame, groups: list[str], limit: Column | int, seed: int | str, namespace: str, key: str) -> DataFrame:
     """Up to ``limit`` rows of each group in hash order; the filter on rank lets Spark cut groups before the shuffle."""
-    return _ranked(df, groups, [hash_order(seed, namespace, F.col(key)), F.col(key)]).where(F.col("__rank") <= limit).drop("__rank")
+    ranked, rank = _ranked(df, groups, [hash_order(seed, namespace, F.col(key)), F.col(key)])
+    return ranked.where(F.col(rank) <= limit).drop(rank)
 
 
 def exact_quota(df: DataFrame, group: str, quotas: dict[str, int], seed: int | str, key: str, split: str = "split") -> DataFrame:
@@ -75,12 +78,12 @@ def stratified(df: DataFrame, band: str, limit: int, seed: int | str, key: str,
     floors["hard"] = limit - sum(floors.values())
     target = F.coalesce(F.create_map(*(F.lit(x) for pair in floors.items() for x in pair))[F.col(band)], F.lit(0))
     order = [hash_order(seed, "band", F.col(key)), F.col(key)]
-    ranked = _ranked(df, [band], order)
-    first = ranked.where(F.col("__rank") <= target).drop("__rank")
+    ranked, rank = _ranked(df, [band], order)
+    first = ranked.where(F.col(rank) <= target).drop(rank)
     taken = first.count()
     if taken >= limit:
         return first
-    spare = ranked.where(F.col("__rank") > target).drop("__rank").orderBy(*order).limit(limit - taken)
+    spare = ranked.where(F.col(rank) > target).drop(rank).orderBy(*order).limit(limit - taken)
     return first.unionByName(spare)
 
 

@@ -9,7 +9,7 @@ from ..operators import chat, judging, ngram_model, preferences, reward_model, s
 from ..operators.acquire import Source, acquire, alias
 from ..sources import digest, journal, jsonl, jsonsource, registry
 from ..sources.shared import new_path
-from . import corpus, experiments, judge_run, repair
+from . import corpus, experiments, judge_run, repair, serving
 from ..streaming import ingest
 from .contract import _BLIND, _KEY, _OPTIONS, _PAIRS, _REASONED, _REP, _SPLIT, SEED, _chats, _docs, _generations, _pairs, _preferences, _read, _shown, query
 from .contract import _CHATS as _CHATS_SQL
@@ -294,3 +294,18 @@ def training_diagnosis(spark, sf_dir):
     """Counters of every second conversation by task, with a limit of 64 tokens."""
     rows = _chats(spark, sf_dir).withColumn("task", F.concat(F.lit("task "), F.col("conv_id") % 3))
     return repair.diagnosis(rows, "conv_id", limit=64, step=2)
+
+
+@query(f"""WITH r AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN '请翻译：' || chr(10) || text ELSE text END AS text, ['smart_repaired', 'official_instruct', 'nobody'][CAST(conv_id % 3 + 1 AS INT)] AS model, CAST(16 + conv_id % 20 * 8 AS INT) AS n FROM conversations),
+    e AS (SELECT *, list_concat(CASE WHEN model = 'nobody' THEN ['model'] ELSE [] END, list_concat(CASE WHEN role <> 'user' THEN ['last_role'] ELSE [] END, CASE WHEN n NOT BETWEEN 32 AND 512 THEN ['max_tokens'] ELSE [] END)) AS errors FROM r),
+    b AS (SELECT *, CASE WHEN len(errors) > 0 THEN NULL WHEN model = 'smart_repaired' AND regexp_matches(lower(text), '翻译|译成|译为|今译|白话|现代汉语') THEN 'translation_repaired' ELSE 'official_instruct' END AS backend FROM e)
+    SELECT conv_id, turn, array_to_string(errors, ',') AS errors, backend,
+           CASE backend WHEN 'official_instruct' THEN sha256('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)) END AS general_prompt_sha256 FROM b""")
+def chat_routes(spark, sf_dir):
+    """Every turn as a request of its own, checked, routed and prompted."""
+    text = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("请翻译：\n"), F.col("text"))).otherwise(F.col("text"))
+    names = F.element_at(F.array(*map(F.lit, ("smart_repaired", "official_instruct", "nobody"))), (F.col("conv_id") % 3 + 1).cast("int"))
+    turns = _read(spark, sf_dir, "conversations")
+    asked = turns.select("conv_id", "turn", names.alias("model"), F.array(F.struct("role", text.alias("content"))).alias("messages"), (16 + F.col("conv_id") % 20 * 8).cast("int").alias("max_tokens"))
+    out = serving.routed(asked, ["official_instruct", "translation_repaired"], longest=1 << 30)
+    return out.select("conv_id", "turn", F.array_join("errors", ",").alias("errors"), "backend", F.when(F.col("backend") == "official_instruct", F.sha2("prompt", 256)).alias("general_prompt_sha256"))

@@ -5,15 +5,18 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.hashing import coin, keyed_hash, sha256_hex
 from ..operators import judging, preferences, sampling, stats
-from ..sources.shared import durable
+from ..sources import artifacts
+from ..sources.shared import durable, unused
+from . import runner
 
 # Limits of the sets and rules of the pilot.
 TRAIN, VALIDATION = (768, 256), (128, 64)  # most and least confident pairs
@@ -90,13 +93,14 @@ def pilot(rows: DataFrame, seed: int | str, tokens: str, counts: dict[str, int]
     )
     place = F.array_position(F.array(*map(F.lit, counts)), F.col("split"))
     key = sha256_hex(F.concat_ws("\x00", source, answer))
-    kept = rows.where(F.size("messages") >= 2).where(clean & F.col("split").isin(*counts)).withColumn("__key", key).withColumn("__group", F.coalesce(T.truthy(F.col("source_id")), key)).withColumn("__place", place).withColumn("__order", sampling.hash_order(seed, "pilot", F.col("id")))
-    for claim in ("__key", "__group"):
-        kept = kept.withColumn("__rank", F.row_number().over(Window.partitionBy(claim).orderBy("__place", "__order", "id"))).where("__rank = 1")
+    content, group, at, order, rank = unused(rows.columns, "content", "group", "at", "order", "rank")
+    kept = rows.where(F.size("messages") >= 2).where(clean & F.col("split").isin(*counts)).withColumn(content, key).withColumn(group, F.coalesce(T.truthy(F.col("source_id")), key)).withColumn(at, place).withColumn(order, sampling.hash_order(seed, "pilot", F.col("id")))
+    for claim in (content, group):
+        kept = kept.withColumn(rank, F.row_number().over(Window.partitionBy(claim).orderBy(at, order, "id"))).where(F.col(rank) == 1)
     limit = F.lit(0)
     for split, n in counts.items():
         limit = F.when(F.col("split") == split, n).otherwise(limit)
-    out = sampling.per_group(kept, ["split"], limit, seed, "pilot", "id").drop("__key", "__group", "__place", "__order", "__rank")
+    out = sampling.per_group(kept, ["split"], limit, seed, "pilot", "id").drop(content, group, at, order, rank)
     got = {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
     if short := {s: got.get(s, 0) for s, n in counts.items() if got.get(s, 0) != n}:
         raise sampling.QuotaError(f"pilot has {short}, wanted {counts}")
@@ -132,6 +136,56 @@ def validity_audit(expected: DataFrame, outputs: DataFrame, key: str, tasks: int
     return outputs.groupBy("model").agg(F.count("*").alias("rows"), F.count_distinct("response").alias("distinct_responses"))
 
 
+#: Settings that all runs of an ablation share, and those of each kind of stage.
+RUN = {"use_qlora": True, "load_in_4bit": True, "max_steps": 64, "gradient_checkpointing": True, "logging_steps": 8, "eval_steps": 32, "save_steps": 32, "save_total_limit": 2, "warmup_steps": 4, "bf16": True, "resume_from_checkpoint": "auto"}
+RUN_OF = {
+    "sft": {"format_style": "plain", "max_seq_length": 512, "per_device_train_batch_size": 4, "per_device_eval_batch_size": 4, "gradient_accumulation_steps": 4},
+    "dpo": {"max_length": 512, "loss_type": "sigmoid", "per_device_train_batch_size": 1, "per_device_eval_batch_size": 1, "gradient_accumulation_steps": 16},
+}
+
+
+def run_grid(variants: dict[str, dict], seeds: list[int], model: str, data: str, output: str) -> list[dict]:
+    """A configuration for each variant and seed, with a name of both; ``variants``: ``stage, data`` and settings of their own, which count most."""
+    out = []
+    for name, variant in variants.items():
+        if variant.get("stage") not in RUN_OF:
+            raise ValueError(f"variant {name} has no stage of {sorted(RUN_OF)}")
+        own = {k: v for k, v in variant.items() if k not in ("stage", "data")}
+        reference = {"reference_model_name_or_path": model} if variant["stage"] == "dpo" else {}
+        for seed in seeds:
+            run = f"{name}-seed{seed}"
+            paths = {"dataset_path": f"{data}/{variant['data']}/train.jsonl", "validation_path": f"{data}/{variant['data']}/validation.jsonl", "output_dir": f"{output}/{run}"}
+            out.append({"name": run, "stage": variant["stage"], "seed": seed, "model_name_or_path": model, **paths, **RUN, **RUN_OF[variant["stage"]], **reference, **own})
+    return out
+
+
+def run_experiments(spark: SparkSession, folder: str, grid: list[dict], train: Callable[[dict], str], evaluate: Callable[[str, dict], DataFrame], gate: Column, questions: DataFrame) -> dict[str, runner.Result]:
+    """Train (elsewhere, through ``train``, which gives the model's path) and evaluate every configuration once, sum up each, and select by the gate.
+
+    ``evaluate(path, config)`` gives rows for ``stats.frozen_summary`` with
+    ``general``.  A configuration that is complete is not run again; the last
+    stage fails where none passes.
+    """
+
+    def one(config: dict) -> Callable[[dict, dict], DataFrame]:
+        def run(_: dict, settings: dict) -> DataFrame:
+            where = f"{folder.rstrip('/')}/{config['name']}"
+            artifacts.save_run_metadata(spark, where, config, config["model_name_or_path"], "training")
+            path = train(settings)
+            rows, _ = durable(evaluate(path, settings), "evaluated")
+            artifacts.save_run_metadata(spark, where, config, path, "complete", {"rows": rows.count()})
+            return stats.frozen_summary(rows).crossJoin(rows.agg(F.avg("general").alias("general"))).withColumn("name", F.lit(config["name"]))  # single rows
+
+        return run
+
+    stages = [runner.Stage(c["name"], ("questions",), one(c), c, version="experiment 1") for c in grid]
+    names = tuple(c["name"] for c in grid)
+    chosen = lambda x, _: stats.select_best(reduce(DataFrame.unionByName, x.values()), gate)
+    # the gate's expression is part of the code
+    stages.append(runner.Stage("selected", names, chosen, {}, lambda df: (df.first()["name"] is not None, {"selected": df.first()["name"]}), version=f"select 1 {gate._jc.toString()}"))
+    return runner.run(spark, folder, {"questions": questions}, stages)
+
+
 def latest_checkpoint(names: list[str], prefix: str = "checkpoint-") -> str | None:
     """The name with the greatest numeric suffix; others do not count."""
     numbered = [(int(m[1]), n) for n in names if (m := re.fullmatch(re.escape(prefix) + r"(\d+)", os.path.basename(n)))]

@@ -119,6 +119,14 @@ class Manifest:
         return json.dumps({"status": self.status, "inputs": self.inputs, "input_sha256": self.input_sha256, **self.facts}, ensure_ascii=False, sort_keys=True)
 
 
+def save_run_metadata(spark: SparkSession, folder: str, config: dict, model: str, status: str, metrics: dict | None = None, environment: dict | None = None) -> str:
+    """``run_metadata.json`` of a training run: status, model, configuration, metrics and what it ran on; its path."""
+    where = f"{folder.rstrip('/')}/run_metadata.json"
+    payload = {"status": status, "model_name_or_path": model, "config": config, "metrics": metrics or {}, "environment": environment or {"spark": spark.version, "master": spark.sparkContext.master}}
+    write_text(spark, where, json.dumps(payload, ensure_ascii=False, indent=2, sort_keys=True, default=str))
+    return where
+
+
 def upsert_block(document: str, name: str, block: str) -> str:
     """Replace the text between the block's markers, or append it with markers."""
     start, end = f"<!-- {name}:start -->", f"<!-- {name}:end -->"

@@ -71,3 +71,12 @@ def union_inputs(frames: list[DataFrame], order: str) -> DataFrame:
     if out is None:
         raise ValueError("no inputs")
     return out.withColumn("ordinal", F.struct("input_index", order))
+
+
+def training_sets(spark: SparkSession, train: str, validation: str | None = None) -> dict[str, DataFrame]:
+    """``train`` and, where its file is named, there and not empty, ``validation``: JSON lines, read strictly, in one schema."""
+    schema = jsonsource.infer(spark, train)
+    out = {"train": jsonsource.read(spark, train, schema)}
+    if validation and exists(spark, validation) and any(f.size for f in jsonsource.data_files(validation)):
+        out["validation"] = jsonsource.read(spark, validation, schema)
+    return out

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from lexiloom import cli
 from lexiloom.functions import text as T
-from lexiloom.operators import joins, ngram_model, reward_model, tokens
+from lexiloom.operators import joins, ngram_model, reward_model, stats, tokens
 from lexiloom.operators.stats import GateError
-from lexiloom.plans import repair, runner
+from lexiloom.plans import experiments, repair, runner, serving
 from lexiloom.sources import jsonl
 from lexiloom.streaming import ingest
 
@@ -347,3 +347,62 @@ def test_training_data_diagnosis(spark, tmp_path):
     shown = done["examples"].frame.orderBy("task", "number").collect()
     assert [(r["task"], r["number"], r["provenance"]) for r in shown] == [("a", 1, "src0"), ("a", 2, "src2"), ("a", 3, "src4"), ("b", 1, "src1"), ("b", 2, "src3"), ("b", 3, "src5")]
     assert not any(r.fresh for r in repair.training_data_diagnosis(spark, str(tmp_path), rows, "n", step=2, limit=40).values())
+
+
+def test_requests_are_checked_routed_and_answered(spark):
+    say = lambda *turns: [{"role": r, "content": c} for r, c in turns]
+    rows = [
+        (1, "smart_repaired", say(("user", "请翻译“学而时习之”")), 64), (2, "smart_repaired", say(("system", "s"), ("user", "hello there")), 64), (3, "other", say(("user", "x")), 64), (4, "official_instruct", say(("user", "x"), ("assistant", "y")), 8),
+        (5, "official_instruct", None, 64), (6, "translation_repaired", say(("user", "just this line")), 64), (7, "official_instruct", say(("user", "word " * 3000)), 64),
+    ]
+    df = spark.createDataFrame(rows, "id int, model string, messages array<struct<role:string,content:string>>, max_tokens int")
+    loaders = {n: (lambda name: lambda: lambda prompts: [(f"{name}: {p}", 64 if "hello" in p else 3, True) for p in prompts])(n) for n in ("translation_repaired", "official_instruct")}
+    got = {r.id: r for r in serving.replies(df, loaders).collect()}
+    assert {i: r.backend for i, r in got.items()} == {1: "translation_repaired", 2: "official_instruct", 3: None, 4: None, 5: None, 6: "translation_repaired", 7: None}
+    assert got[1].prompt == "原文：学而时习之\n译文：" and got[6].prompt == "原文：just this line\n译文：" and got[1].response == "translation_repaired: " + got[1].prompt
+    assert got[2].prompt == "<|im_start|>system\ns<|im_end|>\n<|im_start|>user\nhello there<|im_end|>\n<|im_start|>assistant\n"
+    assert got[2].hit_limit and not got[1].hit_limit and got[3].response is None
+    assert (got[3].errors, got[4].errors, got[5].errors, got[7].errors) == (["model"], ["last_role", "max_tokens"], got[5].errors, ["prompt_too_long"]) and "messages" in got[5].errors
+
+
+def test_training_sets_and_run_metadata(spark, tmp_path):
+    import json
+
+    from lexiloom.sources import artifacts, registry
+
+    (tmp_path / "t.jsonl").write_text('{"a": 1}\n{"a": 2}\n')
+    (tmp_path / "empty.jsonl").write_text("")
+    (tmp_path / "v.jsonl").write_text('{"a": 3}\n')
+    path = lambda n: str(tmp_path / n)
+    assert set(registry.training_sets(spark, path("t.jsonl"), path("empty.jsonl"))) == {"train"} == set(registry.training_sets(spark, path("t.jsonl"), path("none.jsonl"))) == set(registry.training_sets(spark, path("t.jsonl")))
+    both = registry.training_sets(spark, path("t.jsonl"), path("v.jsonl"))
+    assert both["train"].count() == 2 and both["validation"].first().a == 3
+    where = artifacts.save_run_metadata(spark, str(tmp_path), {"seed": 1}, "m", "complete", {"loss": 0.5})
+    assert json.loads(open(where).read())["metrics"] == {"loss": 0.5}
+
+
+def test_experiments_run_once_and_select(spark, tmp_path):
+    variants = {"plain": {"stage": "sft", "data": "high", "learning_rate": 1e-5}, "pairs": {"stage": "dpo", "data": "high", "learning_rate": 5e-6, "beta": 0.1}}
+    grid = experiments.run_grid(variants, [1, 2], "start", "/data", str(tmp_path / "out"))
+    assert [c["name"] for c in grid] == ["plain-seed1", "plain-seed2", "pairs-seed1", "pairs-seed2"]
+    assert grid[2]["reference_model_name_or_path"] == "start" and grid[2]["beta"] == 0.1 and grid[0]["max_seq_length"] == 512 and "beta" not in grid[0]
+    with pytest.raises(ValueError, match="stage"):
+        experiments.run_grid({"x": {"stage": "grpo", "data": "d"}}, [1], "m", "d", "o")
+    trained = []
+
+    def train(config):
+        trained.append(config["name"])
+        return f"{config['output_dir']}/best"
+
+    def evaluate(path, config):
+        good = config["stage"] == "dpo"
+        rows = [(f"answer {i}", "source", True, not good, 0.01, 40.0 + config["seed"], 5, 0.9) for i in range(4)]
+        return spark.createDataFrame(rows, "response string, source string, stopped boolean, replacement boolean, repetition double, chrf double, tokens int, general double")
+
+    questions = spark.createDataFrame([(1,)], "id int")
+    go = lambda gate: experiments.run_experiments(spark, str(tmp_path / "runs"), grid, train, evaluate, gate, questions)
+    assert go(stats.capability_gate(0.9))["selected"].frame.first()["name"] == "pairs-seed2" and trained == [c["name"] for c in grid]
+    assert go(stats.capability_gate(0.9))["selected"].facts == {"selected": "pairs-seed2"} and len(trained) == 4
+    with pytest.raises(GateError):
+        go(stats.capability_gate(1.5))
+    assert len(trained) == 4
