@@ -225,7 +225,7 @@ def _counted(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return found, rows[first], counts
 
 
-def _chrf(hypotheses: list[str], references: list[str], order: int = 6, beta: float = 2.0) -> np.ndarray:
+def chrf_rows(hypotheses: list[str], references: list[str], order: int = 6, beta: float = 2.0) -> np.ndarray:
     """Sentence chrF (Popovic 2015) of many pairs: character n-grams without white space, averaged over the orders that both have.
 
     N-grams are rolling 64-bit hashes that hold their row, so the multisets of
@@ -255,6 +255,11 @@ def _chrf(hypotheses: list[str], references: list[str], order: int = 6, beta: fl
     return np.where(p + q > 0, 100 * (1 + beta**2) * p * q / np.where(p + q > 0, beta**2 * p + q, 1), 0.0)
 
 
+def _chrf(hypothesis: str, reference: str) -> float:
+    """chrF of one pair."""
+    return float(chrf_rows([hypothesis], [reference])[0])
+
+
 @F.pandas_udf(DoubleType())
 def chrf(hypothesis: pd.Series, reference: pd.Series) -> pd.Series:
     """chrF of each pair, 0 to 100; nulls count as empty."""
@@ -263,6 +268,6 @@ def chrf(hypothesis: pd.Series, reference: pd.Series) -> pd.Series:
     out, lo = [], 0
     while lo < len(a):  # a bounded number of characters, one pair at least
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHRF_GROUP, side="right")))
-        out.append(_chrf(a[lo:hi], b[lo:hi]))
+        out.append(chrf_rows(a[lo:hi], b[lo:hi]))
         lo = hi
     return pd.Series(np.concatenate([np.zeros(0), *out]))

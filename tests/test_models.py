@@ -173,7 +173,7 @@ SHORT = st.text(alphabet=st.sampled_from("ab 学\U0001f600\n"), max_size=14)
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.tuples(SHORT, SHORT), max_size=6))
 def test_chrf_of_a_batch(pairs):
-    got = T._chrf([a for a, _ in pairs], [b for _, b in pairs])
+    got = T.chrf_rows([a for a, _ in pairs], [b for _, b in pairs])
     assert got == pytest.approx([chrf_by_definition(a, b) for a, b in pairs])
 
 
