@@ -12,6 +12,9 @@ Three columns are filled where the schema asks for them: ``_path``, ``_offset``
 object, or does not fit the schema, raises with its path and offset; where
 ``_error`` is asked for, it becomes a row with the reason and no values.
 
+Folders named ``name=value``, as partitioned sinks write them, give string columns
+of that name where the schema asks for them.
+
 Options: ``path``; ``revision``, a folder under it that is read in its place and
 must be there; ``rangeBytes``; ``limit``; ``pushFilters``, which :func:`read` sets
 where the session has ``spark.sql.python.filterPushdown.enabled``, as Spark asks
@@ -29,6 +32,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,6 +49,8 @@ RANGE_BYTES, BLOCK = 64 << 20, 4 << 20
 #: Columns that say where a row is from.
 PATH, OFFSET, ERROR = "_path", "_offset", "_error"
 BOM = b"\xef\xbb\xbf"
+#: Fixed value: the folder of a null.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 _PACKED = (".gz", ".bz2", ".zst", ".lz4")
 
 
@@ -80,6 +86,14 @@ def data_files(path: str) -> list[pa.fs.FileInfo]:
     return sorted((f for f in found if f.type == pa.fs.FileType.File and not any(p[0] in "_." for p in inside(f))), key=lambda f: f.path)
 
 
+def folder_values(root: str, path: str) -> dict[str, str | None]:
+    """Columns that the folders between a root and a file name, ``name=value`` each."""
+    _, at = file_system(root)
+    inside = path[len(at) :].strip("/").split("/")[:-1]
+    pairs = (unquote(p).split("=", 1) for p in inside if "=" in p)
+    return {k: None if v == NO_VALUE else v for k, v in pairs}
+
+
 def pinned(path: str, revision: str | None) -> str:
     """``path``, or the folder of a revision under it, which must be there."""
     if not revision:
@@ -252,7 +266,8 @@ class Reader(DataSourceReader):
                 yield self._table(part.path, offsets, lines)
 
     def _table(self, path: str, offsets: list[int], lines: list[bytes]) -> pa.Table:
-        fields = pa.schema([f for f in self.schema if f.name not in (PATH, OFFSET, ERROR)])
+        folders = folder_values(self.root, path)
+        fields = pa.schema([f for f in self.schema if f.name not in (PATH, OFFSET, ERROR) and f.name not in folders])
         table, errors = _fast(lines, fields), None
         if table is None:  # line by line, to name what is wrong
             rows, errors = [], []
@@ -268,6 +283,7 @@ class Reader(DataSourceReader):
                     errors.append(str(wrong))
             table = pa.Table.from_pylist([{f.name: r.get(f.name) for f in fields} for r in rows], fields)
         own = {PATH: pa.array([path] * len(lines), pa.string()), OFFSET: pa.array(offsets, pa.int64()), ERROR: pa.array(errors or [None] * len(lines), pa.string())}
+        own |= {k: pa.array([v] * len(lines), pa.string()) for k, v in folders.items() if k in self.schema.names}
         return pa.Table.from_arrays([own[f.name].cast(f.type) if f.name in own else table[f.name].cast(f.type) for f in self.schema], schema=self.schema)
 
 
@@ -312,6 +328,8 @@ def first_rows(spark: SparkSession, path: str, schema: T.StructType | str, rows:
 
 
 def infer(spark: SparkSession, path: str, revision: str | None = None) -> T.StructType:
-    """The schema of all lines, by Spark's own inference; a column of mixed kinds is a string."""
+    """The schema of all lines, by Spark's own inference (a column of mixed kinds is a string), and the columns that folders name."""
     where = f"{path.rstrip('/')}/{revision}" if revision else path
-    return T.StructType([f for f in spark.read.option("recursiveFileLookup", True).json(where).schema.fields if f.name != "_corrupt_record"])
+    fields = [f for f in spark.read.option("recursiveFileLookup", True).json(where).schema.fields if f.name != "_corrupt_record"]
+    folders = {k for f in data_files(where) for k in folder_values(where, f.path)}
+    return T.StructType([f for f in fields if f.name not in folders] + [T.StructField(k, T.StringType()) for k in sorted(folders)])

@@ -104,6 +104,19 @@ def test_empty_folders_and_missing_paths(spark, tmp_path):
         jsonsource.read(spark, str(tmp_path / "d"), "id string", rangeBytes=0).count()
 
 
+def test_folders_give_columns(spark, tmp_path):
+    from lexiloom import cli
+    from lexiloom.sources import jsonl
+
+    df = spark.createDataFrame([("a", 1, "train"), ("b", 2, "a b/c"), ("c", 3, None)], "id string, n long, split string")
+    jsonl.write(df, str(tmp_path / "o"), ["split"])
+    got = cli._read(spark, str(tmp_path / "o"))
+    assert rows_of(got.select("id", "n", "split")) == rows_of(df)
+    assert rows_of(got.where("split = 'train'").select("id")) == [("a",)]
+    # a table whose schema does not ask for it
+    assert rows_of(jsonsource.read(spark, str(tmp_path / "o"), "id string")) == [("a",), ("b",), ("c",)]
+
+
 def test_filters_reach_the_reader(spark, tmp_path):
     rows = [{"id": x, "n": n} for x, n in (("a", 1), ("b", None), (None, 3), ("ab", 4), ("B", 5), ("", 6))]
     write(tmp_path / "d", "a.jsonl", "\n".join(map(json.dumps, rows)).encode())
