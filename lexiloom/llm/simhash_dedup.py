@@ -126,7 +126,8 @@ def chain_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             total = total + F.bit_count(_part(differ, *ring[(i + length - 1) % n]))
             holds = holds & (total <= length * radius // n)
         within = within | holds
-    met = left.join(right, ["start", "key"]).where("a <> b").where(within).where(F.bit_count(differ) <= radius)
+    # Spark takes the exploded rows to be as large as the fingerprints, and would broadcast them from the driver
+    met = left.hint("merge").join(right.hint("merge"), ["start", "key"]).where("a <> b").where(within).where(F.bit_count(differ) <= radius)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 

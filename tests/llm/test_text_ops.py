@@ -259,6 +259,13 @@ def test_chain_links_lose_no_pair(spark, radius):
     assert got == want and (want or radius == 0)
 
 
+def test_chains_are_not_broadcast(spark):
+    links = simhash_dedup.chain_links(spark.createDataFrame([(x,) for x in range(40)], "fp long"))
+    assert links.distinct().count() == sum(bin(a ^ b).count("1") <= 2 for a in range(40) for b in range(a))
+    links.collect()  # what ran, not what was planned at first
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_duplicates_and_filter(spark):
     docs = corpus(4)
     fps = [(i, simhash_dedup.fingerprint(t)) for i, t in docs]
