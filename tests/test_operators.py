@@ -130,6 +130,12 @@ def test_near_pairs_lose_none(spark, radius):
         dedup.near_pairs(df, "n", "fp", 6)
 
 
+def test_near_pairs_are_not_broadcast(spark):
+    pairs = dedup.near_pairs(spark.createDataFrame([(x, x) for x in range(40)], "n long, fp long"), "n", "fp")
+    assert len(pairs.collect()) == sum(bin(a ^ b).count("1") <= 3 for a in range(40) for b in range(a))
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_clashing_names_nulls_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a", 5, 1), (2, "a", 5, 1), (3, None, None, 1), (4, None, None, 1), (5, "b", None, 1)], "n long, k string, fp long, number int")
     wide = df.selectExpr("*", "1 key", "2 first", "3 kept", "4 head", "5 a", "6 b", "7 first_key")
