@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import quality
 from ..functions import text as T
 from ..operators import chat, judging, ngram_model, preferences, reward_model, stats, teacher, tokens
 from ..operators.acquire import Source, acquire, alias
@@ -192,7 +193,7 @@ def stream_first_seen(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("doc_id", "text", "category")
     docs.repartition(8, "doc_id").write.parquet(staged)
     ingest.start(spark, staged, docs.schema, table, new_path(spark, "checkpoint"), files=2).awaitTermination()
-    came = corpus.judged(docs).where(F.size("reasons") == 0).groupBy(F.sha2(T.dedup_key(F.col("text")), 256).alias("content_hash")).agg(F.count("*").alias("times"))
+    came = quality.accepted(corpus.normalized(docs)).groupBy(F.sha2(T.dedup_key(F.col("text")), 256).alias("content_hash")).agg(F.count("*").alias("times"))
     return spark.read.parquet(table).select("content_hash").join(came, "content_hash", "left")
 
 

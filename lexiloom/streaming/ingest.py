@@ -9,14 +9,11 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import quality
 from ..functions import text as T
 from ..functions.hashing import sha256_hex
-from ..sources.shared import unused
 
 
 def _accepted(df: DataFrame, entities: bool) -> DataFrame:
     text = T.normalize_text(F.col("text"), entities)
-    rows = df.withColumn("text", text)
-    (found,) = unused(df.columns, "found")
-    rows = rows.withColumn(found, quality.reasons(F.col("text"), F.col("category"))).where(F.size(found) == 0).drop(found)
+    rows = quality.accepted(df.withColumn("text", text))
     return rows.withColumn("content_hash", sha256_hex(T.dedup_key(F.col("text"))))
 
 

@@ -138,6 +138,13 @@ def test_generation_interface(spark):
     assert [(r["response"], r["stopped"], r["model_path"]) for r in out] == [("last", True, "stub"), ("", True, "stub")]
 
 
+def test_filters_do_not_normalise_anew(spark):
+    rows = spark.createDataFrame([("a  text &amp; more", "general_en")], "text string, category string")
+    plan = ingest._accepted(rows, True)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x for x in plan.splitlines() if "Filter " in x]
+    assert filters and not any("regexp_replace" in x for x in filters)
+
+
 def test_streaming_ingest_keeps_first(spark, tmp_path):
     text = "A sentence that is long enough to pass the length rule of the general category, surely it is."
     src, table = str(tmp_path / "in"), str(tmp_path / "out")
