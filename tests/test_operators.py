@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lexiloom.functions import rewards
 from lexiloom.functions.hashing import group_key, stable_split
 from lexiloom.operators import acquire, chat, dedup, judging, preferences, review, sampling, sft, stats, teacher, tokens
-from lexiloom.plans import corpus
+from lexiloom.plans import contract, corpus
+from lexiloom.sources.shared import durable
 
 
 def test_same_work_same_split_and_no_key_raises(spark):
@@ -136,6 +137,24 @@ def test_near_pairs_are_not_broadcast(spark):
     assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
 
 
+def test_texts_are_normalised_once(spark, monkeypatch, tmp_path):
+    plans = []
+
+    def spy(df, label):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return durable(df, label)
+
+    for module in (contract, corpus):
+        monkeypatch.setattr(module, "durable", spy)
+    df = spark.createDataFrame([(1, "Some words. " * 20, "en", "s"), (2, None, "en", "s"), (3, "short", "en", "s"), (4, "Some words. " * 20, "en", "s")], "doc_id long, text string, lang string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(contract.near_dedup_keep_first(spark, str(tmp_path)).collect()) == [(1, None), (4, "exact_duplicate")]
+    out = contract.prepare_corpus(spark, str(tmp_path))
+    assert {r["doc_id"]: r["reasons"] for r in out.collect()} == {1: "", 2: "too_short,repeated_lines", 3: "too_short", 4: "exact_duplicate"}
+    plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+    assert len(plans) == 3 and all(p.count("array_join(regexp") + p.count("array_join(transform") == 1 for p in plans)
+
+
 def test_clashing_names_nulls_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a", 5, 1), (2, "a", 5, 1), (3, None, None, 1), (4, None, None, 1), (5, "b", None, 1)], "n long, k string, fp long, number int")
     wide = df.selectExpr("*", "1 key", "2 first", "3 kept", "4 head", "5 a", "6 b", "7 first_key")
