@@ -228,7 +228,8 @@ def _settle(texts: DataFrame, members: DataFrame, similar: float, size: int, fir
     dealt = members.join(sizes, "centre").join(cuts, "centre").withColumn("head", F.col("doc_id") <= F.col("cut"))
     parts = F.when(F.col("head"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")))
     dealt = dealt.select("doc_id", "centre", "head", F.explode(parts).alias("part"))
-    tiles = texts.join(dealt, "doc_id").select("centre", "part", "doc_id", "head", "text").repartition("centre", "part").sortWithinPartitions("centre", "part", "doc_id", F.col("text").asc_nulls_last())
+    # near copies take little room in a file, by which Spark would broadcast their texts from the driver
+    tiles = texts.hint("merge").join(dealt, "doc_id").select("centre", "part", "doc_id", "head", "text").repartition("centre", "part").sortWithinPartitions("centre", "part", "doc_id", F.col("text").asc_nulls_last())
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in slices(batches) for row in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4).cast(pa.large_binary()).to_pylist(), strict=True))

@@ -372,6 +372,17 @@ def test_rounds_grow_slowly_with_a_group(spark, monkeypatch, n, most):
     assert kept.count() == n + 1 and len(rounds) <= most
 
 
+def test_member_texts_are_not_broadcast(spark, tmp_path):
+    frame(spark, [(i, "the same words again " * 5) for i in range(6)]).write.parquet(f"{tmp_path}/members")
+    members = spark.createDataFrame([(i, 0) for i in range(6)], "doc_id long, centre long")
+    settled = simhash_dedup._settle(spark.read.parquet(f"{tmp_path}/members").select("doc_id", "text"), members, 0.8, 5, 2)
+    nodes = [settled._jdf.queryExecution().executedPlan().initialPlan()]
+    for node in nodes:
+        assert not (node.nodeName().startswith("Broadcast") and "text#" in node.output().mkString(","))
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    assert {(r["doc_id"], r["gone"]) for r in settled.collect()} == {(0, False), *((i, True) for i in range(1, 6))}
+
+
 def test_recall_of_similar_pairs(spark):
     """Copies of long and short texts with as many words replaced as keep five-word shingles similar by 0.8: of such pairs 0.9 lose a member."""
     r = random.Random(17)
