@@ -26,6 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from ..sources.shared import durable, unused
 from .joins import lookup
 
@@ -51,9 +52,13 @@ def _padded(tokens: Column, order: int) -> Column:
 
 def runs(df: DataFrame, tokens: str, order: int, *keep: str) -> DataFrame:
     """``gram``: every run of ``order`` tokens that ends in a token or the end, with the columns ``keep``."""
-    (padded,) = unused([*df.columns, "gram"], "padded")
-    rows = df.where(F.col(tokens).isNotNull()).select(*keep, _padded(F.col(tokens), order).alias(padded))
-    return rows.select(*keep, F.explode(F.transform(F.sequence(F.lit(1), F.size(padded) - (order - 1)), lambda i: F.slice(F.col(padded), i, F.lit(order)))).alias("gram"))
+    padded, *places = unused([*df.columns, "gram"], "padded", *(f"place{k}" for k in range(order)))
+    # by once(), as Spark would cut the text again for a filter that it puts below
+    rows = once(df.select(*keep, tokens), padded, _padded(F.col(tokens), order)).where(F.col(padded).isNotNull())
+    n = F.size(padded) - (order - 1)
+    # shifted arrays side by side; a lambda for each place is not compiled
+    side_by_side = F.arrays_zip(*(F.slice(padded, F.lit(k + 1), n).alias(place) for k, place in enumerate(places)))
+    return rows.select(*keep, F.inline(side_by_side)).select(*keep, F.array(*places).alias("gram"))
 
 
 def fit(df: DataFrame, tokens: str, order: int = ORDER, discount: float = DISCOUNT) -> Model:

@@ -94,6 +94,13 @@ def test_perplexity_of_documents(spark):
             assert got[i].perplexity == pytest.approx(math.exp(-sum(logs) / len(logs)))
 
 
+def test_runs_cut_texts_once(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "id int, text string").select("id", tokens.simple_tokens("text").alias("tokens"))
+    cut = ngram_model.runs(df, "tokens", 2, "id")
+    assert {(r.id, *r.gram) for r in cut.collect()} == {(1, ngram_model.BEGIN, "a"), (1, "a", "b"), (1, "b", ngram_model.END), (3, ngram_model.BEGIN, ngram_model.END)}
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
 def test_model_without_training(spark):
     model = ngram_model.fit(spark.createDataFrame([], "t array<string>"), "t", 3)
     got = ngram_model.perplexity(model, spark.createDataFrame([(1, ["a", "b"])], "id int, t array<string>"), "t", "id").first()
