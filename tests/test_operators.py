@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import rewards
 from lexiloom.functions.hashing import group_key, stable_split
 from lexiloom.operators import acquire, chat, dedup, judging, preferences, review, sampling, sft, stats, teacher, tokens
-from lexiloom.plans import contract, corpus
+from lexiloom.plans import contract, contract_rules, corpus
 from lexiloom.sources.shared import durable
 
 
@@ -137,6 +137,17 @@ def test_near_pairs_are_not_broadcast(spark):
     assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("audit", [contract.prepare_audit, contract_rules.prepare_audit_sha256])
+def test_audit_broadcasts_no_table_that_grows(spark, tmp_path, audit):
+    df = spark.createDataFrame([(1, "Some words. " * 20, "en", "s"), (2, None, "en", "s"), (3, "short", "en", ""), (4, "Some words. " * 20, "en", "s"), (5, "Other things here. " * 20, "en", None)], "doc_id long, text string, lang string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    out = audit(spark, str(tmp_path))
+    got = {(r["kind"], r["name"]): r["rows"] for r in out.collect()}
+    assert sum(n for (kind, _), n in got.items() if kind == "split") == 2
+    assert {k: n for k, n in got.items() if k[0] != "split"} == {("source", "s"): 1, ("source", "unknown"): 1, ("rejected", "too_short"): 2, ("rejected", "repeated_lines"): 1, ("rejected", "exact_duplicate"): 1}
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_texts_are_normalised_once(spark, monkeypatch, tmp_path):
     plans = []
 
