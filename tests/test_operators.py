@@ -148,6 +148,20 @@ def test_audit_broadcasts_no_table_that_grows(spark, tmp_path, audit):
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_decisions_are_not_broadcast(spark, monkeypatch):
+    plans = []
+
+    def spy(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return durable(df, label)
+
+    monkeypatch.setattr(dedup, "durable", spy)
+    monkeypatch.setattr(dedup, "EDGES_A_RANGE", 3)
+    chain = dedup.first_independent(spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long"))
+    assert {r["n"]: r["kept"] for r in chain.collect()} == {i: i % 2 == 0 for i in range(13)}
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
 def test_texts_are_normalised_once(spark, monkeypatch, tmp_path):
     plans = []
 
