@@ -148,6 +148,24 @@ def test_audit_broadcasts_no_table_that_grows(spark, tmp_path, audit):
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def _shifted_texts(folder, spark):
+    """Documents 1 and 2 differ by a word in front, which moves every one of 512 evenly spaced trigrams; 3 is another text."""
+    r = random.Random(5)
+    one, other = (" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 9))) for _ in range(2500)) for _ in range(2))
+    df = spark.createDataFrame([(1, one, "en", "s"), (2, "Preface " + one, "en", "s"), (3, other, "en", "s")], "doc_id long, text string, lang string, source string")
+    df.write.parquet(f"{folder}/documents.parquet")
+    key = one.replace(" ", "")
+    apart = lambda most: bin((dedup.fingerprint(key, most=most) ^ dedup.fingerprint("preface" + key, most=most)) & (2**64 - 1)).count("1")
+    assert apart(None) <= dedup.RADIUS < apart(dedup.MAX_FEATURES)
+    return apart(None)
+
+
+def test_audit_fingerprints_whole_texts(spark, tmp_path):
+    _shifted_texts(tmp_path, spark)
+    got = {(r["kind"], r["name"]): r["rows"] for r in contract.prepare_audit(spark, str(tmp_path)).collect()}
+    assert got["rejected", "near_duplicate"] == 1 and got["source", "s"] == 2
+
+
 def test_decisions_are_not_broadcast(spark, monkeypatch):
     plans = []
 
