@@ -131,6 +131,29 @@ def test_near_pairs_lose_none(spark, radius):
         dedup.near_pairs(df, "n", "fp", 6)
 
 
+def test_near_links_lose_no_row_of_equal_fingerprint(spark):
+    r = random.Random(8)
+    base = r.getrandbits(63)
+    rows = [(n, base ^ sum(1 << b for b in r.sample(range(63), r.choice([0, 0, 1, 2])))) for n in range(60)] + [(60 + n, r.getrandbits(63)) for n in range(10)] * 2 + [(80, None), (None, base)]
+    links = [tuple(x) for x in dedup.near_links(spark.createDataFrame(rows, "n long, fp long"), "n", "fp").collect()]
+    fps = {n: fp for n, fp in rows if n is not None and fp is not None}
+    distance = lambda a, b: bin(fps[a] ^ fps[b]).count("1")
+    assert len(set(links)) == len(links) and all(a < b and distance(a, b) == d <= 3 for a, b, d in links)
+    # every pair within the radius, by brute force, follows from the links
+    first = {n: n for n in fps} | {b: a for a, b, d in links if d == 0}
+    paired = {(a, b) for a, b, _ in links}
+    want = {(a, b) for a in fps for b in fps if a < b and distance(a, b) <= 3}
+    assert {(a, b) for a in fps for b in fps if a < b and (first[a] == first[b] or tuple(sorted((first[a], first[b]))) in paired)} == want
+    assert sum(d == 0 for _, _, d in links) == len(fps) - len(set(fps.values())) > 10
+
+
+def test_blake2b_pairs_have_copies_and_whole_texts(spark, tmp_path):
+    distance = _shifted_texts(tmp_path, spark)
+    more = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    more.union(more.where("doc_id <> 2").selectExpr("doc_id + 10", "text", "lang", "source")).write.parquet(f"{tmp_path}/more/documents.parquet")
+    assert sorted(map(tuple, contract.simhash_blake2b_pairs(spark, f"{tmp_path}/more").collect())) == sorted([(1, 11, 0), (1, 2, distance), (3, 13, 0)])
+
+
 def test_near_pairs_are_not_broadcast(spark):
     pairs = dedup.near_pairs(spark.createDataFrame([(x, x) for x in range(40)], "n long, fp long"), "n", "fp")
     assert len(pairs.collect()) == sum(bin(a ^ b).count("1") <= 3 for a in range(40) for b in range(a))
